@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tasteframe.llm import bpe
+from tasteframe.llm import ann, bpe, html, packing, quality
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_packing": packing.op4_packing,
+    "op7_one_bit_codes": ann.op7_one_bit_codes,
+    "op9_html_text": html.op9_html_text,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
