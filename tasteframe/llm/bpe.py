@@ -7,8 +7,10 @@ merged with a heap over linked bytes. A worker keeps what it has resolved in a b
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
+from array import array
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import types as T
 
 from tasteframe.llm.common import add_arrow_column, gather, table
 
-#: Entries of a worker's cache of resolved text; it starts anew when full.
-CACHE = 400_000
+#: Entries of a worker's caches, of text between spaces and of merged pre-tokens; each starts anew when full.
+CACHE, MERGED = 300_000, 150_000
 MASK = (1 << 64) - 1
 
 
@@ -47,6 +49,7 @@ class PerfectHash:
         self.size, self.buckets = n, max(1, n // per_bucket)
         self.seeds, self.slots = [0] * self.buckets, [-1] * n
         self.keys = keys
+        self.digest = hashlib.sha256(b"\n".join(map(base64.b64encode, keys))).hexdigest()
         members: dict[int, list[tuple[int, int]]] = {}
         for i, key in enumerate(keys):
             h = xxhash.xxh3_64_intdigest(key)
@@ -74,30 +77,52 @@ class PerfectHash:
         return i if self.keys[i] == key else -1
 
 
-def merge(piece: bytes, rank_of: dict[bytes, int]) -> list[int]:
-    """Ranks of a byte string after all merges: the lowest-ranked adjacent pair first, the leftmost among equals."""
-    n = len(piece)
-    end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank_of.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = right[i] if end[i] else n
-        if j >= n or end[j] != stop or end[i] != j:
-            continue  # one of the two has been merged meanwhile
-        end[i], end[j] = stop, 0
-        right[i] = right[j]
-        if right[j] < n:
-            left[right[j]] = i
-            if (r := rank_of.get(piece[i : end[right[j]]])) is not None:
-                heapq.heappush(heap, (r, i, end[right[j]]))
-        if left[i] >= 0 and (r := rank_of.get(piece[left[i] : stop])) is not None:
-            heapq.heappush(heap, (r, left[i], stop))
-    out, i = [], 0
-    while i < n:
-        out.append(rank_of[piece[i : end[i]]])
-        i = right[i]
-    return out
+class Merger:
+    """Merges pre-tokens by ranks: the lowest-ranked adjacent pair first, the leftmost among equals."""
+
+    def __init__(self, keys: list[bytes]):
+        self.rank_of = {key: i for i, key in enumerate(keys)}
+        self.byte = [self.rank_of[bytes([a])] for a in range(256)]
+        self.pair = [self.rank_of.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Linked bytes: after[i] and before[i] are the starts of i's neighbours, token[i] its rank, pair[i] the rank
+        of its union with the next. A heap entry holds a pair's rank and start; it is stale if pair[i] has changed."""
+        n, find = len(piece), self.rank_of.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        token = [self.byte[a] for a in piece]
+        known = self.pair
+        pair = [known[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
+        pair.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if pair[i] != r:
+                continue
+            j = after[i]
+            end = after[j]
+            token[i], after[i], pair[j], pair[i] = r, end, -1, -1
+            if end < n:
+                before[end] = i
+                r = find(piece[i : after[end]])
+                if r is not None:
+                    pair[i] = r
+                    heappush(heap, r << 32 | i)
+            i = before[i]
+            if i >= 0:
+                r = find(piece[i:end])
+                if r is None:
+                    pair[i] = -1
+                else:
+                    pair[i] = r
+                    heappush(heap, r << 32 | i)
+        out, i = [], 0
+        while i < n:
+            out.append(token[i])
+            i = after[i]
+        return out
 
 
 class Encoder:
@@ -106,26 +131,28 @@ class Encoder:
 
     def __init__(self, hashed: PerfectHash, pattern: str):
         self.hashed = hashed
-        self.rank_of = {key: i for i, key in enumerate(hashed.keys)}
+        self.merger = Merger(hashed.keys)
         self.pieces = regex.compile(pattern).findall
+        self.merged: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.first: dict[str, int] = {}
         self.after_space: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.starts, self.lengths = [], []
+        self.flat, self.starts, self.lengths = array("i"), array("q"), array("q")
 
     def ids(self, text: str) -> list[int]:
         """The ids of any string, without the cache."""
         out: list[int] = []
         for piece in self.pieces(text):
-            raw = piece.encode()
-            i = self.hashed.find(raw)
-            if i >= 0:
-                out.append(i)
-            else:
-                out += merge(raw, self.rank_of)
+            if (known := self.merged.get(piece)) is None:
+                raw = piece.encode()
+                i = self.hashed.find(raw)
+                known = [i] if i >= 0 else self.merger.merge(raw)
+                if len(self.merged) >= MERGED:
+                    self.merged.clear()
+                self.merged[piece] = known
+            out += known
         return out
 
     def _learn(self, cache: dict[str, int], chunks: set[str], prefix: str) -> None:
@@ -137,7 +164,7 @@ class Encoder:
             cache[chunk] = len(self.starts)
             self.starts.append(len(self.flat))
             self.lengths.append(len(ids))
-            self.flat += ids
+            self.flat.extend(ids)
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         if len(self.starts) > CACHE:
@@ -145,8 +172,7 @@ class Encoder:
         split = [(text or "").split(" ") for text in texts]
         self._learn(self.first, {x[0] for x in split} - self.first.keys(), "")
         self._learn(self.after_space, {w for x in split for w in x[1:]} - self.after_space.keys(), " ")
-        flat = np.array(self.flat, dtype=np.int32)
-        starts, lengths = np.array(self.starts, dtype=np.int64), np.array(self.lengths, dtype=np.int64)
+        flat, starts, lengths = np.array(self.flat, dtype=np.int32), np.array(self.starts), np.array(self.lengths)
         find, parts = self.after_space.__getitem__, []
         for text, chunks in zip(texts, split, strict=True):
             codes = np.empty(len(chunks), dtype=np.int64)
@@ -162,6 +188,18 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+_KEPT: dict[tuple[str, str], Encoder] = {}
+
+
+def kept_encoder(hashed: PerfectHash, pattern: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    key = (hashed.digest, pattern)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoder(hashed, pattern)
+    return _KEPT[key]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with an array of token ids of each whole text: each match of the pattern is encoded separately, and no
     special token is made. A null or empty text gets an empty array. A column named as `ids` is replaced.
@@ -171,7 +209,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     hashed = docs.sparkSession.sparkContext.broadcast(PerfectHash(load_ranks(ranks_path)))
 
     def worker() -> Callable[[pa.Array], pa.Array]:
-        encoder = Encoder(hashed.value, pattern)
+        encoder = kept_encoder(hashed.value, pattern)
         return lambda column: encoder.encode(column.to_pylist())
 
     return add_arrow_column(docs, ids, T.ArrayType(T.IntegerType()), text, worker)

@@ -68,7 +68,7 @@ def add_arrow_column(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, source: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, source: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about `most` bytes of the source column, one row at least: bounds what a worker
     holds next to the batch."""
     column = batch.column(batch.schema.get_field_index(source))
