@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tasteframe.llm import ann, bpe, html, packing, quality
+from tasteframe.llm import ann, bpe, html, lm, packing, quality
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_lattice_scores": lm.op3_lattice_scores,
     "op4_packing": packing.op4_packing,
     "op7_one_bit_codes": ann.op7_one_bit_codes,
     "op9_html_text": html.op9_html_text,
