@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tasteframe.llm import ann, bpe, html, lm, packing, quality
+from tasteframe.llm import ann, bpe, html, lm, packing, quality, substrings
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_lattice_scores": lm.op3_lattice_scores,
     "op4_packing": packing.op4_packing,
     "op7_one_bit_codes": ann.op7_one_bit_codes,
+    "op8_repeated_windows": substrings.op8_repeated_windows,
     "op9_html_text": html.op9_html_text,
     "op10_quality_rules": quality.op10_quality_rules,
 }
