@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tasteframe.llm import ann, bpe, html, lm, packing, quality, substrings
+from tasteframe.llm import ann, bpe, html, jaccard, lm, packing, quality, substrings
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_lattice_scores": lm.op3_lattice_scores,
     "op4_packing": packing.op4_packing,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_one_bit_codes": ann.op7_one_bit_codes,
     "op8_repeated_windows": substrings.op8_repeated_windows,
     "op9_html_text": html.op9_html_text,
