@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ from tasteframe.llm.common import gather, slices, table, text_bytes
 
 #: Words that a worker's cache holds; it starts anew when full.
 CACHE = 400_000
+#: Marks that the tokenizer splits from a letter before them.
+TAIL = b".,!?;:%*&$#"
 
 
 class WordCache:
@@ -34,28 +37,68 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(config)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths = [], [], []
+        self.flat, self.starts, self.lengths = array("i"), array("q"), array("q")
+
+    def _add(self, word: bytes, ids: list[int]) -> None:
+        self.codes[word] = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
 
     def learn(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The texts' words, all known afterwards. The tokenizer lower-cases, so capitals need not be told apart,
+        unless they could make a special token; marks after a letter are tokens of their own."""
         if len(self.codes) > CACHE:
             self._reset()
-        words = [text.split() for text in texts]
-        new = list({w for own in words for w in own} - self.codes.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            ids = found.ids
-            self.codes[word] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.flat += ids
+        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        codes, new, parts = self.codes, {}, set()
+        for word in {w for own in words for w in own}:
+            if word not in codes:
+                stem = word.rstrip(TAIL)
+                if len(stem) == len(word) or not stem or not stem.decode()[-1].isalpha():
+                    new[word] = (word,)
+                else:
+                    new[word] = (stem, word[len(stem) :])
+                parts.update(new[word])
+        self._encode_parts([p for p in parts if p not in codes])
+        for word, own in new.items():
+            if word not in codes:
+                self._add(word, [i for p in own for i in self.flat[self.starts[codes[p]] : self.starts[codes[p]] + self.lengths[codes[p]]]])
         return words
 
+    def _encode_parts(self, parts: list[bytes]) -> None:
+        """Words of letters alone are encoded many to a text and told apart by the tokens that end a word."""
+        texts = [p.decode() for p in parts]
+        single = [i for i, t in enumerate(texts) if not t.isalpha()]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        runs = [letters[at : at + 64] for at in range(0, len(letters), 64)]
+        for run, found in zip(runs, self._ids([" ".join(texts[i] for i in run) for run in runs]), strict=True):
+            stops = np.nonzero(self.ends[found])[0] + 1 if found else ()
+            if len(stops) != len(run) or stops[-1] != len(found):
+                single += run
+                continue
+            start = 0
+            for i, stop in zip(run, stops.tolist(), strict=True):
+                self._add(parts[i], found[start:stop])
+                start = stop
+        for i, found in zip(single, self._ids([texts[i] for i in single]), strict=True):
+            self._add(parts[i], found)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = self.learn(texts)
-        flat, starts, lengths = np.array(self.flat, dtype=np.uint32), np.array(self.starts, dtype=np.int64), np.array(self.lengths, dtype=np.int64)
+        flat, starts, lengths = np.array(self.flat).astype(np.uint32), np.array(self.starts), np.array(self.lengths)
         out = []
         for own in words:
             codes = np.fromiter(map(self.codes.__getitem__, own), dtype=np.int64, count=len(own))

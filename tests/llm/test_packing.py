@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from tasteframe.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", None, "one two", "ΟΔΟΣ ΣΑΣ Σ", "it's  a non\x0bbreak\x85 x", "é ́x", "<|endoftext|> in text a<|startoftext|>b", "\x1c!\x1c! y", "ab " * 5000, "日本語", "İstanbul ﬁ", "one two", "!?" * 900]
+TEXTS = ["", None, "one two", "ΟΔΟΣ ΣΑΣ Σ", "it's  a non\x0bbreak\x85 x", "é ́x", "<|endoftext|> in text a<|startoftext|>b", "\x1c!\x1c! y", "ab " * 5000, "日本語", "İstanbul ﬁ", "one two", "!?" * 900, "<|ENDOFTEXT|> A, b.c, d's. É! e\u0301. 5, x5. ,. Σ, ǅ, ㍿,", "THE The the, THE!! the%%%"]
 
 
 def check(rows, expected, limit=2048, segments=256):
