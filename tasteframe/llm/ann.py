@@ -2,8 +2,9 @@
 
 A vector, less the mean of all, is rotated at random; its code is the signs of the rotated components, with two
 correction scalars (its length, and the cosine between code and vector). From code and scalars, the inner product with
-a query is estimated without bias, with a bound on the error that shrinks with the dimension. Candidates whose upper
-bound reaches the k-th lower bound are reranked with their original vectors; the others are never touched.
+a query is estimated without bias, with a bound on the error that shrinks with the dimension. The k-th exact score
+among the best by estimate is a floor; candidates whose upper bound reaches it are reranked with their original vectors,
+the others are never touched.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def search(
     vector: str = "embedding",
     query_block: int = 2048,
     candidate_block: int = 8192,
-    width: float = 3.0,
+    width: float = 1.9,
 ) -> DataFrame:
     """The k nearest vectors of each query by inner product: query_id, rank from 1, vec_id, score; nearest first, ties
     to the smaller key, all candidates if there are fewer than k. Queries are the valid rows for which the SQL
@@ -115,18 +116,21 @@ def nearest(
     scale = (length / cosine / np.sqrt(dimension)).astype(np.float32)
     slack = (length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine * width / np.sqrt(max(dimension - 1, 1))).astype(np.float32)
     asked, queries, turn = wanted["query_id"].to_numpy(), matrix(wanted["query"], dimension), rotation(dimension)
+    few = 3 * k
     out: list[tuple] = []
     for at in range(0, len(asked), rows):
         q, own = queries[at : at + rows], asked[at : at + rows]
         estimate = (q @ turn).astype(np.float32) @ signs.T * scale + (q @ centre).astype(np.float32)[:, None]
         bound = np.linalg.norm(q, axis=1).astype(np.float32)[:, None] * slack
-        itself = own[:, None] == keys
-        lower = np.where(itself, -np.inf, estimate - bound)
-        if len(keys) > k:
-            least = np.partition(lower, len(keys) - k, axis=1)[:, len(keys) - k]
-        else:
-            least = np.full(len(own), -np.inf)
-        chosen, which = np.nonzero((estimate + bound >= least[:, None]) & ~itself)
+        estimate[own[:, None] == keys] = -np.inf
+        least = np.full(len(own), -np.inf)
+        if len(keys) > few:
+            # exact scores of the best by estimate: their k-th is no more than the k-th of all
+            top = np.argpartition(estimate, len(keys) - few, axis=1)[:, len(keys) - few :]
+            exact = np.einsum("ij,ikj->ik", q, originals[top])
+            exact[np.take_along_axis(estimate, top, axis=1) == -np.inf] = -np.inf
+            least = np.partition(exact, few - k, axis=1)[:, few - k] - 1e-9
+        chosen, which = np.nonzero((estimate + bound >= least[:, None].astype(np.float32)) & (estimate > -np.inf))
         score = np.einsum("ij,ij->i", q[chosen], originals[which])
         order = np.lexsort((which, -score, chosen))
         chosen, which, score = chosen[order], which[order], score[order]
