@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tasteframe.llm import ann, bpe, html, jaccard, lm, packing, quality, substrings
+from tasteframe.llm import ann, bpe, html, jaccard, lines, lm, packing, quality, substrings
 
 QUERIES = {
+    "op1_repeated_lines": lines.op1_repeated_lines,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_lattice_scores": lm.op3_lattice_scores,
     "op4_packing": packing.op4_packing,

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tasteframe.llm.common import fresh, slices, table, text_bytes
 from tasteframe.llm.windows import BASES, minimizers, rolling, signed, word_hashes
@@ -46,17 +47,28 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def repeated_windows(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
-    """key, version (of the text), starts: the sorted starts of windows that also start earlier, by (key, start)."""
+class Words:
+    """A text as words; what is kept is joined by one space."""
+
+    split = staticmethod(bytes.split)
+
+    @staticmethod
+    def keep(text: bytes, units: list[bytes], kept: np.ndarray) -> bytes:
+        return b" ".join([units[i] for i in np.nonzero(kept)[0].tolist()])
+
+
+def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key: str, text: str) -> DataFrame:
+    """key, version (of the text), starts: the sorted starts of windows of `length` units that also start earlier, by
+    (key, start). Minimizers are windows of `short` units."""
     rows = docs.select(key, F.xxhash64(text).alias("version"), text)
     rows = text_bytes(rows, key, "version", text=text)
-    short = length // 2
+    split = units.split
 
     def first_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [np.zeros(0, dtype=np.uint64)]
-                for words in (t.split() for t in part.column(0).to_pylist()):
+                for words in map(split, part.column(0).to_pylist()):
                     h, at = minimizers(word_hashes(words), length, short)
                     found.append(h[np.diff(at, prepend=-1) != 0])
                 h, n = np.unique(np.concatenate(found), return_counts=True)
@@ -68,7 +80,7 @@ def repeated_windows(docs: DataFrame, length: int, key: str, text: str) -> DataF
         for batch in batches:
             for part in slices(batch, "text"):
                 doc, hashes, starts = [], ([], []), []
-                for i, words in enumerate(t.split() for t in part.column(2).to_pylist()):
+                for i, words in enumerate(map(split, part.column(2).to_pylist())):
                     x = word_hashes(words)
                     own = np.nonzero(in_bitmap(bitmap.value, minimizers(x, length, short)[0]))[0]
                     if len(own):
@@ -89,44 +101,49 @@ def repeated_windows(docs: DataFrame, length: int, key: str, text: str) -> DataF
     return later.groupBy(key, "version").agg(F.sort_array(F.collect_list("start")).alias("starts"))
 
 
-def cut_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", kept: str = "kept") -> DataFrame:
-    """docs with n_words, n_removed and the kept words joined by one space.
-
-    A word goes if it is covered by a window of `length` words whose words also start earlier in the same order: in a
-    document with a smaller key (a null key is smallest), or earlier in the same one. Windows are those of the input.
-    A null or empty text has no words. Rows with the same key and text are one document and get the same result; if
-    texts differ under one key, they count as several documents. Columns named n_words, n_removed or as `kept` are
-    replaced.
-    """
-    others = [c for c in docs.columns if c not in ("n_words", "n_removed", kept)]
-    own_key, version, starts = fresh(docs, "key_", "version_", "starts_")
-    found = repeated_windows(docs.select(key, text), length, key, text).toDF(own_key, version, starts)
+def cut_windows(
+    docs: DataFrame, length: int, short: int, units: type, key: str, text: str, kept: str, names: tuple[str, str]
+) -> DataFrame:
+    """docs with two counts, of units and of removed units, and the kept text."""
+    others = [c for c in docs.columns if c not in (*names, kept)]
+    own_key, version, its_version, starts = fresh(docs, "key_", "version_", "its_version_", "starts_")
+    found = repeated_windows(docs.select(key, text), length, short, units, key, text).toDF(own_key, its_version, starts)
     rows = docs.select(*others).withColumn(version, F.xxhash64(text))
-    joined = rows.join(found.withColumnRenamed(version, version + "_"), rows[key].eqNullSafe(F.col(own_key)) & (F.col(version) == F.col(version + "_")), "left")
-    joined = joined.select(*others, starts)
-    schema = docs.select(*others).schema
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_words long", "n_removed long", f"`{kept}` string"])
+    joined = rows.join(found, rows[key].eqNullSafe(F.col(own_key)) & (F.col(version) == F.col(its_version)), "left").select(*others, starts)
+    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(n, T.LongType()) for n in names), T.StructField(kept, T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 total, removed, left = [], [], []
                 for value, at in zip(part.column(text), part.column(starts), strict=True):
-                    words = value.as_buffer().to_pybytes().split() if value.is_valid else []
-                    n = len(words)
+                    whole = value.as_buffer().to_pybytes() if value.is_valid else b""
+                    own = units.split(whole)
+                    edges = np.zeros(len(own) + 1, dtype=np.int64)
                     if at.is_valid:
-                        edges = np.zeros(n + 1, dtype=np.int64)
-                        own = at.values.to_numpy()
-                        np.add.at(edges, own, 1)
-                        np.add.at(edges, own + length, -1)
-                        words = [words[i] for i in np.nonzero(np.cumsum(edges[:-1]) == 0)[0].tolist()]
-                    total.append(n)
-                    removed.append(n - len(words))
-                    left.append(b" ".join(words))
+                        first = at.values.to_numpy()
+                        np.add.at(edges, first, 1)
+                        np.add.at(edges, first + length, -1)
+                    keep = np.cumsum(edges[:-1]) == 0
+                    total.append(len(own))
+                    removed.append(len(own) - int(keep.sum()))
+                    left.append(units.keep(whole, own, keep))
                 columns = [*(part.column(c) for c in others), pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(left, type=pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*others, "n_words", "n_removed", kept])
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, *names, kept])
+
+    return joined.mapInArrow(cut, schema)
+
+
+def cut_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", kept: str = "kept") -> DataFrame:
+    """docs with n_words, n_removed and the kept words joined by one space.
 
-    return joined.mapInArrow(cut, out)
+    A word goes if it is covered by a window of `length` words whose words also start earlier in the same order: in a
+    document with a smaller key (a null key is smallest), or earlier in the same one. Windows are those of the input.
+    A null or empty text has no words. Rows with the same key and text are one document and get the same result; if
+    texts differ under one key, they count as several documents. Columns named n_words, n_removed or as `kept` are
+    replaced.
+    """
+    return cut_windows(docs, length, max(1, length // 2), Words, key, text, kept, ("n_words", "n_removed"))
 
 
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
