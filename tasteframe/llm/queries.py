@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tasteframe.llm import ann, bpe, html, jaccard, lines, lm, packing, quality, substrings
+from tasteframe.llm import ann, bpe, html, jaccard, lines, lm, packing, quality, substrings, toxicity
 
 QUERIES = {
     "op1_repeated_lines": lines.op1_repeated_lines,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lattice_scores": lm.op3_lattice_scores,
     "op4_packing": packing.op4_packing,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_one_bit_codes": ann.op7_one_bit_codes,
     "op8_repeated_windows": substrings.op8_repeated_windows,
     "op9_html_text": html.op9_html_text,
