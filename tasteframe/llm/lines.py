@@ -35,10 +35,9 @@ def cut_repeated_lines(docs: DataFrame, run: int = 3, key: str = "doc_id", text:
     """docs with n_lines, n_removed and the kept lines joined by line feeds.
 
     A line goes if it lies in a run of `run` or more lines that also stands earlier: in a document with a smaller key
-    (a null key is smallest), or earlier in the same one. Lines count if they hold a word and are equal but for white
+    (a null key is largest), or earlier in the same one. Lines count if they hold a word and are equal but for white
     space at their ends; lines without a word neither count nor go. Runs are judged on the input. A null text is empty.
-    Rows with the same key and text are one document and get the same result; texts that differ under one key count as
-    several documents. Columns named n_lines, n_removed or as `kept` are replaced.
+    Rows under one key, or without a key, do not repeat one another. Columns named n_lines, n_removed or as `kept` are replaced.
     """
     return cut_windows(docs, run, 1, Lines, key, text, kept, ("n_lines", "n_removed"))
 

@@ -3,7 +3,7 @@
 Two counts follow each other. First the windows' minimizers (the least hash of a shorter window in it; about a sixth as
 many as windows): where a minimizer stands at one place of the corpus only, none of its windows repeats. Which
 minimizers repeat is broadcast as a bitmap of fixed size; it may let more windows pass, never fewer. Then the windows
-that are left, by two 64-bit hashes: all but the first place of each are repeats, and overlapping repeats merge into
+that are left, by 96 bits of two hashes: all but the first place of each are repeats, and overlapping repeats merge into
 maximal intervals.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasteframe.llm.common import fresh, slices, table, text_bytes
+from tasteframe.llm.common import fresh, mixed, slices, table, text_bytes, written
 from tasteframe.llm.windows import BASES, minimizers, rolling, signed, word_hashes
 
 #: Bits of the bitmap: 16 MB, whatever the corpus; and bits of each part of it.
@@ -58,10 +58,14 @@ class Words:
 
 
 def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key: str, text: str) -> DataFrame:
-    """key, version (of the text), starts: the sorted starts of windows of `length` units that also start earlier, by
-    (key, start). Minimizers are windows of `short` units."""
-    rows = docs.select(key, F.xxhash64(text).alias("version"), text)
-    rows = text_bytes(rows, key, "version", text=text)
+    """key, version (a hash of the text), starts: the starts of windows of `length` units that also start earlier, in a
+    document with a smaller key or in the same one. Minimizers are windows of `short` units.
+
+    What repeats within a document is known at once; of two documents, the smaller key decides. So a window needs to
+    carry its key only, and the first count of windows a number and the least key.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.hash(text).alias("version"), text)
+    rows = text_bytes(rows, "key", "version", text=text)
     split = units.split
 
     def first_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,63 +88,84 @@ def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key:
                     x = word_hashes(words)
                     own = np.nonzero(in_bitmap(bitmap.value, minimizers(x, length, short)[0]))[0]
                     if len(own):
+                        h1, h2 = (rolling(x, length, base)[own] for base in BASES)
+                        again = np.ones(len(own), dtype=bool)
+                        again[np.unique(h1 ^ mixed(h2), return_index=True)[1]] = False
                         doc.append(np.full(len(own), i))
-                        starts.append(own)
-                        for out, base in zip(hashes, BASES, strict=True):
-                            out.append(rolling(x, length, base)[own])
+                        starts.append(np.where(again, -own - 1, own))
+                        hashes[0].append(h1)
+                        hashes[1].append((h2 >> np.uint64(32)).astype(np.uint32))
                 if doc:
                     of = pa.array(np.concatenate(doc))
-                    columns = [part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate(starts).astype(np.int32)), *(pa.array(signed(np.concatenate(h))) for h in hashes)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[key, "version", "start", "h1", "h2"])
+                    columns = [part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(signed(np.concatenate(hashes[0]))), pa.array(np.concatenate(hashes[1]).view(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "start", "h1", "h2"])
 
     kind = docs.schema[key].dataType.simpleString()
-    windows = rows.mapInArrow(second_count, f"`{key}` {kind}, version long, start int, h1 long, h2 long")
-    place = F.struct(F.col(key).alias("key"), "version", "start")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy(key, "version").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    windows = rows.mapInArrow(second_count, f"key {kind}, version int, start int, h1 long, h2 int")
+    first = windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, ["h1", "h2"]).where("start < 0 or key > least or (key is null and least is not null)")
+    start = F.when(F.col("start") < 0, -F.col("start") - 1).otherwise(F.col("start"))
+    return later.groupBy("key", "version").agg(F.collect_list(start).alias("starts"))
 
 
 def cut_windows(
     docs: DataFrame, length: int, short: int, units: type, key: str, text: str, kept: str, names: tuple[str, str]
 ) -> DataFrame:
-    """docs with two counts, of units and of removed units, and the kept text."""
+    """docs with two counts, of units and of removed units, and the kept text. Only documents that lose something are
+    joined to what they lose; a bitmap of fixed size tells the others, which stay where they are."""
     others = [c for c in docs.columns if c not in (*names, kept)]
-    own_key, version, its_version, starts = fresh(docs, "key_", "version_", "its_version_", "starts_")
-    found = repeated_windows(docs.select(key, text), length, short, units, key, text).toDF(own_key, its_version, starts)
-    rows = docs.select(*others).withColumn(version, F.xxhash64(text))
-    joined = rows.join(found, rows[key].eqNullSafe(F.col(own_key)) & (F.col(version) == F.col(its_version)), "left").select(*others, starts)
-    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(n, T.LongType()) for n in names), T.StructField(kept, T.StringType())])
+    own_key, version, its_version, starts, mark = fresh(docs, "key_", "version_", "its_version_", "starts_", "mark_")
+    found = written(repeated_windows(docs.select(key, text), length, short, units, key, text), "repeats")
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(found.select(F.xxhash64("key").alias("h"), F.lit(2).alias("n"))))
+    rows = docs.select(*others).withColumn(version, F.hash(text)).withColumn(mark, F.xxhash64(key))
+    plain = T.StructType([docs.schema[c] for c in others])
+    schema = T.StructType([*plain, *(T.StructField(n, T.LongType()) for n in names), T.StructField(kept, T.StringType())])
+
+    def losing(part: pa.RecordBatch) -> np.ndarray:
+        return in_bitmap(bitmap.value, part.column(mark).to_numpy().view(np.uint64))
+
+    def cut(part: pa.RecordBatch, lost: list) -> pa.RecordBatch:
+        total, removed, left = [], [], []
+        for value, first in zip(part.column(text), lost, strict=True):
+            whole = value.as_buffer().to_pybytes() if value.is_valid else b""
+            own = units.split(whole)
+            edges = np.zeros(len(own) + 1, dtype=np.int64)
+            if first is not None:
+                np.add.at(edges, first, 1)
+                np.add.at(edges, first + length, -1)
+            keep = np.cumsum(edges[:-1]) == 0
+            total.append(len(own))
+            removed.append(len(own) - int(keep.sum()))
+            left.append(units.keep(whole, own, keep))
+        columns = [*(part.column(c) for c in others), pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(left, type=pa.binary()).cast(pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=[*others, *names, kept])
+
+    def whole_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.filter(pa.array(~losing(batch))), text):
+                yield cut(part, [None] * part.num_rows)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(losing(batch)))
+
+    def joined_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                total, removed, left = [], [], []
-                for value, at in zip(part.column(text), part.column(starts), strict=True):
-                    whole = value.as_buffer().to_pybytes() if value.is_valid else b""
-                    own = units.split(whole)
-                    edges = np.zeros(len(own) + 1, dtype=np.int64)
-                    if at.is_valid:
-                        first = at.values.to_numpy()
-                        np.add.at(edges, first, 1)
-                        np.add.at(edges, first + length, -1)
-                    keep = np.cumsum(edges[:-1]) == 0
-                    total.append(len(own))
-                    removed.append(len(own) - int(keep.sum()))
-                    left.append(units.keep(whole, own, keep))
-                columns = [*(part.column(c) for c in others), pa.array(total, type=pa.int64()), pa.array(removed, type=pa.int64()), pa.array(left, type=pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*others, *names, kept])
-
-    return joined.mapInArrow(cut, schema)
+                yield cut(part, [x.values.to_numpy() if x.is_valid else None for x in part.column(starts)])
+
+    touched = rows.mapInArrow(to_join, rows.schema)
+    same = touched[key].eqNullSafe(F.col(own_key)) & (touched[version] == F.col(its_version))
+    joined = touched.join(found.toDF(own_key, its_version, starts), same, "left").select(*others, starts)
+    return rows.mapInArrow(whole_ones, schema).union(joined.mapInArrow(joined_ones, schema))
 
 
 def cut_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", kept: str = "kept") -> DataFrame:
     """docs with n_words, n_removed and the kept words joined by one space.
 
     A word goes if it is covered by a window of `length` words whose words also start earlier in the same order: in a
-    document with a smaller key (a null key is smallest), or earlier in the same one. Windows are those of the input.
-    A null or empty text has no words. Rows with the same key and text are one document and get the same result; if
-    texts differ under one key, they count as several documents. Columns named n_words, n_removed or as `kept` are
+    document with a smaller key (a null key is largest), or earlier in the same one. Windows are those of the input.
+    A null or empty text has no words. Rows under one key, or without a key, do not repeat one another. Columns named n_words, n_removed or as `kept` are
     replaced.
     """
     return cut_windows(docs, length, max(1, length // 2), Words, key, text, kept, ("n_words", "n_removed"))
