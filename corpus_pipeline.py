@@ -1,7 +1,68 @@
-"""Placeholder until all stages exist."""
+"""A corpus from raw documents to packed training sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
+read again as the next one's docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tasteframe.llm import jaccard, lines, packing, quality, substrings
+from tasteframe.llm.common import WORD, table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned rules reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines go; with them, documents of which nothing is left."""
+    return _with_text(docs, lines.cut_repeated_lines(docs, kept="kept_"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays, once."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("first_")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of 20 or more words go; with them, documents of which nothing is left."""
+    return _with_text(docs, substrings.cut_repeats(docs, kept="kept_"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: a row per piece, with its ids."""
+    import public_tokenizers
+
+    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def _with_text(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    cut = cut.where((F.col("n_removed") == 0) | F.col("kept_").rlike(WORD))
+    changed = {"text": F.col("kept_"), "n_chars": F.length("kept_").cast("long")}
+    return cut.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("packing", packed),
+]
+
+#: SQL expresses neither the learned rules nor the packing; tests/llm/test_pipeline.py holds the stages to brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; the packed pieces."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

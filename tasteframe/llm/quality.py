@@ -64,15 +64,16 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: the key, counts of its whole text, and FEATURES. A null or empty text counts 0 throughout.
+    """A row per document: the key, version (a hash of the text), counts of its whole text, and FEATURES. A null or empty text counts 0 throughout.
 
     Repeated windows are found by sorting 64-bit hashes of the text's own 3-word windows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     whole, chars = F.col("whole"), F.length("whole")
-    base = docs.select(F.col(key), t.alias("whole"))
+    base = docs.select(F.col(key), F.hash(text).alias("version"), t.alias("whole"))
     base = base.select(
         key,
+        "version",
         F.expr(f"filter(split(whole, '[{r'\\x20\\x09-\\x0D'}]+'), x -> x != '')").alias("words"),
         F.expr(r"filter(split(whole, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
         _without(whole, SPACE).cast("long").alias("word_chars"),
@@ -80,7 +81,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         (chars - _without(whole, UPPER)).cast("long").alias("n_upper"),
         (chars - _without(whole, "!?")).cast("long").alias("n_marks"),
     )
-    counts = [key, "word_chars", "n_symbols", "n_upper", "n_marks"]
+    counts = [key, "version", "word_chars", "n_symbols", "n_upper", "n_marks"]
     base = base.select(
         *counts,
         F.size("words").cast("long").alias("n_words"),
@@ -197,6 +198,13 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return stats.withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns; equal rows stay rows."""
+    good = judge(docs, labels, key, text).where("kept").select(F.col(key).alias("key_"), F.col("version").alias("version_"))
+    same = docs[key].eqNullSafe(F.col("key_")) & (F.hash(docs[text]) == F.col("version_"))
+    return docs.join(good, same, "left_semi")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
