@@ -1,0 +1 @@
+"""No streams: every table is recomputed by a batch build, and a late play is part of the next one."""
