@@ -67,6 +67,12 @@ def counts_of_all(texts: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def signature(own: np.ndarray) -> np.ndarray:
+    """512 parity bits of a set: two sets' signatures differ in no more bits than the sets in members."""
+    odd = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similar(n_a: Column, n_b: Column, shared: Column, percent: int) -> Column:
     return (100 + percent) * shared >= percent * (n_a + n_b)
 
@@ -90,7 +96,7 @@ class Join:
             seen: set[bytes] = set()
             for batch in batches:
                 for part in slices(batch, "text"):
-                    sizes, ids, prefixes, groups = [], [], [], []
+                    sizes, ids, prefixes, groups, marks = [], [], [], [], []
                     for text in part.column(1).to_pylist():
                         own = shingles(text, n_words)
                         size = len(own)
@@ -99,17 +105,19 @@ class Join:
                         if not size or ids[-1] in seen:
                             prefixes.append(None)
                             groups.append(None)
+                            marks.append(None)
                             continue
                         if len(seen) < 200_000:
                             seen.add(ids[-1])
                         rare = np.argsort(sketch.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
                         first = own[rare[: size + (-percent * size // 100) + 1]]
                         prefixes.append(signed(first))
+                        marks.append(signature(own))
                         groups.append(xxhash.xxh3_128_digest(first.tobytes() + size.to_bytes(8, "little")))
-                    columns = [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array(groups, type=pa.binary()), pa.array(prefixes, type=pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "id", "group", "prefix"])
+                    columns = [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array(groups, type=pa.binary()), *(pa.array(x, type=pa.list_(pa.int64())) for x in (prefixes, marks))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "id", "group", "prefix", "sig"])
 
-        return self.texts.mapInArrow(run, f"key {self.kind}, n long, id binary, group binary, prefix array<long>")
+        return self.texts.mapInArrow(run, f"key {self.kind}, n long, id binary, group binary, prefix array<long>, sig array<long>")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """id and whole set of the given classes: read from the texts again, of documents whose key a bitmap of fixed
@@ -142,37 +150,41 @@ class Join:
         percent = self.percent
         known = self.rows.where("n > 0")
         self.classes = written(known.groupBy("id").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max("group").alias("group")), "classes")
-        groups = known.where(F.col("prefix").isNotNull()).groupBy("group").agg(F.min("id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        groups = known.where(F.col("prefix").isNotNull()).groupBy("group").agg(F.min("id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(F.min("id") == F.max("id"), F.first("sig")).alias("sig"))
         groups = written(groups, "groups")
         members = written(self.classes.select("id", "group").join(groups.select("group", "g"), "group").select("g", "id"), "members")
         bitmap = self.context.broadcast(repeated_bitmap(groups.select(F.explode("prefix").alias("h"), F.lit(1).alias("n"))))
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                of, token, place, most = [], [], [], []
-                for i, (n, prefix) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                of, token, place = [], [], []
+                for i, prefix in enumerate(batch.column(2)):
                     h = prefix.values.to_numpy().view(np.uint64)
                     at = np.nonzero(in_bitmap(bitmap.value, h))[0]
-                    shared = n - len(h) + len(at)  # the other shingles are in no other group
-                    if len(at) and 100 * shared >= percent * n:
-                        of.append(np.full(len(at), i))
-                        token.append(h[at])
-                        place.append(at)
-                        most.append(np.full(len(at), shared))
+                    of.append(np.full(len(at), i))
+                    token.append(h[at])
+                    place.append(at)
                 if of:
                     rows = pa.array(np.concatenate(of))
-                    columns = [pa.array(signed(np.concatenate(token))), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place)), pa.array(np.concatenate(most))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["token", "g", "n", "pos", "most"])
+                    columns = [pa.array(signed(np.concatenate(token))), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place)), batch.column(3).take(rows)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["token", "g", "n", "pos", "sig"])
+
+        index = groups.select("g", "n", "prefix", "sig").mapInArrow(tokens, "token long, g binary, n long, pos long, sig array<long>")
+
+        def fit(x: str, y: str) -> Column:
+            """The sizes are near; and the sets, if each group has one, differ at least in as many shingles as their
+            signatures in bits."""
+            total = F.col(f"n{x}") + F.col(f"n{y}")
+            apart = sum((F.bit_count(F.col(f"sig{x}")[i].bitwiseXOR(F.col(f"sig{y}")[i])) for i in range(8)), F.lit(0))
+            near = (100 + percent) * apart <= (100 - percent) * total
+            return similar(F.col(f"n{x}"), F.col(f"n{y}"), F.least(f"n{x}", f"n{y}"), percent) & F.coalesce(near, F.lit(True))
 
-        index = groups.select("g", "n", "prefix").mapInArrow(tokens, "token long, g binary, n long, pos long, most long")
-        # two groups share at most the shingles of the one that can share less
-        fit = lambda x, y: similar(F.col(f"n{x}"), F.col(f"n{y}"), F.least(f"most{x}", f"most{y}"), percent)
         index = written(index, "index")
         links = tested = comps = None
         open_index = index
         for step in range(ROUNDS):
-            leaders = open_index.groupBy("token").agg(F.min(F.struct("pos", "n", "g", "most")).alias("leader"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-            leaders = leaders.select("token", F.col("leader.g").alias("leader"), F.col("leader.n").alias("n_leader"), F.col("leader.most").alias("most_leader"))
+            leaders = open_index.groupBy("token").agg(F.min(F.struct("pos", "n", "g", "sig")).alias("leader"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+            leaders = leaders.select("token", F.col("leader.g").alias("leader"), F.col("leader.n").alias("n_leader"), F.col("leader.sig").alias("sig_leader"))
             pairs = index.join(leaders, "token").where((F.col("g") != F.col("leader")) & fit("", "_leader")).select("g", "leader").distinct()
             pairs = pairs.join(members, "g").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
             if step == 0:
@@ -185,8 +197,8 @@ class Join:
             links = written(found if links is None else links.union(found), "found")
             comps = components(links)
             open_index = self.still_open(index, members, comps)
-        left = open_index.select("token", "g", "n", "most", "low", "high")
-        other = left.toDF("token", "g2", "n2", "most2", "low2", "high2")
+        left = open_index.select("token", "g", "n", "sig", "low", "high")
+        other = left.toDF("token", "g2", "n2", "sig2", "low2", "high2")
         pairs = left.join(other, "token").where((F.col("g") < F.col("g2")) & fit("", "2") & ~((F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2"))))
         pairs = pairs.select("g", "g2").distinct().join(members, "g").withColumnRenamed("id", "x").join(members.toDF("g2", "y"), "g2")
         mixed_groups = members.join(self.of_groups(members, comps).where("low != high").select("g"), "g", "left_semi")
