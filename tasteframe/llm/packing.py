@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tasteframe.llm.common import gather, slices, table, text_bytes
 
 #: Words that a worker's cache holds; it starts anew when full.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Marks that the tokenizer splits from a letter before them.
 TAIL = b".,!?;:%*&$#"
 
