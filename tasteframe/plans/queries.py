@@ -328,11 +328,11 @@ ORACLE_SQL["i5_content_profile"] = ORACLE_SQL["i5_content_profile"].replace(
 )
 
 
-@query("""SELECT tmdb_id, media_type, n_tmdb_id, n_media_type, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY tmdb_id, media_type ORDER BY sim DESC, n_media_type, n_tmdb_id) AS place FROM (
-  SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, round(sum(a.w * b.w), 9) AS sim FROM space a JOIN space b USING (term) JOIN library la ON la.tmdb_id = a.tmdb_id AND la.media_type = a.media_type
-  JOIN library lb ON lb.tmdb_id = b.tmdb_id AND lb.media_type = b.media_type WHERE NOT (a.tmdb_id = b.tmdb_id AND a.media_type = b.media_type) GROUP BY 1, 2, 3, 4) WHERE sim > 0) WHERE place <= 100""")
+@query("""SELECT tmdb_id, media_type, count(*) AS n, round(sum(sim), 3) AS total FROM (SELECT *, row_number() OVER (PARTITION BY tmdb_id, media_type ORDER BY sim DESC, n_media_type, n_tmdb_id) AS place FROM (
+  SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN space b USING (term) JOIN library la ON la.tmdb_id = a.tmdb_id AND la.media_type = a.media_type
+  JOIN library lb ON lb.tmdb_id = b.tmdb_id AND lb.media_type = b.media_type WHERE NOT (a.tmdb_id = b.tmdb_id AND a.media_type = b.media_type) GROUP BY 1, 2, 3, 4) WHERE sim > 0) WHERE place <= 100 GROUP BY 1, 2""")
 def e6_neighbours(t: Tables) -> DataFrame:
-    return features.neighbours(t.space, t.library).select(*KEY, "n_tmdb_id", "n_media_type", F.round("sim", 5).alias("sim"))
+    return features.neighbours(t.space, t.library).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 3).alias("total"))
 
 
 @query("""SELECT c.user_id, c.tmdb_id, c.media_type, round(greatest(coalesce(up, 0) - 0.5 * coalesce(down, 0), 0) * (1.0 + vote_count), 4) AS score FROM cands c JOIN (SELECT DISTINCT user_id FROM seeds) USING (user_id) JOIN items USING (tmdb_id, media_type)
@@ -350,3 +350,229 @@ ORACLE_SQL["i6_seed_knn"] = ORACLE_SQL["i6_seed_knn"].replace(
     sims AS (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN universe USING (tmdb_id, media_type) JOIN space b ON a.term = b.term GROUP BY 1, 2, 3, 4)
     """,
 )
+
+
+@query(f"""SELECT user_id, tmdb_id, media_type, round(sum(w * pct) / sum(w), 6) AS score FROM (SELECT user_id, tmdb_id, media_type, CASE scorer WHEN 'votes' THEN 1.0 ELSE 2.0 END::DOUBLE AS w,
+  (row_number() OVER (PARTITION BY user_id, scorer, media_type ORDER BY score, tmdb_id DESC) - 1) / greatest(1, count(*) OVER (PARTITION BY user_id, scorer, media_type) - 1)::DOUBLE AS pct FROM scores WHERE scorer != 'others') GROUP BY 1, 2, 3""")
+def i10_percentile_blend(t: Tables) -> DataFrame:
+    rows = t.scores.withColumnRenamed("scorer", "component").drop("unit")
+    weights = t.spark.createDataFrame([(c, m, w) for c, w in (("votes", 1.0), ("pool", 2.0), ("others", 0.0)) for m in ("movie", "show")], "component string, media_type string, weight double")
+    return blend.fuse(rows, weights).select("user_id", *KEY, F.round("score", 6).alias("score"))
+
+
+@query("""SELECT user_id, collection_id, arg_min(tmdb_id, release_date || lpad(tmdb_id::VARCHAR, 9, '0')) AS tmdb_id FROM cands c JOIN items i USING (tmdb_id, media_type)
+  JOIN (SELECT user_id, collection_id, max(release_date) AS latest FROM seeds JOIN items USING (tmdb_id, media_type) WHERE collection_id != 0 GROUP BY 1, 2) l USING (user_id, collection_id)
+  WHERE release_date > latest AND vote_average >= 6.0 GROUP BY 1, 2""")
+def c11_continuations(t: Tables) -> DataFrame:
+    return blend.continuations(t.seeds, t.cands, t.items).select("user_id", "collection_id", "tmdb_id")
+
+
+@query(f"""SELECT user_id, round(CASE WHEN count(*) FILTER (WHERE first_at > {NOW} - 31536000) >= 5 THEN avg((media_type = 'movie')::INT) FILTER (WHERE first_at > {NOW} - 31536000) ELSE avg((media_type = 'movie')::INT) END, 6) AS target FROM seeds GROUP BY 1""")
+def d17_movie_share(t: Tables) -> DataFrame:
+    return blend.movie_share(t.seeds, NOW).select("user_id", *r6("target"))
+
+
+@query()
+def i12_rerank(t: Tables) -> DataFrame:
+    fused = blend.fuse(t.scores.withColumnRenamed("scorer", "component").drop("unit"), t.spark.createDataFrame([(c, m, 1.0) for c in ("votes", "pool") for m in ("movie", "show")], "component string, media_type string, weight double"))
+    return blend.rerank(blend.with_bonus(fused, blend.continuations(t.seeds, t.cands, t.items)), blend.movie_share(t.seeds, NOW))
+
+
+@query(f"""SELECT user_id, tmdb_id, media_type, round(weight * CASE WHEN kids AND tv_share >= 0.5 THEN 0.1 ELSE 1 END, 6) AS weight FROM seeds JOIN kids USING (tmdb_id, media_type)""")
+def i13_family_seeds(t: Tables) -> DataFrame:
+    return contexts.family_seeds(t.seeds, t.items).select("user_id", *KEY, *r6("weight"))
+
+
+@query("""SELECT i, j, sum(a.x * b.x) AS g FROM (SELECT user_id, tmdb_id AS i, count(*) AS x FROM inter GROUP BY 1, 2) a JOIN (SELECT user_id, tmdb_id AS j, count(*) AS x FROM inter GROUP BY 1, 2) b USING (user_id) WHERE i <= j GROUP BY 1, 2""")
+def i8_gram(t: Tables) -> DataFrame:
+    pairs = itemitem.interactions(t.ratings, t.links, 788918400, count=10)
+    return itemitem.gram(pairs).select("i", "j", F.col("g").cast("long").alias("g"))
+
+
+ORACLE_SQL["i8_gram"] = ORACLE_SQL["i8_gram"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+    good AS (SELECT * FROM ratings WHERE timestamp >= 788918400 AND rating >= 3.5),
+    inter AS (SELECT userId AS user_id, tmdbId AS tmdb_id FROM good JOIN links USING (movieId) WHERE tmdbId IS NOT NULL AND movieId IN (SELECT movieId FROM good GROUP BY 1 HAVING count(*) >= 10))
+    """,
+).replace("sum(a.x * b.x) AS g", "CAST(sum(a.x * b.x) AS BIGINT) AS g")
+
+
+@query()
+def i9_item_item(t: Tables) -> DataFrame:
+    b = itemitem.weights(itemitem.gram(itemitem.interactions(t.ratings, t.links, 788918400, count=10)))
+    return itemitem.fold_in(t.seeds, b, b.select(F.col("src").alias("tmdb_id")).distinct(), t.cands)
+
+
+@query("""SELECT media_type, src, dst, round(w / sum(w) OVER (PARTITION BY media_type, src), 6) AS w FROM (SELECT l.media_type, l.tmdb_id AS src, target AS dst, sum(CASE WHEN source = 0 THEN 1.0 ELSE 0.4 END::DOUBLE * (1 - 0.5::DOUBLE * pos / greatest(1, length - 1))) AS w
+  FROM listed l JOIN items i ON i.tmdb_id = l.target AND i.media_type = l.media_type GROUP BY 1, 2, 3)""")
+def c7_edges(t: Tables) -> DataFrame:
+    return pagerank.edges(t.items).select("media_type", "src", "dst", *r6("w"))
+
+
+@query()
+def i7_pagerank(t: Tables) -> DataFrame:
+    return pagerank.personal_rank(t.items, t.seeds, t.cands, t.cut)
+
+
+def _unit(df: DataFrame) -> DataFrame:
+    return df.select(F.lit("now").alias("unit"), *df.columns)
+
+
+def _positives(t: Tables) -> DataFrame:
+    """Positives for the measures: a fixed part of each user's candidates."""
+    return _unit(t.cands.where((F.col("tmdb_id") * 31 + F.col("user_id") * 17) % 23 == 0).select("user_id", *KEY))
+
+
+def _ranked(t: Tables) -> DataFrame:
+    return evaluate.lists(t.scores, _unit(t.cands))
+
+
+@query("SELECT scorer, user_id, tmdb_id, media_type, place FROM ranked WHERE place <= 50")
+def e12_lists(t: Tables) -> DataFrame:
+    return _ranked(t).where("place <= 50").select("scorer", "user_id", *KEY, "place")
+
+
+@query("""SELECT scorer, user_id, round(sum(CASE WHEN place <= 50 THEN 1 / log2(place + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 50) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM ranked JOIN pos USING (user_id, tmdb_id, media_type) GROUP BY 1, 2""")
+def j1_ndcg(t: Tables) -> DataFrame:
+    return evaluate.ndcg(_ranked(t), _positives(t)).select("scorer", "user_id", *r6("ndcg"))
+
+
+@query("""SELECT scorer, user_id, media_type, round(avg((place <= 10)::INT), 6) AS recall_10, round(avg((place <= 20)::INT), 6) AS recall_20, round(avg((place <= 50)::INT), 6) AS recall_50, round(avg((place <= 100)::INT), 6) AS recall_100
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, scorer, media_type ORDER BY place) AS p2 FROM ranked) JOIN pos USING (user_id, tmdb_id, media_type) GROUP BY 1, 2, 3""")
+def j2_recall(t: Tables) -> DataFrame:
+    by_type = evaluate.lists(t.scores, _unit(t.cands), by_type=True)
+    out = evaluate.recall(by_type, _positives(t), by=["media_type"])
+    return out.select("scorer", "user_id", "media_type", *r6("recall_10", "recall_20", "recall_50", "recall_100"))
+
+
+ORACLE_SQL["j2_recall"] = ORACLE_SQL["j2_recall"].replace("(place <=", "(p2 <=")
+
+
+@query("""SELECT scorer, user_id, n AS positives, count(*) FILTER (WHERE scored) AS scored, round(count(*) FILTER (WHERE p.tmdb_id IS NOT NULL) / n::DOUBLE, 6) AS coverage, round(count(*) FILTER (WHERE p.tmdb_id IS NOT NULL AND scored) / count(*) FILTER (WHERE p.tmdb_id IS NOT NULL)::DOUBLE, 6) AS pool_recall
+  FROM ranked r JOIN (SELECT user_id, count(*) AS n FROM pos GROUP BY 1) USING (user_id) LEFT JOIN pos p USING (user_id, tmdb_id, media_type) GROUP BY 1, 2, 3""")
+def j3_coverage(t: Tables) -> DataFrame:
+    return evaluate.coverage(_ranked(t), _positives(t)).select("scorer", "user_id", "positives", "scored", *r6("coverage", "pool_recall"))
+
+
+@query("""SELECT scorer, user_id, median_year, round(movie_share, 6) AS movie_share, round(js, 6) AS decade_js FROM (SELECT scorer, user_id, list_sort(list(year))[count(*) // 2 + 1] AS median_year, avg((media_type = 'movie')::INT) AS movie_share FROM ranked JOIN items USING (tmdb_id, media_type) WHERE place <= 50 GROUP BY 1, 2)
+  JOIN (SELECT scorer, user_id, 0.5 * sum(CASE WHEN pa > 0 THEN pa * log2(2 * pa / (pa + pb)) ELSE 0 END + CASE WHEN pb > 0 THEN pb * log2(2 * pb / (pa + pb)) ELSE 0 END) AS js FROM (
+    SELECT scorer, user_id, d, sum(a) / greatest(1, sum(sum(a)) OVER w) AS pa, sum(b) / greatest(1, sum(sum(b)) OVER w) AS pb FROM (
+      SELECT scorer, user_id, year // 10 AS d, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM ranked JOIN items USING (tmdb_id, media_type) WHERE place <= 50
+      UNION ALL SELECT n.scorer, user_id, year // 10, 0, 1 FROM seeds JOIN items USING (tmdb_id, media_type) JOIN (SELECT DISTINCT scorer, user_id FROM ranked) n USING (user_id)) GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY scorer, user_id)) GROUP BY 1, 2) USING (scorer, user_id)""")
+def j4_diagnostics(t: Tables) -> DataFrame:
+    return evaluate.diagnostics(_ranked(t), t.items, _unit(t.seeds)).select("scorer", "user_id", "median_year", *r6("movie_share", "decade_js"))
+
+
+@query("""SELECT scorer, n.user_id, round(coalesce(sum(CASE WHEN lister = n.user_id THEN v END), 0), 6) AS own_ndcg, round(coalesce(sum(CASE WHEN lister != n.user_id THEN v END), 0) / ((SELECT count(DISTINCT user_id) FROM cands) - 1), 6) AS others_ndcg
+  FROM (SELECT user_id, count(*) AS n FROM pos GROUP BY 1) n CROSS JOIN (SELECT DISTINCT scorer FROM ranked) LEFT JOIN (
+    SELECT h.user_id, lister, h.scorer, sum(1 / log2(at_ + 1)) / any_value(list_sum(list_transform(range(1, least(m, 50) + 1), lambda i: 1 / log2(i + 1)))) AS v FROM (
+      SELECT c.user_id, t.user_id AS lister, scorer, c.tmdb_id, c.media_type, row_number() OVER (PARTITION BY c.user_id, t.user_id, scorer ORDER BY place) AS at_ FROM ranked t JOIN cands c USING (tmdb_id, media_type) WHERE place <= 50) h
+    JOIN pos USING (user_id, tmdb_id, media_type) JOIN (SELECT user_id, count(*) AS m FROM pos GROUP BY 1) USING (user_id) GROUP BY 1, 2, 3) USING (user_id, scorer) GROUP BY 1, 2""")
+def j5_personalisation(t: Tables) -> DataFrame:
+    return evaluate.personalisation(_ranked(t), _positives(t), _unit(t.cands)).select("scorer", "user_id", *r6("own_ndcg", "others_ndcg"))
+
+
+@query("""SELECT scorer, a.user_id, round(sum(j) / ((SELECT count(DISTINCT user_id) FROM cands) - 1), 6) AS jaccard FROM (
+  SELECT scorer, a.user_id, b.user_id AS other, count(*) / (any_value(na) + any_value(nb) - count(*))::DOUBLE AS j FROM top a JOIN top2 b USING (scorer, tmdb_id, media_type) WHERE a.user_id != b.user_id GROUP BY 1, 2, 3) a GROUP BY 1, 2""")
+def j6_overlap(t: Tables) -> DataFrame:
+    return evaluate.overlap(_ranked(t)).where("jaccard > 0").select("scorer", "user_id", *r6("jaccard"))
+
+
+ORACLE_SQL["j6_overlap"] = ORACLE_SQL["j6_overlap"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+    top AS (SELECT *, count(*) OVER (PARTITION BY scorer, user_id) AS na FROM ranked WHERE place <= 50), top2 AS (SELECT * EXCLUDE (na), na AS nb FROM top)
+    """,
+)
+
+
+def _ndcg_rows(t: Tables) -> DataFrame:
+    return evaluate.ndcg(_ranked(t), _positives(t))
+
+
+@query("""SELECT scorer, round(sum(d) / sum(n), 6) AS delta, count(*) FILTER (WHERE d / n > 1e-9) AS wins, count(*) FILTER (WHERE d / n < -1e-9) AS losses, count(*) AS users FROM (SELECT a.scorer, user_id, sum(a.v - b.v) AS d, count(*) AS n FROM nd a JOIN (SELECT * FROM nd WHERE scorer = 'votes') b USING (user_id) GROUP BY 1, 2) GROUP BY 1""")
+def j7_paired(t: Tables) -> DataFrame:
+    return evaluate.paired(_ndcg_rows(t), "ndcg", "votes").select("scorer", *r6("delta"), "wins", "losses", "users")
+
+
+ORACLE_SQL["j7_paired"] = ORACLE_SQL["j7_paired"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+    nd AS (SELECT scorer, user_id, sum(CASE WHEN place <= 50 THEN 1 / log2(place + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 50) + 1), lambda i: 1 / log2(i + 1))) AS v FROM ranked JOIN pos USING (user_id, tmdb_id, media_type) GROUP BY 1, 2)
+    """,
+)
+
+
+@query()
+def j8_bootstrap(t: Tables) -> DataFrame:
+    return evaluate.bootstrap(_ndcg_rows(t), "ndcg", "votes")
+
+
+@query("SELECT scorer, round(avg(v), 6) AS ndcg, count(*) AS units FROM nd GROUP BY 1")
+def d13_summary(t: Tables) -> DataFrame:
+    return evaluate.summarise(_ndcg_rows(t), ["ndcg"]).select("scorer", *r6("ndcg"), "units")
+
+
+ORACLE_SQL["d13_summary"] = ORACLE_SQL["j7_paired"][: ORACLE_SQL["j7_paired"].rindex("SELECT scorer, round(sum(d)")] + "SELECT scorer, round(avg(v), 6) AS ndcg, count(*) AS units FROM nd GROUP BY 1"
+
+
+def _served(t: Tables) -> DataFrame:
+    """Ranked lists of the missing surface: votes, from place 0."""
+    lists = _ranked(t).where("scorer = 'votes'").join(t.items.select(*KEY, "genres", S.is_kids().alias("kids"), "vote_count"), KEY)
+    return lists.select(F.lit("missing").alias("surface"), "user_id", (F.col("place") - 1).alias("place"), *KEY, "genres", "kids")
+
+
+def _asked(t: Tables) -> DataFrame:
+    """A request per user: five titles a type, without one genre and what their last digit excludes."""
+    struct = F.array(F.struct(F.lit(20).cast("long").alias("tmdb_id"), F.lit("movie").alias("media_type")))
+    empty = F.map_from_arrays(F.array(F.lit("movie")), F.array(F.array(F.lit(30).cast("long"), F.lit(60).cast("long"))))
+    media = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("movie"))).otherwise(F.array(F.lit("movie"), F.lit("show")))
+    return t.users.select(
+        F.col("user_id").alias("request_id"), F.col("user_id").alias("account_id"), F.lit("missing").alias("surface"), media.alias("media"), F.lit(5).alias("limit_per_media"), empty.alias("library"),
+        F.lit(None).cast("map<string,array<bigint>>").alias("season"), struct.alias("exclude"), F.array((F.col("user_id") % 7 + 20).cast("long")).alias("excluded_genres"),
+    )
+
+
+SERVED = """
+served AS (SELECT r.user_id, place - 1 AS place, tmdb_id, media_type, genres, kids.kids FROM ranked r JOIN items USING (tmdb_id, media_type) JOIN kids USING (tmdb_id, media_type) WHERE scorer = 'votes'),
+fates AS (SELECT u.user_id AS request_id, s.place, s.tmdb_id, s.media_type, CASE WHEN u.user_id % 3 = 0 AND s.media_type != 'movie' THEN 'other_media' WHEN s.media_type = 'movie' AND s.tmdb_id IN (30, 60) THEN 'in_library'
+    WHEN s.media_type = 'movie' AND s.tmdb_id = 20 THEN 'excluded' WHEN list_contains(genres, u.user_id % 7 + 20) THEN 'excluded_genre' END AS fate
+  FROM users u LEFT JOIN alias a ON a.member = u.user_id JOIN served s ON s.user_id = coalesce(a.canonical, u.user_id)),
+answers AS (SELECT request_id, place, tmdb_id, media_type, CASE WHEN fate IS NULL AND count(*) FILTER (WHERE fate IS NULL) OVER (PARTITION BY request_id, media_type ORDER BY place) > 5 THEN 'over_limit' ELSE fate END AS fate FROM fates)"""
+
+
+@query("SELECT request_id, place, tmdb_id, media_type, fate FROM answers")
+def k1_answer(t: Tables) -> DataFrame:
+    return serve.answer(_asked(t), _served(t), t.alias).select("request_id", "place", *KEY, "fate")
+
+
+@query("""SELECT request_id, count(*) AS ranked, count(*) FILTER (WHERE fate IS NULL) AS returned, """ + ", ".join(f"count(*) FILTER (WHERE fate = '{r}') AS {r}" for r in serve.REASONS) + " FROM answers GROUP BY 1")
+def k2_trace(t: Tables) -> DataFrame:
+    return serve.trace(serve.answer(_asked(t), _served(t), t.alias))
+
+
+@query("SELECT user_id, place, tmdb_id, media_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS n FROM served WHERE NOT kids) WHERE n <= 10")
+def b10_first_titles(t: Tables) -> DataFrame:
+    return serve.first_titles(_served(t), "exclude", 10).select("user_id", "place", *KEY)
+
+
+for _name in ("k1_answer", "k2_trace", "b10_first_titles"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(f"{SHARED}\n", f"{SHARED},{SERVED}\n")
+
+
+@query("SELECT canonical, concat(canonical, ':', member) AS text FROM alias")
+def k4_normal_form(t: Tables) -> DataFrame:
+    return serve.normal_form(t.alias)
+
+
+@query("""SELECT tmdb_id, media_type, concat(title, ' (', year, '). ', CASE WHEN media_type = 'movie' THEN 'Film' ELSE 'TV series' END, '. Genres: ', array_to_string(genres, ', '), '. Themes: ', array_to_string(keywords, ', '), '.', coalesce(' Rated ' || certification || '.', '')) AS text FROM items""")
+def h10_item_text(t: Tables) -> DataFrame:
+    names = lambda c: F.col(c).cast("array<string>")
+    return t.items.withColumn("overview", F.lit("")).select(*KEY, S.item_text(names("genres"), names("keywords")).alias("text"))
+
+
+@query("""SELECT tmdb_id, round(u[1], 5) AS first, round(u[2], 5) AS second FROM (SELECT tmdb_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9)) AS u FROM (SELECT tmdb_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM vectors))""")
+def h14_unit_vectors(t: Tables) -> DataFrame:
+    u = S.unit_vector(F.col("embedding"), 32)
+    return t.vectors.select("tmdb_id", F.round(u[0], 5).alias("first"), F.round(u[1], 5).alias("second"))

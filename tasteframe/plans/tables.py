@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,14 @@ class Tables:
             return self.__dict__[name]
         raise AttributeError(name)
 
+    @staticmethod
+    def cut(df: DataFrame) -> DataFrame:
+        """End a lineage: a checkpoint in the folder that the session names; a temporary one only where none is set."""
+        context = df.sparkSession.sparkContext
+        if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tasteframe-')}")
+        return df.checkpoint()
+
     @cached_property
     def evaluated(self) -> DataFrame:
         return engagement.completed_per_user(self.plays, self.users)
