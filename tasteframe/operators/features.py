@@ -28,13 +28,14 @@ def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(other, "term").groupBy(*KEY, "n_tmdb_id", "n_media_type").agg(F.sum(F.col("w") * F.col("n_w")).alias("sim"))
 
 
-def dense_similarity(vectors: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The same pairs' dot product of unit vectors, where both sides have one."""
+def dense_similarity(vectors: DataFrame, left: DataFrame, right: DataFrame, blocks: int = 32) -> DataFrame:
+    """Dot products of the unit vectors of every left and right title that have one of the same size. All pairs are
+    the result; left titles meet the right ones block by block, so that no task holds a side."""
     unit = vectors.select(*KEY, S.unit_vector(F.col("embedding")).alias("u"))
-    a = unit.join(left, KEY, "left_semi")
-    b = unit.join(right, KEY, "left_semi").select(F.col("tmdb_id").alias("n_tmdb_id"), F.col("media_type").alias("n_media_type"), F.col("u").alias("n_u"))
+    a = unit.join(left, KEY, "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = unit.join(right, KEY, "left_semi").select(F.pmod(F.hash(*KEY), F.lit(blocks)).alias("block"), F.col("tmdb_id").alias("n_tmdb_id"), F.col("media_type").alias("n_media_type"), F.col("u").alias("n_u"))
     dot = F.aggregate(F.zip_with("u", "n_u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, F.size("u") == F.size("n_u")).select(*KEY, "n_tmdb_id", "n_media_type", dot.alias("sim"))
+    return a.join(b, "block").where(F.size("u") == F.size("n_u")).select(*KEY, "n_tmdb_id", "n_media_type", dot.alias("sim"))
 
 
 def averaged(sparse: DataFrame, dense: DataFrame) -> DataFrame:

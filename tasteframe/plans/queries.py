@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tasteframe.functions import scalars as S
 from tasteframe.functions.scalars import KEY
 from tasteframe.operators import baselines, blend, content, contexts, engagement, evaluate, features, itemitem, pagerank, serve, splits
+from tasteframe.plans import ranking
 from tasteframe.plans.tables import Tables
 from tasteframe.plans.views import FIRST_CUTOFF, NOW, prelude
 from tasteframe.sources import ingest
@@ -576,3 +577,33 @@ def h10_item_text(t: Tables) -> DataFrame:
 def h14_unit_vectors(t: Tables) -> DataFrame:
     u = S.unit_vector(F.col("embedding"), 32)
     return t.vectors.select("tmdb_id", F.round(u[0], 5).alias("first"), F.round(u[1], 5).alias("second"))
+
+
+@query("""SELECT a.tmdb_id, b.tmdb_id AS n_tmdb_id, round(list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])), 5) AS sim FROM unit a JOIN universe USING (tmdb_id, media_type) CROSS JOIN unit b JOIN library l ON l.tmdb_id = b.tmdb_id AND l.media_type = b.media_type""")
+def c10_dense_similarity(t: Tables) -> DataFrame:
+    return features.dense_similarity(t.vectors, t.universe, t.library).select("tmdb_id", "n_tmdb_id", F.round("sim", 5).alias("sim"))
+
+
+ORACLE_SQL["c10_dense_similarity"] = ORACLE_SQL["c10_dense_similarity"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+    unit AS (SELECT tmdb_id, media_type, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9)) AS u FROM (SELECT tmdb_id, media_type, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM vectors))
+    """,
+)
+
+
+@query("""SELECT user_id, tmdb_id, media_type, row_number() OVER (PARTITION BY user_id ORDER BY NOT coalesce(release_date >= '1998', false), vote_count DESC, media_type, tmdb_id) AS place FROM cands JOIN items USING (tmdb_id, media_type)""")
+def f2_cold_start(t: Tables) -> DataFrame:
+    return ranking.cold_start(t.cands, t.items, 2001)
+
+
+@query()
+def i15_production(t: Tables) -> DataFrame:
+    weights = t.spark.createDataFrame([(c, m, w) for c, w in (("votes", 1.0), ("pool", 2.0)) for m in ("movie", "show")], "component string, media_type string, weight double")
+    scores = t.scores.withColumnRenamed("scorer", "component").drop("unit")
+    return ranking.production(scores, weights, t.seeds, t.cands, t.items, t.space, NOW, 2001)
+
+
+@query()
+def i17_prompts(t: Tables) -> DataFrame:
+    return ranking.prompts(t.seeds, t.negatives, ranking.cold_start(t.cands, t.items, 2001), t.items)
