@@ -17,4 +17,30 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = "concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+
+def _windows(units: str, n: int) -> str:
+    """Positions covered by windows of n units that also start earlier; units has doc_id, p from 1 and u."""
+    following = ", ".join(f"lead(u, {i}) OVER w" for i in range(1, n))
+    return f"""units AS ({units}),
+keys AS (SELECT doc_id, p, [u, {following}] AS s, lead(p, {n - 1}) OVER w IS NOT NULL AS whole FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM keys WHERE whole) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p + d AS p FROM later CROSS JOIN (SELECT unnest(range({n})) AS d))"""
+
+
+#: SQL for what it can express: the two removals of exact repeats.
+ORACLE_SQL: dict[str, str] = {
+    "op1_repeated_lines": f"""
+WITH every AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS q, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+marked AS (SELECT *, trim(line, {_SPACE}) AS u, sum(CASE WHEN trim(line, {_SPACE}) != '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY q) AS p FROM every),
+{_windows("SELECT doc_id, CAST(p AS BIGINT) AS p, u FROM marked WHERE u != ''", 3)}
+SELECT m.doc_id, count(*) FILTER (WHERE u != '') AS n_lines, count(*) FILTER (WHERE u != '' AND g.p IS NOT NULL) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY q) FILTER (WHERE u = '' OR g.p IS NULL), '')) AS kept_sha256
+FROM marked m LEFT JOIN gone g ON g.doc_id = m.doc_id AND g.p = m.p GROUP BY 1""",
+    "op8_repeated_windows": f"""
+WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS l FROM documents),
+{_windows("SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS u FROM words", 20)},
+kept AS (SELECT u.doc_id, count(g.p) AS n_removed, string_agg(u, ' ' ORDER BY u.p) FILTER (WHERE g.p IS NULL) AS t FROM units u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.p = u.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+}
