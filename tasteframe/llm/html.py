@@ -2,8 +2,9 @@
 
 The DOMs of a host's pages are merged by path (tags with their class words). A node's presentation importance is the
 entropy of its child sequences over the host's pages, its content importance falls with the entropy of each of its
-texts over those pages: what all pages share says nothing about one. Branches of low importance go. Where a page states
-a node's role itself - article and main, or nav, footer, a class word such as "ad" - that statement decides instead.
+texts over those pages: what all pages share says nothing about one. Nodes of low importance go, and so do single texts
+of low importance at other nodes, inside article and main too. The roles that a page states - article and main, or a
+class word such as "ad" - are what holds first: text outside them or under such a word goes, unless nothing else is left.
 """
 
 from __future__ import annotations
@@ -46,16 +47,20 @@ LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.3
 
 
 class Page(HTMLParser):
-    """One page's blocks of text in order, (path, text, inside main), and the child sequences of its undecided nodes."""
+    """One page's blocks of text in order, (path, text, inside main), those that only a class, id or role word rules
+    out, (path, text), and the child sequences of all nodes that may hold text."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        # an open element: tag, its path, the path of its block, dropped, inside main, tags of its children
-        self.stack: list[tuple[str, str, str, bool, bool, list[str]]] = [("", "", "", False, False, [])]
+        # an open element: tag, its path, the path of its block, ruled out (1: by a word only, 2), inside main, tags of its children
+        self.stack: list[tuple[str, str, str, int, bool, list[str]]] = [("", "", "", 0, False, [])]
         self.blocks: list[tuple[str, str, bool]] = []
+        self.doubtful: list[tuple[str, str]] = []
         self.shapes: list[tuple[str, str]] = []
         self.text: list[str] = []
         self.where = ("", False)
+        self.doubt: list[str] = []
+        self.doubt_where = ""
         self.feed(html)
         self.close()
         self._flush()
@@ -67,10 +72,15 @@ class Page(HTMLParser):
         if words:
             self.blocks.append((self.where[0], " ".join(words), self.where[1]))
         self.text = []
+        if self.doubt:
+            words = "".join(self.doubt).split()
+            if words:
+                self.doubtful.append((self.doubt_where, " ".join(words)))
+            self.doubt = []
 
     def _pop(self) -> None:
-        _, path, _, dropped, main, children = self.stack.pop()
-        if not dropped and not main:
+        _, path, _, dropped, _, children = self.stack.pop()
+        if dropped < 2:
             self.shapes.append((path, ",".join(children)))
 
     def _end(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
@@ -98,10 +108,10 @@ class Page(HTMLParser):
         _, path, block_path, dropped, main, children = self.stack[-1]
         hidden = "hidden" in given or "display:none" in (given.get("style") or "").replace(" ", "").lower()
         marks = words & MARKS - ({"header", "masthead"} if main else set())
-        own = tag in DROPPED or hidden or (tag == "header" and not main) or (bool(marks) and tag not in ("html", "body"))
+        own = 2 if tag in DROPPED or hidden or (tag == "header" and not main) else int(bool(marks) and tag not in ("html", "body"))
         children.append(tag)
         path = f"{path}/{tag}{''.join('.' + w for w in sorted(words))}"
-        self.stack.append((tag, path, path if block else block_path, dropped or own, main or tag in MAIN or given.get("role") == "main", []))
+        self.stack.append((tag, path, path if block else block_path, max(dropped, own), main or tag in MAIN or given.get("role") == "main", []))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -118,6 +128,10 @@ class Page(HTMLParser):
             if not self.text:
                 self.where = (path, main)
             self.text.append(data)
+        elif dropped == 1:
+            if not self.doubt:
+                self.doubt_where = path
+            self.doubt.append(data)
 
     def unknown_decl(self, data: str) -> None:
         """A CDATA section or the like is markup."""
@@ -127,62 +141,92 @@ def _number(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def style_tree(pages: DataFrame, html: str = "html", host: str = "host") -> DataFrame:
-    """The merged tree of each host: host, path, pages that have the node, presentation and content importance (0 to
-    1), and importance, their weighted sum. Only nodes whose role no page states. Counts of all pages; a host's
-    features are summed before they are shuffled, and by (host, path, feature), so that no host gathers in one task."""
+def _features(page: Page) -> set[tuple[str, str, int]]:
+    """What a page adds to its host's tree: (path, kind, number)."""
+    own = {(path, "text", _number(text)) for path, text, _ in page.blocks}
+    own |= {(path, kind, number) for path, text in page.doubtful for kind, number in (("text", _number(text)), ("word", 0))}
+    own |= {(path, "shape", _number(shape)) for path, shape in page.shapes}
+    return own | {(path, "node", 0) for path, _, _ in own}
+
+
+def _feature_counts(pages: DataFrame, html: str, host: str) -> DataFrame:
+    """host, path, kind, feature and on how many of the host's pages (n) it stands. Features are summed before they are
+    shuffled, and by all four, so that no host gathers in one task."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
                 count: Counter[tuple[str, str, str, int]] = Counter()
                 for name, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    page = Page(source)
-                    if any(main for *_, main in page.blocks):
-                        continue  # such a page states what is main text
-                    own = {(path, "text", _number(text)) for path, text, _ in page.blocks}
-                    own |= {(path, "shape", _number(shape)) for path, shape in page.shapes}
-                    own |= {(path, "node", 0) for path, _, _ in own}
-                    count.update((name, *x) for x in own)
+                    count.update((name, *x) for x in _features(Page(source)))
                 if count:
                     keys = list(zip(*count, strict=True))
                     yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(list(count.values()), type=pa.int64())], names=["host", "path", "kind", "feature", "n"])
 
     rows = pages.where(F.col(host) != "").select(F.col(host).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     found = rows.mapInArrow(features, "host string, path string, kind string, feature long, n long")
-    counts = found.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    return found.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+
+
+def style_tree(counts: DataFrame) -> DataFrame:
+    """The merged tree of each host from its feature counts: host, path, pages that have the node, whether a class, id or
+    role word rules it out (worded), presentation and content importance (0 to 1), and importance, their weighted sum."""
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
     n = F.col("n").cast("double")
     sums = counts.groupBy("host", "path").agg(
-        of("node", n).alias("pages"), of("text", n).alias("texts"), of("text", n * F.log(n)).alias("shared"), of("shape", n).alias("shapes"), of("shape", n * F.log(n)).alias("alike")
+        of("node", n).alias("pages"), of("text", n).alias("texts"), of("text", n * F.log(n)).alias("shared"), of("shape", n).alias("shapes"), of("shape", n * F.log(n)).alias("alike"), of("word", n).alias("words")
     )
     log = F.log(F.greatest("pages", F.lit(2.0)))
     return sums.select(
         "host",
         "path",
         "pages",
+        (F.col("words") > 0).alias("worded"),
         F.when(F.col("texts") > 0, 1 - F.col("shared") / F.col("texts") / log).otherwise(0.0).alias("content"),
         F.when(F.col("shapes") > 0, (F.log("shapes") - F.col("alike") / F.col("shapes")) / log).otherwise(0.0).alias("presentation"),
     ).withColumn("importance", 0.9 * F.col("content") + 0.1 * F.col("presentation"))
 
 
+def verdicts(pages: DataFrame, html: str, host: str) -> DataFrame:
+    """What the trees decide, of nodes on LEAST_PAGES pages or more: host, kind, path, feature. Kinds: node (of low
+    importance), text (one of low importance at another node, whose number is feature), word (a node that a word rules
+    out and the tree does not)."""
+    counts = written(_feature_counts(pages, html, host), "features")
+    tree = style_tree(counts).where(F.col("pages") >= LEAST_PAGES)
+    low = F.col("importance") < LEAST_IMPORTANCE
+    nodes = tree.where((low & ~F.col("worded")) | (~low & F.col("worded"))).select("host", F.when(low, "node").otherwise("word").alias("kind"), "path", F.lit(0).cast("long").alias("feature"))
+    texts = counts.where((F.col("kind") == "text") & (F.col("n") >= LEAST_PAGES)).join(tree.where(~low), ["host", "path"])
+    texts = texts.where(1 - F.log(F.col("n").cast("double")) / F.log("pages") < LEAST_IMPORTANCE)
+    return written(nodes.unionByName(texts.select("host", "kind", "path", "feature")), "verdicts")
+
+
+def main_text(page: Page, told: set[tuple[str, str, int]]) -> list[str]:
+    """The page's main blocks, by the roles that it states and what its host's tree tells (kind, path, feature)."""
+    stated = any(main for *_, main in page.blocks)
+    blocks = [(path, text) for path, text, main in page.blocks if main or not stated]
+    kept = [text for path, text in blocks if ("node", path, 0) not in told and ("text", path, _number(text)) not in told] if told else [text for _, text in blocks]
+    if kept:
+        return kept
+    return [text for _, text in blocks] if stated else [text for path, text in page.doubtful if ("word", path, 0) in told]
+
+
 def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "text", most_broadcast: int = 20_000) -> DataFrame:
     """pages with the main text of each, its blocks joined by a line feed; a column named as `out` is replaced.
 
     A page with article or main elements (or role=main) gets what stands in them; any other page gets its whole body.
     Dropped everywhere: elements that hold no text or whose tag, class, id or role names a menu, header, footer,
     sidebar, notice, advert, form, share box or reader comment (a header inside an article stays), and hidden ones.
-    From bodies without a main element, branches go whose importance in the host's style tree is low. Null, empty or
+    Of what is left, in main elements or not, those nodes and texts go whose importance in the host's style tree is low.
+    If that leaves nothing, a page with main elements keeps what stands in them, and any other page gets the nodes
+    that only a class, id or role word rules out and that are important in the tree. Null, empty or
     broken html gives what text there is, "" at least; a page without a host has no style tree. Equal rows stay rows.
     """
     columns = [c for c in pages.columns if c != out]
     host, noise = fresh(pages, "host_", "noise_")
     own = pages.select(*columns, F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\w[\w+.-]*://([^/?#]*)", 1)).alias(host))
-    tree = style_tree(own, html, host)
-    low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = written(low.select("host", "path"), "noise")
-    small = low.limit(most_broadcast + 1).count() <= most_broadcast
-    low = low.groupBy("host").agg(F.collect_set("path").alias("paths")).select(F.col("host").alias(host), F.col("paths").alias(noise))
+    found = verdicts(own, html, host)
+    small = found.limit(most_broadcast + 1).count() <= most_broadcast
+    low = found.groupBy("host").agg(F.collect_list(F.struct("kind", "path", "feature")).alias("found")).select(F.col("host").alias(host), F.col("found").alias(noise))
     joined = own.join(F.broadcast(low) if small else low, host, "left")
     schema = pages.select(*columns).schema.add(out, "string")
 
@@ -190,13 +234,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", out: str = "
         for batch in batches:
             for part in slices(batch, html):
                 texts = []
-                for source, paths in zip(part.column(html).to_pylist(), part.column(noise).to_pylist(), strict=True):
-                    blocks = Page(source or "").blocks
-                    if any(main for *_, main in blocks):
-                        kept = [text for _, text, main in blocks if main]
-                    else:
-                        kept = [text for path, text, _ in blocks if path not in (paths or ())]
-                    texts.append("\n".join(kept))
+                for source, found in zip(part.column(html).to_pylist(), part.column(noise).to_pylist(), strict=True):
+                    told = {(x["kind"], x["path"], x["feature"]) for x in found or ()}
+                    texts.append("\n".join(main_text(Page(source or ""), told)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(texts, type=pa.string())], names=[*columns, out])
 
     return joined.mapInArrow(run, schema)

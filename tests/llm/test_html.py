@@ -44,3 +44,14 @@ def test_query_equals_plain_cut(spark):
         body = re.search(r"<article>(.*?)(</article>|<footer|$)", pages[r.page_id], re.S).group(1)
         blocks = [" ".join(h.unescape(re.sub(r"</?b>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br|div)>", body)]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_style_tree_decides_inside_articles_too(spark):
+    page = "<body><div class='ad'>Ad {0}</div><article><h1>Head {0}</h1><p>own text {0}</p><p>Read our other stories</p><div>Our desk</div></article></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(12)]
+    # a class word rules out all of a page's text, which the tree knows to be its own
+    rows += [(100 + i, f"http://b.example/{i}", f"<body><div class='widget'><p>story {i}</p></div><nav>menu</nav></body>") for i in range(12)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<body><article><p>notice</p></article><div>{i}</div></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Head {i}\nown text {i}" for i in range(12)} | {100 + i: f"story {i}" for i in range(12)} | {200 + i: "notice" for i in range(12)}
+    assert got == want
