@@ -10,7 +10,6 @@ class word such as "ad" - are what holds first: text outside them or under such
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,7 +41,7 @@ MAIN = frozenset(("article", "main"))
 CLOSES_P = BLOCKS - {"br", "option", "body", "html", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}
-#: Pages that a host must have before its style tree decides, and the importance below which a node goes.
+#: Distinct pages that a host must have before its style tree decides, and the importance below which a node goes.
 LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.3
 
 
@@ -150,26 +149,28 @@ def _features(page: Page) -> set[tuple[str, str, int]]:
 
 
 def _feature_counts(pages: DataFrame, html: str, host: str) -> DataFrame:
-    """host, path, kind, feature and on how many of the host's pages (n) it stands. Features are summed before they are
-    shuffled, and by all four, so that no host gathers in one task."""
+    """host, path, kind, feature and on how many of the host's distinct pages (n) it stands. Pages of a host that have
+    the same nodes and texts are one page, whatever else their html holds: copies do not make a text furniture. Pages
+    are told apart by (host, hash) and features summed by all four, so that no host gathers in one task."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                count: Counter[tuple[str, str, str, int]] = Counter()
-                for name, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    count.update((name, *x) for x in _features(Page(source)))
-                if count:
-                    keys = list(zip(*count, strict=True))
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(list(count.values()), type=pa.int64())], names=["host", "path", "kind", "feature", "n"])
+                hashes, found = [], []
+                for source in part.column(1).to_pylist():
+                    own = sorted(_features(Page(source)))
+                    hashes.append(_number("\n".join(f"{path} {kind} {number}" for path, kind, number in own)))
+                    found.append([{"path": path, "kind": kind, "feature": number} for path, kind, number in own])
+                kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("feature", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, type=pa.int64()), pa.array(found, type=kind)], names=["host", "page", "found"])
 
     rows = pages.where(F.col(host) != "").select(F.col(host).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    found = rows.mapInArrow(features, "host string, path string, kind string, feature long, n long")
-    return found.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    distinct = rows.mapInArrow(features, "host string, page long, found array<struct<path string, kind string, feature long>>").dropDuplicates(["host", "page"])
+    return distinct.select("host", F.explode("found").alias("f")).groupBy("host", "f.path", "f.kind", "f.feature").agg(F.count(F.lit(1)).alias("n"))
 
 
 def style_tree(counts: DataFrame) -> DataFrame:
-    """The merged tree of each host from its feature counts: host, path, pages that have the node, whether a class, id or
+    """The merged tree of each host from its feature counts: host, path, distinct pages that have the node, whether a class, id or
     role word rules it out (worded), presentation and content importance (0 to 1), and importance, their weighted sum."""
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
     n = F.col("n").cast("double")
@@ -188,7 +189,7 @@ def style_tree(counts: DataFrame) -> DataFrame:
 
 
 def verdicts(pages: DataFrame, html: str, host: str) -> DataFrame:
-    """What the trees decide, of nodes on LEAST_PAGES pages or more: host, kind, path, feature. Kinds: node (of low
+    """What the trees decide, of nodes on LEAST_PAGES distinct pages or more: host, kind, path, feature. Kinds: node (of low
     importance), text (one of low importance at another node, whose number is feature), word (a node that a word rules
     out and the tree does not)."""
     counts = written(_feature_counts(pages, html, host), "features")

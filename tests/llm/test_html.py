@@ -55,3 +55,17 @@ def test_style_tree_decides_inside_articles_too(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: f"Head {i}\nown text {i}" for i in range(12)} | {100 + i: f"story {i}" for i in range(12)} | {200 + i: "notice" for i in range(12)}
     assert got == want
+
+
+def test_copies_of_a_page_count_once(spark):
+    page = "<body><script>track({0})</script><div><p>the only story</p></div><div class='t'><p>its end</p></div></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(10)]
+    # a host of mostly copies: neither they nor the other pages lose text
+    article = "<body><article><h1>{0}</h1><p>story {0}</p></article></body>"
+    rows += [(100 + i, f"http://b.example/{i}", article.format(max(i, 40))) for i in range(50)]
+    # furniture still goes from a host with copies
+    slogan = "<body><div><p>Same slogan</p></div><div class='t'><p>own {0}</p></div></body>"
+    rows += [(200 + i, f"http://c.example/{i}", slogan.format(max(i, 40))) for i in range(50)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "the only story\nits end" for i in range(10)} | {100 + i: f"{max(i, 40)}\nstory {max(i, 40)}" for i in range(50)} | {200 + i: f"own {max(i, 40)}" for i in range(50)}
+    assert got == want
