@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasteframe.llm.common import slices, table, text_bytes, written
+from tasteframe.llm.substrings import in_bitmap, repeated_bitmap
 
 MARKS = ".,!?;:%*&$#|\"'()[]{}<>-_/\\«»„“”¡¿"
 #: Digits and signs that stand for letters.
@@ -80,30 +81,46 @@ class LabelModel:
     groups: np.ndarray
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + fired @ self.votes
-        return np.where(fired.any(axis=1), 1 / (1 + np.exp(-np.clip(z, -30, 30))), SILENT)
+        return self.of(*np.nonzero(fired), len(fired))
+
+    def of(self, row: np.ndarray, voter: np.ndarray, n: int) -> np.ndarray:
+        """Posteriors of n rows, of which row[i] has the vote of voter[i]."""
+        z = np.log(self.prior / (1 - self.prior)) + np.bincount(row, self.votes[voter], n)
+        return np.where(np.bincount(row, minlength=n) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), SILENT)
 
 
 def fit_label_model(fired: np.ndarray, rounds: int = 25, alike: float = 0.75) -> LabelModel:
-    """Accuracies from agreement alone: expectation-maximisation with the label as a latent class, rows by voters (1:
-    votes toxic, 0: abstains). Then voters whose correlation given the label is over `alike` are grouped, and the
-    accuracies are estimated again."""
-    n, m = fired.shape
+    """fit_patterns of a table, rows by voters (1: votes toxic, 0: abstains)."""
+    return fit_patterns(*np.nonzero(fired), np.ones(len(fired)), fired.shape[1], rounds, alike)
+
+
+def fit_patterns(row: np.ndarray, voter: np.ndarray, times: np.ndarray, m: int, rounds: int = 25, alike: float = 0.75) -> LabelModel:
+    """Accuracies from agreement alone: expectation-maximisation with the label as a latent class. Row r stands for
+    times[r] texts of equal votes; row[i] has the vote of voter[i], of m voters. Then voters whose correlation given the
+    label is over `alike` are grouped, and the accuracies are estimated again."""
+    n = len(times)
     groups = np.arange(m)
     model = LabelModel(0.1, np.zeros(m), groups)
+    total = max(float(times.sum()), 1.0)
     for attempt in range(2):
         share = 1 / np.bincount(groups, minlength=m)[groups] if m else np.zeros(0)
-        q = np.where(fired.any(axis=1), 0.9, SILENT)
+        q = np.where(np.bincount(row, minlength=n) > 0, 0.9, SILENT)
         for _ in range(rounds):
-            prior = float(np.clip(q.mean(), 1e-4, 0.5))
-            a = (q @ fired + 0.5) / (q.sum() + 1)
-            b = ((1 - q) @ fired + 0.5) / ((1 - q).sum() + 1)
+            yes, no = q * times, (1 - q) * times
+            prior = float(np.clip(yes.sum() / total, 1e-4, 0.5))
+            a = (np.bincount(voter, yes[row], m) + 0.5) / (yes.sum() + 1)
+            b = (np.bincount(voter, no[row], m) + 0.5) / (no.sum() + 1)
             model = LabelModel(prior, np.maximum(np.log(a / b), 0) * share, groups)
-            q = model.posterior(fired)
+            q = model.of(row, voter, n)
         if attempt == 0 and m:
-            w = q / max(q.sum(), 1e-9)
-            rest = fired - w @ fired
-            cov = (rest * w[:, None]).T @ rest
+            w = q * times / max(float((q * times).sum()), 1e-9)
+            mean, both = np.bincount(voter, w[row], m), np.zeros((m, m))
+            for at in range(0, n, 10_000):
+                own = (row >= at) & (row < at + 10_000)
+                part = np.zeros((min(n - at, 10_000), m))
+                part[row[own] - at, voter[own]] = 1
+                both += (part * w[at : at + 10_000, None]).T @ part
+            cov = both - np.outer(mean, mean)
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             near = cov / np.outer(scale, scale) > alike
             for j in range(m):  # the least number that links reach
@@ -111,18 +128,20 @@ def fit_label_model(fired: np.ndarray, rounds: int = 25, alike: float = 0.75) ->
     return model
 
 
-def fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, rounds: int = 200, penalty: float = 1e-3) -> np.ndarray:
-    """Logistic regression on soft targets over binary features; the last weight is the intercept."""
-    lengths = np.array([len(r) for r in rows])
+def fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, rounds: int = 200, penalty: float = 1e-3, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression on soft targets over binary features; the last weight is the intercept. A row counts
+    times[row] times."""
+    times = np.ones(len(rows)) if times is None else times
+    lengths = np.array([len(r) for r in rows], dtype=np.int64)
     column = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), lengths)
     w, seen = np.zeros(size + 1), np.full(size + 1, 1e-8)
-    base = float(np.clip(target.mean(), 1e-4, 0.9999)) if len(target) else 0.01
+    base = float(np.clip(np.average(target, weights=times), 1e-4, 0.9999)) if len(target) else 0.01
     w[-1] = np.log(base / (1 - base))
     for _ in range(rounds if len(rows) else 0):
         z = np.bincount(row, w[column], len(rows)) + w[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        gradient = np.append(np.bincount(column, error[row], size), error.sum()) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * times
+        gradient = np.append(np.bincount(column, error[row], size), error.sum()) / times.sum()
         gradient[:-1] += penalty * w[:-1] / 10
         seen += gradient**2
         w -= 0.5 * gradient / np.sqrt(seen)
@@ -130,17 +149,30 @@ def fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, rounds: in
 
 
 def learn(
-    texts: DataFrame, label: str = "toxic", most_features: int = 4000, most_voters: int = 150, least: int = 3
+    labelled: DataFrame, training: DataFrame, marked: DataFrame, label: str, most_rows: int, most_features: int = 4000, most_voters: int = 150, least: int = 3
 ) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the features and the classifier's weights, from a bounded table (text as bytes, label 0/1).
-
-    Labels choose features and voters (precise ones, by document counts); what the classifier learns is the label
-    model's posterior. Without toxic rows there are no features, and every score is that of the prior.
+    """Numbers of the features and the classifier's weights, from all labelled texts (text as bytes, label 0/1) and all
+    training texts, labelled or not (hash, key, text); marked has the keys of those with a label.
+
+    Labels choose features and voters (precise ones, by document counts). The label model is fitted on the votes on all
+    training texts: their patterns, each with its count, come to the driver. What the classifier learns is the model's
+    posterior, on at most most_rows labelled texts, the first by hash: up to half of them with a vote, the others without, each
+    weighed by how many texts of its kind it stands for. Without toxic rows there are no features, and every score is
+    that of the prior.
     """
+    texts = labelled
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: Counter[str] = Counter()
         toxic: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(every)
+            out = pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array([every[f] for f in names], type=pa.int64()), pa.array([toxic[f] for f in names], type=pa.int64())], names=["feature", "n", "toxic"])
+            every.clear()
+            toxic.clear()
+            return out
+
         for batch in batches:
             for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = set(text_features(text))
@@ -149,15 +181,15 @@ def learn(
                 every.update(own)
                 if mark:
                     toxic.update(own)
-        names = list(every)
-        yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array([every[f] for f in names], type=pa.int64()), pa.array([toxic[f] for f in names], type=pa.int64())], names=["feature", "n", "toxic"])
+                if len(every) > CACHE:
+                    yield counted()
+        yield counted()
 
     totals = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("toxic")).first()
     rate = float(totals.toxic or 0) / max(totals.n, 1)
     counts = texts.select("text", label).mapInArrow(count, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     more = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-9))
     chosen = counts.where((F.col("toxic") >= least)).orderBy(F.desc(F.abs(more)), "feature").limit(most_features).collect() if rate else []
-    number = {r.feature: i for i, r in enumerate(chosen)}
     precise, taken = [], set()
     for i, r in enumerate(chosen):
         stem = r.feature[2:]
@@ -167,19 +199,37 @@ def learn(
                 precise.append(i)
             taken.update((r.n, stem[:k]) for k in range(BEGINNINGS[0], len(stem) + 1))
 
+    # voters have the first numbers
+    voters = set(precise)
+    order = [*precise, *(i for i in range(len(chosen)) if i not in voters)]
+    number = {chosen[i].feature: k for k, i in enumerate(order)}
+    if not number:
+        return number, fit_linear([], 0, np.zeros(0))
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(number)
         for batch in batches:
-            found = [sorted(finder.find(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.list_(pa.int32()))], names=["features"])
-
-    rows = [x.values.to_numpy() if x.is_valid else np.zeros(0, dtype=np.int32) for x in texts.select("text").mapInArrow(look, "features array<int>").toArrow()["features"]] if number else []
-    place = {i: j for j, i in enumerate(precise)}
-    fired = np.zeros((len(rows), len(precise)))
-    for k, own in enumerate(rows):
-        fired[k, [place[i] for i in own.tolist() if i in place]] = 1
-    model = fit_label_model(fired)
-    return number, fit_linear(rows, len(number), model.posterior(fired))
+            for part in slices(batch, "text"):
+                found = [sorted(finder.find(t)) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, type=pa.list_(pa.int32()))], names=["hash", "key", "features"])
+
+    found = written(training.mapInArrow(look, f"hash long, key {training.schema['key'].dataType.simpleString()}, features array<int>"), "features")
+    found = found.withColumn("votes", F.filter("features", lambda x: x < len(precise)))
+    lists = lambda column: [x.values.to_numpy() if x.is_valid else np.zeros(0, dtype=np.int32) for x in column]
+    flat = lambda rows: (np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], dtype=np.int64)), np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int64))
+    patterns = found.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").toArrow()
+    votes, times = lists(patterns["votes"]), patterns["n"].to_numpy().astype(float)
+    model = fit_patterns(*flat(votes), times, len(precise))
+    known = found.join(marked, "key", "left_semi")
+    silent, voted = (known.where(holds).count() for holds in ("size(votes) = 0", "size(votes) > 0"))
+    rows, weights, room = [], [], most_rows
+    for holds, n, most in (("size(votes) > 0", voted, most_rows // 2), ("size(votes) = 0", silent, most_rows)):
+        own = lists(known.where(holds).orderBy("hash", "features").select("features").limit(min(most, room)).toArrow()["features"])
+        rows += own
+        weights += [n / max(len(own), 1)] * len(own)
+        room -= len(own)
+    target = model.of(*flat([r[r < len(precise)] for r in rows]), len(rows))
+    return number, fit_linear(rows, len(number), target, times=np.array(weights))
 
 
 def score(
@@ -187,16 +237,24 @@ def score(
 ) -> DataFrame:
     """A row per document: key, held_out, score (0 to 1).
 
-    Fits on at most most_rows labelled rows (the first by their keys' hash) for which the SQL condition `held_out` does
-    not hold; every document is scored. A null or empty text has no features and gets the score of the intercept. A key
+    Learns from all rows for which the SQL condition `held_out` does not hold, labelled or not; only the final linear fit
+    is on at most most_rows of them (see learn). Every document is scored. A null or empty text has no features and gets the score of the intercept. A key
     labelled twice counts as toxic if either label does; null labels and keys do not count. Equal rows stay rows.
     """
     held = F.coalesce(F.expr(held_out), F.lit(False))
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~held).groupBy(key).agg(F.max(label).alias("mark_"))
-    sample = marked.orderBy(F.xxhash64(key), key).limit(most_rows)  # so small that it can be broadcast
-    texts = text_bytes(docs.select(key, text).join(F.broadcast(sample), key), "mark_", text=text)
-    texts = written(texts.select("text", F.col("mark_").cast("int").alias("mark_")), "labelled")
-    learned = docs.sparkSession.sparkContext.broadcast(learn(texts, "mark_"))
+    marked = written(marked, "marked")
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(marked.select(F.xxhash64(key).alias("h"), F.lit(2).alias("n"))))
+
+    def to_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    # only texts that may have a label are shuffled; the bitmap may let more pass, never fewer
+    training = text_bytes(docs.where(~held).select(F.xxhash64(key).alias("hash"), key, text), "hash", F.col(key).alias("key"), text=text)
+    marked = marked.select(F.col(key).alias("key"), F.col("mark_").cast("int").alias("mark_"))
+    texts = training.mapInArrow(to_join, training.schema).join(marked, "key").select("text", "mark_")
+    learned = docs.sparkSession.sparkContext.broadcast(learn(texts, training, marked, "mark_", most_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, weights = learned.value

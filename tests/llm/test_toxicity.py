@@ -37,3 +37,13 @@ def test_odd_rows(spark):
     assert len(rows) == 72 and all((r.score >= 0.3) == (r.doc_id % 6 in (0, 4)) for r in rows)
     assert toxicity.score(docs, labels.limit(0), "false").count() == 72
     assert toxicity.score(docs.limit(0), labels, "false").count() == 0
+
+
+def test_learns_from_all_training_rows(spark):
+    # far more labelled rows than the linear fit takes; a rare word, and votes on rows without a label
+    texts = ["bad moron", "fine day", "good sun", "nice tree"] * 150 + ["vile zork"] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, "vile zork") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("moron" in t or "zork" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    rows = {r.doc_id: r.score for r in toxicity.score(docs, labels, "doc_id >= 1030", most_rows=40).collect()}
+    assert all((rows[i] >= 0.3) == ("moron" in t or "zork" in t) for i, t in enumerate(texts))
+    assert all(rows[1000 + i] >= 0.3 for i in range(40))
