@@ -9,8 +9,9 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasteframe.llm.common import add_arrow_column, gather, table
+from tasteframe.llm.common import ArrowStep, add_arrow_columns, gather, table
 
-#: Entries of a worker's caches, of text between spaces and of merged pre-tokens; each starts anew when full.
-CACHE, MERGED = 300_000, 150_000
+#: Bytes that a worker's cache holds about; it starts anew when full.
+CACHE = 150 << 20
 MASK = (1 << 64) - 1
 
 
@@ -47,7 +48,7 @@ class PerfectHash:
     def __init__(self, keys: list[bytes], per_bucket: int = 4):
         n = len(keys)
         self.size, self.buckets = n, max(1, n // per_bucket)
-        self.seeds, self.slots = [0] * self.buckets, [-1] * n
+        seeds, slots = [0] * self.buckets, [-1] * n
         self.keys = keys
         self.digest = hashlib.sha256(b"\n".join(map(base64.b64encode, keys))).hexdigest()
         members: dict[int, list[tuple[int, int]]] = {}
@@ -58,130 +59,175 @@ class PerfectHash:
             seed = 0
             while True:
                 places = {self._slot(h, seed) for h, _ in own}
-                if len(places) == len(own) and all(self.slots[p] < 0 for p in places):
+                if len(places) == len(own) and all(slots[p] < 0 for p in places):
                     break
                 seed += 1
-            self.seeds[bucket] = seed
+            seeds[bucket] = seed
             for h, i in own:
-                self.slots[self._slot(h, seed)] = i
+                slots[self._slot(h, seed)] = i
+        self.seeds, self.slots = np.array(seeds, dtype=np.uint64), np.array(slots, dtype=np.int64)
 
     def _slot(self, h: int, seed: int) -> int:
         x = (h ^ (seed * 0x9E3779B97F4A7C15)) & MASK
         x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
         return (x ^ (x >> 29)) % self.size
 
-    def find(self, key: bytes) -> int:
-        """The key's index, or -1 for a string that is no key."""
-        h = xxhash.xxh3_64_intdigest(key)
-        i = self.slots[self._slot(h, self.seeds[h % self.buckets])]
-        return i if self.keys[i] == key else -1
+    def find(self, wanted: list[bytes]) -> list[int]:
+        """Each string's index among the keys, or -1 for one that is no key."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, wanted), dtype=np.uint64, count=len(wanted))
+        x = h ^ (self.seeds[h % np.uint64(self.buckets)] * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        at = self.slots[(x ^ (x >> np.uint64(29))) % np.uint64(self.size)].tolist()
+        keys = self.keys
+        return [i if keys[i] == key else -1 for i, key in zip(at, wanted, strict=True)]
 
 
 class Merger:
     """Merges pre-tokens by ranks: the lowest-ranked adjacent pair first, the leftmost among equals."""
 
     def __init__(self, keys: list[bytes]):
-        self.rank_of = {key: i for i, key in enumerate(keys)}
-        self.byte = [self.rank_of[bytes([a])] for a in range(256)]
-        self.pair = [self.rank_of.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
+        rank_of = {key: i for i, key in enumerate(keys)}
+        self.byte = [rank_of[bytes([a])] for a in range(256)]
+        #: rank of what two neighbouring tokens make, by left << 32 | right
+        self.union = {}
+        for key, i in rank_of.items():
+            for cut in range(1, len(key)):
+                if (a := rank_of.get(key[:cut])) is not None and (b := rank_of.get(key[cut:])) is not None:
+                    self.union[a << 32 | b] = i
 
     def merge(self, piece: bytes) -> list[int]:
         """Linked bytes: after[i] and before[i] are the starts of i's neighbours, token[i] its rank, pair[i] the rank
         of its union with the next. A heap entry holds a pair's rank and start; it is stale if pair[i] has changed."""
-        n, find = len(piece), self.rank_of.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        token = [self.byte[a] for a in piece]
-        known = self.pair
-        pair = [known[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
-        pair.append(-1)
+        n, find, byte = len(piece), self.union.get, self.byte
+        token = [byte[a] for a in piece]
+        pair = [find(a << 32 | b, -1) for a, b in zip(token, token[1:])]  # noqa: B905
         heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
+        if not heap:
+            return token
         heapify(heap)
+        pair.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             top = heappop(heap)
             i, r = top & 0xFFFFFFFF, top >> 32
             if pair[i] != r:
                 continue
             j = after[i]
-            end = after[j]
-            token[i], after[i], pair[j], pair[i] = r, end, -1, -1
+            end = after[i] = after[j]
+            token[i] = r
+            pair[j] = token[j] = -1
             if end < n:
                 before[end] = i
-                r = find(piece[i : after[end]])
-                if r is not None:
-                    pair[i] = r
-                    heappush(heap, r << 32 | i)
+                pair[i] = known = find(r << 32 | token[end], -1)
+                if known >= 0:
+                    heappush(heap, known << 32 | i)
+            else:
+                pair[i] = -1
             i = before[i]
             if i >= 0:
-                r = find(piece[i:end])
-                if r is None:
-                    pair[i] = -1
-                else:
-                    pair[i] = r
-                    heappush(heap, r << 32 | i)
-        out, i = [], 0
-        while i < n:
-            out.append(token[i])
-            i = after[i]
-        return out
+                pair[i] = known = find(token[i] << 32 | r, -1)
+                if known >= 0:
+                    heappush(heap, known << 32 | i)
+        return [r for r in token if r >= 0]
+
+
+class Spans(dict):
+    """Numbers of strings, given in turn as they are first asked for; -1 for text with white space at an end. Those not
+    yet resolved wait in `new`."""
+
+    def __init__(self, new: list[tuple[str, str]], numbers: Iterator[int], prefix: str):
+        super().__init__()
+        self.new, self.numbers, self.prefix = new, numbers, prefix
+
+    def __missing__(self, text: str) -> int:
+        if not text or text[0].isspace() or text[-1].isspace():
+            number = -1
+        else:
+            number = next(self.numbers)
+            self.new.append((number, self.prefix + text))
+        self[text] = number
+        return number
 
 
 class Encoder:
     """Encodes texts. Text between single spaces is looked up in the cache first: no match of the pattern crosses a
-    space that stands between two characters that are no white space, but as its first character."""
+    space that stands between two characters that are no white space, but as its first character; and a match is one
+    match when it stands alone, too."""
 
     def __init__(self, hashed: PerfectHash, pattern: str):
         self.hashed = hashed
         self.merger = Merger(hashed.keys)
         self.pieces = regex.compile(pattern).findall
-        self.merged: dict[str, list[int]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.first: dict[str, int] = {}
-        self.after_space: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = array("i"), array("q"), array("q")
+        self.new: list[tuple[int, str]] = []
+        numbers = count()
+        self.first, self.after_space = Spans(self.new, numbers, ""), Spans(self.new, numbers, " ")
+        self.flat, self.starts, self.lengths, self.chars = array("i"), array("q"), array("q"), 0
+
+    def held(self) -> int:
+        """Bytes that the cache holds, roughly."""
+        return 170 * len(self.starts) + self.chars + 4 * len(self.flat)
+
+    def _number(self, piece: str) -> int | None:
+        """The number of a match of the pattern, if it has one."""
+        return self.after_space.get(piece[1:]) if piece[0] == " " else self.first.get(piece)
+
+    def merged(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of matches of the pattern, without the cache."""
+        raw = [p.encode() for p in pieces]
+        return [[i] if i >= 0 else self.merger.merge(r) for i, r in zip(self.hashed.find(raw), raw, strict=True)]
 
     def ids(self, text: str) -> list[int]:
         """The ids of any string, without the cache."""
-        out: list[int] = []
-        for piece in self.pieces(text):
-            if (known := self.merged.get(piece)) is None:
-                raw = piece.encode()
-                i = self.hashed.find(raw)
-                known = [i] if i >= 0 else self.merger.merge(raw)
-                if len(self.merged) >= MERGED:
-                    self.merged.clear()
-                self.merged[piece] = known
-            out += known
-        return out
-
-    def _learn(self, cache: dict[str, int], chunks: set[str], prefix: str) -> None:
-        for chunk in chunks:
-            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                cache[chunk] = -1  # white space runs on: such a text is encoded as a whole
-                continue
-            ids = self.ids(prefix + chunk)
-            cache[chunk] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.flat.extend(ids)
+        return [i for own in self.merged(self.pieces(text)) for i in own]
+
+    def _learn(self) -> None:
+        """Resolve what is new: first what is one match, then what is several, which may be among the former."""
+        base, new = len(self.starts), self.new
+        split = [self.pieces(text) for _, text in new]
+        out: list[list[int] | None] = [None] * len(new)
+        single = [k for k, own in enumerate(split) if len(own) == 1]
+        for k, ids in zip(single, self.merged([new[k][1] for k in single]), strict=True):
+            out[k] = ids
+        flat, starts, lengths = self.flat, self.starts, self.lengths
+
+        def known(piece: str) -> list[int] | None:
+            number = self._number(piece)
+            if number is None or number < 0:
+                return None
+            return out[number - base] if number >= base else flat[starts[number] : starts[number] + lengths[number]]
+
+        more = list({p for own in split if len(own) > 1 for p in own if known(p) is None})
+        others = dict(zip(more, self.merged(more), strict=True))
+        for k, own in enumerate(split):
+            if len(own) > 1:
+                out[k] = [i for p in own for i in (others[p] if p in others else known(p))]
+        for (_, text), ids in zip(new, out, strict=True):
+            starts.append(len(flat))
+            lengths.append(len(ids))
+            flat.extend(ids)
+            self.chars += len(text)
+        new.clear()
 
     def encode(self, texts: list[str | None]) -> pa.Array:
-        if len(self.starts) > CACHE:
+        if self.held() > CACHE:
             self._reset()
-        split = [(text or "").split(" ") for text in texts]
-        self._learn(self.first, {x[0] for x in split} - self.first.keys(), "")
-        self._learn(self.after_space, {w for x in split for w in x[1:]} - self.after_space.keys(), " ")
-        flat, starts, lengths = np.array(self.flat, dtype=np.int32), np.array(self.starts), np.array(self.lengths)
-        find, parts = self.after_space.__getitem__, []
-        for text, chunks in zip(texts, split, strict=True):
-            codes = np.empty(len(chunks), dtype=np.int64)
-            codes[0] = self.first[chunks[0]]
-            codes[1:] = np.fromiter(map(find, chunks[1:]), dtype=np.int64, count=len(chunks) - 1)
-            if codes.min() < 0:
+        first, find, codes = self.first, self.after_space.__getitem__, []
+        for text in texts:
+            chunks = (text or "").split(" ")
+            own = np.empty(len(chunks), dtype=np.int64)
+            own[0] = first[chunks[0]]
+            own[1:] = np.fromiter(map(find, chunks[1:]), dtype=np.int64, count=len(chunks) - 1)
+            codes.append(own)
+        self._learn()
+        flat, starts, lengths, parts = np.array(self.flat, dtype=np.int32), np.array(self.starts), np.array(self.lengths), []
+        for text, own in zip(texts, codes, strict=True):
+            if own.min() < 0:
                 parts.append(np.array(self.ids(text or ""), dtype=np.int32))
             else:
-                parts.append(gather(flat, starts[codes], lengths[codes]))
+                parts.append(gather(flat, starts[own], lengths[own]))
         offsets = np.zeros(len(parts) + 1, dtype=np.int32)
         np.cumsum([len(x) for x in parts], out=offsets[1:])
         values = np.concatenate([*parts, np.empty(0, dtype=np.int32)])
@@ -200,27 +246,23 @@ def kept_encoder(hashed: PerfectHash, pattern: str) -> Encoder:
     return _KEPT[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with an array of token ids of each whole text: each match of the pattern is encoded separately, and no
-    special token is made. A null or empty text gets an empty array. A column named as `ids` is replaced.
-
-    The rank file is read by the driver; the hash, whose size is that of the vocabulary, is broadcast.
-    """
-    hashed = docs.sparkSession.sparkContext.broadcast(PerfectHash(load_ranks(ranks_path)))
+def encoding(spark: SparkSession, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> ArrowStep:
+    """The step from a text to its ids. The driver reads the rank file; the hash, whose size is that of the vocabulary,
+    is broadcast."""
+    hashed = spark.sparkContext.broadcast(PerfectHash(load_ranks(ranks_path)))
 
     def worker() -> Callable[[pa.Array], pa.Array]:
         encoder = kept_encoder(hashed.value, pattern)
         return lambda column: encoder.encode(column.to_pylist())
 
-    return add_arrow_column(docs, ids, T.ArrayType(T.IntegerType()), text, worker)
+    return ArrowStep(ids, T.ArrayType(T.IntegerType()), text, worker)
 
 
-def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """tokens with the bytes that each array of ids stands for; null for a null array. An id that is no rank is an
-    error. A column named as `out` is replaced."""
+def decoding(spark: SparkSession, ranks_path: str, ids: str = "ids", out: str = "decoded") -> ArrowStep:
+    """The step from ids to bytes."""
     keys = load_ranks(ranks_path)
     lengths = np.array([len(k) for k in keys], dtype=np.int64)
-    known = tokens.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(keys), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths))
+    known = spark.sparkContext.broadcast((np.frombuffer(b"".join(keys), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths))
 
     def worker() -> Callable[[pa.Array], pa.Array]:
         values, starts, sizes = known.value
@@ -239,17 +281,30 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", out: str = "dec
 
         return run
 
-    return add_arrow_column(tokens, out, T.BinaryType(), ids, worker)
+    return ArrowStep(out, T.BinaryType(), ids, worker)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with an array of token ids of each whole text: each match of the pattern is encoded separately, and no
+    special token is made. A null or empty text gets an empty array; equal rows stay rows. A column named as `ids` is
+    replaced."""
+    return add_arrow_columns(docs, encoding(docs.sparkSession, ranks_path, pattern, text, ids))
+
+
+def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """tokens with the bytes that each array of ids stands for; null for a null array, no bytes for an empty one. An id
+    that is no rank is an error. A column named as `out` is replaced."""
+    return add_arrow_columns(tokens, decoding(tokens.sparkSession, ranks_path, ids, out))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
-    """Every text of documents, encoded and decoded again, as counts and digests."""
+    """Every text of documents, encoded and decoded again, as counts and digests. Both steps are one pass of one worker."""
     import public_tokenizers
 
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = encode(docs, path, public_tokenizers.PATTERN).drop("text")
-    return decode(tokens, path).select(
+    steps = encoding(spark, path, public_tokenizers.PATTERN), decoding(spark, path)
+    return add_arrow_columns(docs, *steps, without=("text",)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,41 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def spent_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What queries have shuffled within goes when they end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts the lineage, survives the loss of executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with spent_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -50,20 +83,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def add_arrow_column(
-    df: DataFrame, name: str, kind: T.DataType, source: str, function: Callable[[], Callable[[pa.Array], pa.Array]]
-) -> DataFrame:
-    """df with a column computed batch by batch from one source column. function() makes the worker's function, once
-    a task; a column of that name is replaced."""
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)])
+@dataclass(frozen=True)
+class ArrowStep:
+    """A column computed batch by batch from one source column. function() makes the worker's function, once a task."""
+
+    name: str
+    kind: T.DataType
+    source: str
+    function: Callable[[], Callable[[pa.Array], pa.Array]]
+
+
+def add_arrow_columns(df: DataFrame, *steps: ArrowStep, without: tuple[str, ...] = ()) -> DataFrame:
+    """df with the columns of the steps, which may read those of earlier steps, in one pass of one worker; columns of
+    these names are replaced, those in `without` do not come back."""
+    made = {s.name: s.kind for s in steps}
+    kept = [c for c in df.columns if c not in made and c not in without]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, k) for n, k in made.items())])
+    first = steps[0].source
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = function()
+        compute = [(s.name, s.source, s.function()) for s in steps]
         for batch in batches:
-            for part in slices(batch, source):
-                values = compute(part.column(part.schema.get_field_index(source)))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), values], names=[*kept, name])
+            for part in slices(batch, first):
+                own = dict(zip(part.schema.names, part.columns, strict=True))
+                for name, source, function in compute:
+                    own[name] = function(own[source])
+                yield pa.RecordBatch.from_arrays([own[c] for c in (*kept, *made)], names=[*kept, *made])
 
     return df.mapInArrow(run, schema)
 

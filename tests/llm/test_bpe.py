@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -40,9 +41,21 @@ def test_query_digests(spark, library):
 def test_perfect_hash_is_minimal():
     keys = [str(i).encode() for i in range(1000)]
     h = bpe.PerfectHash(keys)
-    assert sorted(h.slots) == list(range(1000)) and all(h.find(k) == i for i, k in enumerate(keys)) and h.find(b"no") == -1
+    assert sorted(h.slots) == list(range(1000)) and h.find(keys) == list(range(1000)) and h.find([b"no"]) == [-1] and h.find([]) == []
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(df, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_cache_starts_anew(library, monkeypatch):
+    """Pieces of new chunks that are chunks themselves, in one slice and over slices, with a cache that is always full."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", ".\n" + rng.choice(words), "!!", "'s"]) for _ in range(80)) for _ in range(60)]
+    for most in (0, 1 << 30):
+        monkeypatch.setattr(bpe, "CACHE", most)
+        encoder = bpe.Encoder(bpe.PerfectHash(bpe.load_ranks(PATH)), public_tokenizers.PATTERN)
+        for at in range(0, 60, 7):
+            assert encoder.encode(texts[at : at + 7]).to_pylist() == [library.encode_ordinary(t) for t in texts[at : at + 7]]
