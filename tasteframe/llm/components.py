@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import written
+from tasteframe.llm.common import discard, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id and comp of every node of the links (a, b) but each component's least node, which is its comp.
+    """A written table: id and comp of every node of the links (a, b) but each component's least node, which is its
+    comp. Repeated links, links in both directions and links of a node with itself count once or not at all; a link with
+    a null end does not count.
 
     Each round links every node's larger neighbours, then its smaller ones, to the least of its neighbours; the number
     of rounds grows with the logarithm of the longest path. A round joins links with one row a node, so that a node
     with many neighbours can be split, and is written to the shared folder.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    edges = links.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("comp")).where("a is not null and b is not null and a != b").distinct()
     edges = written(edges, "links")
     mark = None
     for _ in range(most_rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = written(small.union(least.select("u", "m")).distinct(), "links")
-        before, mark = mark, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        both = edges.union(edges.select("comp", "id"))
+        least = both.groupBy("id").agg(F.min("comp").alias("m")).select("id", F.least("m", "id").alias("m"))
+        large = both.where("comp > id").join(least, "id").select(F.col("comp").alias("id"), F.col("m").alias("comp")).where("id != comp").distinct()
+        least = large.groupBy("id").agg(F.min("comp").alias("m"))
+        small = large.join(least, "id").select(F.col("comp").alias("id"), F.col("m").alias("comp")).where("id != comp")
+        last, edges = edges, written(small.union(least.select("id", "m")).distinct(), "links")
+        discard(last)
+        before, mark = mark, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "comp").cast("decimal(38,0)"))).first()
         if mark == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+            return edges
     raise RuntimeError("links have not settled")

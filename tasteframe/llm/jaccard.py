@@ -5,9 +5,9 @@ sets whose similarity reaches the threshold share a shingle in their prefixes. C
 form a group; shingles join groups, sizes filter group pairs, and members are verified with their whole sets.
 
 The order comes from a sketch of fixed size that counts all shingles; any order gives whole results, a good one few
-candidates. Groups that share a shingle are not paired with one another: each is verified against one leader, what
-links falls into one component, and only pairs of different components are left for the next round. The last round
-takes all of those, so that no link between components is lost.
+candidates. Groups that share a shingle are not paired with one another at first: each is verified against one leader,
+what links falls into one component, and only pairs of groups of different components are left. Those are taken whole,
+so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,15 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import mixed, slices, table, text_bytes, written
+from tasteframe.llm.common import discard, mixed, slices, table, text_bytes, written
 from tasteframe.llm.components import components
 from tasteframe.llm.substrings import in_bitmap, repeated_bitmap
 from tasteframe.llm.windows import rolling, signed, word_hashes
 
 #: Counters of the sketch (4 MB), and how many of them a row carries.
 COUNTERS, PART = 1 << 20, 1 << 14
-#: Rounds of leaders before all pairs of different components are taken.
-ROUNDS = 1
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -68,9 +66,21 @@ def counts_of_all(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """512 parity bits of a set: two sets' signatures differ in no more bits than the sets in members."""
-    odd = np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parity bits of a set, 512 at least and as many as it has members or up to twice that: two sets' signatures differ
+    in no more bits than the sets in members."""
+    size = max(512, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def differing_bits(x: Column, y: Column) -> Column:
+    """In how many bits two signatures differ; the halves of the longer one are added up first, as long as it is longer."""
+    odd = lambda a, b: a.bitwiseXOR(b)
+    short = F.least(F.size(x), F.size(y))
+    half = lambda c: F.when(F.size(c) > short, F.zip_with(F.slice(c, F.lit(1), short), F.slice(c, short + 1, short), odd)).otherwise(c)
+    plain = sum((F.bit_count(odd(x[i], y[i])) for i in range(8)), F.lit(0))
+    folded = F.aggregate(F.zip_with(half(x), half(y), lambda a, b: F.bit_count(odd(a, b))), F.lit(0), lambda total, n: total + n)
+    return F.when((F.size(x) == 8) & (F.size(y) == 8), plain).when(F.size(x) <= 2 * short, F.when(F.size(y) <= 2 * short, folded))
 
 
 def similar(n_a: Column, n_b: Column, shared: Column, percent: int) -> Column:
@@ -85,10 +95,9 @@ class Join:
         self.texts = text_bytes(docs, key, text=text).toDF("key", "text")
         self.context = docs.sparkSession.sparkContext
         self.kind = docs.schema[key].dataType.simpleString()
-        self.rows = written(self.describe(), "sets")
 
     def describe(self) -> DataFrame:
-        """A row a document: key, n, id of its set; prefix and the prefix's own id, once a task for equal sets."""
+        """A row a document: key, n, id of its set; its group, prefix and signature, once a task for equal sets."""
         sketch = self.context.broadcast(counts_of_all(self.texts.select("text"), self.n))
         n_words, percent = self.n, self.percent
 
@@ -119,6 +128,28 @@ class Join:
 
         return self.texts.mapInArrow(run, f"key {self.kind}, n long, id binary, group binary, prefix array<long>, sig array<long>")
 
+    def tokens(self) -> DataFrame:
+        """token, g, n, pos, many (the group holds several classes): the index of the shingles that stand in the prefixes
+        of several groups, but for what a bitmap of fixed size lets pass besides."""
+        bitmap = self.context.broadcast(repeated_bitmap(self.groups.select(F.explode("prefix").alias("h"), F.lit(1).alias("n"))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                of, token, place = [], [], []
+                for i, prefix in enumerate(batch.column(3)):
+                    h = prefix.values.to_numpy().view(np.uint64)
+                    at = np.nonzero(in_bitmap(bitmap.value, h))[0]
+                    of.append(np.full(len(at), i))
+                    token.append(h[at])
+                    place.append(at.astype(np.int32))
+                if of:
+                    rows = pa.array(np.concatenate(of))
+                    columns = [pa.array(signed(np.concatenate(token))), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place)), batch.column(2).take(rows)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["token", "g", "n", "pos", "many"])
+
+        groups = self.groups.select("g", F.col("n").cast("int").alias("n"), F.col("sig").isNull().alias("many"), "prefix")
+        return groups.mapInArrow(run, "token long, g long, n int, pos int, many boolean")
+
     def sets(self, ids: DataFrame) -> DataFrame:
         """id and whole set of the given classes: read from the texts again, of documents whose key a bitmap of fixed
         size lets pass."""
@@ -138,74 +169,62 @@ class Join:
         return texts.mapInArrow(run, "id binary, set array<long>").where("size(set) > 0").join(ids, "id", "left_semi")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) of classes that link, by their whole sets."""
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
+        """Those of the written pairs (a, b) of classes that link, by their whole sets."""
         sets = written(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "wanted")
         both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
-        return both.where(similar(F.size("set_a"), F.size("set_b"), shared, self.percent)).select("a", "b").distinct()
-
-    def run(self) -> DataFrame:
-        """id and comp of the classes that link with others."""
-        percent = self.percent
-        known = self.rows.where("n > 0")
-        self.classes = written(known.groupBy("id").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.max("group").alias("group")), "classes")
-        groups = known.where(F.col("prefix").isNotNull()).groupBy("group").agg(F.min("id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(F.min("id") == F.max("id"), F.first("sig")).alias("sig"))
-        groups = written(groups, "groups")
-        members = written(self.classes.select("id", "group").join(groups.select("group", "g"), "group").select("g", "id"), "members")
-        bitmap = self.context.broadcast(repeated_bitmap(groups.select(F.explode("prefix").alias("h"), F.lit(1).alias("n"))))
-
-        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                of, token, place = [], [], []
-                for i, prefix in enumerate(batch.column(2)):
-                    h = prefix.values.to_numpy().view(np.uint64)
-                    at = np.nonzero(in_bitmap(bitmap.value, h))[0]
-                    of.append(np.full(len(at), i))
-                    token.append(h[at])
-                    place.append(at)
-                if of:
-                    rows = pa.array(np.concatenate(of))
-                    columns = [pa.array(signed(np.concatenate(token))), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(place)), batch.column(3).take(rows)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["token", "g", "n", "pos", "sig"])
-
-        index = groups.select("g", "n", "prefix", "sig").mapInArrow(tokens, "token long, g binary, n long, pos long, sig array<long>")
-
-        def fit(x: str, y: str) -> Column:
-            """The sizes are near; and the sets, if each group has one, differ at least in as many shingles as their
-            signatures in bits."""
-            total = F.col(f"n{x}") + F.col(f"n{y}")
-            apart = sum((F.bit_count(F.col(f"sig{x}")[i].bitwiseXOR(F.col(f"sig{y}")[i])) for i in range(8)), F.lit(0))
-            near = (100 + percent) * apart <= (100 - percent) * total
-            return similar(F.col(f"n{x}"), F.col(f"n{y}"), F.least(f"n{x}", f"n{y}"), percent) & F.coalesce(near, F.lit(True))
-
-        index = written(index, "index")
-        links = tested = comps = None
-        open_index = index
-        for step in range(ROUNDS):
-            leaders = open_index.groupBy("token").agg(F.min(F.struct("pos", "n", "g", "sig")).alias("leader"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-            leaders = leaders.select("token", F.col("leader.g").alias("leader"), F.col("leader.n").alias("n_leader"), F.col("leader.sig").alias("sig_leader"))
-            pairs = index.join(leaders, "token").where((F.col("g") != F.col("leader")) & fit("", "_leader")).select("g", "leader").distinct()
-            pairs = pairs.join(members, "g").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
-            if step == 0:
-                pairs = pairs.union(members.where("id != g").select(F.greatest("id", "g").alias("a"), F.least("id", "g").alias("b")))
-            else:
-                pairs = self.between(pairs, comps).join(tested, ["a", "b"], "left_anti")
-            pairs = written(pairs.distinct(), "candidates")
-            tested = pairs if tested is None else written(tested.union(pairs), "tested")
-            found = self.verified(pairs)
-            links = written(found if links is None else links.union(found), "found")
-            comps = components(links)
-            open_index = self.still_open(index, members, comps)
-        left = open_index.select("token", "g", "n", "sig", "low", "high")
-        other = left.toDF("token", "g2", "n2", "sig2", "low2", "high2")
-        pairs = left.join(other, "token").where((F.col("g") < F.col("g2")) & fit("", "2") & ~((F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2"))))
+        found = written(both.where(similar(F.size("set_a"), F.size("set_b"), shared, self.percent)).select("a", "b").distinct(), "found")
+        discard(sets)
+        return found
+
+    def fit(self, x: str, y: str) -> Column:
+        """The sizes are near, and what stands before and after a shared shingle in both orders is enough."""
+        of = lambda c: (F.col(f"{c}{x}"), F.col(f"{c}{y}"))
+        (n, m), (p, q) = of("n"), of("pos")
+        return similar(n, m, F.least(p, q) + F.least(n - p, m - q), self.percent)
+
+    def apart(self, x: str, y: str) -> Column:
+        """The sets, if each group has one, differ at least in as many shingles as their signatures in bits."""
+        bits = differing_bits(F.col(f"sig{x}"), F.col(f"sig{y}"))
+        return F.coalesce((100 + self.percent) * bits > (100 - self.percent) * (F.col(f"n{x}") + F.col(f"n{y}")), F.lit(False))
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """The documents (key, n, id of the class), and id and comp of the classes that link with others."""
+        rows = written(self.describe(), "sets")
+        known = rows.where("n > 0")
+        self.classes = written(known.groupBy("id").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.xxhash64(F.max("group")).alias("g")), "classes")
+        # two groups may share a number: so each is kept, and its members meet
+        groups = known.where(F.col("prefix").isNotNull()).groupBy("group").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(F.min("id") == F.max("id"), F.first("sig")).alias("sig"))
+        self.groups = written(groups.select(F.xxhash64("group").alias("g"), "head", "n", "prefix", "sig"), "groups")
+        docs = written(rows.select("key", "n", "id"), "documents")
+        discard(rows)
+        index = written(self.tokens(), "index")
+        heads = written(self.groups.select("g", "head", "n", "sig"), "heads")
+        discard(self.groups)
+        members = self.classes.select("g", "id")
+        first = index.groupBy("token").agg(F.min(F.struct("pos", "n", "g")).alias("leader"), F.count(F.lit(1)).alias("groups"), F.max("many").alias("many")).where("groups > 1")
+        leaders = written(first.select("token", F.col("leader.g").alias("leader"), F.col("leader.n").alias("n_leader"), F.col("leader.pos").alias("pos_leader"), ((F.col("groups") > 2) | F.col("many")).alias("more")), "leaders")
+        pairs = index.join(leaders.drop("more"), "token").where((F.col("g") != F.col("leader")) & self.fit("", "_leader")).select("g", "leader").distinct()
+        pairs = pairs.join(heads.drop("head"), "g").join(heads.toDF("leader", "head", "n_leader", "sig_leader"), "leader").where(~self.apart("", "_leader"))
+        pairs = pairs.select("g", "head").union(heads.select("g", "head")).join(members, "g").where("id != head")
+        tested = written(pairs.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct(), "pairs")
+        links = self.verified(tested)
+        comps = components(links)
+        left = self.still_open(index.join(leaders.where("more"), "token", "left_semi"), members, comps)
+        left = left.join(heads.select("g", "sig"), "g").select("token", "g", "n", "pos", "sig", "low", "high")
+        other = left.toDF("token", "g2", "n2", "pos2", "sig2", "low2", "high2")
+        settled = (F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2"))
+        pairs = left.join(other, "token").where((F.col("g") < F.col("g2")) & self.fit("", "2") & ~self.apart("", "2") & ~settled)
         pairs = pairs.select("g", "g2").distinct().join(members, "g").withColumnRenamed("id", "x").join(members.toDF("g2", "y"), "g2")
         mixed_groups = members.join(self.of_groups(members, comps).where("low != high").select("g"), "g", "left_semi")
         within = mixed_groups.join(mixed_groups.toDF("g", "y"), "g").where("id < y").select(F.col("id").alias("x"), "y")
         pairs = pairs.select("x", "y").union(within).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        pairs = self.between(pairs, comps).join(tested, ["a", "b"], "left_anti")
-        return components(written(links.union(self.verified(pairs)), "found"))
+        pairs = written(self.between(pairs, comps).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = self.verified(pairs)
+        discard(index, leaders, tested, pairs, heads, comps)
+        comps = components(links.union(more))
+        discard(links, more)
+        return docs, comps
 
     @staticmethod
     def between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -225,7 +244,7 @@ class Join:
         """Rows of the index under shingles that stand in several components."""
         rows = index.join(Join.of_groups(members, comps), "g")
         spread = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
-        return written(rows.join(spread, "token", "left_semi"), "open")
+        return rows.join(spread, "token", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -237,11 +256,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     key gets the component of its text and never names one, unless the component has no other key.
     """
     join = Join(docs, n, percent, key, text)
-    comps = join.run()
+    rows, comps = join.run()
     classes = join.classes.join(comps, "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
     least = classes.groupBy("comp").agg(F.min("key").alias("component"))
     named = classes.join(least, "comp").select("id", "component")
-    out = join.rows.select("key", "n", "id").join(named, "id", "left")
+    out = rows.join(named, "id", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
 
 

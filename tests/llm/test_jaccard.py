@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tasteframe.llm import jaccard
 from tasteframe.llm.components import components
 
@@ -71,3 +74,17 @@ def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (300, 7)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 300: 0}
+
+
+def test_signatures_bound_the_difference(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for n, m in ((1, 1), (400, 500), (500, 520), (1000, 1100), (3000, 4000), (5000, 6000)):
+        whole = rng.integers(0, 2**63, 2 * m).astype(np.uint64)
+        for apart in (0, n // 10, n // 2):
+            a, b = np.unique(whole[:n]), np.unique(whole[apart : apart + m])
+            rows.append((len(rows), jaccard.signature(a).tolist(), jaccard.signature(b).tolist()))
+            want.append(len(np.setxor1d(a, b)))
+    df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
+    got = [r.d for r in df.select("i", jaccard.differing_bits(F.col("x"), F.col("y")).alias("d")).orderBy("i").collect()]
+    assert all(g <= w and (g > 0.25 * w or w < 9) for g, w in zip(got, want, strict=True))
