@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import discard, mixed, slices, table, text_bytes, written
+from tasteframe.llm.common import discard, fresh, mixed, slices, table, text_bytes, written
 from tasteframe.llm.components import components
 from tasteframe.llm.substrings import in_bitmap, repeated_bitmap
 from tasteframe.llm.windows import rolling, signed, word_hashes
@@ -92,12 +92,12 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int, percent: int, key: str, text: str):
         self.n, self.percent = n, percent
-        self.texts = text_bytes(docs, key, text=text).toDF("key", "text")
+        self.texts = text_bytes(docs.select(F.col(key).alias("key"), F.hash(text).alias("version"), F.col(text).alias("text")), "key", "version")
         self.context = docs.sparkSession.sparkContext
         self.kind = docs.schema[key].dataType.simpleString()
 
     def describe(self) -> DataFrame:
-        """A row a document: key, n, id of its set; its group, prefix and signature, once a task for equal sets."""
+        """A row a document: key, version (a hash of its text), n, id of its set; its group, prefix and signature, once a task for equal sets."""
         sketch = self.context.broadcast(counts_of_all(self.texts.select("text"), self.n))
         n_words, percent = self.n, self.percent
 
@@ -106,7 +106,7 @@ class Join:
             for batch in batches:
                 for part in slices(batch, "text"):
                     sizes, ids, prefixes, groups, marks = [], [], [], [], []
-                    for text in part.column(1).to_pylist():
+                    for text in part.column(2).to_pylist():
                         own = shingles(text, n_words)
                         size = len(own)
                         sizes.append(size)
@@ -123,10 +123,10 @@ class Join:
                         prefixes.append(signed(first))
                         marks.append(signature(own))
                         groups.append(xxhash.xxh3_128_digest(first.tobytes() + size.to_bytes(8, "little")))
-                    columns = [part.column(0), pa.array(sizes, type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array(groups, type=pa.binary()), *(pa.array(x, type=pa.list_(pa.int64())) for x in (prefixes, marks))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "id", "group", "prefix", "sig"])
+                    columns = [part.column(0), part.column(1), pa.array(sizes, type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array(groups, type=pa.binary()), *(pa.array(x, type=pa.list_(pa.int64())) for x in (prefixes, marks))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "n", "id", "group", "prefix", "sig"])
 
-        return self.texts.mapInArrow(run, f"key {self.kind}, n long, id binary, group binary, prefix array<long>, sig array<long>")
+        return self.texts.mapInArrow(run, f"key {self.kind}, version int, n long, id binary, group binary, prefix array<long>, sig array<long>")
 
     def tokens(self) -> DataFrame:
         """token, g, n, pos, many (the group holds several classes): the index of the shingles that stand in the prefixes
@@ -189,14 +189,14 @@ class Join:
         return F.coalesce((100 + self.percent) * bits > (100 - self.percent) * (F.col(f"n{x}") + F.col(f"n{y}")), F.lit(False))
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """The documents (key, n, id of the class), and id and comp of the classes that link with others."""
+        """The documents (key, version, n, id of the class), and id and comp of the classes that link with others."""
         rows = written(self.describe(), "sets")
         known = rows.where("n > 0")
         self.classes = written(known.groupBy("id").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.xxhash64(F.max("group")).alias("g")), "classes")
         # two groups may share a number: so each is kept, and its members meet
         groups = known.where(F.col("prefix").isNotNull()).groupBy("group").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.when(F.min("id") == F.max("id"), F.first("sig")).alias("sig"))
         self.groups = written(groups.select(F.xxhash64("group").alias("g"), "head", "n", "prefix", "sig"), "groups")
-        docs = written(rows.select("key", "n", "id"), "documents")
+        docs = written(rows.select("key", "version", "n", "id"), "documents")
         discard(rows)
         index = written(self.tokens(), "index")
         heads = written(self.groups.select("g", "head", "n", "sig"), "heads")
@@ -248,7 +248,8 @@ class Join:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: key, n_shingles, component_id (the least key that links reach, its own included).
+    """A row per document: key, n_shingles, component_id (the least key that links reach, its own included), version (a
+    hash of the text, which tells rows under one key apart).
 
     Two documents link when the Jaccard similarity of their sets of n-word shingles (lower-cased A-Z; the whole
     sequence if there are fewer words) is at least percent / 100, exactly, up to collisions of 64-bit hashes within a
@@ -261,8 +262,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     least = classes.groupBy("comp").agg(F.min("key").alias("component"))
     named = classes.join(least, "comp").select("id", "component")
     out = rows.join(named, "id", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"), "version")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs of which each group of near duplicates keeps one: that under the least key (null keys last), of
+    several texts under it the one with the least hash. Empty and null texts are no duplicates of one another, but equal
+    (key, text) are one row: that whose other columns come first as JSON."""
+    found = near_duplicates(docs.select(key, text), key, text, n, percent)
+    own_key, version = fresh(docs, "key_", "version_")
+    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias(own_key), F.col("n_shingles") > 0).agg(F.min("version").alias(version))
+    same = docs[key].eqNullSafe(F.col(own_key)) & (F.hash(docs[text]) == F.col(version))
+    kept = docs.join(first.select(own_key, version), same, "left_semi")
+    others = [c for c in docs.columns if c not in (key, text)]
+    if not others:
+        return kept.dropDuplicates([key, text])
+    rest = F.struct(*(F.col(f"`{c}`") for c in others))
+    once = kept.groupBy(key, text).agg(F.min_by(rest, F.to_json(rest)).alias(own_key))
+    return once.select(*(F.col(c) if c in (key, text) else F.col(own_key)[c].alias(c) for c in docs.columns))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("version")

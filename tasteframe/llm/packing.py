@@ -19,20 +19,57 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasteframe.llm.common import gather, slices, table, text_bytes
+from tasteframe.llm.common import gather, slices, table
 
-#: Words that a worker's cache holds; it starts anew when full.
-CACHE = 1_000_000
 #: Marks that the tokenizer splits from a letter before them.
 TAIL = b".,!?;:%*&$#"
 
 
+class Words(dict):
+    """Numbers of words, given in turn as they are first asked for, and their token ids once these are known."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+        self.flat, self.starts, self.lengths, self.chars = array("i"), array("q"), array("q"), 0
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.starts) + len(self.new)
+        self.new.append(word)
+        return number
+
+    def learn(self, ids: list) -> None:
+        """The token ids of the new words, in turn."""
+        for word, own in zip(self.new, ids, strict=True):
+            self.starts.append(len(self.flat))
+            self.lengths.append(len(own))
+            self.flat.extend(own)
+            self.chars += len(word)
+        self.new.clear()
+
+    def ids(self, word: bytes) -> array | None:
+        """The token ids of a word, if they are known."""
+        number = self.get(word)
+        if number is None or number >= len(self.starts):
+            return None
+        start = self.starts[number]
+        return self.flat[start : start + self.lengths[number]]
+
+    def held(self) -> int:
+        """Bytes, roughly."""
+        return 170 * len(self.starts) + self.chars + 4 * len(self.flat)
+
+
 class WordCache:
-    """Token ids of texts by a tokenizer that drops white space: words between ASCII white space are independent."""
+    """Token ids of texts by a tokenizer that drops white space: words between ASCII white space are independent. When
+    half of what the cache may hold (`most` bytes) is full, a new generation starts and takes over what it needs of the
+    one before."""
 
-    def __init__(self, config: str):
+    def __init__(self, config: str, most: int = 200 << 20):
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -42,42 +79,32 @@ class WordCache:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         if suffix:
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self._reset()
-
-    def _reset(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths = array("i"), array("q"), array("q")
-
-    def _add(self, word: bytes, ids: list[int]) -> None:
-        self.codes[word] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.lengths.append(len(ids))
-        self.flat.extend(ids)
-
-    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The texts' words, all known afterwards. The tokenizer lower-cases, so capitals need not be told apart,
-        unless they could make a special token; marks after a letter are tokens of their own."""
-        if len(self.codes) > CACHE:
-            self._reset()
-        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        codes, new, parts = self.codes, {}, set()
-        for word in {w for own in words for w in own}:
-            if word not in codes:
+        self.now, self.before = Words(), Words()
+
+    def _learn(self) -> None:
+        """The tokenizer lower-cases, so capitals need not be told apart, unless they could make a special token; marks
+        after a letter are tokens of their own."""
+        now, before, known, parts = self.now, self.before, [], set()
+        for word in now.new:
+            own = before.ids(word)
+            if own is None:
                 stem = word.rstrip(TAIL)
-                if len(stem) == len(word) or not stem or not stem.decode()[-1].isalpha():
-                    new[word] = (word,)
+                if len(stem) == len(word) or not stem or not (stem[-1:].isalpha() or stem[-1] > 127 and stem.decode()[-1].isalpha()):
+                    parts.add(word)
                 else:
-                    new[word] = (stem, word[len(stem) :])
-                parts.update(new[word])
-        self._encode_parts([p for p in parts if p not in codes])
-        for word, own in new.items():
-            if word not in codes:
-                self._add(word, [i for p in own for i in self.flat[self.starts[codes[p]] : self.starts[codes[p]] + self.lengths[codes[p]]]])
-        return words
-
-    def _encode_parts(self, parts: list[bytes]) -> None:
+                    own = now.ids(stem) or before.ids(stem)
+                    tail = word[len(stem) :]
+                    parts.add(tail)
+                    if own is None:
+                        parts.add(stem)
+                    own = (own, stem, tail)
+            known.append(own)
+        ids = self._encode_parts(list(parts))
+        now.learn([ids[word] if own is None else own if isinstance(own, array) else [*(ids[own[1]] if own[0] is None else own[0]), *ids[own[2]]] for word, own in zip(now.new, known, strict=True)])
+
+    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, list[int]]:
         """Words of letters alone are encoded many to a text and told apart by the tokens that end a word."""
-        texts = [p.decode() for p in parts]
+        texts, out = [p.decode() for p in parts], {}
         single = [i for i, t in enumerate(texts) if not t.isalpha()]
         letters = [i for i, t in enumerate(texts) if t.isalpha()]
         runs = [letters[at : at + 64] for at in range(0, len(letters), 64)]
@@ -88,28 +115,31 @@ class WordCache:
                 continue
             start = 0
             for i, stop in zip(run, stops.tolist(), strict=True):
-                self._add(parts[i], found[start:stop])
+                out[parts[i]] = found[start:stop]
                 start = stop
-        for i, found in zip(single, self._ids([texts[i] for i in single]), strict=True):
-            self._add(parts[i], found)
+        out.update(zip((parts[i] for i in single), self._ids([texts[i] for i in single]), strict=True))
+        return out
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = self.learn(texts)
-        flat, starts, lengths = np.array(self.flat).astype(np.uint32), np.array(self.starts), np.array(self.lengths)
-        out = []
-        for own in words:
-            codes = np.fromiter(map(self.codes.__getitem__, own), dtype=np.int64, count=len(own))
-            out.append(gather(flat, starts[codes], lengths[codes]))
-        return out
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text, and how many of them each of its words has."""
+        if self.now.held() > self.most // 2:
+            self.now, self.before = Words(), self.now
+        now, codes = self.now, []
+        for text in texts:
+            own = (text if b"<|" in text else text.lower()).split()
+            codes.append(np.fromiter(map(now.__getitem__, own), dtype=np.int64, count=len(own)))
+        self._learn()
+        flat, starts, lengths = np.array(now.flat).astype(np.uint32), np.array(now.starts), np.array(now.lengths)
+        return [(gather(flat, starts[own], lengths[own]), lengths[own]) for own in codes]
 
 
 @lru_cache(maxsize=1)
-def word_cache(config: str) -> WordCache:
+def word_cache(config: str, most: int) -> WordCache:
     """One for all tasks of a worker."""
-    return WordCache(config)
+    return WordCache(config, most)
 
 
 class Packer:
@@ -209,13 +239,20 @@ def pack_texts(
     max_loss_tokens: int | None = None,
     window: int = 256,
     keep_ids: bool = True,
+    cache_mb: int = 200,
+    loss: str | None = None,
 ) -> DataFrame:
     """Tokenize whole texts, end each with end_id, and pack them.
 
     Returns a row per piece: the key column, start, length, ids (unless keep_ids is false), ids_crc32, doc_tokens,
     sequence_id, offset. A null or empty text is the end id alone. Rows are packed as they come, equal or not, and
-    other columns are not used. A document's tokens all bear loss. The tokenizer must drop white space, so that words
-    between ASCII white space are encoded independently; its file is read by the driver and broadcast.
+    other columns are not used. A worker holds about cache_mb of words and their ids.
+
+    `loss` names an array of words that bear loss, as structs of two numbers (first word, one past the last) in any order; words are runs
+    without ASCII white space. Tokens of other words and, if the last word bears none, the end id count against the
+    tokens only. A null array means that all bear loss, as does no `loss`. Pairs that are null, empty or beyond the text
+    have no effect. The tokenizer must drop white space, so that words between ASCII white space are encoded
+    independently; its file is read by the driver and broadcast.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         config = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -231,14 +268,16 @@ def pack_texts(
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_cache(config.value)
+        words = word_cache(config.value, cache_mb << 20)
         packer = Packer(max_tokens, max_segments, max_loss_tokens or max_tokens, window, TaskContext.get().partitionId() << 36)
         pieces, kind = [], None
         for batch in batches:
             kind = batch.schema.field(0).type
             for part in slices(batch, "text"):
-                for own, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
-                    pieces += packer.put(own, np.append(ids, np.uint32(end_id)))
+                encoded = words.encode(part.column(1).to_pylist())
+                spans = part.column(2).to_pylist() if loss else [None] * part.num_rows
+                for own, (ids, lengths), pairs in zip(part.column(0).to_pylist(), encoded, spans, strict=True):
+                    pieces += packer.put(own, np.append(ids, np.uint32(end_id)), None if pairs is None else loss_mask(lengths, pairs))
                 if len(pieces) >= 4096:
                     yield rows(pieces, kind)
                     pieces = []
@@ -246,7 +285,17 @@ def pack_texts(
         if pieces:
             yield rows(pieces, kind)
 
-    return text_bytes(docs, key, text=text).mapInArrow(run, out)
+    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *([F.col(loss).alias("loss")] if loss else []))
+    return source.mapInArrow(run, out)
+
+
+def loss_mask(lengths: np.ndarray, pairs: list) -> np.ndarray:
+    """For each token of words of these lengths, and the end after them, whether it bears loss."""
+    bears = np.zeros(len(lengths), dtype=bool)
+    for first, stop in (p.values() for p in pairs if p is not None):
+        if first is not None and stop is not None:
+            bears[max(0, first) : max(0, stop)] = True
+    return np.append(np.repeat(bears, lengths), bears[-1:].any())
 
 
 def _field(name: str, piece: tuple):

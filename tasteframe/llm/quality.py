@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import UPPER, table, written
+from tasteframe.llm.common import UPPER, fresh, table, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -200,8 +200,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns; equal rows stay rows."""
-    good = judge(docs, labels, key, text).where("kept").select(F.col(key).alias("key_"), F.col("version").alias("version_"))
-    same = docs[key].eqNullSafe(F.col("key_")) & (F.hash(docs[text]) == F.col("version_"))
+    own_key, version = fresh(docs, "key_", "version_")
+    good = judge(docs.select(key, text), labels, key, text).where("kept").select(F.col(key).alias(own_key), F.col("version").alias(version))
+    same = docs[key].eqNullSafe(F.col(own_key)) & (F.hash(docs[text]) == F.col(version))
     return docs.join(good, same, "left_semi")
 
 

@@ -71,3 +71,26 @@ def test_three_limits_hold():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_texts(df, PATH, 1).count() == 0
+
+
+def test_loss_spans_fill_the_third_limit(spark):
+    """Prompts bear no loss: of 40 texts of 30 words each, the last 12 words and the end do."""
+    rows = [(i, "the " * 30, [(18, 30)] if i % 4 else None, None) for i in range(40)] + [(40, "the cat", [(0, 1), (5, 9)], None), (41, None, [], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<a:int,b:int>>, ids string")
+    got = packing.pack_texts(df, PATH, 1, max_tokens=256, max_segments=6, max_loss_tokens=64, window=16, loss="spans").collect()
+    assert check(got, {i: [r.ids[0]] * 30 + [1] for i in range(40) for r in got if r.doc_id == 0 and r.start == 0} | {41: [1]}, 256, 6) >= 0
+    bears = {i: [False] * 18 + [True] * 13 if i % 4 else [True] * 31 for i in range(40)} | {40: [True, False, False], 41: [False]}
+    by_seq = {}
+    for r in got:
+        by_seq[r.sequence_id] = by_seq.get(r.sequence_id, 0) + sum(bears[r.doc_id][r.start : r.start + r.length])
+    assert max(by_seq.values()) <= 64 and sum(by_seq.values()) == sum(map(sum, bears.values()))
+
+
+def test_generations_of_the_word_cache():
+    tok = Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["the", "Cat.", "sat,", "x!!", "été", f"w{i}q", f"w{i}q.", "a1."], 30)) for i in range(60)]
+    cache = packing.WordCache(open(PATH, encoding="utf-8").read(), 20_000)
+    for at in range(0, 60, 3):
+        for text, (ids, lengths) in zip(texts[at : at + 3], cache.encode([t.encode() for t in texts[at : at + 3]]), strict=True):
+            assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids and lengths.sum() == len(ids) and len(lengths) == 30
