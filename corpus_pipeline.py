@@ -6,46 +6,53 @@ read again as the next one's docs. All but the last return the columns of docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasteframe.llm import jaccard, lines, packing, quality, substrings
-from tasteframe.llm.common import WORD, table, written
+from tasteframe.llm.common import WORD, discard, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned rules reject go."""
+    """Documents that the learned rules reject go, and so do null and empty texts, which are too short. Equal rows stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go; with them, documents of which nothing is left."""
-    return _with_text(docs, lines.cut_repeated_lines(docs, kept="kept_"))
+    """Repeated runs of lines go; with them, documents of which nothing is left. A null or empty text stays, as "". Rows
+    under one doc_id, or without one, do not repeat one another."""
+    return _cut(docs, lines.cut_repeated_lines)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("first_")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates the document with the least id stays, once (a null id is largest). Null and empty
+    texts are duplicates of nothing; equal (doc_id, text) are one row."""
+    return jaccard.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of 20 or more words go; with them, documents of which nothing is left."""
-    return _with_text(docs, substrings.cut_repeats(docs, kept="kept_"))
+    """Repeated passages of 20 or more words go; with them, documents of which nothing is left. What holds for nulls and
+    equal rows is as in line_dedup."""
+    return _cut(docs, substrings.cut_repeats)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row per piece, with its ids."""
+    """Sequences of at most 2048 tokens: a row per piece, with its ids. A null or empty text is its end id; equal rows are
+    packed as often as they stand."""
     import public_tokenizers
 
-    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, cache_mb=64)
 
 
-def _with_text(docs: DataFrame, cut: DataFrame) -> DataFrame:
+def _cut(docs: DataFrame, operator: Callable[..., DataFrame]) -> DataFrame:
+    """docs with what is kept of the texts. Other columns have other names meanwhile, so that none clashes."""
+    names = {c: f"own_{i}_" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    cut = operator(docs.withColumnsRenamed(names), kept="kept_")
     cut = cut.where((F.col("n_removed") == 0) | F.col("kept_").rlike(WORD))
     changed = {"text": F.col("kept_"), "n_chars": F.length("kept_").cast("long")}
-    return cut.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    return cut.select(*(changed[c].alias(c) if c in changed else F.col(names.get(c, c)).alias(c) for c in docs.columns))
 
 
 STAGES = [
@@ -61,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the packed pieces."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir; the packed pieces. A stage's input goes when its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
