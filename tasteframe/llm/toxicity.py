@@ -28,6 +28,8 @@ LEET = str.maketrans("013457@$", "oieastas")
 BEGINNINGS = range(3, 13)
 #: Posterior of a text on which every voter abstains.
 SILENT = 0.01
+#: Parts with which abstentions may count; the labelled training texts decide.
+SILENCE = (1.0, 0.5, 0.25, 0.0)
 #: Words that a worker remembers; it starts anew when full.
 CACHE = 400_000
 
@@ -73,11 +75,13 @@ class Finder:
 
 @dataclass
 class LabelModel:
-    """Prior and, of each voter, the log ratio that its vote adds; voters of one correlated group share. Rows on which
-    all voters abstain tell nothing about the label: theirs is a fixed small posterior."""
+    """Prior and, of each voter, the log ratios of the two labels that its vote and its silence add; voters of one
+    correlated group share. Rows on which all voters abstain tell nothing about the label: theirs is a fixed small
+    posterior."""
 
     prior: float
     votes: np.ndarray
+    silence: np.ndarray
     groups: np.ndarray
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
@@ -85,7 +89,7 @@ class LabelModel:
 
     def of(self, row: np.ndarray, voter: np.ndarray, n: int) -> np.ndarray:
         """Posteriors of n rows, of which row[i] has the vote of voter[i]."""
-        z = np.log(self.prior / (1 - self.prior)) + np.bincount(row, self.votes[voter], n)
+        z = np.log(self.prior / (1 - self.prior)) + self.silence.sum() + np.bincount(row, (self.votes - self.silence)[voter], n)
         return np.where(np.bincount(row, minlength=n) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), SILENT)
 
 
@@ -94,13 +98,14 @@ def fit_label_model(fired: np.ndarray, rounds: int = 25, alike: float = 0.75) ->
     return fit_patterns(*np.nonzero(fired), np.ones(len(fired)), fired.shape[1], rounds, alike)
 
 
-def fit_patterns(row: np.ndarray, voter: np.ndarray, times: np.ndarray, m: int, rounds: int = 25, alike: float = 0.75) -> LabelModel:
+def fit_patterns(row: np.ndarray, voter: np.ndarray, times: np.ndarray, m: int, rounds: int = 25, alike: float = 0.75, silence: float = 1.0) -> LabelModel:
     """Accuracies from agreement alone: expectation-maximisation with the label as a latent class. Row r stands for
     times[r] texts of equal votes; row[i] has the vote of voter[i], of m voters. Then voters whose correlation given the
-    label is over `alike` are grouped, and the accuracies are estimated again."""
+    label is over `alike` are grouped, and the accuracies are estimated again. `silence` is the part of its log ratio with
+    which an abstention counts: 1 if voters are independent given the label, less if toxic texts hold few of many words."""
     n = len(times)
     groups = np.arange(m)
-    model = LabelModel(0.1, np.zeros(m), groups)
+    model = LabelModel(0.1, np.zeros(m), np.zeros(m), groups)
     total = max(float(times.sum()), 1.0)
     for attempt in range(2):
         share = 1 / np.bincount(groups, minlength=m)[groups] if m else np.zeros(0)
@@ -110,7 +115,8 @@ def fit_patterns(row: np.ndarray, voter: np.ndarray, times: np.ndarray, m: int,
             prior = float(np.clip(yes.sum() / total, 1e-4, 0.5))
             a = (np.bincount(voter, yes[row], m) + 0.5) / (yes.sum() + 1)
             b = (np.bincount(voter, no[row], m) + 0.5) / (no.sum() + 1)
-            model = LabelModel(prior, np.maximum(np.log(a / b), 0) * share, groups)
+            a = np.maximum(a, b)  # a voter votes toxic: it says nothing at worst
+            model = LabelModel(prior, np.log(a / b) * share, silence * np.log((1 - a) / (1 - b)) * share, groups)
             q = model.of(row, voter, n)
         if attempt == 0 and m:
             w = q * times / max(float((q * times).sum()), 1e-9)
@@ -155,7 +161,8 @@ def learn(
     training texts, labelled or not (hash, key, text); marked has the keys of those with a label.
 
     Labels choose features and voters (precise ones, by document counts). The label model is fitted on the votes on all
-    training texts: their patterns, each with its count, come to the driver. What the classifier learns is the model's
+    training texts: their patterns, each with its count, come to the driver; how much abstentions count is the choice
+    under which the labels are likeliest. What the classifier learns is the model's
     posterior, on at most most_rows labelled texts, the first by hash: up to half of them with a vote, the others without, each
     weighed by how many texts of its kind it stands for. Without toxic rows there are no features, and every score is
     that of the prior.
@@ -219,7 +226,15 @@ def learn(
     flat = lambda rows: (np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], dtype=np.int64)), np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int64))
     patterns = found.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").toArrow()
     votes, times = lists(patterns["votes"]), patterns["n"].to_numpy().astype(float)
-    model = fit_patterns(*flat(votes), times, len(precise))
+    judged = found.join(marked, "key").groupBy("votes", label).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", label).toArrow()
+    its_votes, is_toxic, often = lists(judged["votes"]), judged[label].to_numpy() > 0, judged["n"].to_numpy()
+
+    def surprise(model: LabelModel) -> float:
+        """Of the labels, given the model's posteriors."""
+        q = np.clip(model.of(*flat(its_votes), len(often)), 1e-9, 1 - 1e-9)
+        return -float(np.sum(often * np.log(np.where(is_toxic, q, 1 - q))))
+
+    model = min((fit_patterns(*flat(votes), times, len(precise), silence=part) for part in SILENCE), key=surprise)
     known = found.join(marked, "key", "left_semi")
     silent, voted = (known.where(holds).count() for holds in ("size(votes) = 0", "size(votes) > 0"))
     rows, weights, room = [], [], most_rows
