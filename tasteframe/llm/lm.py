@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import table, text_bytes, written
+from tasteframe.llm.common import table, text_bytes, tidy, written
 
 #: Stands for the end of a text among the words: no word holds a space.
 END = b" "
@@ -218,18 +218,20 @@ def score_documents(
             logs = np.logaddexp(logs + unseen, whole) / LN10
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], names=["word", "n", "n_all", "log"])
 
-    priced = written(counts.mapInArrow(price, "word binary, n long, n_all long, log double"), "priced")
+    priced = written(counts.mapInArrow(tidy(price), "word binary, n long, n_all long, log double"), "priced")
     # more than 1/most_frequent of all occurrences each: so there are fewer than most_frequent of them
     frequent = priced.where((F.col("n_all") * most_frequent > occurrences) & (F.length("word") <= 64))
     figures_of = spark.sparkContext.broadcast({bytes(r.word): (r.n, r.log) for r in frequent.collect()})
     price_of_all = math.log10(train + distinct + 1)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document with what its frequent words sum up to, and a row for each other word of it."""
+        """A row for each document, with its key and what its frequent words sum up to, and one for each other word of it.
+        Row numbers are made and used in this one pass: a second scan might number the rows otherwise."""
         figures = {w: (n > 0, math.log10(n + 1), log) for w, (n, log) in figures_of.value.items()}
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out = tuple([] for _ in range(7))
+            keys, held = batch.column(1), batch.column(2)
+            for n, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3), strict=True)):
                 words = Counter(text.as_py().lower().split())
                 words[END] += 1
                 tokens = seen = 0
@@ -237,33 +239,37 @@ def score_documents(
                 for word, k in words.items():
                     tokens += k
                     if (f := figures.get(word)) is None:
-                        for column, x in zip(out, (row, word, k, None, None, None), strict=True):
+                        for column, x in zip(out, (row, word, k, None, None, None, None), strict=True):
                             column.append(x)
                     else:
                         seen += k * f[0]
                         base += k * f[1]
                         score += k * f[2]
-                for column, x in zip(out, (row, b" %d" % row, tokens, seen, base, score), strict=True):
+                for column, x in zip(out, (row, b" %d" % row, tokens, seen, base, score, n), strict=True):
                     column.append(x)
                 if len(out[0]) > 50_000:
-                    yield record(out)
-                    out = ([], [], [], [], [], [])
-            yield record(out)
+                    yield record(out, keys, held)
+                    out = tuple([] for _ in range(7))
+            yield record(out, keys, held)
 
-    def record(columns: tuple[list, ...]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["row", "word", "k", "seen", "base", "log_sum"])
+    def record(columns: tuple[list, ...], keys: pa.Array, held: pa.Array) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
+        *own, at = (pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))
+        return pa.RecordBatch.from_arrays([*own, keys.take(at), held.take(at)], names=["row", "word", "k", "seen", "base", "log_sum", "key", "held_out"])
 
-    words = rows.select("row", "text").mapInArrow(look_up, "row long, word binary, k long, seen long, base double, log_sum double")
+    kind = docs.schema[key].dataType.simpleString()
+    words = rows.mapInArrow(tidy(look_up), f"row long, word binary, k long, seen long, base double, log_sum double, key {kind}, held_out boolean")
     joined = words.join(priced.select("word", "n", "log"), "word", "left")
     whole, k = F.col("seen").isNotNull(), F.col("k")
     sums = joined.groupBy("row").agg(
+        F.max("key").alias("key"),
+        F.max("held_out").alias("held_out"),
         F.sum(F.when(whole, k)).alias("n_tokens"),
         F.sum(F.when(whole, F.col("seen")).when(F.col("n") > 0, k).otherwise(0)).alias("n_known"),
         F.sum(F.when(whole, F.col("base")).otherwise(k * F.log10(F.col("n") + 1))).alias("base"),
         F.sum(F.when(whole, F.col("log_sum")).otherwise(k * F.col("log"))).alias("score"),
     )
-    return rows.select("row", "key", "held_out").join(sums, "row").select(
+    return sums.select(
         F.col("key").alias(key),
         "held_out",
         "n_tokens",

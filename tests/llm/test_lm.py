@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from tasteframe.llm import lm
@@ -76,3 +77,15 @@ def test_odd_rows(spark):
     rows = lm.score_documents(df, path, "doc_id = 3").collect()
     assert sorted(r.n_tokens for r in rows) == [1, 1, 1, 2, 4] and all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert lm.score_documents(df.limit(0), path, "false").count() == 0
+
+
+def test_shuffled_and_joined_inputs_keep_all_rows(spark):
+    """Row numbers must not be made twice: inputs whose partitions differ from scan to scan."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    path, held = public_tokenizers.path("piece_bpe_32k.model"), "doc_id % 7 = 2"
+    want = {r.doc_id: r.n_tokens for r in lm.score_documents(docs, path, held).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    for own in (docs.repartition("doc_id"), docs.join(labels, "doc_id", "left")):
+        got = lm.score_documents(own, path, held).collect()
+        assert len(got) == len(want) and {r.doc_id: r.n_tokens for r in got} == want
