@@ -111,26 +111,29 @@ def nearest(
     block, dimension = block.sort_by(key), len(centre)
     keys, originals = block[key].to_numpy(), matrix(block[vector], dimension)
     packed = np.frombuffer(b"".join(block["code"].to_pylist()), dtype=np.uint8).reshape(len(keys), -1)
-    signs = np.unpackbits(packed, axis=1, count=dimension).astype(np.float32) * 2 - 1
+    signs = np.unpackbits(packed, axis=1, count=dimension) * 2.0 - 1
     length, cosine = block["length"].to_numpy(), block["cosine"].to_numpy()
-    scale = (length / cosine / np.sqrt(dimension)).astype(np.float32)
-    slack = (length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine * width / np.sqrt(max(dimension - 1, 1))).astype(np.float32)
+    scale = length / cosine / np.sqrt(dimension)
+    # what rounding may add to an estimate is far below 1e-9 of the lengths
+    slack = length * np.sqrt(np.maximum(1 - cosine**2, 0)) / cosine * width / np.sqrt(max(dimension - 1, 1)) + 1e-9 * (length + np.linalg.norm(centre))
     asked, queries, turn = wanted["query_id"].to_numpy(), matrix(wanted["query"], dimension), rotation(dimension)
     few = 3 * k
     out: list[tuple] = []
     for at in range(0, len(asked), rows):
         q, own = queries[at : at + rows], asked[at : at + rows]
-        estimate = (q @ turn).astype(np.float32) @ signs.T * scale + (q @ centre).astype(np.float32)[:, None]
-        bound = np.linalg.norm(q, axis=1).astype(np.float32)[:, None] * slack
-        estimate[own[:, None] == keys] = -np.inf
-        least = np.full(len(own), -np.inf)
+        estimate = (q @ turn) @ signs.T * scale + (q @ centre)[:, None]
+        bound = np.linalg.norm(q, axis=1)[:, None] * slack
+        other = own[:, None] != keys
+        keep = other.copy()
         if len(keys) > few:
             # exact scores of the best by estimate: their k-th is no more than the k-th of all
-            top = np.argpartition(estimate, len(keys) - few, axis=1)[:, len(keys) - few :]
+            top = np.argpartition(np.where(other, estimate, -np.inf), len(keys) - few, axis=1)[:, len(keys) - few :]
             exact = np.einsum("ij,ikj->ik", q, originals[top])
-            exact[np.take_along_axis(estimate, top, axis=1) == -np.inf] = -np.inf
-            least = np.partition(exact, few - k, axis=1)[:, few - k] - 1e-9
-        chosen, which = np.nonzero((estimate + bound >= least[:, None].astype(np.float32)) & (estimate > -np.inf))
+            exact[~np.take_along_axis(other, top, axis=1)] = -np.inf
+            least = np.partition(exact, few - k, axis=1)[:, few - k]
+            keep &= estimate + bound >= least[:, None]
+            np.put_along_axis(keep, top, np.take_along_axis(other, top, axis=1), axis=1)
+        chosen, which = np.nonzero(keep)
         score = np.einsum("ij,ij->i", q[chosen], originals[which])
         order = np.lexsort((which, -score, chosen))
         chosen, which, score = chosen[order], which[order], score[order]

@@ -44,3 +44,20 @@ def test_copies_keep_the_smallest_ids(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)], "vec_id long, embedding array<float>")
     got = ann.search(df, "vec_id = 60 or vec_id = 0", k=20, candidate_block=16, query_block=1).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got] == [*range(1, 21), *range(20)]
+
+
+def test_no_neighbour_is_lost(spark):
+    """One dimension, huge finite components, and vectors that differ by little."""
+    rng = np.random.default_rng(6)
+    line = [[float(v)] for v in rng.standard_normal(400)]
+    near = [[1.0 + float(v) * 1e-7, 1.0] for v in rng.standard_normal(400)]
+    huge = [[1e30, 2e30], [-1e30, 1e30], [3e30, 1.0]]
+    for rows in (line, near, huge):
+        df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+        x = np.array(rows)
+        got = {}
+        for r in ann.search(df, "vec_id % 20 = 0").collect():
+            got.setdefault(r.query_id, []).append(r.score)
+        for q in range(0, len(rows), 20):
+            want = np.sort(np.delete(np.einsum("ij,j->i", x, x[q]), q))[::-1][:20]
+            assert len(got[q]) == len(want) and np.allclose(sorted(got[q], reverse=True), want, rtol=1e-12)
