@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 from weakref import WeakKeyDictionary
 
@@ -83,6 +84,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """What a worker has freed goes back to the machine. Workers wait for their next task beside a full heap."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives its memory back when its task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 @dataclass(frozen=True)
 class ArrowStep:
     """A column computed batch by batch from one source column. function() makes the worker's function, once a task."""
@@ -110,7 +128,7 @@ def add_arrow_columns(df: DataFrame, *steps: ArrowStep, without: tuple[str, ...]
                     own[name] = function(own[source])
                 yield pa.RecordBatch.from_arrays([own[c] for c in (*kept, *made)], names=[*kept, *made])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(batch: pa.RecordBatch, source: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import discard, fresh, mixed, slices, table, text_bytes, written
+from tasteframe.llm.common import discard, fresh, mixed, slices, table, text_bytes, tidy, written
 from tasteframe.llm.components import components
 from tasteframe.llm.substrings import in_bitmap, repeated_bitmap
 from tasteframe.llm.windows import rolling, signed, word_hashes
@@ -58,7 +58,7 @@ def counts_of_all(texts: DataFrame, n: int) -> np.ndarray:
         return pa.table({"part": rows["part"][:1], "some": rows["some"][:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], type=pa.binary())})
 
     schema = "part long, some long, counts binary"
-    sums = texts.mapInArrow(count, schema).groupBy("part", "some").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    sums = texts.mapInArrow(tidy(count), schema).groupBy("part", "some").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     out = np.zeros(COUNTERS, dtype=np.uint32)
     for r in sums.toLocalIterator():
         out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, dtype=np.uint32)
@@ -126,7 +126,7 @@ class Join:
                     columns = [part.column(0), part.column(1), pa.array(sizes, type=pa.int64()), pa.array(ids, type=pa.binary()), pa.array(groups, type=pa.binary()), *(pa.array(x, type=pa.list_(pa.int64())) for x in (prefixes, marks))]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "n", "id", "group", "prefix", "sig"])
 
-        return self.texts.mapInArrow(run, f"key {self.kind}, version int, n long, id binary, group binary, prefix array<long>, sig array<long>")
+        return self.texts.mapInArrow(tidy(run), f"key {self.kind}, version int, n long, id binary, group binary, prefix array<long>, sig array<long>")
 
     def tokens(self) -> DataFrame:
         """token, g, n, pos, many (the group holds several classes): the index of the shingles that stand in the prefixes
@@ -148,7 +148,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays(columns, names=["token", "g", "n", "pos", "many"])
 
         groups = self.groups.select("g", F.col("n").cast("int").alias("n"), F.col("sig").isNull().alias("many"), "prefix")
-        return groups.mapInArrow(run, "token long, g long, n int, pos int, many boolean")
+        return groups.mapInArrow(tidy(run), "token long, g long, n int, pos int, many boolean")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """id and whole set of the given classes: read from the texts again, of documents whose key a bitmap of fixed
@@ -166,7 +166,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.binary()), pa.array([signed(s) for s in sets], type=pa.list_(pa.int64()))], names=["id", "set"])
 
         texts = self.texts.select(F.xxhash64("key").alias("h"), "text")
-        return texts.mapInArrow(run, "id binary, set array<long>").where("size(set) > 0").join(ids, "id", "left_semi")
+        return texts.mapInArrow(tidy(run), "id binary, set array<long>").where("size(set) > 0").join(ids, "id", "left_semi")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the written pairs (a, b) of classes that link, by their whole sets."""

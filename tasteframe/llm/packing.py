@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasteframe.llm.common import gather, slices, table
+from tasteframe.llm.common import gather, slices, table, tidy
 
 #: Marks that the tokenizer splits from a letter before them.
 TAIL = b".,!?;:%*&$#"
@@ -273,7 +273,7 @@ def pack_texts(
         pieces, kind = [], None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 encoded = words.encode(part.column(1).to_pylist())
                 spans = part.column(2).to_pylist() if loss else [None] * part.num_rows
                 for own, (ids, lengths), pairs in zip(part.column(0).to_pylist(), encoded, spans, strict=True):
@@ -286,7 +286,7 @@ def pack_texts(
             yield rows(pieces, kind)
 
     source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *([F.col(loss).alias("loss")] if loss else []))
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(tidy(run), out)
 
 
 def loss_mask(lengths: np.ndarray, pairs: list) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasteframe.llm.common import fresh, mixed, slices, table, text_bytes, written
+from tasteframe.llm.common import fresh, mixed, slices, table, text_bytes, tidy, written
 from tasteframe.llm.windows import BASES, minimizers, rolling, signed, word_hashes
 
 #: Bits of the bitmap: 16 MB, whatever the corpus; and bits of each part of it.
@@ -78,7 +78,7 @@ def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
 
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(rows.select("text").mapInArrow(first_count, "h long, n long")))
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(rows.select("text").mapInArrow(tidy(first_count), "h long, n long")))
 
     def second_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +101,7 @@ def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key:
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "start", "h1", "h2"])
 
     kind = docs.schema[key].dataType.simpleString()
-    windows = rows.mapInArrow(second_count, f"key {kind}, version int, start int, h1 long, h2 int")
+    windows = rows.mapInArrow(tidy(second_count), f"key {kind}, version int, start int, h1 long, h2 int")
     first = windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where("start < 0 or key > least or (key is null and least is not null)")
     start = F.when(F.col("start") < 0, -F.col("start") - 1).otherwise(F.col("start"))
@@ -157,7 +157,7 @@ def cut_windows(
     touched = rows.mapInArrow(to_join, rows.schema)
     same = touched[key].eqNullSafe(F.col(own_key)) & (touched[version] == F.col(its_version))
     joined = touched.join(found.toDF(own_key, its_version, starts), same, "left").select(*others, starts)
-    return rows.mapInArrow(whole_ones, schema).union(joined.mapInArrow(joined_ones, schema))
+    return rows.mapInArrow(tidy(whole_ones), schema).union(joined.mapInArrow(tidy(joined_ones), schema))
 
 
 def cut_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", kept: str = "kept") -> DataFrame:
