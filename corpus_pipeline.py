@@ -43,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed as often as they stand."""
     import public_tokenizers
 
-    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, cache_mb=64)
+    return packing.pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, cache_mb=16)
 
 
 def _cut(docs: DataFrame, operator: Callable[..., DataFrame]) -> DataFrame:
