@@ -401,7 +401,7 @@ ORACLE_SQL["i8_gram"] = ORACLE_SQL["i8_gram"].replace(
 
 @query()
 def i9_item_item(t: Tables) -> DataFrame:
-    b = itemitem.weights(itemitem.gram(itemitem.interactions(t.ratings, t.links, 788918400, count=10)))
+    b = t.cut(itemitem.weights(itemitem.gram(itemitem.interactions(t.ratings, t.links, 788918400, count=10))))
     return itemitem.fold_in(t.seeds, b, b.select(F.col("src").alias("tmdb_id")).distinct(), t.cands)
 
 
@@ -411,9 +411,34 @@ def c7_edges(t: Tables) -> DataFrame:
     return pagerank.edges(t.items).select("media_type", "src", "dst", *r6("w"))
 
 
-@query()
+@query("SELECT user_id, tmdb_id, media_type, round(coalesce(p, 0) / g * (1.0 + vote_count), 4) AS score FROM cands JOIN (SELECT DISTINCT user_id, media_type FROM mine) USING (user_id, media_type) JOIN world USING (tmdb_id, media_type) JOIN items USING (tmdb_id, media_type) LEFT JOIN own USING (user_id, tmdb_id, media_type)")
 def i7_pagerank(t: Tables) -> DataFrame:
-    return pagerank.personal_rank(t.items, t.seeds, t.cands, t.cut)
+    return pagerank.personal_rank(t.items, t.seeds, t.cands, t.cut).select("user_id", *KEY, F.round("score", 4).alias("score"))
+
+
+def _rounds(name: str, restart: str, alpha: float, rounds: int) -> str:
+    """The power iteration for all walkers of a restart (walker, media_type, node, r), a table a round."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT walker, media_type, node, r AS p FROM {restart})"]
+    for i in range(rounds):
+        parts.append(f"""{name}{i + 1} AS MATERIALIZED (SELECT walker, media_type, node, {1 - alpha} * q + r * ({alpha} + {1 - alpha} * (1 - sum(q) OVER (PARTITION BY walker, media_type))) AS p FROM (
+  SELECT walker, media_type, node, sum(q) AS q, sum(r) AS r FROM (SELECT walker, media_type, dst AS node, p * w AS q, 0.0::DOUBLE AS r FROM {name}{i} JOIN graph ON src = node AND graph.media_type = {name}{i}.media_type
+    UNION ALL SELECT walker, media_type, node, 0.0, r FROM {restart}) GROUP BY ALL))""".replace("SELECT walker, media_type, dst", f"SELECT walker, {name}{i}.media_type, dst"))
+    return ",\n".join(parts)
+
+
+ORACLE_SQL["i7_pagerank"] = ORACLE_SQL["i7_pagerank"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+    graph AS MATERIALIZED (SELECT media_type, src, dst, w / sum(w) OVER (PARTITION BY media_type, src) AS w FROM (SELECT l.media_type, l.tmdb_id AS src, target AS dst, sum(CASE WHEN source = 0 THEN 1.0 ELSE 0.4 END::DOUBLE * (1 - 0.5::DOUBLE * pos / greatest(1, length - 1))) AS w
+      FROM listed l JOIN items i ON i.tmdb_id = l.target AND i.media_type = l.media_type GROUP BY 1, 2, 3)),
+    mine AS MATERIALIZED (SELECT user_id, media_type, tmdb_id, weight / sum(weight) OVER (PARTITION BY user_id, media_type) AS r FROM seeds JOIN items USING (tmdb_id, media_type)),
+    starts AS MATERIALIZED (SELECT user_id AS walker, media_type, tmdb_id AS node, r FROM mine),
+    every AS MATERIALIZED (SELECT 0::BIGINT AS walker, media_type, tmdb_id AS node, 1.0::DOUBLE / count(*) OVER (PARTITION BY media_type) AS r FROM items),
+    {_rounds("g", "every", 0.15, 50)},
+    {_rounds("u", "starts", 0.3, 30)},
+    world AS (SELECT media_type, node AS tmdb_id, p AS g FROM g50), own AS (SELECT walker AS user_id, media_type, node AS tmdb_id, p FROM u30)
+    """,
+)
 
 
 def _unit(df: DataFrame) -> DataFrame:

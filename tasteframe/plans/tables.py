@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,15 @@ class Tables:
 
     @staticmethod
     def cut(df: DataFrame) -> DataFrame:
-        """End a lineage: a checkpoint in the folder that the session names; a temporary one only where none is set."""
-        context = df.sparkSession.sparkContext
-        if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-            context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tasteframe-')}")
-        return df.checkpoint()
+        """End a lineage: a table in the folder that the session names; a temporary one only where none is set."""
+        session, context = df.sparkSession, df.sparkSession.sparkContext
+        folder = session.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not folder:
+            folder = f"file://{tempfile.mkdtemp(prefix='tasteframe-')}"
+            context.setCheckpointDir(folder)
+        path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return session.read.schema(df.schema).parquet(path)
 
     @cached_property
     def evaluated(self) -> DataFrame:
