@@ -11,6 +11,14 @@ KEY = ["tmdb_id", "media_type"]
 CHILDREN_CERTIFICATIONS = ["TV-Y", "TV-Y7", "TV-Y7-FV"]
 OLDER_CERTIFICATIONS = ["PG-13", "R", "NC-17", "TV-14", "TV-MA"]
 ANIMATION, FAMILY, KIDS = 16, 10751, 10762
+#: Names of the catalogue's genres.
+GENRES = {
+    28: "Action", 12: "Adventure", 16: "Animation", 35: "Comedy", 80: "Crime", 99: "Documentary",
+    18: "Drama", 10751: "Family", 14: "Fantasy", 36: "History", 27: "Horror", 10402: "Music",
+    9648: "Mystery", 10749: "Romance", 878: "Science Fiction", 10770: "TV Movie", 53: "Thriller",
+    10752: "War", 37: "Western", 10759: "Action & Adventure", 10762: "Kids", 10763: "News",
+    10764: "Reality", 10765: "Sci-Fi & Fantasy", 10766: "Soap", 10767: "Talk", 10768: "War & Politics",
+}
 #: Fixed values of the shared-screen rule.
 SCREENS = ["Roku", "tvOS", "webOS", "Tizen", "Vizio Blink", "Android TV"]
 #: Weight of a term by its group's letter.
@@ -99,6 +107,19 @@ def household_label(titles: Column, kids: Column) -> Column:
     return F.when(titles < 10, "adult").when(share > 0.8, "kids").when((share >= 0.15) & (kids >= 4), "family").otherwise("adult")
 
 
+def genre_names(ids: Column) -> Column:
+    """Names of an array of genre ids; an unknown id is its own text."""
+    known = F.create_map(*(F.lit(x) for pair in GENRES.items() for x in pair))
+    return F.transform(ids, lambda g: F.coalesce(F.try_element_at(known, g.cast("int")), g.cast("string")))
+
+
+def genre_ids(names: Column) -> Column:
+    """Ids of an array of genre names in any case; unknown names go."""
+    known = F.create_map(*(F.lit(x) for g, name in GENRES.items() for x in (name.lower(), g)))
+    found = F.transform(names, lambda n: F.try_element_at(known, F.lower(n)).cast("bigint"))
+    return F.filter(found, lambda g: g.isNotNull())
+
+
 def item_text(genre_names: Column, keyword_names: Column) -> Column:
     """A text for a row of items, with arrays of names: genres all, keywords the first 25."""
     kind = F.when(F.col("media_type") == "movie", "Film").otherwise("TV series")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasteframe.functions import scalars as S
@@ -91,6 +91,20 @@ def family_seeds(own: DataFrame, items: DataFrame, threshold: float = 0.5, keep:
     return rows.withColumn("weight", F.when(less, F.col("weight") * keep).otherwise(F.col("weight"))).drop("kids")
 
 
+def family_candidates(cands: DataFrame, items: DataFrame) -> DataFrame:
+    """Candidates without children's titles."""
+    kids = items.where(S.is_kids()).select(*KEY)
+    return cands.join(kids, KEY, "left_anti")
+
+
+def heaviest(own: DataFrame, n: int | None) -> DataFrame:
+    """the n heaviest seeds of every user, ties to the smaller key; all without n."""
+    if not n:
+        return own
+    order = Window.partitionBy("user_id").orderBy(F.desc("weight"), "media_type", "tmdb_id")
+    return own.withColumn("place_", F.row_number().over(order)).where(F.col("place_") <= n).drop("place_")
+
+
 def unknown_ids(alias: DataFrame, users: DataFrame) -> DataFrame:
     """Accounts of the map that no user has."""
     named = alias.select(F.col("member").alias("user_id")).union(alias.select(F.col("canonical"))).distinct()

@@ -83,3 +83,18 @@ def resolve_titles(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
     near = F.col("year").isNull() | F.col("year_").isNull() | (F.abs(F.col("year") - F.col("year_")) <= 1)
     best = F.min_by("found", F.struct(-F.col("vote_count"), "found"))
     return titles.join(c, on & near).groupBy("rating_key", "media_type").agg(best.alias("tmdb_id"))
+
+
+#: Fixed value: how an external id stands in a list of identifiers.
+EXTERNAL = "tmdb://"
+
+
+def title_sources(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """C14: the id of every title, and where it is from: the first identifier of its list `guids` that has the prefix, else
+    the match by name, else none."""
+    named = F.get(F.filter("guids", lambda g: g.startswith(EXTERNAL)), F.lit(0))
+    given = titles.select("rating_key", "media_type", "title", "year", F.substring(named, len(EXTERNAL) + 1, 20).try_cast("bigint").alias("given"))
+    matched = resolve_titles(given.where("given is null"), catalogue)
+    rows = given.join(matched, ["rating_key", "media_type"], "left")
+    source = F.when(F.col("given").isNotNull(), "identifier").when(F.col("tmdb_id").isNotNull(), "name").otherwise("unresolved")
+    return rows.select("rating_key", "media_type", F.coalesce("given", "tmdb_id").alias("tmdb_id"), source.alias("source"))

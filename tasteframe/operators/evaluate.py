@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,24 +113,24 @@ def paired(rows: DataFrame, metric: str, reference: str) -> DataFrame:
     return users.groupBy("scorer").agg((F.sum("total") / F.sum("n")).alias("delta"), one(mean > 1e-9).alias("wins"), one(mean < -1e-9).alias("losses"), F.count(F.lit(1)).alias("users"))
 
 
+#: Sums of the probabilities of 0, 1, 2, ... draws of a user, whose expected number is one.
+DRAWS = tuple(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]).tolist())
+
+
 def bootstrap(rows: DataFrame, metric: str, reference: str, samples: int = 2000) -> DataFrame:
-    """95 % interval of the mean difference, users drawn with replacement. A user is a sum and a count; one seed a
-    scorer, so results do not depend on the others."""
+    """95 % interval of the mean difference to the reference over resampled users. A user is a sum and a count, drawn
+    a Poisson number of times in each sample (the limit of drawing with replacement), which a hash of user and sample
+    sets; so samples are sums, added up within tasks, and no task holds all users."""
     own = rows.where(F.col(metric).isNotNull() & ~F.isnan(metric))
     base = own.where(F.col("scorer") == reference).select(*UNIT, F.col(metric).alias("base"))
     users = own.join(base, UNIT).groupBy("scorer", "user_id").agg(F.sum(F.col(metric) - F.col("base")).alias("total"), F.count(F.lit(1)).alias("n"))
-
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, rng = pdf.sort_values("user_id"), np.random.default_rng(0)
-        total, n = pdf["total"].to_numpy(), pdf["n"].to_numpy()
-        means = []
-        for _ in range(samples):
-            pick = rng.integers(0, len(pdf), len(pdf))
-            means.append(total[pick].sum() / n[pick].sum())
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"scorer": pdf["scorer"].iloc[:1].to_numpy(), "low": [low], "high": [high]})
-
-    return users.groupBy("scorer").applyInPandas(interval, "scorer string, low double, high double")
+    drawn = users.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("sample").cast("string")).cast("binary")), 1, 8)
+    chance = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
+    times = sum(((chance >= edge).cast("int") for edge in DRAWS), F.lit(0))
+    sums = drawn.withColumn("times", times).groupBy("scorer", "sample").agg(F.sum(F.col("times") * F.col("total")).alias("total"), F.sum(F.col("times") * F.col("n")).alias("n"))
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    return sums.groupBy("scorer").agg(F.percentile(mean, F.lit(0.025)).alias("low"), F.percentile(mean, F.lit(0.975)).alias("high"))
 
 
 def summarise(rows: DataFrame, metrics: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasteframe.functions import scalars as S
@@ -126,21 +126,63 @@ def a4_requests(t: Tables) -> DataFrame:
     return ingest.load_requests(nested)
 
 
-@query("""SELECT tmdb_id, title, year, list_aggregate(genres, 'sum') AS genre_sum, len(keywords) AS n_keywords, list_aggregate("cast", 'sum') AS cast_sum, len(crew) AS n_crew, vote_count FROM items WHERE media_type = 'movie'""")
-def a5_documents(t: Tables) -> DataFrame:
+def _documents(t: Tables) -> DataFrame:
+    """A catalogue document a title, with crew of several jobs."""
     of = lambda c: F.transform(c, lambda x: F.struct(x.alias("id")))
-    crew = F.transform("crew", lambda x: F.struct(x.alias("id"), F.lit("Director").alias("job")))
-    doc = F.to_json(F.struct(F.col("tmdb_id").alias("id"), "title", "release_date", of("genres").alias("genres"), F.struct(of("keywords").alias("keywords")).alias("keywords"), F.struct(of("cast").alias("cast"), F.concat(crew, crew).alias("crew")).alias("credits"), "runtime", "vote_average", "vote_count"))
-    out = ingest.parse_documents(t.items.where("media_type = 'movie'").select(doc.alias("document")))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("tmdb_id", "title", "year", total("genres").alias("genre_sum"), F.size("keywords").cast("long").alias("n_keywords"), total("cast").alias("cast_sum"), F.size("crew").cast("long").alias("n_crew"), "vote_count")
+    named = lambda c: F.transform(c, lambda x: F.struct(x.alias("id"), F.concat(F.lit("word "), x.cast("string")).alias("name")))
+    crew = lambda job, add: F.transform("crew", lambda x: F.struct((x + add).alias("id"), F.lit(job).alias("job")))
+    movie = F.col("media_type") == "movie"
+    places = F.array(F.struct(F.lit("FR").alias("iso_3166_1")))
+    film = F.struct(
+        F.col("tmdb_id").alias("id"), "title", "release_date", of("genres").alias("genres"), F.struct(named("keywords").alias("keywords")).alias("keywords"),
+        F.struct(F.concat(*[of("cast")] * 6).alias("cast"), F.concat(crew("Writer", 50), crew("Director", 0), crew("Director", 0)).alias("crew")).alias("credits"),
+        F.struct(F.array(F.struct(F.lit("US").alias("iso_3166_1"), F.array(F.struct(F.lit("").alias("certification")), F.struct(F.col("certification").alias("certification"))).alias("release_dates"))).alias("results")).alias("release_dates"),
+        F.col("language").alias("original_language"), places.alias("production_countries"), F.struct(F.col("collection_id").alias("id")).alias("belongs_to_collection"), "runtime", "vote_average", "vote_count",
+        F.struct(of("recommendations").alias("results")).alias("recommendations"), F.struct(of("similar").alias("results")).alias("similar"),
+    )
+    show = F.struct(
+        F.col("tmdb_id").alias("id"), F.col("title").alias("name"), F.col("release_date").alias("first_air_date"), of("genres").alias("genres"), F.struct(F.slice(named("keywords"), 1, 0).alias("keywords"), named("keywords").alias("results")).alias("keywords"),
+        F.struct(of("cast").alias("cast"), F.concat(crew("Executive Producer", 0), crew("Director", 50), crew("Creator", 100)).alias("crew")).alias("credits"), F.transform("crew", lambda x: F.struct((x + 100).alias("id"))).alias("created_by"),
+        F.struct(F.array(F.struct(F.lit("DE").alias("iso_3166_1"), F.lit("12").alias("rating")), F.struct(F.lit("US").alias("iso_3166_1"), F.col("certification").alias("rating"))).alias("results")).alias("content_ratings"),
+        F.col("language").alias("original_language"), F.array(F.lit("US")).alias("origin_country"), places.alias("production_countries"), F.array("runtime", F.lit(7)).alias("episode_run_time"), F.lit(3).alias("number_of_seasons"), "vote_average", "vote_count",
+        F.struct(of("recommendations").alias("results")).alias("recommendations"), F.struct(of("similar").alias("results")).alias("similar"),
+    )
+    return t.items.select("media_type", F.when(movie, F.to_json(film)).otherwise(F.to_json(show)).alias("document"))
+
+
+def texts(*columns: str) -> list:
+    """Lists as texts, which both engines spell alike."""
+    return [F.array_join(c, ",").alias(c) for c in columns]
+
+
+@query("""SELECT tmdb_id, media_type, title, release_date, year, array_to_string(genres, ',') AS genres, array_to_string(keywords, ',') AS keywords,
+  array_to_string(CASE WHEN media_type = 'movie' THEN list_concat("cast", "cast", "cast", "cast", "cast") ELSE "cast" END, ',') AS "cast",
+  array_to_string(CASE WHEN media_type = 'movie' THEN crew ELSE list_concat(list_transform(crew, lambda x: x + 100), crew) END, ',') AS crew, language,
+  CASE WHEN media_type = 'movie' THEN 'FR' ELSE 'US' END AS countries, certification, collection_id, runtime, CASE WHEN media_type = 'show' THEN 3 END AS seasons, vote_average, vote_count,
+  array_to_string(recommendations, ',') AS recommendations, array_to_string(similar_ids, ',') AS "similar" FROM items""")
+def a5_documents(t: Tables) -> DataFrame:
+    out = ingest.parse_documents(_documents(t)).drop("popularity", "poster_path", "overview")
+    lists = ("genres", "keywords", "cast", "crew", "countries", "recommendations", "similar")
+    return out.select(*(c for c in out.columns if c not in (*lists, "runtime")), F.col("runtime").cast("long").alias("runtime"), *texts(*lists))
 
 
-@query("SELECT tmdb_id, media_type, len(genres) AS n_genres, recommendations[2] AS second, vote_average FROM items")
+@query("SELECT DISTINCT k AS keyword_id, concat('word ', k) AS name FROM (SELECT unnest(keywords) AS k FROM items)")
+def d16_keyword_names(t: Tables) -> DataFrame:
+    return ingest.keyword_names(_documents(t))
+
+
+@query("""SELECT CASE WHEN user_id % 2 = 0 THEN 'now' ELSE 'old' END || user_id AS key, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE 'kept' END AS "value" FROM users""")
+def a9_metadata(t: Tables) -> DataFrame:
+    even = F.col("user_id") % 2 == 0
+    stored = t.users.select(F.concat(F.when(even, "now").otherwise("old"), F.col("user_id").cast("string")).alias("key"), F.lit("kept").alias("value"))
+    return ingest.metadata(stored, stored.where("key like 'now%'").withColumn("value", F.lit("new")))
+
+
+@query("SELECT tmdb_id, media_type, array_to_string(genres, ',') AS genres, array_to_string(recommendations, ',') AS recommendations, vote_average FROM items")
 def a7_load_items(t: Tables) -> DataFrame:
     lists = ("genres", "recommendations")
     stored = t.items.withColumns({c: F.to_json(c) for c in lists})
-    return ingest.load_items(stored, lists).select(*KEY, F.size("genres").cast("long").alias("n_genres"), F.get("recommendations", F.lit(1)).alias("second"), "vote_average")
+    return ingest.load_items(stored, lists).select(*KEY, *texts(*lists), "vote_average")
 
 
 @query("SELECT DISTINCT tmdb_id, media_type FROM requests r WHERE NOT EXISTS (SELECT 1 FROM library l WHERE l.tmdb_id = r.tmdb_id AND l.media_type = r.media_type)")
@@ -203,9 +245,12 @@ def d5_unresolved(t: Tables) -> DataFrame:
     return engagement.unresolved_share(t.plays, t.titles).withColumn("unresolved", F.round("unresolved", 6))
 
 
-@query("SELECT * FROM folds")
+@query("SELECT fold_id, cutoff, window_end, count(date) AS plays FROM folds LEFT JOIN plays ON date > cutoff AND date <= window_end GROUP BY 1, 2, 3")
 def h8_folds(t: Tables) -> DataFrame:
-    return t.folds.select("fold_id", "cutoff", "window_end")
+    """Folds, and the plays in the window of each."""
+    days = t.plays.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    inside = (F.col("date") > F.col("cutoff")) & (F.col("date") <= F.col("window_end"))
+    return t.folds.join(days, inside, "left").groupBy("fold_id", "cutoff", "window_end").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("plays"))
 
 
 @query("SELECT * FROM fold_users")
@@ -244,12 +289,15 @@ def c6_others_demand(t: Tables) -> DataFrame:
     return t.demand
 
 
-@query(f"""SELECT user_id, count(*) AS seeds, round(sum(weight), 4) AS weight FROM (SELECT user_id, tmdb_id, media_type, weight FROM seeds UNION ALL
+#: Seeds and requests of their own users.
+INTENT = f"""SELECT user_id, tmdb_id, media_type, weight FROM seeds UNION ALL
   SELECT user_id, tmdb_id, media_type, 1.0 FROM (SELECT DISTINCT user_id, tmdb_id, media_type FROM requests WHERE user_id IS NOT NULL AND created_at <= {NOW}) r JOIN items USING (tmdb_id, media_type)
-  WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.user_id = r.user_id AND s.tmdb_id = r.tmdb_id AND s.media_type = r.media_type)) GROUP BY 1""")
+  WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.user_id = r.user_id AND s.tmdb_id = r.tmdb_id AND s.media_type = r.media_type)"""
+
+
+@query(f"SELECT user_id, tmdb_id, media_type, round(weight, 6) AS weight FROM ({INTENT})")
 def c12_intent_seeds(t: Tables) -> DataFrame:
-    out = contexts.intent_seeds(t.seeds, t.requests, t.items, F.lit(NOW))
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("seeds"), F.round(F.sum("weight"), 4).alias("weight"))
+    return contexts.intent_seeds(t.seeds, t.requests, t.items, F.lit(NOW)).select("user_id", *KEY, *r6("weight"))
 
 
 @query("SELECT coalesce(canonical, user_id) AS user_id, tmdb_id, media_type, min(created_at) AS created_at FROM requests LEFT JOIN alias ON member = user_id WHERE user_id IS NOT NULL GROUP BY 1, 2, 3")
@@ -532,7 +580,13 @@ ORACLE_SQL["j7_paired"] = ORACLE_SQL["j7_paired"].replace(
 
 @query()
 def j8_bootstrap(t: Tables) -> DataFrame:
-    return evaluate.bootstrap(_ndcg_rows(t), "ndcg", "votes")
+    return evaluate.bootstrap(_ndcg_rows(t), "ndcg", "votes").select("scorer", *r6("low", "high"))
+
+
+_SAMPLES = f"""SELECT scorer, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM (SELECT scorer, sample, sum(k * d) / nullif(sum(k * n), 0) AS mean FROM (
+  SELECT *, {" + ".join(f"(u >= {edge!r})::INTEGER" for edge in evaluate.DRAWS)} AS k FROM (SELECT *, ('0x' || substr(md5(user_id || ':' || sample), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    FROM (SELECT a.scorer, user_id, sum(a.v - b.v) AS d, count(*) AS n FROM nd a JOIN (SELECT * FROM nd WHERE scorer = 'votes') b USING (user_id) GROUP BY 1, 2) CROSS JOIN (SELECT unnest(range(2000)) AS sample))) GROUP BY 1, 2) GROUP BY 1"""
+ORACLE_SQL["j8_bootstrap"] = ORACLE_SQL["j7_paired"][: ORACLE_SQL["j7_paired"].rindex("SELECT scorer, round(sum(d)")] + _SAMPLES
 
 
 @query("SELECT scorer, round(avg(v), 6) AS ndcg, count(*) AS units FROM nd GROUP BY 1")
@@ -598,10 +652,9 @@ def h10_item_text(t: Tables) -> DataFrame:
     return t.items.withColumn("overview", F.lit("")).select(*KEY, S.item_text(names("genres"), names("keywords")).alias("text"))
 
 
-@query("""SELECT tmdb_id, round(u[1], 5) AS first, round(u[2], 5) AS second FROM (SELECT tmdb_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9)) AS u FROM (SELECT tmdb_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM vectors))""")
+@query("""SELECT tmdb_id, i, round(u[i], 5) AS x FROM (SELECT tmdb_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9)) AS u FROM (SELECT tmdb_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM vectors)) CROSS JOIN (SELECT unnest(range(1, 65))::INTEGER AS i) WHERE i <= len(u)""")
 def h14_unit_vectors(t: Tables) -> DataFrame:
-    u = S.unit_vector(F.col("embedding"), 32)
-    return t.vectors.select("tmdb_id", F.round(u[0], 5).alias("first"), F.round(u[1], 5).alias("second"))
+    return t.vectors.select("tmdb_id", F.posexplode(S.unit_vector(F.col("embedding"))).alias("i", "x")).select("tmdb_id", (F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
 
 
 @query("""SELECT a.tmdb_id, b.tmdb_id AS n_tmdb_id, round(list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])), 5) AS sim FROM unit a JOIN universe USING (tmdb_id, media_type) CROSS JOIN unit b JOIN library l ON l.tmdb_id = b.tmdb_id AND l.media_type = b.media_type""")
@@ -632,3 +685,134 @@ def i15_production(t: Tables) -> DataFrame:
 @query()
 def i17_prompts(t: Tables) -> DataFrame:
     return ranking.prompts(t.seeds, t.negatives, ranking.cold_start(t.cands, t.items, 2001), t.items)
+
+
+@query("""SELECT rating_key, media_type, coalesce(given, m.tmdb_id) AS tmdb_id, CASE WHEN given IS NOT NULL THEN 'identifier' WHEN m.tmdb_id IS NOT NULL THEN 'name' ELSE 'unresolved' END AS source
+  FROM (SELECT *, CASE WHEN rating_key % 3 = 0 THEN rating_key + 5 END AS given FROM titles) LEFT JOIN (SELECT rating_key, t.media_type, arg_min(i.tmdb_id, -i.vote_count * 10000000 + i.tmdb_id) AS tmdb_id FROM titles t
+    JOIN items i ON i.media_type = t.media_type AND lower(i.title) = lower(t.title) AND (t.year IS NULL OR i.year IS NULL OR abs(t.year - i.year) <= 1) GROUP BY 1, 2) m USING (rating_key, media_type)""")
+def c14_title_sources(t: Tables) -> DataFrame:
+    key = F.col("rating_key")
+    lists = F.when(key % 3 == 0, F.array(F.lit("imdb://tt1"), F.concat(F.lit("tmdb://"), (key + 5).cast("string")), F.lit("tmdb://9"))).when(key % 3 == 1, F.array(F.lit("tvdb://7")))
+    return engagement.title_sources(t.titles.withColumn("guids", lists), t.items)
+
+
+@query(f"SELECT user_id, tmdb_id, media_type FROM cands JOIN kids USING (tmdb_id, media_type) WHERE NOT kids")
+def i13_family_candidates(t: Tables) -> DataFrame:
+    return contexts.family_candidates(t.cands, t.items)
+
+
+@query("SELECT user_id, tmdb_id, media_type, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, media_type, tmdb_id) AS n FROM seeds) WHERE n <= 15")
+def f3_heaviest_seeds(t: Tables) -> DataFrame:
+    return contexts.heaviest(t.seeds, 15).select("user_id", *KEY, *r6("weight"))
+
+
+@query()
+def i14_intent(t: Tables) -> DataFrame:
+    """A scorer over seeds with requests among them."""
+    own = contexts.intent_seeds(t.seeds, t.requests, t.items, F.lit(NOW))
+    return baselines.content_profile(own, t.items, t.cands).select("user_id", *KEY, *r6("score"))
+
+
+ORACLE_SQL["i14_intent"] = ORACLE_SQL["i5_content_profile"].replace("FROM seeds JOIN sp USING", f"FROM ({INTENT}) JOIN sp USING")
+
+
+@query("SELECT count(*) AS covered FROM items WHERE media_type = 'movie' AND tmdb_id IN (SELECT tmdb_id FROM inter)")
+def d18_covered(t: Tables) -> DataFrame:
+    return itemitem.covered(t.items, itemitem.interactions(t.ratings, t.links, 788918400, count=10).select("tmdb_id").distinct())
+
+
+@query("SELECT i AS src, j AS dst, g AS b FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY abs(g) DESC, i) AS n FROM pairs) WHERE n <= 20")
+def e7_strongest(t: Tables) -> DataFrame:
+    """The strongest of the weights of each target; here weights are the Gram matrix's own, which SQL has too."""
+    g = itemitem.gram(itemitem.interactions(t.ratings, t.links, 788918400, count=10))
+    return itemitem.strongest(g.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("g").cast("long").alias("b")), 20)
+
+
+_GRAM = ORACLE_SQL["i8_gram"].rindex("SELECT i, j, CAST(")
+ORACLE_SQL["d18_covered"] = ORACLE_SQL["i8_gram"][:_GRAM] + "SELECT count(*) AS covered FROM items WHERE media_type = 'movie' AND tmdb_id IN (SELECT tmdb_id FROM inter)"
+ORACLE_SQL["e7_strongest"] = f"""{ORACLE_SQL["i8_gram"][:_GRAM].rstrip()}, pairs AS ({ORACLE_SQL["i8_gram"][_GRAM:]})
+SELECT i AS src, j AS dst, g AS b FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY abs(g) DESC, i) AS n FROM pairs) WHERE n <= 20"""
+
+
+@query(f"""SELECT user_id, tmdb_id, media_type, title, vote_count, kids.kids, place - 1 AS rank, (least(300, count(*) OVER (PARTITION BY user_id)) - place + 1)::DOUBLE AS score
+  FROM (SELECT user_id, tmdb_id, media_type, title, vote_count, row_number() OVER (PARTITION BY user_id ORDER BY NOT coalesce(release_date >= '1998', false), vote_count DESC, media_type, tmdb_id) AS place FROM cands JOIN items USING (tmdb_id, media_type))
+  JOIN kids USING (tmdb_id, media_type) QUALIFY place <= 300""")
+def e8_complete(t: Tables) -> DataFrame:
+    placed = ranking.cold_start(t.cands, t.items, 2001).withColumn("place", F.col("place").cast("long"))
+    return ranking.complete(placed, t.cands, t.items).select("user_id", *KEY, "title", "vote_count", "kids", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query("SELECT tmdb_id, media_type, CASE tmdb_id % 3 WHEN 1 THEN 'Next after ' || title WHEN 2 THEN 'Because you watched ' || title END AS reason FROM items")
+def h11_reasons(t: Tables) -> DataFrame:
+    entry = F.struct(F.col("title").alias("seed"), F.when(F.col("tmdb_id") % 3 == 1, "next_in_series").otherwise("similar").alias("kind"))
+    why = F.when(F.col("tmdb_id") % 3 == 0, F.slice(F.array(entry), 1, 0)).otherwise(F.array(entry, entry))
+    return t.items.select(*KEY, S.reason(why).alias("reason"))
+
+
+@query("""SELECT tmdb_id, media_type, array_to_string(list_transform(genres, lambda g: CASE g WHEN 16 THEN 'Animation' WHEN 10751 THEN 'Family' WHEN 10762 THEN 'Kids' WHEN 35 THEN 'Comedy' WHEN 27 THEN 'Horror' WHEN 36 THEN 'History' WHEN 37 THEN 'Western' ELSE g::VARCHAR END), ', ') AS names,
+  array_to_string(list_filter(genres, lambda g: g IN (16, 10751, 10762, 35, 27, 36, 37)), ',') AS back FROM items""")
+def h15_genre_names(t: Tables) -> DataFrame:
+    names = S.genre_names(F.col("genres"))
+    return t.items.select(*KEY, F.array_join(names, ", ").alias("names"), F.array_join(S.genre_ids(F.transform(names, F.upper)), ",").alias("back"))
+
+
+@query("""SELECT user_id, tmdb_id, media_type, n.tmdb_id IS NOT NULL AS continuation, round(fused.score + CASE WHEN n.tmdb_id IS NOT NULL THEN 0.1 ELSE 0 END, 6) AS score FROM fused LEFT JOIN nexts n USING (user_id, tmdb_id, media_type)""")
+def i11_bonus(t: Tables) -> DataFrame:
+    weights = t.spark.createDataFrame([(c, m, w) for c, w in (("votes", 1.0), ("pool", 2.0)) for m in ("movie", "show")], "component string, media_type string, weight double")
+    fused = blend.fuse(t.scores.withColumnRenamed("scorer", "component").drop("unit"), weights)
+    return blend.with_bonus(fused, blend.continuations(t.seeds, t.cands, t.items)).select("user_id", *KEY, "continuation", *r6("score"))
+
+
+_FUSED, _NEXTS = (ORACLE_SQL[n][ORACLE_SQL[n].index(SHARED) + len(SHARED) :].replace("round(sum(w * pct) / sum(w), 6)", "sum(w * pct) / sum(w)") for n in ("i10_percentile_blend", "c11_continuations"))
+ORACLE_SQL["i11_bonus"] = ORACLE_SQL["i11_bonus"].replace(f"{SHARED}\n", f"{SHARED},\nfused AS ({_FUSED}), nexts AS (SELECT user_id, tmdb_id, 'movie' AS media_type FROM ({_NEXTS}))\n")
+
+
+@query("""SELECT user_id, tmdb_id, media_type, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN listed >= 5 THEN seq END NULLS LAST, place) AS new_place
+  FROM (SELECT *, count(seq) OVER (PARTITION BY user_id) AS listed FROM base LEFT JOIN (SELECT user_id, number, min(seq) AS seq FROM given WHERE number BETWEEN 1 AND 60 GROUP BY 1, 2) g ON g.user_id = base.user_id AND number = place)""".replace("SELECT *, count(seq) OVER (PARTITION BY user_id)", "SELECT base.*, seq, count(seq) OVER (PARTITION BY base.user_id)"))
+def i16_apply_order(t: Tables) -> DataFrame:
+    """An outside ordering of 2 to 13 numbers a user, some of them twice or not in the list."""
+    seqs = F.explode(F.sequence(F.lit(1), (F.col("user_id") % 12 + 2).cast("int"))).alias("seq")
+    given = t.users.select("user_id", seqs).withColumn("number", ((F.col("seq") * 7 + F.col("user_id")) % 65).cast("int"))
+    return blend.apply_order(ranking.cold_start(t.cands, t.items, 2001), given).select("user_id", *KEY, "new_place")
+
+
+ORACLE_SQL["i16_apply_order"] = ORACLE_SQL["i16_apply_order"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+    base AS ({ORACLE_SQL["f2_cold_start"][ORACLE_SQL["f2_cold_start"].index(SHARED) + len(SHARED) :]}),
+    given AS (SELECT user_id, seq, (seq * 7 + user_id) % 65 AS number FROM (SELECT user_id, unnest(range(1, user_id % 12 + 3)) AS seq FROM users))
+    """,
+)
+
+
+@query("""SELECT user_id AS request_id, tmdb_id, media_type, round(sum(w * sim) * (0.5 + 0.5 * (1 - any_value(place) / any_value(size)::DOUBLE)), 5) AS score FROM shelf JOIN near USING (tmdb_id, media_type) JOIN wanted USING (user_id, n_tmdb_id, n_media_type) GROUP BY 1, 2, 3""")
+def k3_focus(t: Tables) -> DataFrame:
+    """Every user's library list, by votes, brought near their three heaviest seeds."""
+    votes = F.row_number().over(Window.orderBy(F.desc("vote_count"), "media_type", "tmdb_id")) - 1
+    shelf = t.library.join(t.items, KEY).select(*KEY, votes.alias("place")).crossJoin(t.users).withColumn("surface", F.lit("library"))
+    wanted = contexts.heaviest(t.seeds, 3).select(F.col("user_id").alias("request_id"), "user_id", F.lit("library").alias("surface"), F.col("tmdb_id").alias("seed_id"), F.col("media_type").alias("seed_type"), "weight")
+    seeds = t.space.join(t.seeds.select(*KEY).distinct(), KEY, "left_semi")
+    near = features.similarity(seeds, t.space.join(t.library, KEY, "left_semi"))
+    return serve.focus(wanted, shelf, near).select("request_id", *KEY, F.round("score", 5).alias("score"))
+
+
+ORACLE_SQL["k3_focus"] = ORACLE_SQL["k3_focus"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+    shelf AS (SELECT user_id, tmdb_id, media_type, row_number() OVER (PARTITION BY user_id ORDER BY vote_count DESC, media_type, tmdb_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS size FROM library JOIN items USING (tmdb_id, media_type) CROSS JOIN users),
+    wanted AS (SELECT user_id, tmdb_id AS n_tmdb_id, media_type AS n_media_type, weight AS w FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, media_type, tmdb_id) AS n FROM seeds) WHERE n <= 3),
+    near AS (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN library l ON l.tmdb_id = a.tmdb_id AND l.media_type = a.media_type
+      JOIN space b ON a.term = b.term JOIN (SELECT DISTINCT tmdb_id, media_type FROM seeds) s ON s.tmdb_id = b.tmdb_id AND s.media_type = b.media_type GROUP BY 1, 2, 3, 4)
+    """,
+)
+
+
+@query("""SELECT canonical, member, error FROM (SELECT canonical, m AS member, CASE canonical // 10 % 4 WHEN 1 THEN 'malformed' WHEN 2 THEN 'own member' WHEN 3 THEN 'in two groups' END AS error
+  FROM (SELECT canonical, unnest(CASE canonical // 10 % 4 WHEN 0 THEN [member, member + 1000000] WHEN 1 THEN [NULL::BIGINT] WHEN 2 THEN [canonical] ELSE [member, member] END) AS m FROM alias))""")
+def k4_parse(t: Tables) -> DataFrame:
+    """Account maps, three in four of them wrong in some way."""
+    c, m = (F.col(x).cast("string") for x in ("canonical", "member"))
+    pair = F.concat(c, F.lit(":"), m)
+    kind = F.expr("canonical div 10 % 4")
+    text = F.when(kind == 0, F.concat(F.lit(" "), pair, F.lit(" , "), (F.col("member") + 1000000).cast("string"), F.lit(";"))).when(kind == 1, c).when(kind == 2, F.concat(c, F.lit(":"), c)).otherwise(F.concat(pair, F.lit(";"), pair))
+    return serve.parse_groups(t.alias.select(text.alias("map"))).select("canonical", "member", "error")

@@ -41,34 +41,73 @@ def load_requests(rows: DataFrame) -> DataFrame:
     )
 
 
-DOCUMENT = """id bigint, title string, release_date string, genres array<struct<id:bigint,name:string>>,
- keywords struct<keywords:array<struct<id:bigint,name:string>>,results:array<struct<id:bigint,name:string>>>,
- credits struct<cast:array<struct<id:bigint>>,crew:array<struct<id:bigint,job:string>>>, runtime int, vote_average double, vote_count bigint"""
-
-
-def parse_documents(rows: DataFrame, document: str = "document") -> DataFrame:
-    """Catalogue documents (JSON text) as items: lists of ids, ten of the cast, directors and writers once
-    each, keywords under either of two names, the year from the date."""
-    d = F.from_json(F.col(document), DOCUMENT)
-    ids = lambda x: F.transform(x, lambda y: y["id"])
-    crew = F.filter(F.col("d.credits.crew"), lambda c: c["job"].isin("Director", "Writer"))
-    words = F.coalesce(F.col("d.keywords.keywords"), F.col("d.keywords.results"))
-    none = F.array().cast("array<bigint>")
-    return rows.select(d.alias("d")).select(
-        F.col("d.id").alias("tmdb_id"),
-        F.col("d.title").alias("title"),
-        F.col("d.release_date").alias("release_date"),
-        F.substring("d.release_date", 1, 4).try_cast("int").alias("year"),
-        F.coalesce(ids(F.col("d.genres")), none).alias("genres"),
-        F.coalesce(ids(words), none).alias("keywords"),
-        F.slice(F.coalesce(ids(F.col("d.credits.cast")), none), 1, 10).alias("cast"),
-        F.array_distinct(F.coalesce(ids(crew), none)).alias("crew"),
-        F.col("d.runtime").alias("runtime"),
-        F.coalesce(F.col("d.vote_average"), F.lit(0.0)).alias("vote_average"),
-        F.coalesce(F.col("d.vote_count"), F.lit(0)).alias("vote_count"),
+_IDS = "array<struct<id:bigint>>"
+_NAMED = "array<struct<id:bigint,name:string>>"
+DOCUMENT = f"""id bigint, title string, name string, release_date string, first_air_date string, genres {_NAMED},
+ keywords struct<keywords:{_NAMED},results:{_NAMED}>, credits struct<cast:{_IDS},crew:array<struct<id:bigint,job:string>>>, created_by {_IDS},
+ release_dates struct<results:array<struct<iso_3166_1:string,release_dates:array<struct<certification:string>>>>>,
+ content_ratings struct<results:array<struct<iso_3166_1:string,rating:string>>>, original_language string, origin_country array<string>,
+ production_countries array<struct<iso_3166_1:string>>, belongs_to_collection struct<id:bigint>, runtime int, episode_run_time array<int>,
+ number_of_seasons int, vote_average double, vote_count bigint, popularity double, recommendations struct<results:{_IDS}>,
+ similar struct<results:{_IDS}>, poster_path string, overview string"""
+#: The jobs that count as makers of a film and of a show.
+FILM_JOBS, SHOW_JOBS, HOME = ["Director"], ["Creator", "Executive Producer"], "US"
+
+
+def _keywords(d: Column) -> Column:
+    """Keywords stand under either of two names; an empty list counts as none."""
+    first = d["keywords"]["keywords"]
+    return F.when(F.size(first) > 0, first).otherwise(d["keywords"]["results"])
+
+
+def parse_documents(rows: DataFrame, document: str = "document", media_type: str = "media_type") -> DataFrame:
+    """Catalogue documents (JSON text, with their type) as items: release date by type and its year, lists of
+    ids, ten of the cast, makers once each (directors; of shows the creators first, then creators and executive producers
+    of the crew), home certification, the first episode's run time, countries, collection and listed titles. What a
+    document lacks is null, a list is empty; text that is no JSON is an item without an id."""
+    d = F.col("d")
+    movie = F.col("media_type") == "movie"
+    none, names = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    ids = lambda x: F.coalesce(F.transform(x, lambda y: y["id"]), none)
+    jobs = lambda wanted: ids(F.filter(d["credits"]["crew"], lambda c: c["job"].isin(wanted)))
+    last = lambda x: F.try_element_at(x, F.lit(-1))
+    home = lambda x: last(F.filter(x, lambda e: e["iso_3166_1"] == HOME))
+    releases = F.filter(home(d["release_dates"]["results"])["release_dates"], lambda r: r["certification"] != "")
+    rated = F.when(movie, F.get(releases, F.lit(0))["certification"]).otherwise(F.nullif(home(d["content_ratings"]["results"])["rating"], F.lit("")))
+    out = F.nullif(F.when(movie, d["release_date"]).otherwise(d["first_air_date"]), F.lit(""))
+    countries = F.when(F.size(d["origin_country"]) > 0, d["origin_country"]).otherwise(F.coalesce(F.transform(d["production_countries"], lambda c: c["iso_3166_1"]), names))
+    return rows.select(F.col(media_type).alias("media_type"), F.from_json(F.col(document), DOCUMENT).alias("d")).select(
+        d["id"].alias("tmdb_id"),
+        "media_type",
+        F.coalesce(F.nullif(d["title"], F.lit("")), d["name"]).alias("title"),
+        out.alias("release_date"),
+        F.substring(out, 1, 4).try_cast("int").alias("year"),
+        ids(d["genres"]).alias("genres"),
+        ids(_keywords(d)).alias("keywords"),
+        F.slice(ids(d["credits"]["cast"]), 1, 10).alias("cast"),
+        F.array_distinct(F.when(movie, jobs(FILM_JOBS)).otherwise(F.concat(ids(d["created_by"]), jobs(SHOW_JOBS)))).alias("crew"),
+        d["original_language"].alias("language"),
+        countries.alias("countries"),
+        rated.alias("certification"),
+        d["belongs_to_collection"]["id"].alias("collection_id"),
+        F.when(movie, d["runtime"]).otherwise(F.get(d["episode_run_time"], F.lit(0))).alias("runtime"),
+        F.when(~movie, d["number_of_seasons"]).alias("seasons"),
+        F.coalesce(d["vote_average"], F.lit(0.0)).alias("vote_average"),
+        F.coalesce(d["vote_count"], F.lit(0)).alias("vote_count"),
+        F.coalesce(d["popularity"], F.lit(0.0)).alias("popularity"),
+        ids(d["recommendations"]["results"]).alias("recommendations"),
+        ids(d["similar"]["results"]).alias("similar"),
+        d["poster_path"].alias("poster_path"),
+        d["overview"].alias("overview"),
     )
 
 
+def keyword_names(rows: DataFrame, document: str = "document") -> DataFrame:
+    """Id and name of every keyword that documents name; of several names the first in alphabetical order."""
+    words = F.explode(_keywords(F.from_json(F.col(document), DOCUMENT))).alias("k")
+    return rows.select(words).where("k.id is not null").groupBy(F.col("k.id").alias("keyword_id")).agg(F.min("k.name").alias("name"))
+
+
 def read_ratings(spark: SparkSession, ratings_path: str, links_path: str) -> tuple[DataFrame, DataFrame]:
     """Rating and link files with declared schemas."""
     ratings = spark.read.csv(ratings_path, header=True, schema="userId bigint, movieId bigint, rating double, timestamp bigint")
@@ -96,6 +135,11 @@ def append_record(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def metadata(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(key, value) records by key: incoming ones replace stored ones."""
+    return upsert(stored.select("key", "value"), incoming.select("key", "value"), ["key"])
+
+
 def summary(rows: DataFrame, *by: str) -> DataFrame:
     """A10: row counts by the given columns."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
