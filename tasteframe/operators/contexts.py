@@ -68,6 +68,27 @@ def others_demand(own: DataFrame, requests: DataFrame, cutoff: Column, cands: Da
     return out.select("user_id", *KEY, (F.coalesce("total", F.lit(0)) - F.coalesce("mine", F.lit(0))).alias("demand"))
 
 
+def fold_candidates(users: DataFrame, titles: DataFrame, engaged: DataFrame, cuts: DataFrame) -> DataFrame:
+    """C5 for folds: (fold_id, user_id, key): each fold's universe for its users, without what they had watched by then."""
+    seen = _by_cutoff(engaged.where("label = 'positive'"), "first_at", cuts)
+    return users.select("fold_id", "user_id").join(titles.select("fold_id", *KEY), "fold_id").join(seen, ["fold_id", "user_id", *KEY], "left_anti")
+
+
+def fold_demand(engaged: DataFrame, requests: DataFrame, cuts: DataFrame, cands: DataFrame) -> DataFrame:
+    """C6 for folds: what others had asked for or watched by each fold's cutoff, for the candidates of fold_candidates."""
+    asked = _by_cutoff(requests, "created_at", cuts).distinct().withColumn("what", F.lit("asked"))
+    acts = asked.unionByName(_by_cutoff(engaged.where("label = 'positive'"), "first_at", cuts).distinct().withColumn("what", F.lit("seen")))
+    total = acts.groupBy("fold_id", *KEY).agg(F.count(F.lit(1)).alias("total"))
+    mine = acts.where(F.col("user_id").isNotNull()).groupBy("fold_id", "user_id", *KEY).agg(F.count(F.lit(1)).alias("mine"))
+    out = cands.join(total, ["fold_id", *KEY], "left").join(mine, ["fold_id", "user_id", *KEY], "left")
+    return out.select("fold_id", "user_id", *KEY, (F.coalesce("total", F.lit(0)) - F.coalesce("mine", F.lit(0))).alias("demand"))
+
+
+def _by_cutoff(rows: DataFrame, at: str, cuts: DataFrame) -> DataFrame:
+    """Rows of every fold by whose cutoff they had happened. Folds are a few dozen rows."""
+    return rows.join(F.broadcast(cuts), F.col(at) <= F.col("cutoff")).select("fold_id", "user_id", *KEY)
+
+
 def intent_seeds(own: DataFrame, requests: DataFrame, items: DataFrame, cutoff: Column, weight: float = 1.0) -> DataFrame:
     """one's own requests by the cutoff as seeds, unless they are seeds already or unknown."""
     asked = requests.where(F.col("user_id").isNotNull() & (F.col("created_at") <= cutoff)).groupBy("user_id", *KEY).agg(F.min("created_at").alias("at"))

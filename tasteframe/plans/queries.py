@@ -345,9 +345,10 @@ def i1_inbox(t: Tables) -> DataFrame:
     return baselines.demand_order(t.pools, t.items)
 
 
-@query("""SELECT user_id, tmdb_id, media_type, round(score, 6) AS score FROM (SELECT user_id, tmdb_id, media_type, (1 + seeds) * CASE WHEN vote_count != 0 THEN vote_average ELSE 5.0 END * (1 + max_seed_weight) * affinity * pow(0.5, greatest(0.0, 2002.0 - year) / 16.0::DOUBLE) AS score FROM pools JOIN items USING (tmdb_id, media_type))""")
+@query("""SELECT user_id, tmdb_id, media_type, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY turn, best DESC, media_type, best_seed) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, media_type, best_seed ORDER BY score DESC, media_type, tmdb_id) AS turn, max(score) OVER (PARTITION BY user_id, media_type, best_seed) AS best FROM (SELECT user_id, tmdb_id, media_type, best_seed, (1 + seeds) * CASE WHEN vote_count != 0 THEN vote_average ELSE 5.0 END * (1 + max_seed_weight) * affinity * pow(0.5, greatest(0.0, 2002.0 - year) / 16.0::DOUBLE) AS score FROM pools JOIN items USING (tmdb_id, media_type)))""")
 def i2_row_ranking(t: Tables) -> DataFrame:
-    return baselines.row_ranking(t.pools, t.items, 2002.0).select("user_id", *KEY, *r6("score"))
+    return baselines.row_ranking(t.pools, t.items, 2002.0).select("user_id", *KEY, *r6("score"), "place")
 
 
 @query("SELECT user_id, tmdb_id, media_type, vote_count::DOUBLE AS score FROM cands JOIN items USING (tmdb_id, media_type)")
@@ -788,8 +789,8 @@ ORACLE_SQL["i16_apply_order"] = ORACLE_SQL["i16_apply_order"].replace(
 @query("""SELECT user_id AS request_id, tmdb_id, media_type, round(sum(w * sim) * (0.5 + 0.5 * (1 - any_value(place) / any_value(size)::DOUBLE)), 5) AS score FROM shelf JOIN near USING (tmdb_id, media_type) JOIN wanted USING (user_id, n_tmdb_id, n_media_type) GROUP BY 1, 2, 3""")
 def k3_focus(t: Tables) -> DataFrame:
     """Every user's library list, by votes, brought near their three heaviest seeds."""
-    votes = F.row_number().over(Window.orderBy(F.desc("vote_count"), "media_type", "tmdb_id")) - 1
-    shelf = t.library.join(t.items, KEY).select(*KEY, votes.alias("place")).crossJoin(t.users).withColumn("surface", F.lit("library"))
+    votes = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("vote_count"), "media_type", "tmdb_id")) - 1
+    shelf = t.library.join(t.items, KEY).crossJoin(t.users).select("user_id", *KEY, votes.alias("place")).withColumn("surface", F.lit("library"))
     wanted = contexts.heaviest(t.seeds, 3).select(F.col("user_id").alias("request_id"), "user_id", F.lit("library").alias("surface"), F.col("tmdb_id").alias("seed_id"), F.col("media_type").alias("seed_type"), "weight")
     seeds = t.space.join(t.seeds.select(*KEY).distinct(), KEY, "left_semi")
     near = features.similarity(seeds, t.space.join(t.library, KEY, "left_semi"))
@@ -816,3 +817,62 @@ def k4_parse(t: Tables) -> DataFrame:
     kind = F.expr("canonical div 10 % 4")
     text = F.when(kind == 0, F.concat(F.lit(" "), pair, F.lit(" , "), (F.col("member") + 1000000).cast("string"), F.lit(";"))).when(kind == 1, c).when(kind == 2, F.concat(c, F.lit(":"), c)).otherwise(F.concat(pair, F.lit(";"), pair))
     return serve.parse_groups(t.alias.select(text.alias("map"))).select("canonical", "member", "error")
+
+
+#: Settings of the grid: weights of votes and of others' demand.
+GRID = {"votes": (1.0, 0.0), "others": (0.0, 1.0), "even": (1.0, 1.0), "mostly_others": (1.0, 3.0)}
+
+
+def _fold_scores(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Candidates of all folds, and two components' scores of them."""
+    cands = t.cut(contexts.fold_candidates(t.fold_users, contexts.fold_universe(t.items, t.library, t.requests, t.folds), t.engaged, t.folds))
+    unit = F.col("fold_id").cast("string").alias("unit")
+    votes = cands.join(t.items, KEY).select(unit, "user_id", *KEY, F.lit("votes").alias("component"), F.col("vote_count").cast("double").alias("score"))
+    demand = contexts.fold_demand(t.engaged, t.requests, t.folds, cands).join(t.items.select(*KEY, "vote_count"), KEY)
+    others = demand.select(unit, "user_id", *KEY, F.lit("others").alias("component"), (F.col("demand") * 1e9 + F.col("vote_count")).alias("score"))
+    return cands.select(unit, "user_id", *KEY), votes.unionByName(others)
+
+
+def _fold_ndcg(t: Tables, cands: DataFrame, scores: DataFrame) -> DataFrame:
+    positives = t.fold_positives.select(F.col("fold_id").cast("string").alias("unit"), "user_id", *KEY)
+    return evaluate.ndcg(evaluate.lists(scores, cands), positives)
+
+
+_FOLDS = """
+fuv AS (SELECT fold_id, i.tmdb_id, i.media_type FROM folds f JOIN items i ON i.release_date <= strftime(to_timestamp(window_end)::TIMESTAMP, '%Y-%m-%d') AND in_catalogue
+  WHERE NOT EXISTS (SELECT 1 FROM library l WHERE l.tmdb_id = i.tmdb_id AND l.media_type = i.media_type AND (l.added_at IS NULL OR l.added_at <= f.cutoff))
+  AND NOT EXISTS (SELECT 1 FROM requests l WHERE l.tmdb_id = i.tmdb_id AND l.media_type = i.media_type AND l.created_at <= f.cutoff)),
+fseen AS (SELECT fold_id, user_id, tmdb_id, media_type FROM eng JOIN folds ON first_at <= cutoff WHERE label = 'positive'),
+fcands AS MATERIALIZED (SELECT fold_id, user_id, tmdb_id, media_type FROM fold_users JOIN fuv USING (fold_id) ANTI JOIN fseen USING (fold_id, user_id, tmdb_id, media_type)),
+facts AS (SELECT fold_id, user_id, tmdb_id, media_type FROM fseen UNION ALL SELECT DISTINCT fold_id, user_id, tmdb_id, media_type FROM requests JOIN folds ON created_at <= cutoff),
+fscores AS (SELECT fold_id, user_id, tmdb_id, media_type, 'votes' AS component, vote_count::DOUBLE AS score FROM fcands JOIN items USING (tmdb_id, media_type)
+  UNION ALL SELECT fold_id, user_id, tmdb_id, media_type, 'others', (coalesce(a.n, 0) - coalesce(m.n, 0)) * 1e9 + vote_count FROM fcands JOIN items USING (tmdb_id, media_type)
+    LEFT JOIN (SELECT fold_id, tmdb_id, media_type, count(*) AS n FROM facts GROUP BY 1, 2, 3) a USING (fold_id, tmdb_id, media_type)
+    LEFT JOIN (SELECT fold_id, user_id, tmdb_id, media_type, count(*) AS n FROM facts GROUP BY 1, 2, 3, 4) m USING (fold_id, user_id, tmdb_id, media_type)),
+frows AS ({rows}),
+franked AS (SELECT *, row_number() OVER (PARTITION BY fold_id, user_id, scorer ORDER BY score DESC, media_type, tmdb_id) AS place FROM frows),
+fnd AS (SELECT fold_id, scorer, user_id, sum(CASE WHEN place <= 50 THEN 1 / log2(place + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 50) + 1), lambda i: 1 / log2(i + 1))) AS v
+  FROM franked JOIN fold_pos USING (fold_id, user_id, tmdb_id, media_type) GROUP BY 1, 2, 3)"""
+_GRID_ROWS = f"""SELECT fold_id, user_id, tmdb_id, media_type, scorer, sum(w * pct) / sum(w) AS score FROM (SELECT *, (row_number() OVER p - 1) / greatest(1, count(*) OVER g - 1)::DOUBLE AS pct FROM fscores
+    WINDOW g AS (PARTITION BY fold_id, user_id, component, media_type), p AS (PARTITION BY fold_id, user_id, component, media_type ORDER BY score, tmdb_id DESC))
+  JOIN (VALUES {", ".join(f"('{n}', '{c}', {w}::DOUBLE)" for n, ws in GRID.items() for c, w in zip(("votes", "others"), ws, strict=True) if w)}) s(scorer, component, w) USING (component) GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query("SELECT fold_id::VARCHAR AS unit, scorer, count(*) AS users, round(avg(v), 6) AS ndcg FROM fnd GROUP BY 1, 2")
+def j9_folds(t: Tables) -> DataFrame:
+    """Every fold's users, candidates and positives by its own cutoff: mean NDCG of a fold and scorer."""
+    cands, scores = _fold_scores(t)
+    rows = _fold_ndcg(t, cands, scores.withColumnRenamed("component", "scorer"))
+    return rows.groupBy("unit", "scorer").agg(F.count(F.lit(1)).alias("users"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
+@query("SELECT scorer, count(*) AS units, round(avg(v), 6) AS ndcg FROM fnd GROUP BY 1")
+def j10_grid(t: Tables) -> DataFrame:
+    """Settings of the blend over all folds."""
+    cands, scores = _fold_scores(t)
+    grid = t.spark.createDataFrame([(n, c, w) for n, ws in GRID.items() for c, w in zip(("votes", "others"), ws, strict=True)], "scorer string, component string, weight double")
+    return evaluate.summarise(_fold_ndcg(t, cands, blend.settings(scores, grid)), ["ndcg"]).select("scorer", "units", *r6("ndcg"))
+
+
+for _name, _rows in (("j9_folds", "SELECT *, component AS scorer FROM fscores"), ("j10_grid", _GRID_ROWS)):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(f"{SHARED}\n", f"{SHARED},{_FOLDS.format(rows=_rows)}\n")
