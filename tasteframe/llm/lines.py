@@ -1,19 +1,27 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
 In every window of `run` lines, the least line hash is the fingerprint; so any run of at least that many lines that
-stands twice shares a fingerprint, and about two in run + 1 lines are one. Fingerprints that occur at several positions
-are extended to both sides, to the windows of lines around them; equal windows are joined to their earliest position,
-and what stands later is deleted. Neighbouring windows add up to the whole run.
+stands twice shares a fingerprint at the same place in it. A table holds the positions of the fingerprints that occur
+several times, each with the line hashes around it. Positions whose fingerprint and window agree are joined to the
+earliest of them, and each such match is extended to both sides, line by line, as far as the next fingerprints can
+stand: these carry it on, so that neighbouring matches add up to the whole run. What stands later is deleted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import table
-from tasteframe.llm.substrings import cut_windows
+from tasteframe.llm.common import mixed, slices, table, tidy, written
+from tasteframe.llm.substrings import cut_windows, in_bitmap, keyed, repeated_minimizers
+from tasteframe.llm.windows import minimizers, rolling, signed, word_hashes
+
+#: Tasks among which the positions of one fingerprint are dealt.
+SALTS = 8
 
 
 class Lines:
@@ -31,6 +39,72 @@ class Lines:
         return b"\n".join([line for line in text.split(b"\n") if not line.strip() or next(flags)])
 
 
+def around(x: np.ndarray, at: np.ndarray, step: int, most: int) -> pa.Array:
+    """For every position the values next to it in one direction, the nearest first; null beyond the end."""
+    where = at[:, None] + step * np.arange(1, most + 1)
+    outside = (where < 0) | (where >= len(x))
+    flat = pa.array(signed(x[np.where(outside, 0, where)].ravel()), mask=outside.ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * most), flat)
+
+
+def positions(docs: DataFrame, run: int, key: str, text: str) -> DataFrame:
+    """Fingerprints that occur several times, but for what a bitmap of fixed size lets pass besides: a row for every
+    window that one stands for: window (its hash), key, version, start, pos, the line itself and those before and after
+    it. Windows that started earlier in their document have `again` and need no partner."""
+    rows = keyed(docs, key, text)
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_minimizers(rows, run, 1, Lines))
+    most = max(1, run - 1)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = []
+                for i, lines in enumerate(map(Lines.split, part.column(2).to_pylist())):
+                    x = word_hashes(lines)
+                    h, at = minimizers(x, run, 1)
+                    own = np.nonzero(in_bitmap(bitmap.value, h))[0]
+                    if not len(own):
+                        continue
+                    window, pos = mixed(rolling(x, run)[own]), at[own]
+                    again = np.ones(len(own), dtype=bool)
+                    again[np.unique(window, return_index=True)[1]] = False
+                    of = pa.array(np.full(len(own), i))
+                    columns = [part.column(0).take(of), part.column(1).take(of), *map(pa.array, (signed(window), own.astype(np.int32), pos.astype(np.int32), again, signed(x[pos]))), around(x, pos, -1, most), around(x, pos, 1, most)]
+                    found.append(pa.RecordBatch.from_arrays(columns, names=["key", "version", "window", "start", "pos", "again", "line", "before", "after"]))
+                if found:
+                    yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(tidy(find), f"key {kind}, version int, window long, start int, pos int, again boolean, line long, before array<long>, after array<long>")
+
+
+def equal_lines(x: Column, y: Column) -> Column:
+    """How many lines agree from the first on."""
+    same = F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    other = F.array_position(same, False)
+    return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
+
+
+def repeated_runs(docs: DataFrame, run: int, key: str, text: str) -> DataFrame:
+    """key, version, starts: the starts of windows of `run` lines that also start earlier.
+
+    The earliest position of a window is one row, which is copied to a few salts: so the positions of a window that a
+    large part of the documents hold are dealt among tasks."""
+    found = written(positions(docs, run, key, text), "positions")
+    single = found.where("not again")
+    place = F.struct(F.col("key").isNull().alias("none"), "key", "pos", "line", "before", "after")
+    first = single.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("window", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    later = single.withColumn("salt", F.pmod(F.xxhash64("key", "version"), F.lit(SALTS)).cast("int")).join(first, ["window", "salt"])
+    later = later.where((F.col("line") == F.col("first.line")) & ((F.col("key") > F.col("first.key")) | (F.col("key").isNull() & ~F.col("first.none"))))
+    low = F.col("pos") - equal_lines(F.col("before"), F.col("first.before"))
+    high = F.col("pos") + equal_lines(F.col("after"), F.col("first.after"))
+    matches = later.select("key", "version", low.alias("low"), high.alias("high")).where(F.col("high") - F.col("low") + 1 >= run).distinct()
+    starts = matches.select("key", "version", F.explode(F.sequence(F.col("low"), F.col("high") - (run - 1))).alias("start"))
+    starts = starts.unionByName(found.where("again").select("key", "version", "start"))
+    return starts.groupBy("key", "version").agg(F.collect_set("start").alias("starts"))
+
+
 def cut_repeated_lines(docs: DataFrame, run: int = 3, key: str = "doc_id", text: str = "text", kept: str = "kept") -> DataFrame:
     """docs with n_lines, n_removed and the kept lines joined by line feeds.
 
@@ -39,7 +113,8 @@ def cut_repeated_lines(docs: DataFrame, run: int = 3, key: str = "doc_id", text:
     space at their ends; lines without a word neither count nor go. Runs are judged on the input. A null text is empty.
     Rows under one key, or without a key, do not repeat one another. Columns named n_lines, n_removed or as `kept` are replaced.
     """
-    return cut_windows(docs, run, 1, Lines, key, text, kept, ("n_lines", "n_removed"))
+    repeats = repeated_runs(docs.select(key, text), run, key, text)
+    return cut_windows(docs, repeats, run, Lines, key, text, kept, ("n_lines", "n_removed"))
 
 
 def op1_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,15 +57,13 @@ class Words:
         return b" ".join([units[i] for i in np.nonzero(kept)[0].tolist()])
 
 
-def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key: str, text: str) -> DataFrame:
-    """key, version (a hash of the text), starts: the starts of windows of `length` units that also start earlier, in a
-    document with a smaller key or in the same one. Minimizers are windows of `short` units.
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, version (a hash of the text) and the text as bytes."""
+    return text_bytes(docs.select(F.col(key).alias("key"), F.hash(text).alias("version"), text), "key", "version", text=text)
 
-    What repeats within a document is known at once; of two documents, the smaller key decides. So a window needs to
-    carry its key only, and the first count of windows a number and the least key.
-    """
-    rows = docs.select(F.col(key).alias("key"), F.hash(text).alias("version"), text)
-    rows = text_bytes(rows, "key", "version", text=text)
+
+def repeated_minimizers(rows: DataFrame, length: int, short: int, units: type) -> np.ndarray:
+    """The bitmap of those minimizers of windows of `length` units that stand at several places."""
     split = units.split
 
     def first_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +76,18 @@ def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
 
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(rows.select("text").mapInArrow(tidy(first_count), "h long, n long")))
+    return repeated_bitmap(rows.select("text").mapInArrow(tidy(first_count), "h long, n long"))
+
+
+def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key: str, text: str) -> DataFrame:
+    """key, version (a hash of the text), starts: the starts of windows of `length` units that also start earlier, in a
+    document with a smaller key or in the same one. Minimizers are windows of `short` units.
+
+    What repeats within a document is known at once; of two documents, the smaller key decides. So a window needs to
+    carry its key only, and the first count of windows a number and the least key.
+    """
+    rows, split = keyed(docs, key, text), units.split
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_minimizers(rows, length, short, units))
 
     def second_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,13 +118,14 @@ def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key:
 
 
 def cut_windows(
-    docs: DataFrame, length: int, short: int, units: type, key: str, text: str, kept: str, names: tuple[str, str]
+    docs: DataFrame, repeats: DataFrame, length: int, units: type, key: str, text: str, kept: str, names: tuple[str, str]
 ) -> DataFrame:
-    """docs with two counts, of units and of removed units, and the kept text. Only documents that lose something are
+    """docs with two counts, of units and of removed units, and the kept text, without the windows of `length` units that
+    repeats (key, version, starts) lists. Only documents that lose something are
     joined to what they lose; a bitmap of fixed size tells the others, which stay where they are."""
     others = [c for c in docs.columns if c not in (*names, kept)]
     own_key, version, its_version, starts, mark = fresh(docs, "key_", "version_", "its_version_", "starts_", "mark_")
-    found = written(repeated_windows(docs.select(key, text), length, short, units, key, text), "repeats")
+    found = written(repeats, "repeats")
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(found.select(F.xxhash64("key").alias("h"), F.lit(2).alias("n"))))
     rows = docs.select(*others).withColumn(version, F.hash(text)).withColumn(mark, F.xxhash64(key))
     plain = T.StructType([docs.schema[c] for c in others])
@@ -168,7 +178,8 @@ def cut_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: st
     A null or empty text has no words. Rows under one key, or without a key, do not repeat one another. Columns named n_words, n_removed or as `kept` are
     replaced.
     """
-    return cut_windows(docs, length, max(1, length // 2), Words, key, text, kept, ("n_words", "n_removed"))
+    repeats = repeated_windows(docs.select(key, text), length, max(1, length // 2), Words, key, text)
+    return cut_windows(docs, repeats, length, Words, key, text, kept, ("n_words", "n_removed"))
 
 
 def op8_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
