@@ -93,3 +93,41 @@ def test_focus_and_groups(spark):
     assert [r.tmdb_id for r in serve.focus(asked, ranked, near).orderBy("new_place").collect()] == [30, 10]
     rows = serve.parse_groups(spark.createDataFrame([("1:2,3;10:11,12",), ("5:5",), ("x:1",), ("20:2",)], "map string")).collect()
     assert {(r.canonical, r.member): r.error for r in rows} == {(1, 2): "in two groups", (1, 3): None, (10, 11): None, (10, 12): None, (5, 5): "own member", (None, 1): "malformed", (20, 2): "in two groups"}
+
+
+def test_rerank_by_decades_and_without_media_mix(spark):
+    from tasteframe.operators import blend
+
+    rows = [(1, i, "movie", 1.0 - i / 1000, False, 1990 if i < 5 else 2005 if i < 9 else None) for i in range(12)]
+    ranked = spark.createDataFrame(rows, "user_id long, tmdb_id long, media_type string, score double, continuation boolean, year int")
+    target = spark.createDataFrame([(1, 0.0)], "user_id long, target double")
+    own = spark.createDataFrame([(1, 2000, 3)], "user_id long, decade int, n long")
+    plain = blend.rerank(ranked.drop("year"), target, media_mix=False).orderBy("place").collect()
+    assert [r.tmdb_id for r in plain] == list(range(12))
+    drawn = [r.tmdb_id for r in blend.rerank(ranked, target, media_mix=False, decade_weight=0.5, own_decades=own).orderBy("place").collect()]
+    assert sorted(drawn) == list(range(12))
+    first = drawn.index(0)
+    assert all(drawn.index(i) < first for i in range(5, 12)), drawn
+
+
+def test_rank_options(spark):
+    from tasteframe.operators import contexts, itemitem
+
+    own = spark.createDataFrame([(1, 1, "movie", 2.0), (1, 2, "movie", 2.0), (1, 3, "show", 5.0)], "user_id long, tmdb_id long, media_type string, weight double")
+    assert [r.tmdb_id for r in contexts.heaviest(own, 2).orderBy("tmdb_id").collect()] == [1, 3]
+    assert contexts.heaviest(own, None).count() == 3
+    b = spark.createDataFrame([(1, 9, 0.5), (2, 9, 0.25)], "src long, dst long, b double")
+    known = spark.createDataFrame([(1, 1), (2, 1), (9, 4)], "tmdb_id long, pop long")
+    cands = spark.createDataFrame([(1, 9, "movie"), (1, 8, "movie")], "user_id long, tmdb_id long, media_type string")
+    plain, less = (itemitem.fold_in(own, b, known, cands, beta=beta).collect() for beta in (0.0, 0.5))
+    assert [(r.tmdb_id, r.score) for r in plain] == [(9, 1.5)] and [(r.tmdb_id, r.score) for r in less] == [(9, 0.75)]
+
+
+def test_documents_that_lack_parts(spark):
+    from tasteframe.sources import ingest
+
+    rows = spark.createDataFrame([("movie", '{"id": 1}'), ("show", '{"id": 2, "name": "x", "first_air_date": "", "created_by": [{"id": 5}], "origin_country": []}'), ("movie", "no json"), ("movie", None)], "media_type string, document string")
+    out = {r.tmdb_id: r for r in ingest.parse_documents(rows).collect()}
+    assert out[1].title is None and out[1].genres == [] and out[1].crew == [] and out[1].vote_count == 0 and out[1].certification is None
+    assert out[2].title == "x" and out[2].release_date is None and out[2].year is None and out[2].crew == [5] and out[2].countries == []
+    assert out[None].genres == [] and ingest.keyword_names(rows).count() == 0
