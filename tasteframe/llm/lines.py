@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import mixed, slices, table, tidy, written
+from tasteframe.llm.common import discard, mixed, slices, table, tidy, written
 from tasteframe.llm.substrings import cut_windows, in_bitmap, keyed, repeated_minimizers
 from tasteframe.llm.windows import minimizers, rolling, signed, word_hashes
 
@@ -85,12 +85,11 @@ def equal_lines(x: Column, y: Column) -> Column:
     return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
 
 
-def repeated_runs(docs: DataFrame, run: int, key: str, text: str) -> DataFrame:
-    """key, version, starts: the starts of windows of `run` lines that also start earlier.
+def repeated_runs(found: DataFrame, run: int) -> DataFrame:
+    """key, version, starts: the starts of windows of `run` lines that also start earlier, from the written positions.
 
     The earliest position of a window is one row, which is copied to a few salts: so the positions of a window that a
     large part of the documents hold are dealt among tasks."""
-    found = written(positions(docs, run, key, text), "positions")
     single = found.where("not again")
     place = F.struct(F.col("key").isNull().alias("none"), "key", "pos", "line", "before", "after")
     first = single.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -113,8 +112,10 @@ def cut_repeated_lines(docs: DataFrame, run: int = 3, key: str = "doc_id", text:
     space at their ends; lines without a word neither count nor go. Runs are judged on the input. A null text is empty.
     Rows under one key, or without a key, do not repeat one another. Columns named n_lines, n_removed or as `kept` are replaced.
     """
-    repeats = repeated_runs(docs.select(key, text), run, key, text)
-    return cut_windows(docs, repeats, run, Lines, key, text, kept, ("n_lines", "n_removed"))
+    found = written(positions(docs.select(key, text), run, key, text), "positions")
+    out = cut_windows(docs, repeated_runs(found, run), run, Lines, key, text, kept, ("n_lines", "n_removed"))
+    discard(found)  # what repeats is written by now
+    return out
 
 
 def op1_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
