@@ -113,9 +113,9 @@ def cut_repeated_lines(docs: DataFrame, run: int = 3, key: str = "doc_id", text:
     Rows under one key, or without a key, do not repeat one another. Columns named n_lines, n_removed or as `kept` are replaced.
     """
     found = written(positions(docs.select(key, text), run, key, text), "positions")
-    out = cut_windows(docs, repeated_runs(found, run), run, Lines, key, text, kept, ("n_lines", "n_removed"))
-    discard(found)  # what repeats is written by now
-    return out
+    repeats = written(repeated_runs(found, run), "repeats")
+    discard(found)
+    return cut_windows(docs, repeats, run, Lines, key, text, kept, ("n_lines", "n_removed"))
 
 
 def op1_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasteframe.llm.common import fresh, mixed, slices, table, text_bytes, tidy, written
+from tasteframe.llm.common import discard, fresh, mixed, slices, table, text_bytes, tidy, written
 from tasteframe.llm.windows import BASES, minimizers, rolling, signed, word_hashes
 
 #: Bits of the bitmap: 16 MB, whatever the corpus; and bits of each part of it.
@@ -80,11 +80,12 @@ def repeated_minimizers(rows: DataFrame, length: int, short: int, units: type) -
 
 
 def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key: str, text: str) -> DataFrame:
-    """key, version (a hash of the text), starts: the starts of windows of `length` units that also start earlier, in a
-    document with a smaller key or in the same one. Minimizers are windows of `short` units.
+    """A written table of key, version (a hash of the text), starts: the starts of windows of `length` units that also
+    start earlier, in a document with a smaller key or in the same one. Minimizers are windows of `short` units.
 
     What repeats within a document is known at once; of two documents, the smaller key decides. So a window needs to
-    carry its key only, and the first count of windows a number and the least key.
+    carry its key only, and the first count of windows a number and the least key. The count is written: what it has
+    shuffled goes before the join, in which the rows of a window that many documents hold can be split among tasks.
     """
     rows, split = keyed(docs, key, text), units.split
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_minimizers(rows, length, short, units))
@@ -111,21 +112,22 @@ def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key:
 
     kind = docs.schema[key].dataType.simpleString()
     windows = rows.mapInArrow(tidy(second_count), f"key {kind}, version int, start int, h1 long, h2 int")
-    first = windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = written(windows.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     later = windows.join(first, ["h1", "h2"]).where("start < 0 or key > least or (key is null and least is not null)")
     start = F.when(F.col("start") < 0, -F.col("start") - 1).otherwise(F.col("start"))
-    return later.groupBy("key", "version").agg(F.collect_list(start).alias("starts"))
+    found = written(later.groupBy("key", "version").agg(F.collect_list(start).alias("starts")), "repeats")
+    discard(first)
+    return found
 
 
 def cut_windows(
-    docs: DataFrame, repeats: DataFrame, length: int, units: type, key: str, text: str, kept: str, names: tuple[str, str]
+    docs: DataFrame, found: DataFrame, length: int, units: type, key: str, text: str, kept: str, names: tuple[str, str]
 ) -> DataFrame:
     """docs with two counts, of units and of removed units, and the kept text, without the windows of `length` units that
-    repeats (key, version, starts) lists. Only documents that lose something are
-    joined to what they lose; a bitmap of fixed size tells the others, which stay where they are."""
+    found (key, version, starts), a written table, lists. Only documents that lose something are joined to what they
+    lose; a bitmap of fixed size tells the others, which stay where they are."""
     others = [c for c in docs.columns if c not in (*names, kept)]
     own_key, version, its_version, starts, mark = fresh(docs, "key_", "version_", "its_version_", "starts_", "mark_")
-    found = written(repeats, "repeats")
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(found.select(F.xxhash64("key").alias("h"), F.lit(2).alias("n"))))
     rows = docs.select(*others).withColumn(version, F.hash(text)).withColumn(mark, F.xxhash64(key))
     plain = T.StructType([docs.schema[c] for c in others])
