@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tasteframe.llm import ann, bpe, html, jaccard, lines, lm, packing, quality, substrings, toxicity
+from tasteframe.llm import ann, bpe, html, jaccard, lines, lm, packing, quality, repair, ring, search, substrings, toxicity
 
 QUERIES = {
     "op1_repeated_lines": lines.op1_repeated_lines,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_repeated_windows": substrings.op8_repeated_windows,
     "op9_html_text": html.op9_html_text,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_best_positions": search.op11_best_positions,
+    "op12_bounded_ring": ring.op12_bounded_ring,
+    "op13_role_repair": repair.op13_role_repair,
 }
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _SPACE = "concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 
@@ -29,7 +33,7 @@ later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION
 gone AS (SELECT DISTINCT doc_id, p + d AS p FROM later CROSS JOIN (SELECT unnest(range({n})) AS d))"""
 
 
-#: SQL for what it can express: the two removals of exact repeats.
+#: SQL for what it can express: the two removals of exact repeats, and the ranking.
 ORACLE_SQL: dict[str, str] = {
     "op1_repeated_lines": f"""
 WITH every AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS q, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
@@ -43,4 +47,13 @@ WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''),
 {_windows("SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS u FROM words", 20)},
 kept AS (SELECT u.doc_id, count(g.p) AS n_removed, string_agg(u, ' ' ORDER BY u.p) FILTER (WHERE g.p IS NULL) AS t FROM units u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.p = u.p GROUP BY 1)
 SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op11_best_positions": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS l FROM documents),
+sized AS (SELECT r, doc_id, len(l) AS n, count(*) OVER () AS total, CAST(sum(len(l)) OVER () AS BIGINT) AS length FROM docs WHERE len(l) > 0),
+held AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(l) AS t FROM docs) GROUP BY 1, 2),
+wanted AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * (SELECT max(total) FROM sized) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held GROUP BY 1),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * total) // length)))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (t) JOIN weights USING (t) JOIN sized USING (r) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scored WHERE score > 0) WHERE rank <= 10""",
 }
