@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tasteframe.functions import scalars as S
 from tasteframe.functions.scalars import KEY
-from tasteframe.operators import baselines, blend, content, contexts, engagement, evaluate, features, itemitem, pagerank, serve, splits
+from tasteframe.operators import baselines, blend, blocks, content, contexts, engagement, evaluate, features, itemitem, pagerank, serve, splits
 from tasteframe.plans import ranking
 from tasteframe.plans.tables import Tables
 from tasteframe.plans.views import FIRST_CUTOFF, NOW, prelude
@@ -448,10 +448,48 @@ ORACLE_SQL["i8_gram"] = ORACLE_SQL["i8_gram"].replace(
 ).replace("sum(a.x * b.x) AS g", "CAST(sum(a.x * b.x) AS BIGINT) AS g")
 
 
+@query()
+def i8_inverse(t: Tables) -> DataFrame:
+    """The inverse of Gram + penalty, on and above its diagonal, in units of a millionth."""
+    solved, names = itemitem.inverse(_ratings_gram(t), t.cut)
+    return blocks.entries(solved, names, 1024, -1e6).select("i", "j", F.round("v", 3).alias("p"))
+
+
 @query()
 def i9_item_item(t: Tables) -> DataFrame:
-    b = t.cut(itemitem.weights(itemitem.gram(itemitem.interactions(t.ratings, t.links, 788918400, count=10))))
-    return itemitem.fold_in(t.seeds, b, b.select(F.col("src").alias("tmdb_id")).distinct(), t.cands)
+    b = t.cut(itemitem.weights(_ratings_gram(t), t.cut))
+    return itemitem.fold_in(t.seeds, b, b.select(F.col("src").alias("tmdb_id")).distinct(), t.cands).withColumn("score", F.round("score", 6))
+
+
+@query()
+def i9_strongest(t: Tables) -> DataFrame:
+    """E7 within the solve: a target's 20 strongest weights."""
+    return itemitem.weights(_ratings_gram(t), t.cut, most=20).select("src", "dst", *r6("b"))
+
+
+def _ratings_gram(t: Tables) -> DataFrame:
+    return t.cut(itemitem.gram(itemitem.interactions(t.ratings, t.links, 788918400, count=10)))
+
+
+#: The inverse by sweeps, a pivot a round: rows as lists, the pivot's row over a window. swept is -P.
+_SWEPT = """
+  half AS (SELECT i, j, sum(a.x * b.x)::DOUBLE AS g FROM (SELECT user_id, tmdb_id AS i, count(*) AS x FROM inter GROUP BY 1, 2) a JOIN (SELECT user_id, tmdb_id AS j, count(*) AS x FROM inter GROUP BY 1, 2) b USING (user_id) WHERE i <= j GROUP BY 1, 2),
+  numbers AS (SELECT tmdb_id, row_number() OVER (ORDER BY tmdb_id) AS n FROM (SELECT DISTINCT tmdb_id FROM inter)),
+  square AS (SELECT a.n AS r, list(coalesce(g, 0) + CASE WHEN a.n = b.n THEN 500 ELSE 0 END ORDER BY b.n) AS v FROM numbers a CROSS JOIN numbers b LEFT JOIN half ON i = least(a.tmdb_id, b.tmdb_id) AND j = greatest(a.tmdb_id, b.tmdb_id) GROUP BY 1),
+  sweeps AS (SELECT 0 AS k, r, v FROM square UNION ALL
+    SELECT k + 1, r, CASE WHEN r = k + 1 THEN list_transform(v, lambda x, c: CASE WHEN c = k + 1 THEN -1 / x ELSE x / v[k + 1] END)
+      ELSE list_transform(v, lambda x, c: CASE WHEN c = k + 1 THEN x / p[k + 1] ELSE x - v[k + 1] * p[c] / p[k + 1] END) END
+    FROM (SELECT *, max(CASE WHEN r = k + 1 THEN v END) OVER () AS p FROM sweeps) WHERE k < (SELECT count(*) FROM numbers)),
+  swept AS (SELECT a.tmdb_id AS i, b.tmdb_id AS j, v[b.n] AS v, a.n AS r, b.n AS c FROM sweeps JOIN numbers a ON a.n = r CROSS JOIN numbers b WHERE k = (SELECT count(*) FROM numbers)),
+  weights AS (SELECT s.i AS src, s.j AS dst, s.v / -d.v AS b FROM swept s JOIN swept d ON d.r = s.c AND d.c = s.c WHERE s.r != s.c)
+"""
+_INVERSE = "WITH RECURSIVE " + ORACLE_SQL["i8_gram"][len("WITH ") : ORACLE_SQL["i8_gram"].rindex("SELECT i, j, CAST(")].rstrip() + "," + _SWEPT
+ORACLE_SQL["i8_inverse"] = f"{_INVERSE} SELECT i, j, round(-v * 1e6, 3) AS p FROM swept WHERE r <= c"
+ORACLE_SQL["i9_strongest"] = f"{_INVERSE} SELECT src, dst, round(b, 6) AS b FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY abs(b) DESC, src) AS n FROM weights) WHERE n <= 20"
+ORACLE_SQL["i9_item_item"] = f"""{_INVERSE},
+  own AS (SELECT user_id, tmdb_id AS src, weight FROM seeds JOIN numbers USING (tmdb_id) WHERE media_type = 'movie')
+  SELECT user_id, tmdb_id, media_type, round(coalesce(score, 0), 6) AS score FROM cands JOIN numbers USING (tmdb_id) LEFT JOIN (SELECT user_id, dst AS tmdb_id, sum(weight * b) AS score FROM own JOIN weights USING (src) GROUP BY 1, 2) USING (user_id, tmdb_id)
+  WHERE media_type = 'movie' AND user_id IN (SELECT user_id FROM own)"""
 
 
 @query("""SELECT media_type, src, dst, round(w / sum(w) OVER (PARTITION BY media_type, src), 6) AS w FROM (SELECT l.media_type, l.tmdb_id AS src, target AS dst, sum(CASE WHEN source = 0 THEN 1.0 ELSE 0.4 END::DOUBLE * (1 - 0.5::DOUBLE * pos / greatest(1, length - 1))) AS w
