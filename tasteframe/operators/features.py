@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,33 +25,111 @@ def tfidf(items: DataFrame, terms: Column | None = None, weighted: bool = True)
     return valued.join(norm, KEY).select(*KEY, "term", (F.col("v") / F.greatest("norm", F.lit(1e-9))).alias("w"))
 
 
+#: A term that more titles of the left side have than this is dealt into several tasks.
+HEAVY = 4096
+
+
+def _met(left: DataFrame, right: DataFrame, most: int = HEAVY) -> DataFrame:
+    """Rows of left and right (columns n_...) under their common terms. A term with many left rows is split: its left rows
+    are dealt over salts, its right rows stand under each."""
+    heavy = left.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("salts")).where("salts > 1")
+    dealt = left.join(heavy, "term", "left").withColumn("salt", F.pmod(F.hash(*KEY), F.coalesce("salts", F.lit(1)))).drop("salts")
+    other = right.join(heavy, "term", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(other, ["term", "salt"])
+
+
+def _second(side: DataFrame) -> DataFrame:
+    return side.select(F.col("tmdb_id").alias("n_tmdb_id"), F.col("media_type").alias("n_media_type"), "term", F.col("w").alias("n_w"))
+
+
+PAIR = [*KEY, "n_tmdb_id", "n_media_type"]
+OTHER = "not (tmdb_id = n_tmdb_id and media_type = n_media_type)"
+
+
 def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key, n_key, sim) of all pairs that share a term: the sparse dot product. Summed by pair within each task
-    before the shuffle; frequent terms have small weights but many pairs, so give the smaller side as right."""
-    other = right.select(F.col("tmdb_id").alias("n_tmdb_id"), F.col("media_type").alias("n_media_type"), "term", F.col("w").alias("n_w"))
-    return left.join(other, "term").groupBy(*KEY, "n_tmdb_id", "n_media_type").agg(F.sum(F.col("w") * F.col("n_w")).alias("sim"))
+    before the shuffle; frequent terms are split. All pairs are the result: for the nearest alone see neighbours."""
+    return _met(left, _second(right)).groupBy(*PAIR).agg(F.sum(F.col("w") * F.col("n_w")).alias("sim"))
 
 
-def dense_similarity(vectors: DataFrame, left: DataFrame, right: DataFrame, blocks: int = 32) -> DataFrame:
-    """Dot products of the unit vectors of every left and right title that have one of the same size. All pairs are
-    the result; left titles meet the right ones block by block, so that no task holds a side."""
-    unit = vectors.select(*KEY, S.unit_vector(F.col("embedding")).alias("u"))
-    a = unit.join(left, KEY, "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = unit.join(right, KEY, "left_semi").select(F.pmod(F.hash(*KEY), F.lit(blocks)).alias("block"), F.col("tmdb_id").alias("n_tmdb_id"), F.col("media_type").alias("n_media_type"), F.col("u").alias("n_u"))
-    dot = F.aggregate(F.zip_with("u", "n_u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, "block").where(F.size("u") == F.size("n_u")).select(*KEY, "n_tmdb_id", "n_media_type", dot.alias("sim"))
+def _blocks_met(vectors: DataFrame, left: DataFrame, right: DataFrame, k: int | None, size: int) -> DataFrame:
+    unit = vectors.select(*KEY, S.unit_vector(F.col("embedding")).alias("u")).withColumn("d", F.size("u")).where("d > 0")
+    a, b = unit.join(left.select(*KEY).distinct(), KEY, "left_semi"), unit.join(right.select(*KEY).distinct(), KEY, "left_semi")
+    na, nb = (max(1, -(-x.count() // size)) for x in (a, b))
+    deal = lambda n: F.pmod(F.hash(*KEY), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.select("d", deal(na).alias("ba"), every(nb).alias("bb"), *KEY, "u")
+    b = b.select("d", every(na).alias("ba"), deal(nb).alias("bb"), *KEY, "u").toDF("n_d", "n_ba", "n_bb", *PAIR[2:], "n_u")
 
+    def multiply(one: pa.Table, two: pa.Table) -> pa.Table:
+        columns = [[], [], [], [], []]
+        if one.num_rows and two.num_rows:
+            matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            right_side = matrix(two, "n_u").T
+            for at in range(0, one.num_rows, 512):
+                part = one.slice(at, 512)
+                sims = matrix(part, "u") @ right_side
+                keep = np.ones(sims.shape, dtype=bool)
+                if k and k < two.num_rows:
+                    near = np.round(sims, 9)
+                    keep = near >= np.partition(near, two.num_rows - k, axis=1)[:, two.num_rows - k, None]
+                i, j = (pa.array(x) for x in np.nonzero(keep))
+                for column, values in zip(columns, (part["tmdb_id"].take(i), part["media_type"].take(i), two["n_tmdb_id"].take(j), two["n_media_type"].take(j), pa.chunked_array([sims[keep]])), strict=True):
+                    column += values.chunks
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64())
+        return pa.table({c: pa.chunked_array(x, kind) for c, x, kind in zip((*PAIR, "sim"), columns, kinds, strict=True)})
 
-def averaged(sparse: DataFrame, dense: DataFrame) -> DataFrame:
-    """The mean of both similarities where there are both, the sparse one elsewhere."""
-    on = [*KEY, "n_tmdb_id", "n_media_type"]
-    both = sparse.join(dense.withColumnRenamed("sim", "dense"), on, "left")
-    return both.select(*on, F.when(F.col("dense").isNull(), F.col("sim")).otherwise((F.col("sim") + F.col("dense")) / 2).alias("sim"))
+    return a.groupBy("d", "ba", "bb").cogroup(b.groupBy("n_d", "n_ba", "n_bb")).applyInArrow(multiply, "tmdb_id long, media_type string, n_tmdb_id long, n_media_type string, sim double")
 
 
-def neighbours(space: DataFrame, library: DataFrame, k: int = 100) -> DataFrame:
-    """Each library title's k most similar ones of the library, never itself; only positive similarities."""
-    own = space.join(library, KEY, "left_semi")
-    pairs = similarity(own, own).where("sim > 0 and not (tmdb_id = n_tmdb_id and media_type = n_media_type)")
+def dense_similarity(vectors: DataFrame, left: DataFrame, right: DataFrame, size: int = 4096) -> DataFrame:
+    """Dot products of the unit vectors of every left and right title that have one of the same size.
+    All pairs are the result; a task multiplies one block of left titles with one of right ones."""
+    return _blocks_met(vectors, left, right, None, size)
+
+
+def dense_nearest(vectors: DataFrame, left: DataFrame, right: DataFrame, k: int, size: int = 4096) -> DataFrame:
+    """Each left title's k most similar right titles by unit vectors, never itself, with place. A pair of blocks gives
+    the k best of each left title (and what equals the last), which are merged; no other pair leaves a task. Similarity
+    counts to nine digits, ties go to the smaller key."""
+    return _best(_blocks_met(vectors, left, right, k + 1, size).where(OTHER).withColumn("sim", F.round("sim", 9)), k)
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("sim"), "n_media_type", "n_tmdb_id"))
     return pairs.withColumn("place", place).where(F.col("place") <= k)
+
+
+def averaged(sparse: DataFrame, dense: DataFrame) -> DataFrame:
+    """The mean of both similarities where there are both, the sparse one elsewhere."""
+    both = sparse.join(dense.withColumnRenamed("sim", "dense"), PAIR, "left")
+    return both.select(*PAIR, F.when(F.col("dense").isNull(), F.col("sim")).otherwise((F.col("sim") + F.col("dense")) / 2).alias("sim"))
+
+
+def neighbours(space: DataFrame, library: DataFrame, k: int = 100, reach: int = 4000, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Each library title's k most similar ones of the library, never itself, with place and sim (to nine digits, ties
+    to the smaller key); only positive similarities.
+
+    Exact, without most pairs. A title first meets those that share its rarest terms, as many terms as about `reach`
+    titles have: its k-th sum there is a floor, since sums only grow. No title can reach the floor by the frequent terms
+    whose weights, times the term's largest weight anywhere, add up to less; so pairs are made under the other terms
+    alone, go where even all of the rest could not lift them to the floor, and only then get the rest. cut() writes what
+    several steps read.
+    """
+    own = cut(space.join(library.select(*KEY).distinct(), KEY, "left_semi"))
+    terms = own.groupBy("term").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df"))
+    rare = Window.partitionBy(*KEY).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    frequent = Window.partitionBy(*KEY).orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    rated = own.join(terms, "term").withColumns({"rarer": F.coalesce(F.sum("df").over(rare), F.lit(0)), "bound": F.sum(F.col("w") * F.col("top")).over(frequent)})
+    rated = cut(rated)
+    first = similarity(rated.where(F.col("rarer") < reach), own).where(OTHER)
+    floors = _best(first, k).where(F.col("place") == k).select(*KEY, (F.col("sim") - 1e-9).alias("floor"))
+    rated = rated.join(floors, KEY, "left").withColumn("late", F.coalesce(F.col("bound") < F.col("floor"), F.lit(False)))
+    rated = cut(rated.select(*KEY, "term", "w", "bound", "floor", "late"))
+    late = rated.where("late").groupBy(*KEY).agg(F.max("bound").alias("rest"), F.first("floor").alias("floor"), F.collect_list(F.struct("term", "w")).alias("late"))
+    pairs = similarity(rated.where("not late"), own).where(OTHER).join(late, KEY, "left")
+    pairs = pairs.where(F.col("rest").isNull() | (F.col("sim") + F.col("rest") >= F.col("floor")))
+    held = own.groupBy(F.col("tmdb_id").alias("n_tmdb_id"), F.col("media_type").alias("n_media_type")).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("held"))
+    rest = F.aggregate("late", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at("held", x["term"]), F.lit(0.0)))
+    pairs = pairs.join(held, ["n_tmdb_id", "n_media_type"]).withColumn("sim", F.round(F.col("sim") + F.coalesce(rest, F.lit(0.0)), 9))
+    return _best(pairs.where("sim > 0").select(*PAIR, "sim"), k)

@@ -378,11 +378,11 @@ ORACLE_SQL["i5_content_profile"] = ORACLE_SQL["i5_content_profile"].replace(
 )
 
 
-@query("""SELECT tmdb_id, media_type, count(*) AS n, round(sum(sim), 3) AS total FROM (SELECT *, row_number() OVER (PARTITION BY tmdb_id, media_type ORDER BY sim DESC, n_media_type, n_tmdb_id) AS place FROM (
-  SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN space b USING (term) JOIN library la ON la.tmdb_id = a.tmdb_id AND la.media_type = a.media_type
-  JOIN library lb ON lb.tmdb_id = b.tmdb_id AND lb.media_type = b.media_type WHERE NOT (a.tmdb_id = b.tmdb_id AND a.media_type = b.media_type) GROUP BY 1, 2, 3, 4) WHERE sim > 0) WHERE place <= 100 GROUP BY 1, 2""")
+@query("""SELECT * REPLACE (round(sim, 6) AS sim) FROM (SELECT *, row_number() OVER (PARTITION BY tmdb_id, media_type ORDER BY sim DESC, n_media_type, n_tmdb_id) AS place FROM (
+  SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, round(sum(a.w * b.w), 9) AS sim FROM space a JOIN space b USING (term) JOIN library la ON la.tmdb_id = a.tmdb_id AND la.media_type = a.media_type
+  JOIN library lb ON lb.tmdb_id = b.tmdb_id AND lb.media_type = b.media_type WHERE NOT (a.tmdb_id = b.tmdb_id AND a.media_type = b.media_type) GROUP BY 1, 2, 3, 4) WHERE sim > 0) WHERE place <= 100""")
 def e6_neighbours(t: Tables) -> DataFrame:
-    return features.neighbours(t.space, t.library).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sim"), 3).alias("total"))
+    return features.neighbours(t.space, t.library, cut=t.cut).select(*features.PAIR, F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT c.user_id, c.tmdb_id, c.media_type, round(greatest(coalesce(up, 0) - 0.5 * coalesce(down, 0), 0) * (1.0 + vote_count), 4) AS score FROM cands c JOIN (SELECT DISTINCT user_id FROM seeds) USING (user_id) JOIN items USING (tmdb_id, media_type)
@@ -701,12 +701,32 @@ def c10_dense_similarity(t: Tables) -> DataFrame:
     return features.dense_similarity(t.vectors, t.universe, t.library).select("tmdb_id", "n_tmdb_id", F.round("sim", 5).alias("sim"))
 
 
-ORACLE_SQL["c10_dense_similarity"] = ORACLE_SQL["c10_dense_similarity"].replace(
-    f"{SHARED}\n",
-    f"""{SHARED},
+@query("""SELECT tmdb_id, media_type, n_tmdb_id, n_media_type, round(sim, 6) AS sim, place FROM (SELECT *, row_number() OVER (PARTITION BY tmdb_id, media_type ORDER BY sim DESC, n_media_type, n_tmdb_id) AS place FROM (
+  SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, round(list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])), 9) AS sim FROM unit a CROSS JOIN unit b
+  JOIN library l ON l.tmdb_id = b.tmdb_id AND l.media_type = b.media_type WHERE NOT (a.tmdb_id = b.tmdb_id AND a.media_type = b.media_type))) WHERE place <= 20""")
+def c10_nearest(t: Tables) -> DataFrame:
+    """The 20 library titles most like each title that has a vector."""
+    near = features.dense_nearest(t.vectors, t.vectors, t.library, 20)
+    return near.select(*features.PAIR, F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT s.tmdb_id, s.media_type, s.n_tmdb_id, s.n_media_type, round(CASE WHEN b.u IS NULL OR a.u IS NULL THEN sim ELSE (sim + list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2]))) / 2 END, 6) AS sim
+  FROM (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN library l ON l.tmdb_id = a.tmdb_id AND l.media_type = a.media_type
+    JOIN space b ON a.term = b.term JOIN library r ON r.tmdb_id = b.tmdb_id AND r.media_type = b.media_type GROUP BY 1, 2, 3, 4) s
+  LEFT JOIN unit a ON a.tmdb_id = s.tmdb_id AND a.media_type = s.media_type LEFT JOIN unit b ON b.tmdb_id = s.n_tmdb_id AND b.media_type = s.n_media_type""")
+def c10_averaged(t: Tables) -> DataFrame:
+    own = t.space.join(t.library, KEY, "left_semi")
+    both = features.averaged(features.similarity(own, own), features.dense_similarity(t.vectors, t.library, t.library))
+    return both.select(*features.PAIR, *r6("sim"))
+
+
+for _name in ("c10_dense_similarity", "c10_nearest", "c10_averaged"):
+    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(
+        f"{SHARED}\n",
+        f"""{SHARED},
     unit AS (SELECT tmdb_id, media_type, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9)) AS u FROM (SELECT tmdb_id, media_type, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM vectors))
     """,
-)
+    )
 
 
 @query("""SELECT user_id, tmdb_id, media_type, row_number() OVER (PARTITION BY user_id ORDER BY NOT coalesce(release_date >= '1998', false), vote_count DESC, media_type, tmdb_id) AS place FROM cands JOIN items USING (tmdb_id, media_type)""")
