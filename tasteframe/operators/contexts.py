@@ -68,6 +68,15 @@ def others_demand(own: DataFrame, requests: DataFrame, cutoff: Column, cands: Da
     return out.select("user_id", *KEY, (F.coalesce("total", F.lit(0)) - F.coalesce("mine", F.lit(0))).alias("demand"))
 
 
+def demand_totals(own: DataFrame, requests: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
+    """C6, D12 without the candidates: (key, total), and what a user's own acts take off it: (user_id, key, demand)."""
+    asked = requests.where(F.col("created_at") <= cutoff).select("user_id", *KEY).distinct()
+    acts = asked.unionAll(own.select("user_id", *KEY).distinct())
+    total = acts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total"))
+    mine = acts.where(F.col("user_id").isNotNull()).groupBy("user_id", *KEY).agg(F.count(F.lit(1)).alias("mine"))
+    return total, mine.join(total, KEY).select("user_id", *KEY, (F.col("total") - F.col("mine")).alias("demand"))
+
+
 def fold_candidates(users: DataFrame, titles: DataFrame, engaged: DataFrame, cuts: DataFrame) -> DataFrame:
     """C5 for folds: (fold_id, user_id, key): each fold's universe for its users, without what they had watched by then."""
     seen = _by_cutoff(engaged.where("label = 'positive'"), "first_at", cuts)

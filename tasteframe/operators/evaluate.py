@@ -40,13 +40,12 @@ def recall(ranked: DataFrame, positives: DataFrame, ks: tuple[int, ...] = (10, 2
     return hits.groupBy(*UNIT, "scorer", *(by or [])).agg(*(F.avg((F.col("place") <= k).cast("double")).alias(f"recall_{k}") for k in ks))
 
 
-def coverage(ranked: DataFrame, positives: DataFrame) -> DataFrame:
-    """Share of the positives that are candidates, share of those that are scored, and the number of scored titles."""
-    marked = ranked.join(positives.withColumn("hit", F.lit(1)), [*UNIT, *KEY], "left")
+def coverage(hits: DataFrame, scored: DataFrame, positives: DataFrame) -> DataFrame:
+    """Share of the positives that are candidates, share of those that are scored, and the number of scored titles
+    (scored, per unit, user and scorer). hits are the ranked positives."""
     n = positives.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("positives"))
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    hit = F.col("hit") == 1
-    out = marked.groupBy(*UNIT, "scorer").agg(one(F.col("scored")).alias("scored"), one(hit).alias("hits"), one(hit & F.col("scored")).alias("found")).join(n, UNIT)
+    found = hits.join(positives, [*UNIT, *KEY], "left_semi").groupBy(*UNIT, "scorer").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("scored")).alias("found"))
+    out = scored.join(n, UNIT).join(found, [*UNIT, "scorer"], "left").na.fill(0, ["hits", "found"])
     return out.select(*UNIT, "scorer", "positives", "scored", (F.col("hits") / F.col("positives")).alias("coverage"), (F.col("found") / F.nullif("hits", F.lit(0))).alias("pool_recall"))
 
 
@@ -71,36 +70,56 @@ def diagnostics(ranked: DataFrame, items: DataFrame, own: DataFrame, k: int = 50
     return shape.join(js, group, "left")
 
 
-def personalisation(ranked: DataFrame, positives: DataFrame, cands: DataFrame, k: int = 50) -> DataFrame:
-    """A user's own list on their positives against the mean of the other users' lists on them. Lists meet positives
-    title by title; a user without a hit counts 0. A hit's place is that among the list's titles which are candidates
-    of the positives' user, so lists meet candidates of users with positives only."""
-    pos = positives.join(cands, [*UNIT, *KEY], "left_semi")
-    n = pos.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
-    top = ranked.where(F.col("place") <= k).select("unit", F.col("user_id").alias("lister"), "scorer", *KEY, "place")
-    seen = top.join(cands.join(n.select(*UNIT), UNIT, "left_semi"), ["unit", *KEY])
-    at = F.row_number().over(Window.partitionBy(*UNIT, "lister", "scorer").orderBy("place"))
-    hits = seen.withColumn("at", at).join(pos, [*UNIT, *KEY], "left_semi").join(n, UNIT)
-    each = hits.groupBy(*UNIT, "lister", "scorer").agg((F.sum(1 / F.log2(F.col("at") + 1.0)) / F.first(ideal(F.col("n"), k))).alias("v"))
-    users = top.groupBy("unit", "scorer").agg(F.countDistinct("lister").alias("users"))
-    own = F.col("user_id") == F.col("lister")
-    sums = each.groupBy(*UNIT, "scorer").agg(F.sum(F.when(own, F.col("v")).otherwise(0.0)).alias("own_ndcg"), F.sum(F.when(own, 0.0).otherwise(F.col("v"))).alias("others"))
-    out = n.join(users, "unit").join(sums, [*UNIT, "scorer"], "left")
-    return out.select(*UNIT, "scorer", F.coalesce("own_ndcg", F.lit(0.0)).alias("own_ndcg"), F.when(F.col("users") > 1, F.coalesce("others", F.lit(0.0)) / (F.col("users") - 1)).alias("others_ndcg"))
+def collapsed(ranked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Equal lists once: (unit, scorer, list, key, place) of the distinct first-k lists, and (unit, user_id, scorer, list)
+    of every user; a list is the digest of its titles in order. A user's k titles are what is collected."""
+    names = F.transform(F.sort_array(F.collect_list(F.struct("place", *KEY))), lambda x: F.concat_ws(":", x["media_type"], x["tmdb_id"].cast("string")))
+    top = ranked.where(F.col("place") <= k).select(*UNIT, "scorer", *KEY, "place")
+    members = top.groupBy(*UNIT, "scorer").agg(F.md5(F.array_join(names, " ").cast("binary")).alias("list"))
+    one = members.groupBy("unit", "scorer", "list").agg(F.min("user_id").alias("user_id"))
+    return one.join(top, [*UNIT, "scorer"]).drop("user_id"), members
+
+
+def personalisation(ranked: DataFrame, positives: DataFrame, own: DataFrame, k: int = 50) -> DataFrame:
+    """A user's own list on their positives against the mean of the other users' lists on them; positives are
+    candidates, own (unit, user_id, key) are the titles that are none. A user without a hit counts 0.
+
+    A hit's place is that among the list's titles which are candidates of the positives' user: its place less the user's
+    own titles before it. Equal lists are met once, for as many users as have them.
+    """
+    entries, members = collapsed(ranked, k)
+    n = positives.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
+    hits = positives.select(*UNIT, *KEY).distinct().join(entries, ["unit", *KEY]).select(*UNIT, "scorer", "list", "place", F.lit(True).alias("hit"))
+    met = hits.select(*UNIT, "scorer", "list").distinct()
+    owned = own.select(*UNIT, *KEY).distinct().join(entries, ["unit", *KEY]).join(met, [*UNIT, "scorer", "list"], "left_semi")
+    marks = hits.unionByName(owned.select(*UNIT, "scorer", "list", "place", F.lit(False).alias("hit")))
+    before = Window.partitionBy(*UNIT, "scorer", "list").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    gain = 1 / F.log2(F.col("place") - F.coalesce(F.sum((~F.col("hit")).cast("int")).over(before), F.lit(0)) + 1.0)
+    each = marks.withColumn("gain", gain).where("hit").groupBy(*UNIT, "scorer", "list").agg(F.sum("gain").alias("gain")).join(n, UNIT)
+    each = each.select(*UNIT, "scorer", "list", (F.col("gain") / ideal(F.col("n"), k)).alias("v"))
+    listers = members.groupBy("unit", "scorer", "list").agg(F.count(F.lit(1)).alias("listers"))
+    users = members.groupBy("unit", "scorer").agg(F.count(F.lit(1)).alias("users"))
+    all_ = each.join(listers, ["unit", "scorer", "list"]).groupBy(*UNIT, "scorer").agg(F.sum(F.col("v") * F.col("listers")).alias("all_lists"))
+    mine = each.join(members, [*UNIT, "scorer", "list"]).select(*UNIT, "scorer", F.col("v").alias("mine"))
+    out = n.join(users, "unit").join(all_, [*UNIT, "scorer"], "left").join(mine, [*UNIT, "scorer"], "left").na.fill(0.0, ["all_lists", "mine"])
+    return out.select(*UNIT, "scorer", F.col("mine").alias("own_ndcg"), F.when(F.col("users") > 1, (F.col("all_lists") - F.col("mine")) / (F.col("users") - 1)).alias("others_ndcg"))
 
 
 def overlap(ranked: DataFrame, k: int = 50) -> DataFrame:
-    """Mean Jaccard similarity of a user's first k with every other user's. Titles are met list by list, so pairs
-    of users without a common title are never made; titles on many lists are the cost."""
-    top = ranked.where(F.col("place") <= k).select("unit", "user_id", "scorer", *KEY)
-    size = top.groupBy(*UNIT, "scorer").agg(F.count(F.lit(1)).alias("size"))
-    other = top.withColumnRenamed("user_id", "other")
-    shared = top.join(other, ["unit", "scorer", *KEY]).where("user_id != other").groupBy(*UNIT, "scorer", "other").agg(F.count(F.lit(1)).alias("both"))
-    rows = shared.join(size, [*UNIT, "scorer"]).join(size.select("unit", "scorer", F.col("user_id").alias("other"), F.col("size").alias("other_size")), ["unit", "scorer", "other"])
-    sums = rows.groupBy(*UNIT, "scorer").agg(F.sum(F.col("both") / (F.col("size") + F.col("other_size") - F.col("both"))).alias("total"))
-    users = size.groupBy("unit", "scorer").agg(F.count(F.lit(1)).alias("users"))
-    out = size.join(users, ["unit", "scorer"]).join(sums, [*UNIT, "scorer"], "left")
-    return out.select(*UNIT, "scorer", F.when(F.col("users") > 1, F.coalesce("total", F.lit(0.0)) / (F.col("users") - 1)).alias("jaccard"))
+    """Mean Jaccard similarity of a user's first k with every other user's; 0 where no title is shared. Equal lists
+    are met once, for as many users as have them; pairs of lists without a common title are never made."""
+    entries, members = collapsed(ranked, k)
+    on = ["unit", "scorer", "list"]
+    lists_ = entries.groupBy(*on).agg(F.count(F.lit(1)).alias("size")).join(members.groupBy(*on).agg(F.count(F.lit(1)).alias("listers")), on)
+    one, two = entries.select(*on, *KEY), entries.select("unit", "scorer", F.col("list").alias("other"), *KEY)
+    shared = one.join(two, ["unit", "scorer", *KEY]).where("list != other").groupBy(*on, "other").agg(F.count(F.lit(1)).alias("both"))
+    others = lists_.select("unit", "scorer", F.col("list").alias("other"), F.col("size").alias("other_size"), F.col("listers").alias("others"))
+    rows = shared.join(lists_, on).join(others, ["unit", "scorer", "other"])
+    sums = rows.groupBy(*on).agg(F.sum(F.col("others") * F.col("both") / (F.col("size") + F.col("other_size") - F.col("both"))).alias("total"))
+    users = members.groupBy("unit", "scorer").agg(F.count(F.lit(1)).alias("users"))
+    out = members.join(lists_, on).join(users, ["unit", "scorer"]).join(sums, on, "left")
+    mean = (F.coalesce("total", F.lit(0.0)) + F.col("listers") - 1) / (F.col("users") - 1)  # equal lists have similarity 1
+    return out.select(*UNIT, "scorer", F.when(F.col("users") > 1, mean).alias("jaccard"))
 
 
 def paired(rows: DataFrame, metric: str, reference: str) -> DataFrame:

@@ -533,29 +533,31 @@ def _unit(df: DataFrame) -> DataFrame:
 
 
 def _positives(t: Tables) -> DataFrame:
-    """Positives for the measures: a fixed part of each user's candidates."""
-    return _unit(t.cands.where((F.col("tmdb_id") * 31 + F.col("user_id") * 17) % 23 == 0).select("user_id", *KEY))
+    """Positives for the measures: a fixed part of each user's candidates, one title in 23, met by remainder."""
+    users = t.users.select("user_id", F.pmod(-17 * F.col("user_id"), F.lit(23)).alias("rest"))
+    titles = t.universe.select(*KEY, F.pmod(31 * F.col("tmdb_id"), F.lit(23)).alias("rest"))
+    return _unit(users.join(titles, "rest").join(t.seeds, ["user_id", *KEY], "left_anti").select("user_id", *KEY))
 
 
-def _ranked(t: Tables) -> DataFrame:
-    return evaluate.lists(t.scores, _unit(t.cands))
+def _places(t: Tables) -> DataFrame:
+    """The positives' places in all lists."""
+    return t.rankings.places(_positives(t))
 
 
 @query("SELECT scorer, user_id, tmdb_id, media_type, place FROM ranked WHERE place <= 50")
 def e12_lists(t: Tables) -> DataFrame:
-    return _ranked(t).where("place <= 50").select("scorer", "user_id", *KEY, "place")
+    return t.rankings.top(50).select("scorer", "user_id", *KEY, "place")
 
 
 @query("""SELECT scorer, user_id, round(sum(CASE WHEN place <= 50 THEN 1 / log2(place + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 50) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM ranked JOIN pos USING (user_id, tmdb_id, media_type) GROUP BY 1, 2""")
 def j1_ndcg(t: Tables) -> DataFrame:
-    return evaluate.ndcg(_ranked(t), _positives(t)).select("scorer", "user_id", *r6("ndcg"))
+    return evaluate.ndcg(_places(t), _positives(t)).select("scorer", "user_id", *r6("ndcg"))
 
 
 @query("""SELECT scorer, user_id, media_type, round(avg((place <= 10)::INT), 6) AS recall_10, round(avg((place <= 20)::INT), 6) AS recall_20, round(avg((place <= 50)::INT), 6) AS recall_50, round(avg((place <= 100)::INT), 6) AS recall_100
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id, scorer, media_type ORDER BY place) AS p2 FROM ranked) JOIN pos USING (user_id, tmdb_id, media_type) GROUP BY 1, 2, 3""")
 def j2_recall(t: Tables) -> DataFrame:
-    by_type = evaluate.lists(t.scores, _unit(t.cands), by_type=True)
-    out = evaluate.recall(by_type, _positives(t), by=["media_type"])
+    out = evaluate.recall(t.rankings.places(_positives(t), by_type=True), _positives(t), by=["media_type"])
     return out.select("scorer", "user_id", "media_type", *r6("recall_10", "recall_20", "recall_50", "recall_100"))
 
 
@@ -565,7 +567,7 @@ ORACLE_SQL["j2_recall"] = ORACLE_SQL["j2_recall"].replace("(place <=", "(p2 <=")
 @query("""SELECT scorer, user_id, n AS positives, count(*) FILTER (WHERE scored) AS scored, round(count(*) FILTER (WHERE p.tmdb_id IS NOT NULL) / n::DOUBLE, 6) AS coverage, round(count(*) FILTER (WHERE p.tmdb_id IS NOT NULL AND scored) / count(*) FILTER (WHERE p.tmdb_id IS NOT NULL)::DOUBLE, 6) AS pool_recall
   FROM ranked r JOIN (SELECT user_id, count(*) AS n FROM pos GROUP BY 1) USING (user_id) LEFT JOIN pos p USING (user_id, tmdb_id, media_type) GROUP BY 1, 2, 3""")
 def j3_coverage(t: Tables) -> DataFrame:
-    return evaluate.coverage(_ranked(t), _positives(t)).select("scorer", "user_id", "positives", "scored", *r6("coverage", "pool_recall"))
+    return evaluate.coverage(_places(t), t.rankings.scored(), _positives(t)).select("scorer", "user_id", "positives", "scored", *r6("coverage", "pool_recall"))
 
 
 @query("""SELECT scorer, user_id, median_year, round(movie_share, 6) AS movie_share, round(js, 6) AS decade_js FROM (SELECT scorer, user_id, list_sort(list(year))[count(*) // 2 + 1] AS median_year, avg((media_type = 'movie')::INT) AS movie_share FROM ranked JOIN items USING (tmdb_id, media_type) WHERE place <= 50 GROUP BY 1, 2)
@@ -574,7 +576,7 @@ def j3_coverage(t: Tables) -> DataFrame:
       SELECT scorer, user_id, year // 10 AS d, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM ranked JOIN items USING (tmdb_id, media_type) WHERE place <= 50
       UNION ALL SELECT n.scorer, user_id, year // 10, 0, 1 FROM seeds JOIN items USING (tmdb_id, media_type) JOIN (SELECT DISTINCT scorer, user_id FROM ranked) n USING (user_id)) GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY scorer, user_id)) GROUP BY 1, 2) USING (scorer, user_id)""")
 def j4_diagnostics(t: Tables) -> DataFrame:
-    return evaluate.diagnostics(_ranked(t), t.items, _unit(t.seeds)).select("scorer", "user_id", "median_year", *r6("movie_share", "decade_js"))
+    return evaluate.diagnostics(t.rankings.top(50), t.items, _unit(t.seeds)).select("scorer", "user_id", "median_year", *r6("movie_share", "decade_js"))
 
 
 @query("""SELECT scorer, n.user_id, round(coalesce(sum(CASE WHEN lister = n.user_id THEN v END), 0), 6) AS own_ndcg, round(coalesce(sum(CASE WHEN lister != n.user_id THEN v END), 0) / ((SELECT count(DISTINCT user_id) FROM cands) - 1), 6) AS others_ndcg
@@ -583,13 +585,13 @@ def j4_diagnostics(t: Tables) -> DataFrame:
       SELECT c.user_id, t.user_id AS lister, scorer, c.tmdb_id, c.media_type, row_number() OVER (PARTITION BY c.user_id, t.user_id, scorer ORDER BY place) AS at_ FROM ranked t JOIN cands c USING (tmdb_id, media_type) WHERE place <= 50) h
     JOIN pos USING (user_id, tmdb_id, media_type) JOIN (SELECT user_id, count(*) AS m FROM pos GROUP BY 1) USING (user_id) GROUP BY 1, 2, 3) USING (user_id, scorer) GROUP BY 1, 2""")
 def j5_personalisation(t: Tables) -> DataFrame:
-    return evaluate.personalisation(_ranked(t), _positives(t), _unit(t.cands)).select("scorer", "user_id", *r6("own_ndcg", "others_ndcg"))
+    return evaluate.personalisation(t.rankings.top(50), _positives(t), _unit(t.seeds)).select("scorer", "user_id", *r6("own_ndcg", "others_ndcg"))
 
 
-@query("""SELECT scorer, a.user_id, round(sum(j) / ((SELECT count(DISTINCT user_id) FROM cands) - 1), 6) AS jaccard FROM (
-  SELECT scorer, a.user_id, b.user_id AS other, count(*) / (any_value(na) + any_value(nb) - count(*))::DOUBLE AS j FROM top a JOIN top2 b USING (scorer, tmdb_id, media_type) WHERE a.user_id != b.user_id GROUP BY 1, 2, 3) a GROUP BY 1, 2""")
+@query("""SELECT scorer, user_id, round(coalesce(sum(j), 0) / ((SELECT count(DISTINCT user_id) FROM cands) - 1), 6) AS jaccard FROM (SELECT DISTINCT scorer, user_id FROM top) LEFT JOIN (
+  SELECT scorer, a.user_id, b.user_id AS other, count(*) / (any_value(na) + any_value(nb) - count(*))::DOUBLE AS j FROM top a JOIN top2 b USING (scorer, tmdb_id, media_type) WHERE a.user_id != b.user_id GROUP BY 1, 2, 3) USING (scorer, user_id) GROUP BY 1, 2""")
 def j6_overlap(t: Tables) -> DataFrame:
-    return evaluate.overlap(_ranked(t)).where("jaccard > 0").select("scorer", "user_id", *r6("jaccard"))
+    return evaluate.overlap(t.rankings.top(50)).select("scorer", "user_id", *r6("jaccard"))
 
 
 ORACLE_SQL["j6_overlap"] = ORACLE_SQL["j6_overlap"].replace(
@@ -601,7 +603,7 @@ ORACLE_SQL["j6_overlap"] = ORACLE_SQL["j6_overlap"].replace(
 
 
 def _ndcg_rows(t: Tables) -> DataFrame:
-    return evaluate.ndcg(_ranked(t), _positives(t))
+    return evaluate.ndcg(_places(t), _positives(t))
 
 
 @query("""SELECT scorer, round(sum(d) / sum(n), 6) AS delta, count(*) FILTER (WHERE d / n > 1e-9) AS wins, count(*) FILTER (WHERE d / n < -1e-9) AS losses, count(*) AS users FROM (SELECT a.scorer, user_id, sum(a.v - b.v) AS d, count(*) AS n FROM nd a JOIN (SELECT * FROM nd WHERE scorer = 'votes') b USING (user_id) GROUP BY 1, 2) GROUP BY 1""")
@@ -638,7 +640,7 @@ ORACLE_SQL["d13_summary"] = ORACLE_SQL["j7_paired"][: ORACLE_SQL["j7_paired"].ri
 
 def _served(t: Tables) -> DataFrame:
     """Ranked lists of the missing surface: votes, from place 0."""
-    lists = _ranked(t).where("scorer = 'votes'").join(t.items.select(*KEY, "genres", S.is_kids().alias("kids"), "vote_count"), KEY)
+    lists = evaluate.lists(t.scores.where("scorer = 'votes'"), _unit(t.cands)).join(t.items.select(*KEY, "genres", S.is_kids().alias("kids"), "vote_count"), KEY)
     return lists.select(F.lit("missing").alias("surface"), "user_id", (F.col("place") - 1).alias("place"), *KEY, "genres", "kids")
 
 

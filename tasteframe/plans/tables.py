@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tasteframe.functions.scalars import KEY
 from tasteframe.operators import baselines, contexts, engagement, features, splits
+from tasteframe.operators.complement import Rankings
 from tasteframe.plans.views import FIRST_CUTOFF, NOW, view
 
 
@@ -96,3 +97,18 @@ class Tables:
         one = lambda df, name: df.select(F.lit("now").alias("unit"), "user_id", *KEY, F.lit(name).alias("scorer"), F.col("score").cast("double").alias("score"))
         pool = self.pools.withColumn("score", F.col("seeds") * 10.0 + F.col("best_seed") % 7)
         return one(baselines.global_popularity(self.cands, self.items), "votes").union(one(baselines.household_popularity(self.demand, self.items), "others")).union(one(pool, "pool"))
+
+    @cached_property
+    def rankings(self) -> Rankings:
+        """The same scorers over the universe, with each user's exceptions: see complement.Rankings."""
+        now = lambda df: df.withColumn("unit", F.lit("now"))
+        total, less = contexts.demand_totals(self.seeds, self.requests, F.lit(NOW))
+        titles = self.universe.select(*KEY).join(self.items.select(*KEY, F.col("vote_count").cast("double").alias("votes")), KEY).join(total, KEY, "left")
+        base = lambda scorer, score: now(titles).select("unit", F.lit(scorer).alias("scorer"), *KEY, score.cast("double").alias("score"))
+        wanted = F.coalesce("total", F.lit(0)) * 1e9 + F.col("votes")
+        votes = self.items.select(*KEY, "vote_count")
+        explicit = now(less.join(votes, KEY)).select("unit", "user_id", F.lit("others").alias("scorer"), *KEY, (F.col("demand") * 1e9 + F.col("vote_count")).alias("score"))
+        pool = now(self.pools).select("unit", "user_id", F.lit("pool").alias("scorer"), *KEY, (F.col("seeds") * 10.0 + F.col("best_seed") % 7).alias("score"))
+        bases = base("votes", F.col("votes")).union(base("others", wanted)).union(base("pool", F.lit(None)))
+        own = now(self.seeds).select("unit", "user_id", *KEY)
+        return Rankings(now(self.users.select("user_id")), self.cut(bases), self.cut(own), self.cut(explicit.unionByName(pool)), self.cut)
