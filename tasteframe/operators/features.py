@@ -101,9 +101,11 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def averaged(sparse: DataFrame, dense: DataFrame) -> DataFrame:
-    """The mean of both similarities where there are both, the sparse one elsewhere."""
-    both = sparse.join(dense.withColumnRenamed("sim", "dense"), PAIR, "left")
-    return both.select(*PAIR, F.when(F.col("dense").isNull(), F.col("sim")).otherwise((F.col("sim") + F.col("dense")) / 2).alias("sim"))
+    """The mean of both similarities for the pairs of titles that have vectors, a negative one as 0, also where they
+    share no term; the sparse one elsewhere."""
+    both = sparse.join(dense.withColumnRenamed("sim", "dense"), PAIR, "full")
+    mean = (F.coalesce("sim", F.lit(0.0)) + F.greatest("dense", F.lit(0.0))) / 2
+    return both.select(*PAIR, F.when(F.col("dense").isNull(), F.col("sim")).otherwise(mean).alias("sim"))
 
 
 def neighbours(space: DataFrame, library: DataFrame, k: int = 100, reach: int = 4000, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

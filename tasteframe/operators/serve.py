@@ -66,22 +66,31 @@ def first_titles(ranked: DataFrame, family: str, limit: int) -> DataFrame:
     return rows.withColumn("n", n).where(F.col("n") <= limit).drop("n")
 
 
-def parse_groups(maps: DataFrame, text: str = "map") -> DataFrame:
-    """K4: account maps `canonical:member,member;...` as (canonical, member, error); error names what is wrong."""
-    groups = maps.select(F.explode(F.split(F.col(text), ";")).alias("part")).where("trim(part) != ''")
-    sides = groups.select("part", F.split("part", ":").alias("s"))
-    rows = sides.select("part", F.size("s").alias("n"), F.trim(F.col("s")[0]).try_cast("bigint").alias("canonical"), F.explode(F.split(F.coalesce(F.try_element_at("s", F.lit(2)), F.lit("")), ",")).alias("m"))
-    rows = rows.select("part", "n", "canonical", F.trim("m").try_cast("bigint").alias("member"))
-    times = F.count(F.lit(1)).over(Window.partitionBy("member"))
-    named = rows.select(F.col("canonical").alias("c_")).distinct()
-    rows = rows.withColumn("times", times).join(named, F.col("member") == F.col("c_"), "left")
+def parse_groups(maps: DataFrame, text: str = "map", by: tuple[str, ...] = ()) -> DataFrame:
+    """K4: account maps `canonical:member,member;...` as (by, part, canonical, member, error); error names what is wrong.
+    Rows of equal `by` are one map, all rows without it. An id is plain digits, above zero: no sign, no other script. A
+    map with any error is to be refused; blank parts are none."""
+    account = lambda c: F.when(F.trim(c).rlike("^[0-9]+$"), F.nullif(F.trim(c).try_cast("bigint"), F.lit(0)))
+    groups = maps.select(*by, F.posexplode(F.split(F.col(text), ";")).alias("group", "part"), F.hash(text).alias("from_")).where("trim(part) != ''")
+    sides = groups.select(*by, "group", "from_", F.trim("part").alias("part"), F.split("part", ":").alias("s"))
+    tail = F.coalesce(F.try_element_at("s", F.lit(2)), F.lit(""))
+    rows = sides.select(*by, "group", "from_", "part", F.size("s").alias("n"), (F.trim(tail) == "").alias("bare"), account(F.col("s")[0]).alias("canonical"), F.explode(F.split(tail, ",")).alias("m"))
+    rows = rows.withColumn("member", account(F.col("m")))
+    rows = rows.withColumns({
+        "times": F.count(F.lit(1)).over(Window.partitionBy(*by, "member")),
+        "groups": F.size(F.collect_set(F.struct("from_", "group")).over(Window.partitionBy(*by, "canonical"))),
+    })
+    named = rows.select(*by, F.col("canonical").alias("member"), F.lit(True).alias("elsewhere")).distinct()
+    rows = rows.join(named, [*by, "member"], "left")
     error = (
-        F.when((F.col("n") != 2) | F.col("canonical").isNull() | F.col("member").isNull(), "malformed")
+        F.when((F.col("n") != 2) | F.col("canonical").isNull() | (F.col("member").isNull() & ~F.col("bare")), "malformed")
+        .when(F.col("bare"), "no members")
         .when(F.col("canonical") == F.col("member"), "own member")
         .when(F.col("times") > 1, "in two groups")
-        .when(F.col("c_").isNotNull(), "canonical elsewhere")
+        .when(F.col("groups") > 1, "canonical of two groups")
+        .when(F.col("elsewhere"), "canonical elsewhere")
     )
-    return rows.select("part", "canonical", "member", error.alias("error"))
+    return rows.select(*by, "part", "canonical", "member", error.alias("error"))
 
 
 def normal_form(alias: DataFrame) -> DataFrame:

@@ -712,10 +712,10 @@ def c10_nearest(t: Tables) -> DataFrame:
     return near.select(*features.PAIR, F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
 
 
-@query("""SELECT s.tmdb_id, s.media_type, s.n_tmdb_id, s.n_media_type, round(CASE WHEN b.u IS NULL OR a.u IS NULL THEN sim ELSE (sim + list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2]))) / 2 END, 6) AS sim
-  FROM (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN library l ON l.tmdb_id = a.tmdb_id AND l.media_type = a.media_type
+@query("""SELECT tmdb_id, media_type, n_tmdb_id, n_media_type, round(CASE WHEN dense IS NULL THEN sim ELSE (coalesce(sim, 0) + greatest(dense, 0)) / 2 END, 6) AS sim FROM (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN library l ON l.tmdb_id = a.tmdb_id AND l.media_type = a.media_type
     JOIN space b ON a.term = b.term JOIN library r ON r.tmdb_id = b.tmdb_id AND r.media_type = b.media_type GROUP BY 1, 2, 3, 4) s
-  LEFT JOIN unit a ON a.tmdb_id = s.tmdb_id AND a.media_type = s.media_type LEFT JOIN unit b ON b.tmdb_id = s.n_tmdb_id AND b.media_type = s.n_media_type""")
+  FULL JOIN (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2])) AS dense FROM unit a JOIN library l ON l.tmdb_id = a.tmdb_id AND l.media_type = a.media_type
+    CROSS JOIN unit b JOIN library r ON r.tmdb_id = b.tmdb_id AND r.media_type = b.media_type) d USING (tmdb_id, media_type, n_tmdb_id, n_media_type)""")
 def c10_averaged(t: Tables) -> DataFrame:
     own = t.space.join(t.library, KEY, "left_semi")
     both = features.averaged(features.similarity(own, own), features.dense_similarity(t.vectors, t.library, t.library))
@@ -736,11 +736,41 @@ def f2_cold_start(t: Tables) -> DataFrame:
     return ranking.cold_start(t.cands, t.items, 2001)
 
 
+def _build(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Seeds with intents, and the item-item weights."""
+    return t.cut(contexts.intent_seeds(t.seeds, contexts.pooled_requests(t.requests, t.alias), t.items, F.lit(NOW))), t.cut(itemitem.weights(_ratings_gram(t), t.cut))
+
+
 @query()
 def i15_production(t: Tables) -> DataFrame:
-    weights = t.spark.createDataFrame([(c, m, w) for c, w in (("votes", 1.0), ("pool", 2.0)) for m in ("movie", "show")], "component string, media_type string, weight double")
-    scores = t.scores.withColumnRenamed("scorer", "component").drop("unit")
-    return ranking.production(scores, weights, t.seeds, t.cands, t.items, t.space, NOW, 2001)
+    """The shipped blend of graph, content, item-item and vectors on both surfaces."""
+    intents, b = _build(t)
+    universes = {"missing": t.universe, "library": contexts.universe(t.items, t.library, t.requests, "library", NOW)}
+    return ranking.surfaces(t.users, universes, t.seeds, intents, t.negatives, t.items, t.space, b, NOW, 2001, t.cut, t.vectors)
+
+
+@query("""SELECT user_id, tmdb_id, media_type, n.tmdb_id IS NOT NULL AS continuation, round(f.score + CASE WHEN n.tmdb_id IS NOT NULL THEN 0.1 ELSE 0 END, 5) AS score
+  FROM (SELECT user_id, tmdb_id, media_type, sum(w * pct) / sum(w) AS score FROM (SELECT *, CASE component WHEN 'content' THEN 2.0 ELSE 1.0 END::DOUBLE AS w,
+    (row_number() OVER (PARTITION BY user_id, component, media_type ORDER BY score, tmdb_id DESC) - 1) / greatest(1, count(*) OVER (PARTITION BY user_id, component, media_type) - 1)::DOUBLE AS pct FROM parts) GROUP BY 1, 2, 3) f LEFT JOIN nexts n USING (user_id, tmdb_id, media_type)""")
+def i15_blend(t: Tables) -> DataFrame:
+    """The shipped blend without vectors before its re-rank: graph, content and item-item by percentiles (of scores to six
+    digits, as engines add up in different orders), with continuations."""
+    scores = ranking.components(t.seeds, t.negatives, t.cands, t.items, t.space, _build(t)[1], t.cut).withColumn("score", F.round("score", 6))
+    fused = blend.fuse(scores, ranking.shipped_weights(t.spark, False))
+    return blend.with_bonus(fused, blend.continuations(t.seeds, t.cands, t.items)).select("user_id", *KEY, "continuation", F.round("score", 5).alias("score"))
+
+
+@query("""SELECT user_id, tmdb_id, media_type, e.n AS n, e.seed_id AS seed_tmdb_id, e.kind AS kind FROM (
+  SELECT user_id, tmdb_id, media_type, 1::BIGINT AS n, seed_id, 'next_in_series' AS kind FROM top JOIN nexts USING (user_id, tmdb_id, media_type)
+  UNION ALL SELECT user_id, tmdb_id, media_type, n, n_tmdb_id, 'similar' FROM (SELECT user_id, tmdb_id, media_type, n_tmdb_id, row_number() OVER (PARTITION BY user_id, tmdb_id, media_type ORDER BY sim DESC, n_media_type, n_tmdb_id) AS n
+    FROM top ANTI JOIN nexts USING (user_id, tmdb_id, media_type) JOIN (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, round(sum(a.w * b.w), 9) AS sim FROM space a JOIN universe USING (tmdb_id, media_type) JOIN space b ON a.term = b.term GROUP BY 1, 2, 3, 4) USING (tmdb_id, media_type)
+    JOIN (SELECT user_id, tmdb_id AS n_tmdb_id, media_type AS n_media_type FROM seeds) USING (user_id, n_tmdb_id, n_media_type) WHERE sim > 0) WHERE n <= 3) e""")
+def e11_explanations(t: Tables) -> DataFrame:
+    """Why the 50 first titles by votes are listed, an entry a row."""
+    listed = t.cut(t.rankings.top(50).where("scorer = 'votes'").select("user_id", *KEY))
+    sims = features.similarity(t.space.join(listed.select(*KEY).distinct(), KEY, "left_semi"), t.space.join(t.seeds.select(*KEY).distinct(), KEY, "left_semi")).withColumn("sim", F.round("sim", 9))
+    why = ranking.explanations(listed, t.seeds, sims, blend.continuations(t.seeds, t.cands, t.items), t.items)
+    return why.select("user_id", *KEY, F.posexplode("why").alias("n", "e")).select("user_id", *KEY, (F.col("n") + 1).cast("long").alias("n"), "e.seed_tmdb_id", "e.kind")
 
 
 @query()
@@ -936,3 +966,88 @@ def j10_grid(t: Tables) -> DataFrame:
 
 for _name, _rows in (("j9_folds", "SELECT *, component AS scorer FROM fscores"), ("j10_grid", _GRID_ROWS)):
     ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(f"{SHARED}\n", f"{SHARED},{_FOLDS.format(rows=_rows)}\n")
+
+
+_SIMS = """
+    sims AS (SELECT a.tmdb_id, a.media_type, b.tmdb_id AS n_tmdb_id, b.media_type AS n_media_type, sum(a.w * b.w) AS sim FROM space a JOIN universe USING (tmdb_id, media_type) JOIN space b ON a.term = b.term GROUP BY 1, 2, 3, 4)"""
+
+
+def _with(name: str) -> str:
+    """The WITH clause of a query's SQL behind the shared part, and its last SELECT under a name."""
+    sql = ORACLE_SQL[name]
+    return sql[sql.index(SHARED) + len(SHARED) :].strip()
+
+
+def _parts() -> str:
+    graph, content_, item = _with("i7_pagerank"), _with("i6_seed_knn"), _with("i9_item_item")
+    split = lambda sql, start: (sql[: sql.rindex(start)].strip().rstrip(",").lstrip(","), sql[sql.rindex(start) :])
+    g_with, g = split(graph, "SELECT user_id, tmdb_id, media_type, round(coalesce(p, 0) / g")
+    c_with, c = split(content_, "SELECT c.user_id, c.tmdb_id, c.media_type, round(greatest(")
+    i_with, i = split(item, "SELECT user_id, tmdb_id, media_type, round(coalesce(score, 0), 6)")
+    i_with, i = i_with.replace("own AS (SELECT user_id, tmdb_id AS src", "rated AS (SELECT user_id, tmdb_id AS src"), i.replace("FROM own", "FROM rated")
+    return f"""{g_with}, {c_with}, {i_with},
+  parts AS MATERIALIZED (SELECT 'graph' AS component, * FROM ({g.replace(", 4) AS score", ", 6) AS score")}) UNION ALL BY NAME SELECT 'content' AS component, * FROM ({c.replace(", 4) AS score", ", 6) AS score")})
+    UNION ALL BY NAME SELECT 'item_item' AS component, * FROM ({i})), nexts AS (SELECT user_id, tmdb_id, 'movie' AS media_type FROM ({_NEXTS}))"""
+
+
+ORACLE_SQL["i15_blend"] = ORACLE_SQL["i15_blend"].replace("WITH ", "WITH RECURSIVE ", 1).replace(f"{SHARED}\n", f"{SHARED},\n{_parts()}\n")
+ORACLE_SQL["e11_explanations"] = ORACLE_SQL["e11_explanations"].replace(
+    f"{SHARED}\n",
+    f"""{SHARED},
+  nexts AS (SELECT user_id, tmdb_id, 'movie' AS media_type, seed_id FROM (SELECT user_id, collection_id, tmdb_id FROM ({_NEXTS})) JOIN (
+    SELECT user_id, collection_id, arg_min(tmdb_id, (-epoch(release_date::DATE), tmdb_id)) AS seed_id FROM seeds JOIN items USING (tmdb_id, media_type) WHERE collection_id != 0 GROUP BY 1, 2) USING (user_id, collection_id)),
+  top AS (SELECT user_id, tmdb_id, media_type FROM ranked WHERE scorer = 'votes' AND place <= 50)
+""",
+)
+
+
+@query("SELECT row_id, percent_complete FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY date DESC, media_type DESC, percent_complete DESC) AS n FROM plays) WHERE n = 1")
+def a1_newest(t: Tables) -> DataFrame:
+    """Every play twice, an older record of it with other figures: the newest wins."""
+    rows = t.plays.select("row_id", "date", "media_type", "percent_complete")
+    older = rows.withColumns({"date": F.col("date") - 5, "percent_complete": F.lit(-1)})
+    return ingest.load_plays(older.unionByName(rows)).select("row_id", "percent_complete")
+
+
+@query("SELECT userId AS user_id, movieId AS movie_id, rating, timestamp, tmdbId AS tmdb_id FROM ratings LEFT JOIN links USING (movieId)")
+def a6_ratings(t: Tables) -> DataFrame:
+    """Ratings and links through their files."""
+    root = t.folder("ratings")
+    t.ratings.write.option("header", True).csv(f"{root}/ratings")
+    t.links.select("movieId", F.lit(None).cast("long").alias("imdbId"), "tmdbId").write.option("header", True).csv(f"{root}/links")
+    ratings, links = ingest.read_ratings(t.spark, f"{root}/ratings", f"{root}/links")
+    return ratings.join(links, "movieId", "left").select(F.col("userId").alias("user_id"), F.col("movieId").alias("movie_id"), "rating", "timestamp", F.col("tmdbId").alias("tmdb_id"))
+
+
+@query("SELECT tmdb_id, media_type, CASE WHEN media_type = 'show' THEN 'replaced' ELSE 'second' END AS build FROM items")
+def a9_published(t: Tables) -> DataFrame:
+    """Two builds, then one that breaks while it is written, then a partition of the table replaced."""
+    root = t.folder("published")
+    for at, build in ((1, "first"), (2, "second")):
+        ingest.publish(t.items.select(*KEY, F.lit(build).alias("build")), root, at, "media_type")
+    broken = F.when(F.col("tmdb_id") % 7 == 0, F.raise_error(F.lit("broken")).cast("string")).otherwise("third")
+    try:
+        ingest.publish(t.items.select(*KEY, broken.alias("build")), root, 3, "media_type")
+    except Exception as error:  # noqa: BLE001
+        if "broken" not in str(error):
+            raise
+    table = t.folder("replaced")
+    ingest.replace_table(ingest.published(t.spark, root), table, "media_type")
+    ingest.replace_partitions(t.items.where("media_type = 'show'").select(*KEY, F.lit("replaced").alias("build")), table, "media_type")
+    return t.spark.read.parquet(table).select(*KEY, "build")
+
+
+_KINDS = ["CONCAT(c, ':', m)", "CONCAT(c, ',', m)", "CONCAT(c, ':two')", "CONCAT('one:', m)", "CONCAT('-', c, ':', m)", "CONCAT('0:', m)", "CONCAT('+', c, ':', m)", "CONCAT(c, '_0:', m)", "CONCAT('\u0663:', m)", "CONCAT(c, '.0:', m)",
+          "CONCAT(c, ':', m, ',,', n)", "CONCAT(c, ':', m, ',')", "CONCAT(c, ':')", "CONCAT(c, ':', c)", "CONCAT(c, ':', m, ',', m)", "CONCAT(c, ':', m, ';', n, ':', m)", "CONCAT(c, ':', m, ';', c, ':', n)", "CONCAT(c, ':', m, ';', m, ':', n)", "CONCAT(' ', c, ' : ', m, ' , ', n, ' ;')", "' ; '"]
+
+
+@query("""SELECT member AS account, kind, CASE WHEN kind BETWEEN 1 AND 11 THEN 'malformed' WHEN kind = 12 THEN 'no members' WHEN kind = 13 THEN 'own member' WHEN kind IN (14, 15) THEN 'in two groups' WHEN kind = 16 THEN 'canonical of two groups' WHEN kind = 17 THEN 'canonical elsewhere' END AS error,
+  CASE kind WHEN 0 THEN 1 WHEN 18 THEN 2 ELSE 0 END::BIGINT AS good FROM alias CROSS JOIN (SELECT unnest(range(20))::INTEGER AS kind)""")
+def k4_refused(t: Tables) -> DataFrame:
+    """Maps of 20 kinds for every account, each of its own: what is wrong with it, and how many members a right one has."""
+    maps = t.alias.select(F.col("member").alias("account"), *(x.cast("string").alias(n) for n, x in (("c", F.col("canonical") + 1), ("m", F.col("member") + 1), ("n", F.col("member") + 1000001))))
+    every = F.posexplode(F.array(*(F.expr(k) for k in _KINDS))).alias("kind", "map")
+    maps = maps.select("account", "c", "m", "n", every)
+    rows = serve.parse_groups(maps, by=("account", "kind")).groupBy("account", "kind").agg(F.min("error").alias("error"), F.count_if(F.col("error").isNull()).alias("whole"))
+    out = maps.select("account", "kind").join(rows, ["account", "kind"], "left")
+    return out.select("account", "kind", "error", F.when(F.col("error").isNull(), F.coalesce("whole", F.lit(0))).otherwise(0).cast("long").alias("good"))

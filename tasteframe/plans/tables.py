@@ -15,6 +15,19 @@ from tasteframe.operators.complement import Rankings
 from tasteframe.plans.views import FIRST_CUTOFF, NOW, view
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where none is set, a temporary one for a local master,
+    as in tests; on a cluster executors could not see it, so it is refused there."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tasteframe-')}"
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 class Tables:
     """Views of a test data folder and what follows from them, for the production unit at NOW."""
 
@@ -27,17 +40,16 @@ class Tables:
             return self.__dict__[name]
         raise AttributeError(name)
 
+    def folder(self, name: str) -> str:
+        """A new folder for tables, in the one that the session names."""
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     @staticmethod
     def cut(df: DataFrame) -> DataFrame:
-        """End a lineage: a table in the folder that the session names; a temporary one only where none is set."""
-        session, context = df.sparkSession, df.sparkSession.sparkContext
-        folder = session.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-        if not folder:
-            folder = f"file://{tempfile.mkdtemp(prefix='tasteframe-')}"
-            context.setCheckpointDir(folder)
-        path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+        """End a lineage: a table in the folder that the session names."""
+        path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return session.read.schema(df.schema).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     @cached_property
     def evaluated(self) -> DataFrame:

@@ -130,6 +130,28 @@ def replace_table(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.partitionBy(*partitions).mode("overwrite").parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, *partitions: str) -> None:
+    """The partitions that df has rows of are replaced, the others stay."""
+    df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).mode("overwrite").parquet(path)
+
+
+def publish(df: DataFrame, root: str, built_at: int, *partitions: str) -> str:
+    """A new build of a derived table. It is written beside the builds before it; only then a build record is appended,
+    which makes it the current one. A write that breaks leaves no record, so readers keep the last whole build. A build
+    is named by its time; to publish the same time again writes it anew."""
+    build = f"build={built_at}"
+    df.write.partitionBy(*partitions).mode("overwrite").parquet(f"{root}/{build}")
+    record = df.sparkSession.range(1).select(F.lit(built_at).cast("long").alias("built_at"), F.lit(build).alias("build"))
+    append_record(record, f"{root}/builds")
+    return build
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The current build of a table."""
+    last = spark.read.schema("built_at long, build string").parquet(f"{root}/builds").agg(F.max_by("build", "built_at")).first()[0]
+    return spark.read.parquet(f"{root}/{last}")
+
+
 def append_record(df: DataFrame, path: str) -> None:
     """One more build record."""
     df.write.mode("append").parquet(path)
