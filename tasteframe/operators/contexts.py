@@ -40,6 +40,13 @@ def universe(items: DataFrame, library: DataFrame, requests: DataFrame, surface:
     return found.select(*KEY).join(library, KEY, "left_anti").join(requests, KEY, "left_anti")
 
 
+def holdout_universe(items: DataFrame, library: DataFrame, library_only: bool = False) -> DataFrame:
+    """Candidates of the holdout: the catalogue, whatever is in the library; or the library's titles alone."""
+    if library_only:
+        return items.select(*KEY).join(library, KEY, "left_semi")
+    return items.where("in_catalogue").select(*KEY)
+
+
 def seeds(engaged: DataFrame, cutoff: Column, held_out: DataFrame | None = None) -> DataFrame:
     """A user's positives by the cutoff with their weights, without what is held out."""
     rows = engaged.where((F.col("label") == "positive") & (F.col("first_at") <= cutoff))

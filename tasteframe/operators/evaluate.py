@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -122,36 +123,54 @@ def overlap(ranked: DataFrame, k: int = 50) -> DataFrame:
     return out.select(*UNIT, "scorer", F.when(F.col("users") > 1, mean).alias("jaccard"))
 
 
-def paired(rows: DataFrame, metric: str, reference: str) -> DataFrame:
-    """Mean difference to the reference scorer on the same unit and user, and the users it wins and loses."""
+def _differences(rows: DataFrame, metric: str, reference: str, by: list[str]) -> DataFrame:
+    """Per group, scorer and user: the sum of differences to the reference on the same unit, and their number."""
     own = rows.where(F.col(metric).isNotNull() & ~F.isnan(metric))
-    base = own.where(F.col("scorer") == reference).select(*UNIT, F.col(metric).alias("base"))
-    users = own.join(base, UNIT).groupBy("scorer", "user_id").agg(F.sum(F.col(metric) - F.col("base")).alias("total"), F.count(F.lit(1)).alias("n"))
+    base = own.where(F.col("scorer") == reference).select(*by, *UNIT, F.col(metric).alias("base"))
+    return own.join(base, [*by, *UNIT]).groupBy(*by, "scorer", "user_id").agg(F.sum(F.col(metric) - F.col("base")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def paired(rows: DataFrame, metric: str, reference: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean difference to the reference scorer on the same unit and user, and the users it wins and loses, for every
+    group of the columns by."""
+    users = _differences(rows, metric, reference, list(by))
     mean = F.col("total") / F.col("n")
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return users.groupBy("scorer").agg((F.sum("total") / F.sum("n")).alias("delta"), one(mean > 1e-9).alias("wins"), one(mean < -1e-9).alias("losses"), F.count(F.lit(1)).alias("users"))
+    return users.groupBy(*by, "scorer").agg((F.sum("total") / F.sum("n")).alias("delta"), one(mean > 1e-9).alias("wins"), one(mean < -1e-9).alias("losses"), F.count(F.lit(1)).alias("users"))
 
 
 #: Sums of the probabilities of 0, 1, 2, ... draws of a user, whose expected number is one.
 DRAWS = tuple(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]).tolist())
 
 
-def bootstrap(rows: DataFrame, metric: str, reference: str, samples: int = 2000) -> DataFrame:
-    """95 % interval of the mean difference to the reference over resampled users. A user is a sum and a count, drawn
-    a Poisson number of times in each sample (the limit of drawing with replacement), which a hash of user and sample
-    sets; so samples are sums, added up within tasks, and no task holds all users."""
-    own = rows.where(F.col(metric).isNotNull() & ~F.isnan(metric))
-    base = own.where(F.col("scorer") == reference).select(*UNIT, F.col(metric).alias("base"))
-    users = own.join(base, UNIT).groupBy("scorer", "user_id").agg(F.sum(F.col(metric) - F.col("base")).alias("total"), F.count(F.lit(1)).alias("n"))
-    drawn = users.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+def bootstrap(rows: DataFrame, metric: str, reference: str, samples: int = 2000, by: tuple[str, ...] = ()) -> DataFrame:
+    """95 % interval of the mean difference to the reference over resampled users, for every group of the columns by.
+    A user is a sum and a count, drawn a Poisson number of times in each sample (the limit of drawing with replacement),
+    which a hash of user and sample sets; so samples are sums, added up within tasks, and no task holds all users."""
+    drawn = _differences(rows, metric, reference, list(by)).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     digits = F.substring(F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("sample").cast("string")).cast("binary")), 1, 8)
     chance = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
     times = sum(((chance >= edge).cast("int") for edge in DRAWS), F.lit(0))
-    sums = drawn.withColumn("times", times).groupBy("scorer", "sample").agg(F.sum(F.col("times") * F.col("total")).alias("total"), F.sum(F.col("times") * F.col("n")).alias("n"))
+    sums = drawn.withColumn("times", times).groupBy(*by, "scorer", "sample").agg(F.sum(F.col("times") * F.col("total")).alias("total"), F.sum(F.col("times") * F.col("n")).alias("n"))
     mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
-    return sums.groupBy("scorer").agg(F.percentile(mean, F.lit(0.025)).alias("low"), F.percentile(mean, F.lit(0.975)).alias("high"))
+    return sums.groupBy(*by, "scorer").agg(F.percentile(mean, F.lit(0.025)).alias("low"), F.percentile(mean, F.lit(0.975)).alias("high"))
 
 
 def summarise(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """Mean of each metric per scorer, without NaN, and the number of units."""
+    """Mean of each metric per scorer, without NaN, and the number of units."""
     return rows.groupBy("scorer").agg(*(F.avg(F.when(~F.isnan(m), F.col(m))).alias(m) for m in metrics), F.count(F.lit(1)).alias("units"))
+
+
+def report(rows: DataFrame, metrics: list[str], references: tuple[str, ...], samples: int = 2000) -> DataFrame:
+    """The tables of a report in one: per subset, metric, reference and scorer the mean, the number of units, the paired
+    difference with wins, losses and users, and its interval. rows (unit, user_id, scorer, part, metrics); the subsets are
+    "all" and each part, by grouping sets for the means; a metric that is null or NaN does not count."""
+    long = rows.select("part", *UNIT, "scorer", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("e")).select("part", *UNIT, "scorer", "e.*")
+    good = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    sets = [["part", "metric", "scorer"], ["metric", "scorer"]]
+    means = good.groupingSets(sets, "part", "metric", "scorer").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("units"), F.grouping("part").alias("whole"))
+    means = means.select(F.when(F.col("whole") == 1, "all").otherwise(F.col("part")).alias("subset"), "metric", "scorer", "mean", "units")
+    each = good.withColumn("subset", F.explode(F.array(F.lit("all"), F.col("part"))))
+    by = ("subset", "metric")
+    against = (paired(each, "value", r, by).join(bootstrap(each, "value", r, samples, by), [*by, "scorer"]).withColumn("reference", F.lit(r)) for r in references)
+    return reduce(DataFrame.unionByName, against).join(means, [*by, "scorer"])

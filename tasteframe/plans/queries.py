@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tasteframe.functions import scalars as S
 from tasteframe.functions.scalars import KEY
 from tasteframe.operators import baselines, blend, blocks, content, contexts, engagement, evaluate, features, itemitem, pagerank, serve, splits
-from tasteframe.plans import ranking
+from tasteframe.operators.complement import Rankings
+from tasteframe.plans import folds, ranking
 from tasteframe.plans.tables import Tables
 from tasteframe.plans.views import FIRST_CUTOFF, NOW, prelude
 from tasteframe.sources import ingest
@@ -951,11 +952,86 @@ _GRID_ROWS = f"""SELECT fold_id, user_id, tmdb_id, media_type, scorer, sum(w * p
 @query("SELECT fold_id::VARCHAR AS unit, scorer, count(*) AS users, round(avg(v), 6) AS ndcg FROM fnd GROUP BY 1, 2")
 def j9_folds(t: Tables) -> DataFrame:
     """Every fold's users, candidates and positives by its own cutoff: mean NDCG of a fold and scorer."""
-    cands, scores = _fold_scores(t)
-    rows = _fold_ndcg(t, cands, scores.withColumnRenamed("component", "scorer"))
+    rows = _fold_rows(t)
     return rows.groupBy("unit", "scorer").agg(F.count(F.lit(1)).alias("users"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
+def _fold_positives(t: Tables) -> DataFrame:
+    return t.fold_positives.select(F.col("fold_id").cast("string").alias("unit"), "user_id", *KEY)
+
+
+def _fold_rows(t: Tables) -> DataFrame:
+    universe = contexts.fold_universe(t.items, t.library, t.requests, t.folds)
+    lists = folds.rankings(t.items, universe, t.engaged, t.requests, t.cut(t.fold_users), t.folds, t.cut)
+    positives = t.cut(_fold_positives(t))
+    return evaluate.ndcg(lists.places(positives), positives)
+
+
+#: The last folds are for testing alone.
+TEST_FROM = 19
+
+
+@query()
+def j9_scorers(t: Tables) -> DataFrame:
+    """Content, graph and item-item scores of all folds in one pass: mean NDCG and recall of tuning and test folds."""
+    users = t.cut(t.fold_users)
+    cands = t.cut(contexts.fold_candidates(users, contexts.fold_universe(t.items, t.library, t.requests, t.folds), t.engaged, t.folds))
+    made = folds.scores(folds.seeds(t.engaged, users, t.folds), folds.negatives(t.engaged, users, t.folds), cands, t.items, t.space, _build(t)[1], t.cut)
+    ranked = t.cut(evaluate.lists(made, cands.select(F.col("fold_id").cast("string").alias("unit"), "user_id", *KEY)))
+    positives = t.cut(_fold_positives(t))
+    rows = evaluate.ndcg(ranked, positives).join(evaluate.recall(ranked, positives), [*evaluate.UNIT, "scorer"])
+    part = F.when(F.col("unit").cast("int") >= TEST_FROM, "test").otherwise("tuning").alias("part")
+    return rows.groupBy(part, "scorer").agg(F.count(F.lit(1)).alias("units"), *(F.round(F.avg(c), 4).alias(c) for c in ("ndcg", "recall_50", "recall_100")))
+
+
+@query()
+def j10_content_grid(t: Tables) -> DataFrame:
+    """Settings of the content scorer in one pass: mean NDCG of each."""
+    grid = {f"m{m}_p{p:g}_pop{pop:g}": content.Setting(m, p, pop) for m in (3, 5, 10) for p in (1.0, 2.0, 3.0) for pop in (0.5, 1.0)}
+    grid |= {"no_negatives": content.Setting(5, negative_weight=0.0), "own_media": content.Setting(5, cross_media=False)}
+    made = _unit(content.settings(t.space, t.seeds, t.negatives, t.cands, t.items, grid))
+    rows = evaluate.ndcg(evaluate.lists(made, _unit(t.cands)), _positives(t))
+    return evaluate.summarise(rows, ["ndcg"]).select("scorer", "units", F.round("ndcg", 5).alias("ndcg"))
+
+
+@query(f"""SELECT m.subset, m.scorer, 'ndcg' AS metric, 'votes' AS reference, round(mean, 6) AS mean, units, round(delta, 6) AS delta, wins, losses, users, round(low, 6) AS low, round(high, 6) AS high
+  FROM (SELECT subset, scorer, avg(v) AS mean, count(*) AS units FROM subsets GROUP BY 1, 2) m
+  JOIN (SELECT subset, scorer, sum(d) / sum(n) AS delta, count(*) FILTER (WHERE d / n > 1e-9) AS wins, count(*) FILTER (WHERE d / n < -1e-9) AS losses, count(*) AS users FROM diffs GROUP BY 1, 2) USING (subset, scorer)
+  JOIN (SELECT subset, scorer, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM (SELECT subset, scorer, sample, sum(k * d) / nullif(sum(k * n), 0) AS mean FROM (
+    SELECT *, {" + ".join(f"(u >= {edge!r})::INTEGER" for edge in evaluate.DRAWS)} AS k FROM (SELECT *, ('0x' || substr(md5(user_id || ':' || sample), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      FROM diffs CROSS JOIN (SELECT unnest(range(2000)) AS sample))) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (subset, scorer)""")
+def j11_report(t: Tables) -> DataFrame:
+    """The report of all folds, of tuning and of test folds, written by subset and read again."""
+    part = F.when(F.col("unit").cast("int") >= TEST_FROM, "test").otherwise("tuning")
+    table = t.folder("report")
+    ingest.publish(evaluate.report(_fold_rows(t).withColumn("part", part), ["ndcg"], ("votes",)), table, NOW, "subset")
+    rows = ingest.published(t.spark, table)
+    return rows.select("subset", "scorer", "metric", "reference", *r6("mean"), "units", *r6("delta"), "wins", "losses", "users", *r6("low", "high"))
+
+
+@query("SELECT * FROM (SELECT user_id, tmdb_id, media_type, row_number() OVER (PARTITION BY user_id ORDER BY NOT coalesce(release_date >= '1998', false), vote_count DESC, media_type, tmdb_id) AS place FROM cands JOIN items USING (tmdb_id, media_type)) WHERE place <= 300")
+def f2_first(t: Tables) -> DataFrame:
+    return ranking.cold_lists(t.users, t.universe, t.seeds, t.items, 2001, 300, t.cut)
+
+
+@query("""SELECT user_id, scorer, round(sum(CASE WHEN place <= 50 THEN 1 / log2(place + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(count(*), 50) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM (
+  SELECT h.user_id, i.tmdb_id, i.media_type, 'votes' AS scorer, row_number() OVER (PARTITION BY h.user_id ORDER BY vote_count DESC, i.media_type, i.tmdb_id) AS place FROM (SELECT DISTINCT user_id FROM held) h CROSS JOIN items i
+    WHERE in_catalogue AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.user_id = h.user_id AND s.tmdb_id = i.tmdb_id AND s.media_type = i.media_type AND NOT EXISTS (SELECT 1 FROM held x WHERE x.user_id = s.user_id AND x.tmdb_id = s.tmdb_id AND x.media_type = s.media_type)))
+  JOIN held USING (user_id, tmdb_id, media_type) GROUP BY 1, 2""")
+def b6_holdout(t: Tables) -> DataFrame:
+    """Votes against what was held out of each user's titles; candidates are the catalogue without the other seeds."""
+    held = t.cut(splits.holdout(t.engaged, t.evaluated))
+    own = _unit(contexts.seeds(t.engaged, F.lit(NOW), held).select("user_id", *KEY))
+    titles = contexts.holdout_universe(t.items, t.library)
+    base = _unit(titles.join(t.items, KEY).select(*KEY, F.lit("votes").alias("scorer"), F.col("vote_count").cast("double").alias("score")))
+    none = own.where("false").select("unit", "user_id", F.lit("votes").alias("scorer"), *KEY, F.lit(0.0).alias("score"))
+    lists = Rankings(_unit(held.select("user_id").distinct()), t.cut(base), t.cut(own), none, t.cut)
+    return evaluate.ndcg(lists.places(_unit(held)), _unit(held)).select("user_id", "scorer", *r6("ndcg"))
+
+
+ORACLE_SQL["b6_holdout"] = ORACLE_SQL["b6_holdout"].replace(f"{SHARED}\n", f"{SHARED},\nheld AS ({ORACLE_SQL['e1_holdout'][ORACLE_SQL['e1_holdout'].index(SHARED) + len(SHARED) :]})\n")
+
+
 @query("SELECT scorer, count(*) AS units, round(avg(v), 6) AS ndcg FROM fnd GROUP BY 1")
 def j10_grid(t: Tables) -> DataFrame:
     """Settings of the blend over all folds."""
@@ -964,8 +1040,15 @@ def j10_grid(t: Tables) -> DataFrame:
     return evaluate.summarise(_fold_ndcg(t, cands, blend.settings(scores, grid)), ["ndcg"]).select("scorer", "units", *r6("ndcg"))
 
 
-for _name, _rows in (("j9_folds", "SELECT *, component AS scorer FROM fscores"), ("j10_grid", _GRID_ROWS)):
+for _name, _rows in (("j9_folds", "SELECT *, component AS scorer FROM fscores"), ("j11_report", "SELECT *, component AS scorer FROM fscores"), ("j10_grid", _GRID_ROWS)):
     ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(f"{SHARED}\n", f"{SHARED},{_FOLDS.format(rows=_rows)}\n")
+ORACLE_SQL["j11_report"] = ORACLE_SQL["j11_report"].replace(
+    "SELECT m.subset,",
+    f""", subsets AS (SELECT *, unnest(['all', CASE WHEN fold_id >= {TEST_FROM} THEN 'test' ELSE 'tuning' END]) AS subset FROM fnd),
+diffs AS (SELECT a.subset, a.scorer, a.user_id, sum(a.v - b.v) AS d, count(*) AS n FROM subsets a JOIN subsets b USING (subset, fold_id, user_id) WHERE b.scorer = 'votes' GROUP BY 1, 2, 3)
+SELECT m.subset,""",
+    1,
+)
 
 
 _SIMS = """
