@@ -17,8 +17,8 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,58 +206,85 @@ def placed(rows: DataFrame, ranges: int | None = None) -> DataFrame:
     return out
 
 
+#: The lower bits of `at` count the rows of a range.
+COUNT = (1 << 33) - 1
+
+
 def summarised(rows: DataFrame) -> DataFrame:
     """Per part of a conversation and stack that may stand before it (entry): the stacks at its end (exits), their costs
-    and ranks; the initials at both ends and the number of adjacent pairs within that are no dialogue."""
+    and ranks; the initials at both ends and the number of adjacent pairs within that are no dialogue. A part that does
+    not stand first in its range begins its conversation, before which only the lowest stack can stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lives, pair, illegal = None, [], ["", ""], 0
-
-        def closed() -> pa.RecordBatch:
-            out = [[*now, low.number, [s.number for s in live], *([v[i] for v in live.values()] for i in (0, 1)), *pair, illegal] for low, live in zip(grammar().live, lives, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
-
+        now, lives, pair, illegal, done = None, {}, ["", ""], 0, []
         numbers = pa.list_(pa.int64())
         kinds = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("entry", pa.int64()), ("exits", numbers), ("costs", numbers), ("ranks", numbers), ("head", pa.string()), ("last", pa.string()), ("illegal", pa.int64())])
+
+        def closed() -> list[list]:
+            return [[*now, low.number, [s.number for s in live], *([v[i] for v in live.values()] for i in (0, 1)), *pair, illegal] for low, live in lives.items()]
+
         for batch in batches:
-            for conv, part, initial, fault in zip(*(batch.column(c).to_pylist() for c in ("conv", "part", "initial", "fault")), strict=True):
+            for conv, part, at, initial, fault in zip(*(batch.column(c).to_pylist() for c in ("conv", "part", "at", "initial", "fault")), strict=True):
                 if (conv, part) == now:
                     illegal += pair[1] + initial not in PAIRS
                     pair[1] = initial
                 else:
                     if now:
-                        yield closed()
-                    now, lives, pair, illegal = (conv, part), [{s: (0, 0)} for s in grammar().live], [initial, initial], 0
-                lives = [step(live, initial, fault)[0] for live in lives]
+                        done += closed()
+                    stacks = grammar().live if at & COUNT == 0 else [grammar().bottom]
+                    now, lives, pair, illegal = (conv, part), {s: {s: (0, 0)} for s in stacks}, [initial, initial], 0
+                lives = {low: step(live, initial, fault)[0] for low, live in lives.items()}
+            if done:
+                yield _batch(done, kinds)
+                done = []
         if now:
-            yield closed()
+            yield _batch(closed(), kinds)
 
     light = rows.select("conv", "part", "at", "initial", "fault").repartition("conv", "part").sortWithinPartitions("conv", "part", "at")
     return light.mapInArrow(tidy(run), "conv string, part int, entry long, exits array<long>, costs array<long>, ranks array<long>, head string, last string, illegal long")
 
 
+def _batch(rows: list, kinds: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+
 def folded(parts: DataFrame) -> DataFrame:
     """Per part, where the best parse of its conversation enters and leaves it; with the conversation's cost, last
     insertions (symbols) and illegal pairs. A conversation has no more parts than there are ranges."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        g = grammar()
-        live, back, illegal, last = {g.bottom: (0, 0)}, [], 0, None
-        for part, entries in rows.sort_values(["part", "entry"]).groupby("part"):
-            ways = {r.entry: list(zip(r.exits, r.costs, r.ranks, strict=True)) for r in entries.itertuples()}
-            offers = ((g.stacks[top], cost + c, (rank, r), low) for low, (cost, rank) in live.items() for top, c, r in ways[low.number])
-            live, origin = merged(offers)
+    def fold(rows: list[dict]) -> list[tuple]:
+        live, back, illegal, last = {grammar().bottom: (0, 0)}, [], 0, None
+        for part, entries in groupby(rows, key=lambda r: r["part"]):
+            ways = {r["entry"]: r for r in entries}
+            one = next(iter(ways.values()))
+            exits = {low: zip(*(ways[low.number][c] for c in ("exits", "costs", "ranks")), strict=True) for low in live}
+            live, origin = merged((grammar().stacks[top], cost + c, (rank, r), low) for low, (cost, rank) in live.items() for top, c, r in exits[low])
             back.append((part, origin))
-            one = entries.iloc[0]
-            illegal, last = illegal + one.illegal + (last is not None and last + one["head"] not in PAIRS), one["last"]
+            illegal, last = illegal + one["illegal"] + (last is not None and last + one["head"] not in PAIRS), one["last"]
         cost, end, symbols = finish(live)
         out = []
         for part, origin in reversed(back):
-            out.append((rows.conv.iloc[0], part, origin[end].number, end.number, cost, symbols, illegal))
+            out.append((rows[0]["conv"], part, origin[end].number, end.number, cost, symbols, illegal))
             end = origin[end]
-        return pd.DataFrame(out, columns=["conv", "part", "entry", "exit", "cost", "tail", "illegal"])
+        return out
 
-    return parts.groupBy("conv").applyInPandas(fold, "conv string, part int, entry long, exit long, cost long, tail string, illegal long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("conv", pa.string()), ("part", pa.int32()), ("entry", pa.int64()), ("exit", pa.int64()), ("cost", pa.int64()), ("tail", pa.string()), ("illegal", pa.int64())])
+        waiting: list[dict] = []
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if waiting and waiting[0]["conv"] != row["conv"]:
+                    done += fold(waiting)
+                    waiting = []
+                waiting.append(row)
+            if done:
+                yield _batch(done, kinds)
+        if waiting:
+            yield _batch(fold(waiting), kinds)
+
+    ordered = parts.repartition("conv").sortWithinPartitions("conv", "part", "entry")
+    return ordered.mapInArrow(tidy(run), "conv string, part int, entry long, exit long, cost long, tail string, illegal long")
 
 
 def edited(rows: DataFrame, plan: DataFrame) -> DataFrame:
