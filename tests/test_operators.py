@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tasteframe.functions import scalars as S
 from tasteframe.operators import blend, engagement, evaluate, itemitem, pagerank, serve
+from tasteframe.plans.tables import Tables
 
 
 @pytest.mark.parametrize("titles,kids,label", [(5, 5, "adult"), (10, 9, "kids"), (187, 66, "family"), (65, 32, "family"), (26, 4, "family"), (27, 4, "adult"), (305, 23, "adult"), (20, 3, "adult")])
@@ -42,7 +43,9 @@ def test_pagerank_equals_power_iteration(spark):
     for _ in range(8):
         p = 0.3 * restart + 0.7 * (t @ p + p[out == 0].sum() * restart)
     start = spark.createDataFrame([(1, "movie", k, float(v)) for k, v in enumerate(restart) if v], "walker long, media_type string, node long, p double")
-    got = {r.node: r.p for r in pagerank.walk(pagerank.edges(items), start, 0.3, 8, lambda df: df).collect()}
+    graph, nodes = pagerank.edges(items), items.select("media_type", F.col("tmdb_id").alias("node"))
+    stays = pagerank.staying(graph, nodes, 8, Tables.cut)
+    got = {r.node: r.p for r in pagerank.walk(graph, start, stays, 0.3, 8, Tables.cut).collect()}
     assert all(math.isclose(got.get(k, 0.0), p[k], abs_tol=1e-9) for k in range(4))
 
 
@@ -52,7 +55,7 @@ def test_item_item_closed_form(spark):
     inverse = np.linalg.inv(x.T @ x + 5 * np.eye(5))
     b = -inverse / np.diag(inverse)[None, :]
     np.fill_diagonal(b, 0)
-    got = {(r.src, r.dst): r.b for r in itemitem.weights(itemitem.gram(pairs), 5.0).collect()}
+    got = {(r.src, r.dst): r.b for r in itemitem.weights(itemitem.gram(pairs), Tables.cut, 5.0).collect()}
     assert all(math.isclose(got.get((i, j), 0.0), b[i, j], abs_tol=1e-6) for i in range(5) for j in range(5))
 
 
