@@ -989,11 +989,41 @@ def j10_content_grid(t: Tables) -> DataFrame:
     """Settings of the content scorer in one pass: mean NDCG of each."""
     grid = {f"m{m}_p{p:g}_pop{pop:g}": content.Setting(m, p, pop) for m in (3, 5, 10) for p in (1.0, 2.0, 3.0) for pop in (0.5, 1.0)}
     grid |= {"no_negatives": content.Setting(5, negative_weight=0.0), "own_media": content.Setting(5, cross_media=False)}
-    made = _unit(content.settings(t.space, t.seeds, t.negatives, t.cands, t.items, grid))
-    rows = evaluate.ndcg(evaluate.lists(made, _unit(t.cands)), _positives(t))
+    return _grid_table(t, content.settings(t.space, t.seeds, t.negatives, t.cands, t.items, grid))
+
+
+def _grid_table(t: Tables, made: DataFrame) -> DataFrame:
+    rows = evaluate.ndcg(evaluate.lists(_unit(made), _unit(t.cands)), _positives(t))
     return evaluate.summarise(rows, ["ndcg"]).select("scorer", "units", F.round("ndcg", 5).alias("ndcg"))
 
 
+@query()
+def j10_graph_grid(t: Tables) -> DataFrame:
+    """Settings of the graph scorer: the walks once."""
+    grid = {f"beta{b:g}_pop{p:g}": (b, p) for b in (0.5, 1.0, 1.5) for p in (1.0, 1.5, 2.0, 3.0)}
+    return _grid_table(t, pagerank.settings(t.items, t.seeds, t.cands, t.cut, grid))
+
+
+@query()
+def j10_item_grid(t: Tables) -> DataFrame:
+    """Settings of the item-item scorer: an inverse per penalty; the strongest 200 weights alone, too."""
+    g = _ratings_gram(t)
+    by = {f"penalty{x:g}": t.cut(itemitem.weights(g, t.cut, x)) for x in (200.0, 500.0, 2000.0)}
+    modelled = t.cut(g.where("i = j").select(F.col("i").alias("tmdb_id"), F.col("g").alias("pop")))
+    made = itemitem.settings(t.seeds, by, modelled, t.cands, (0.0, 0.3, 0.6))
+    few = itemitem.settings(t.seeds, {"strongest200": itemitem.strongest(by["penalty500"], 200)}, modelled, t.cands, (0.0,))
+    return _grid_table(t, made.unionByName(few))
+
+
+@query()
+def j10_blend_grid(t: Tables) -> DataFrame:
+    """Weights of graph, content and item-item: the components and their percentiles once."""
+    parts = ranking.components(t.seeds, t.negatives, t.cands, t.items, t.space, _build(t)[1], t.cut).withColumn("unit", F.lit("now"))
+    weights = ((1, 1, 1), (1, 2, 1), (2, 1, 1), (1, 1, 2), (0, 1, 1), (1, 0, 1), (1, 1, 0))
+    grid = t.spark.createDataFrame([("_".join(map(str, ws)), c, float(w)) for ws in weights for c, w in zip(ranking.COMPONENTS, ws, strict=False)], "scorer string, component string, weight double")
+    return _grid_table(t, blend.settings(t.cut(parts), grid).drop("unit"))
+
+
 @query(f"""SELECT m.subset, m.scorer, 'ndcg' AS metric, 'votes' AS reference, round(mean, 6) AS mean, units, round(delta, 6) AS delta, wins, losses, users, round(low, 6) AS low, round(high, 6) AS high
   FROM (SELECT subset, scorer, avg(v) AS mean, count(*) AS units FROM subsets GROUP BY 1, 2) m
   JOIN (SELECT subset, scorer, sum(d) / sum(n) AS delta, count(*) FILTER (WHERE d / n > 1e-9) AS wins, count(*) FILTER (WHERE d / n < -1e-9) AS losses, count(*) AS users FROM diffs GROUP BY 1, 2) USING (subset, scorer)

@@ -2,7 +2,9 @@
 
 import random
 
-from tasteframe.operators import content, itemitem
+from pyspark.sql import functions as F
+
+from tasteframe.operators import content, itemitem, pagerank
 from tasteframe.plans import folds
 from tasteframe.plans.tables import Tables
 
@@ -52,3 +54,18 @@ def test_grid_equals_its_settings(spark):
     want = {(r.user_id, r.tmdb_id, r.media_type): round(r.score, 6) for r in content.seed_knn(space, one(own), one(dropped), one(cands), items, cross_media=False).collect()}
     got = {(r.user_id, r.tmdb_id, r.media_type): round(r.score, 6) for r in own_media}
     assert want and all(got[k] == v for k, v in want.items()) and not any(v for k, v in got.items() if k not in want)
+
+
+def test_graph_and_item_grids_equal_their_settings(spark):
+    space, items, own, _, cands = (Tables.cut(x) for x in world(spark))
+    one = lambda df: df.where("fold_id = 0").drop("fold_id")
+    key = lambda rows: {(r.user_id, r.tmdb_id, r.media_type): round(r.score, 7) for r in rows}
+    listed = items.withColumns({"genres": F.array(F.lit(1)), "recommendations": F.array(*((F.col("tmdb_id") * k + 1) % 43 for k in (1, 3))), "similar": F.array((F.col("tmdb_id") * 5) % 41)})
+    got = pagerank.settings(listed, one(own), one(cands), Tables.cut, {"x": (0.5, 2.0), "y": (1.0, 1.0)}, rounds=4, global_rounds=5).collect()
+    for name, beta, pop in (("x", 0.5, 2.0), ("y", 1.0, 1.0)):
+        assert key(r for r in got if r.scorer == name) == key(pagerank.personal_rank(listed, one(own), one(cands), Tables.cut, rounds=4, global_rounds=5, beta=beta, pop_power=pop).collect())
+    b = spark.createDataFrame([(i, (i * 7 + 3) % 40, 0.1 * i - 1) for i in range(40) if i % 4], "src long, dst long, b double")
+    modelled = b.selectExpr("src AS tmdb_id", "src + 1 AS pop").distinct()
+    got = itemitem.settings(one(own), {"b": b}, modelled, one(cands), (0.0, 0.5)).collect()
+    for name, beta in (("b_beta0", 0.0), ("b_beta0.5", 0.5)):
+        assert key(r for r in got if r.scorer == name) == key(itemitem.fold_in(one(own), b, modelled, one(cands), beta=beta).collect())
