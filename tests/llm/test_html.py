@@ -69,3 +69,37 @@ def test_copies_of_a_page_count_once(spark):
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: "the only story\nits end" for i in range(10)} | {100 + i: f"{max(i, 40)}\nstory {max(i, 40)}" for i in range(50)} | {200 + i: f"own {max(i, 40)}" for i in range(50)}
     assert got == want
+
+
+def test_words_do_not_rule_out_the_article():
+    story = "<p>A story of some length.</p><p>It goes on.</p>"
+    want = "A story of some length.\nIt goes on."
+    assert text(f"<body><p>Welcome</p><div class='layout has-sidebar'><article>{story}</article></div></body>") == want
+    assert text(f"<body><div class='layout has-sidebar'><article>{story}</article></div></body>") == want
+    assert text(f"<body><div class='sidebar-left'><article>{story}</article><div class='sidebar'>{story}</div></div></body>") == want
+    assert text(f"<body><p>Hi</p><article class='post no-comments'>{story}</article></body>") == want
+    assert text(f"<body><p>Hi</p><article class='post comments-open'>{story}</article></body>") == want
+    assert text("<article><p>a</p><p class='market-share'>b</p><p class='share'>Share</p></article>") == "a\nb"
+    assert text(f"<article>{story}</article><article class='teaser'>Another</article>") == want
+    assert text(f"<body><div class='widget'>{story}</div><div>Hi</div></body>") == want + "\nHi"
+    # what is no layout goes, however long
+    more = story * 9
+    assert text(f"<article>{story}</article><section id='comments'><article>{more}</article></section>") == want
+    assert text(f"<article>{story}</article><div class='ad'>{more}</div>") == want
+    assert text(f"<article>{story}<div class='related'><article>{more}</article></div></article>") == want
+    assert text("<article></article><div class='ad'>Buy</div>") == "" and text("<div class='cookie'>We bake</div>") == ""
+
+
+def test_few_pages_of_a_host_are_judged_too(spark):
+    page = "<body><p>We use cookies</p><div><p>own text {0} of {1}</p></div></body>"
+    rows = [(10 * n + i, f"http://h{n}.example/{i}", page.format(i, n)) for n in range(1, 10) for i in range(n)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * n + i: ("" if n >= 5 else "We use cookies\n") + f"own text {i} of {n}" for n in range(1, 10) for i in range(n)}
+
+
+def test_long_and_deep_pages(spark):
+    words = "word " * 400_000
+    deep = "<div class='x'>" * 8000 + "<p>deep</p>"
+    rows = [(1, "http://a.example/", f"<article><p>{words}</p></article>"), (2, "http://a.example/", deep), (3, None, f"<div class='ad'>{words}</div><p>x</p>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: words.strip(), 2: "deep", 3: "x"}
