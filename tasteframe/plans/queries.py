@@ -688,10 +688,10 @@ def k4_normal_form(t: Tables) -> DataFrame:
     return serve.normal_form(t.alias)
 
 
-@query("""SELECT tmdb_id, media_type, concat(title, ' (', year, '). ', CASE WHEN media_type = 'movie' THEN 'Film' ELSE 'TV series' END, '. Genres: ', array_to_string(genres, ', '), '. Themes: ', array_to_string(keywords, ', '), '.', coalesce(' Rated ' || certification || '.', '')) AS text FROM items""")
+@query("""SELECT tmdb_id, media_type, concat(title, ' (', year, '). ', CASE WHEN media_type = 'movie' THEN 'Film' ELSE 'TV series' END, '. Genres: ', array_to_string(genres, ', '), '. Themes: ', array_to_string(keywords, ', '), '.', coalesce(' Rated ' || certification || '.', ''), ' ', substr(repeat(concat(title, ' '), 20), 1, 300)) AS text FROM items""")
 def h10_item_text(t: Tables) -> DataFrame:
     names = lambda c: F.col(c).cast("array<string>")
-    return t.items.withColumn("overview", F.lit("")).select(*KEY, S.item_text(names("genres"), names("keywords")).alias("text"))
+    return t.items.withColumn("overview", F.expr("repeat(concat(title, ' '), 20)")).select(*KEY, S.item_text(names("genres"), names("keywords")).alias("text"))
 
 
 @query("""SELECT tmdb_id, i, round(u[i], 5) AS x FROM (SELECT tmdb_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9)) AS u FROM (SELECT tmdb_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM vectors)) CROSS JOIN (SELECT unnest(range(1, 65))::INTEGER AS i) WHERE i <= len(u)""")
@@ -774,9 +774,24 @@ def e11_explanations(t: Tables) -> DataFrame:
     return why.select("user_id", *KEY, F.posexplode("why").alias("n", "e")).select("user_id", *KEY, (F.col("n") + 1).cast("long").alias("n"), "e.seed_tmdb_id", "e.kind")
 
 
-@query()
+#: A synopsis of several lines, which the views lack: spelt the same in both engines.
+SYNOPSIS = "concat(title, chr(10), repeat(concat(title, ' ', CAST(tmdb_id AS STRING), ' '), 12))"
+_LINE = "concat('- ', title, ' (', year, {})"
+_KIND = "CASE WHEN media_type = 'movie' THEN 'film' ELSE 'series' END"
+
+
+@query(f"""SELECT user_id, coalesce(history, '') AS history, coalesce(abandoned, '- none') AS abandoned, candidates, n,
+    concat('Watched:\n', coalesce(history, ''), '\nGiven up:\n', coalesce(abandoned, '- none'), '\nCandidates:\n', candidates, '\nOrder all ', n, ', likeliest first.') AS prompt
+  FROM (SELECT user_id, count(*) AS n, string_agg(concat_ws(' | ', place, title, year, {_KIND}, array_to_string(list_transform(genres[:3], lambda g: CASE g WHEN 16 THEN 'Animation' WHEN 10751 THEN 'Family' WHEN 10762 THEN 'Kids' ELSE '' END), ', '),
+        replace(substr({SYNOPSIS}, 1, 140), '\n', ' ')), '\n' ORDER BY place) AS candidates
+      FROM (SELECT user_id, i.*, row_number() OVER (PARTITION BY user_id ORDER BY NOT coalesce(release_date >= '1998', false), vote_count DESC, media_type, tmdb_id) - 1 AS place FROM cands JOIN items i USING (tmdb_id, media_type)) WHERE place < 60 GROUP BY 1)
+  LEFT JOIN (SELECT user_id, string_agg({_LINE.format(f"', ', {_KIND}, ')'")}, '\n' ORDER BY n) AS history
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY weight DESC, media_type, tmdb_id) AS n FROM seeds) JOIN items USING (tmdb_id, media_type) WHERE n <= 60 GROUP BY 1) USING (user_id)
+  LEFT JOIN (SELECT user_id, string_agg({_LINE.format("')'")}, '\n' ORDER BY n) AS abandoned
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY media_type, tmdb_id) AS n FROM negs) JOIN items USING (tmdb_id, media_type) WHERE n <= 15 GROUP BY 1) USING (user_id)""")
 def i17_prompts(t: Tables) -> DataFrame:
-    return ranking.prompts(t.seeds, t.negatives, ranking.cold_start(t.cands, t.items, 2001), t.items)
+    listed = ranking.cold_lists(t.users, t.universe, t.seeds, t.items, 2001, 60, t.cut)
+    return ranking.prompts(t.seeds, t.negatives, listed, t.items.withColumn("overview", F.expr(SYNOPSIS)))
 
 
 @query("""SELECT rating_key, media_type, coalesce(given, m.tmdb_id) AS tmdb_id, CASE WHEN given IS NOT NULL THEN 'identifier' WHEN m.tmdb_id IS NOT NULL THEN 'name' ELSE 'unresolved' END AS source
