@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import slices, table, text_bytes, written
+from tasteframe.llm.common import discard, slices, table, text_bytes, written
 from tasteframe.llm.substrings import in_bitmap, repeated_bitmap
 
 MARKS = ".,!?;:%*&$#|\"'()[]{}<>-_/\\«»„“”¡¿"
@@ -93,47 +94,140 @@ class LabelModel:
         return np.where(np.bincount(row, minlength=n) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), SILENT)
 
 
-def fit_label_model(fired: np.ndarray, rounds: int = 25, alike: float = 0.75) -> LabelModel:
-    """fit_patterns of a table, rows by voters (1: votes toxic, 0: abstains)."""
-    return fit_patterns(*np.nonzero(fired), np.ones(len(fired)), fired.shape[1], rounds, alike)
+def _maximised(yes: np.ndarray, no: np.ndarray, yes_all: float, no_all: float, silence: float, groups: np.ndarray) -> LabelModel:
+    """The model under which these expected counts are likeliest: of each voter's votes on toxic and other texts, and of
+    all those texts. A group of voters shares one vote; a voter says nothing at worst, as it votes toxic."""
+    m = len(groups)
+    share = 1 / np.bincount(groups, minlength=m)[groups] if m else np.zeros(0)
+    a, b = (yes + 0.5) / (yes_all + 1), (no + 0.5) / (no_all + 1)
+    a = np.maximum(a, b)
+    prior = float(np.clip(yes_all / max(yes_all + no_all, 1.0), 1e-4, 0.5))
+    return LabelModel(prior, np.log(a / b) * share, silence * np.log((1 - a) / (1 - b)) * share, groups)
 
 
-def fit_patterns(row: np.ndarray, voter: np.ndarray, times: np.ndarray, m: int, rounds: int = 25, alike: float = 0.75, silence: float = 1.0) -> LabelModel:
-    """Accuracies from agreement alone: expectation-maximisation with the label as a latent class. Row r stands for
-    times[r] texts of equal votes; row[i] has the vote of voter[i], of m voters. Then voters whose correlation given the
-    label is over `alike` are grouped, and the accuracies are estimated again. `silence` is the part of its log ratio with
-    which an abstention counts: 1 if voters are independent given the label, less if toxic texts hold few of many words."""
-    n = len(times)
+def _linked(mean: np.ndarray, both: np.ndarray, alike: float) -> np.ndarray:
+    """Groups of voters, by least number, from how often each votes and each two do on toxic texts."""
+    m = len(mean)
+    groups = np.arange(m)
+    scale = np.sqrt(np.maximum(np.diag(both) - mean**2, 1e-12))
+    near = (both - np.outer(mean, mean)) / np.outer(scale, scale) > alike
+    for j in range(m):  # the least number that links reach
+        groups = np.where(near[j] & (groups > groups[j]), groups[j], groups)
+    return groups
+
+
+def _begun(row: np.ndarray, n: int) -> np.ndarray:
+    """Posteriors before there is a model: a text with a vote is toxic."""
+    return np.where(np.bincount(row, minlength=n) > 0, 0.9, SILENT)
+
+
+def fit_label_model(fired: np.ndarray, rounds: int = 25, alike: float = 0.75, silence: float = 1.0) -> LabelModel:
+    """fit_patterns of a small table in memory, rows by voters (1: votes toxic, 0: abstains)."""
+    (n, m), (row, voter) = fired.shape, np.nonzero(fired)
     groups = np.arange(m)
-    model = LabelModel(0.1, np.zeros(m), np.zeros(m), groups)
-    total = max(float(times.sum()), 1.0)
     for attempt in range(2):
-        share = 1 / np.bincount(groups, minlength=m)[groups] if m else np.zeros(0)
-        q = np.where(np.bincount(row, minlength=n) > 0, 0.9, SILENT)
+        q = _begun(row, n)
         for _ in range(rounds):
-            yes, no = q * times, (1 - q) * times
-            prior = float(np.clip(yes.sum() / total, 1e-4, 0.5))
-            a = (np.bincount(voter, yes[row], m) + 0.5) / (yes.sum() + 1)
-            b = (np.bincount(voter, no[row], m) + 0.5) / (no.sum() + 1)
-            a = np.maximum(a, b)  # a voter votes toxic: it says nothing at worst
-            model = LabelModel(prior, np.log(a / b) * share, silence * np.log((1 - a) / (1 - b)) * share, groups)
+            model = _maximised(np.bincount(voter, q[row], m), np.bincount(voter, (1 - q)[row], m), q.sum(), (1 - q).sum(), silence, groups)
             q = model.of(row, voter, n)
         if attempt == 0 and m:
-            w = q * times / max(float((q * times).sum()), 1e-9)
-            mean, both = np.bincount(voter, w[row], m), np.zeros((m, m))
-            for at in range(0, n, 10_000):
-                own = (row >= at) & (row < at + 10_000)
-                part = np.zeros((min(n - at, 10_000), m))
-                part[row[own] - at, voter[own]] = 1
-                both += (part * w[at : at + 10_000, None]).T @ part
-            cov = both - np.outer(mean, mean)
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            near = cov / np.outer(scale, scale) > alike
-            for j in range(m):  # the least number that links reach
-                groups = np.where(near[j] & (groups > groups[j]), groups[j], groups)
+            w = q / max(q.sum(), 1e-9)
+            groups = _linked(w @ fired, fired.T @ (fired * w[:, None]), alike)
     return model
 
 
+#: Posteriors are summed as whole parts, so that sums do not depend on their order.
+PARTS = 1 << 20
+
+
+def _votes(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and voter of each vote."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _parts(model: LabelModel | None, row: np.ndarray, voter: np.ndarray, n: int) -> np.ndarray:
+    return np.rint((_begun(row, n) if model is None else model.of(row, voter, n)) * PARTS).astype(np.int64)
+
+
+def _expected(patterns: DataFrame, models: list[LabelModel | None], m: int) -> np.ndarray:
+    """Models x (toxic, other) x voters and all: the expected counts of votes, and of all texts in the last place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(models), 2, m + 1), dtype=np.int64)
+        for batch in batches:
+            (row, voter), times = _votes(batch.column(0)), batch.column(1).to_numpy()
+            for k, model in enumerate(models):
+                q = _parts(model, row, voter, len(times))
+                for side, part in enumerate((q * times, (PARTS - q) * times)):
+                    np.add.at(sums[k, side], voter, part[row])
+                    sums[k, side, m] += part.sum()
+        k, voter = np.nonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(voter.astype(np.int32)), pa.array(sums[k, 0, voter]), pa.array(sums[k, 1, voter])], names=["k", "voter", "yes", "no"])
+
+    out = np.zeros((len(models), 2, m + 1))
+    for r in patterns.mapInArrow(run, "k int, voter int, yes long, no long").groupBy("k", "voter").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect():
+        out[r.k, :, r.voter] = r.yes / PARTS, r.no / PARTS
+    return out
+
+
+def _groups(patterns: DataFrame, models: list[LabelModel], m: int, alike: float) -> list[np.ndarray]:
+    """Each model's groups of correlated voters; sums of pairs of voters come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((len(models), m, m), dtype=np.int64)
+        for batch in batches:
+            (row, voter), times = _votes(batch.column(0)), batch.column(1).to_numpy()
+            fired = np.zeros((len(times), m))
+            fired[row, voter] = 1
+            for k, model in enumerate(models):
+                both[k] += np.rint(fired.T @ (fired * (_parts(model, row, voter, len(times)) * times)[:, None])).astype(np.int64)
+        k, i, j = np.nonzero(np.triu(both))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (k, i, j)), pa.array(both[k, i, j])], names=["k", "i", "j", "w"])
+
+    both = np.zeros((len(models), m, m))
+    for r in patterns.mapInArrow(run, "k int, i int, j int, w long").groupBy("k", "i", "j").agg(F.sum("w").alias("w")).collect():
+        both[r.k, r.i, r.j] = both[r.k, r.j, r.i] = r.w / PARTS
+    toxic = np.maximum(_expected(patterns, models, m)[:, 0, m], 1e-9)
+    return [_linked(np.diag(b) / n, b / n, alike) for b, n in zip(both, toxic, strict=True)]
+
+
+def fit_patterns(patterns: DataFrame, m: int, silences: tuple[float, ...] = (1.0,), rounds: int = 25, alike: float = 0.75) -> list[LabelModel]:
+    """Accuracies from agreement alone, a model for each of silences: expectation-maximisation with the label as a latent
+    class. patterns has votes (array of voters, of m) and n, how many texts have them; a round is one pass over it, of
+    which each model's two sums a voter come to the driver. Then voters whose correlation given the label is over
+    `alike` are grouped, and the accuracies are estimated again. `silence` is the part of its log ratio with which an
+    abstention counts: 1 if voters are independent given the label, less if toxic texts hold few of many words. Rounds
+    end early where no figure moves by 1e-6. Without patterns the model has the least prior and voters say nothing."""
+    groups = [np.arange(m)] * len(silences)
+    for attempt in range(2):
+        models: list[LabelModel | None] = [None] * len(silences)
+        for _ in range(rounds):
+            before = models
+            models = [_maximised(yes[:m], no[:m], yes[m], no[m], part, own) for (yes, no), part, own in zip(_expected(patterns, before, m), silences, groups, strict=True)]
+            if all(x is not None and abs(x.prior - y.prior) < 1e-6 and np.allclose(x.votes, y.votes, 0, 1e-6) and np.allclose(x.silence, y.silence, 0, 1e-6) for x, y in zip(before, models, strict=True)):
+                break
+        if attempt == 0:
+            if not m:
+                break
+            groups = _groups(patterns, models, m, alike)
+    return models
+
+
+def _surprise(judged: DataFrame, models: list[LabelModel]) -> list[int]:
+    """Of the labels (votes, mark, n), given each model's posteriors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (row, voter), toxic, n = _votes(batch.column(0)), batch.column(1).to_numpy() > 0, batch.column(2).to_numpy()
+            q = [np.clip(model.of(row, voter, len(n)), 1e-9, 1 - 1e-9) for model in models]
+            sums = [int((np.rint(-np.log(np.where(toxic, x, 1 - x)) * PARTS).astype(np.int64) * n).sum()) for x in q]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), type=pa.int32()), pa.array(sums, type=pa.int64())], names=["k", "s"])
+
+    found = {r.k: r.s for r in judged.mapInArrow(run, "k int, s long").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    return [found.get(k, 0) for k in range(len(models))]
+
+
 def fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, rounds: int = 200, penalty: float = 1e-3, times: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression on soft targets over binary features; the last weight is the intercept. A row counts
     times[row] times."""
@@ -161,8 +255,8 @@ def learn(
     training texts, labelled or not (hash, key, text); marked has the keys of those with a label.
 
     Labels choose features and voters (precise ones, by document counts). The label model is fitted on the votes on all
-    training texts: their patterns, each with its count, come to the driver; how much abstentions count is the choice
-    under which the labels are likeliest. What the classifier learns is the model's
+    training texts, in Spark (see fit_patterns); how much abstentions count is the choice under which the labels are
+    likeliest, the most of equal ones. What the classifier learns is the model's
     posterior, on at most most_rows labelled texts, the first by hash: up to half of them with a vote, the others without, each
     weighed by how many texts of its kind it stands for. Without toxic rows there are no features, and every score is
     that of the prior.
@@ -220,21 +314,15 @@ def learn(
                 found = [sorted(finder.find(t)) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, type=pa.list_(pa.int32()))], names=["hash", "key", "features"])
 
-    found = written(training.mapInArrow(look, f"hash long, key {training.schema['key'].dataType.simpleString()}, features array<int>"), "features")
-    found = found.withColumn("votes", F.filter("features", lambda x: x < len(precise)))
+    features = written(training.mapInArrow(look, f"hash long, key {training.schema['key'].dataType.simpleString()}, features array<int>"), "features")
+    found = features.withColumn("votes", F.filter("features", lambda x: x < len(precise)))
     lists = lambda column: [x.values.to_numpy() if x.is_valid else np.zeros(0, dtype=np.int32) for x in column]
     flat = lambda rows: (np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], dtype=np.int64)), np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int64))
-    patterns = found.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").toArrow()
-    votes, times = lists(patterns["votes"]), patterns["n"].to_numpy().astype(float)
-    judged = found.join(marked, "key").groupBy("votes", label).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", label).toArrow()
-    its_votes, is_toxic, often = lists(judged["votes"]), judged[label].to_numpy() > 0, judged["n"].to_numpy()
-
-    def surprise(model: LabelModel) -> float:
-        """Of the labels, given the model's posteriors."""
-        q = np.clip(model.of(*flat(its_votes), len(often)), 1e-9, 1 - 1e-9)
-        return -float(np.sum(often * np.log(np.where(is_toxic, q, 1 - q))))
-
-    model = min((fit_patterns(*flat(votes), times, len(precise), silence=part) for part in SILENCE), key=surprise)
+    patterns = written(found.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    models = fit_patterns(patterns, len(precise), SILENCE)
+    judged = found.join(marked, "key").groupBy("votes", label).agg(F.count(F.lit(1)).alias("n"))
+    surprise = _surprise(judged, models)
+    model = models[surprise.index(min(surprise))]
     known = found.join(marked, "key", "left_semi")
     silent, voted = (known.where(holds).count() for holds in ("size(votes) = 0", "size(votes) > 0"))
     rows, weights, room = [], [], most_rows
@@ -243,6 +331,7 @@ def learn(
         rows += own
         weights += [n / max(len(own), 1)] * len(own)
         room -= len(own)
+    discard(patterns, features)
     target = model.of(*flat([r[r < len(precise)] for r in rows]), len(rows))
     return number, fit_linear(rows, len(number), target, times=np.array(weights))
 
@@ -258,7 +347,7 @@ def score(
     """
     held = F.coalesce(F.expr(held_out), F.lit(False))
     marked = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~held).groupBy(key).agg(F.max(label).alias("mark_"))
-    marked = written(marked, "marked")
+    judged = marked = written(marked, "marked")
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(marked.select(F.xxhash64(key).alias("h"), F.lit(2).alias("n"))))
 
     def to_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +359,7 @@ def score(
     marked = marked.select(F.col(key).alias("key"), F.col("mark_").cast("int").alias("mark_"))
     texts = training.mapInArrow(to_join, training.schema).join(marked, "key").select("text", "mark_")
     learned = docs.sparkSession.sparkContext.broadcast(learn(texts, training, marked, "mark_", most_rows))
+    discard(judged)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, weights = learned.value

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -47,3 +48,20 @@ def test_learns_from_all_training_rows(spark):
     rows = {r.doc_id: r.score for r in toxicity.score(docs, labels, "doc_id >= 1030", most_rows=40).collect()}
     assert all((rows[i] >= 0.3) == ("moron" in t or "zork" in t) for i, t in enumerate(texts))
     assert all(rows[1000 + i] >= 0.3 for i in range(40))
+
+
+def test_rounds_in_spark_equal_those_in_memory(spark):
+    rng = np.random.default_rng(5)
+    toxic = rng.random(3000) < 0.2
+    fired = (rng.random((3000, 6)) < np.where(toxic[:, None], 0.6, 0.03)).astype(float)
+    fired[:, 5] = fired[:, 4]  # a copy shares its vote
+    rows = Counter(tuple(int(i) for i in np.nonzero(r)[0]) for r in fired)
+    patterns = spark.createDataFrame([(list(v), n) for v, n in rows.items()], "votes array<int>, n long").repartition(3)
+    for got, silence in zip(toxicity.fit_patterns(patterns, 6, (1.0, 0.25)), (1.0, 0.25), strict=True):
+        want = toxicity.fit_label_model(fired, silence=silence)
+        assert got.groups.tolist() == want.groups.tolist() == [0, 1, 2, 3, 4, 4]
+        assert abs(got.prior - want.prior) < 1e-4 and np.allclose(got.votes, want.votes, atol=1e-3) and np.allclose(got.silence, want.silence, atol=1e-3)
+        assert np.allclose(got.posterior(fired), want.posterior(fired), atol=1e-3)
+    # no voters, and no texts
+    assert len(toxicity.fit_patterns(patterns.where("size(votes) = 0"), 0)[0].votes) == 0
+    assert np.all(toxicity.fit_patterns(patterns.limit(0), 2)[0].votes == 0)
