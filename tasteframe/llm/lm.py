@@ -31,6 +31,8 @@ from tasteframe.llm.common import table, text_bytes, tidy, written
 END = b" "
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LN10 = math.log(10)
+#: Log10 probabilities are summed as whole multiples of 1 / UNIT: so the order in which a shuffle brings words is no matter.
+UNIT = 1 << 32
 #: Words longer than this many characters are scored one by one.
 LONG = 48
 
@@ -194,7 +196,8 @@ def score_documents(
 ) -> DataFrame:
     """A row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of
     the whole text by an add-one unigram of words, and by the lattice). Rows for which the SQL condition `held_out`
-    holds are not learned from. A null or empty text is its end alone; equal rows and repeated keys stay rows.
+    holds are not learned from. A null or empty text is its end alone; equal rows and repeated keys stay rows. Equal
+    texts have equal scores to the last bit: a word's figures are rounded to 2**-32, and their sums are exact.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), text)
@@ -215,10 +218,10 @@ def score_documents(
             logs = lattice.score([w.decode() for w in words])[0]
             logs[[w == END for w in words]] = lattice.end
             whole = np.log(np.maximum(n - discount, 1e-300) / max(train, 1), where=n > 0, out=np.full(len(n), -np.inf))
-            logs = np.logaddexp(logs + unseen, whole) / LN10
+            logs = np.rint(np.logaddexp(logs + unseen, whole) / LN10 * UNIT).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], names=["word", "n", "n_all", "log"])
 
-    priced = written(counts.mapInArrow(tidy(price), "word binary, n long, n_all long, log double"), "priced")
+    priced = written(counts.mapInArrow(tidy(price), "word binary, n long, n_all long, log long"), "priced")
     # more than 1/most_frequent of all occurrences each: so there are fewer than most_frequent of them
     frequent = priced.where((F.col("n_all") * most_frequent > occurrences) & (F.length("word") <= 64))
     figures_of = spark.sparkContext.broadcast({bytes(r.word): (r.n, r.log) for r in frequent.collect()})
@@ -227,7 +230,7 @@ def score_documents(
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, with its key and what its frequent words sum up to, and one for each other word of it.
         Row numbers are made and used in this one pass: a second scan might number the rows otherwise."""
-        figures = {w: (n > 0, math.log10(n + 1), log) for w, (n, log) in figures_of.value.items()}
+        figures = {w: (n > 0, round(math.log10(n + 1) * UNIT), log) for w, (n, log) in figures_of.value.items()}
         for batch in batches:
             out = tuple([] for _ in range(7))
             keys, held = batch.column(1), batch.column(2)
@@ -235,7 +238,7 @@ def score_documents(
                 words = Counter(text.as_py().lower().split())
                 words[END] += 1
                 tokens = seen = 0
-                base = score = 0.0
+                base = score = 0
                 for word, k in words.items():
                     tokens += k
                     if (f := figures.get(word)) is None:
@@ -253,12 +256,12 @@ def score_documents(
             yield record(out, keys, held)
 
     def record(columns: tuple[list, ...], keys: pa.Array, held: pa.Array) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         *own, at = (pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))
         return pa.RecordBatch.from_arrays([*own, keys.take(at), held.take(at)], names=["row", "word", "k", "seen", "base", "log_sum", "key", "held_out"])
 
     kind = docs.schema[key].dataType.simpleString()
-    words = rows.mapInArrow(tidy(look_up), f"row long, word binary, k long, seen long, base double, log_sum double, key {kind}, held_out boolean")
+    words = rows.mapInArrow(tidy(look_up), f"row long, word binary, k long, seen long, base long, log_sum long, key {kind}, held_out boolean")
     joined = words.join(priced.select("word", "n", "log"), "word", "left")
     whole, k = F.col("seen").isNotNull(), F.col("k")
     sums = joined.groupBy("row").agg(
@@ -266,7 +269,7 @@ def score_documents(
         F.max("held_out").alias("held_out"),
         F.sum(F.when(whole, k)).alias("n_tokens"),
         F.sum(F.when(whole, F.col("seen")).when(F.col("n") > 0, k).otherwise(0)).alias("n_known"),
-        F.sum(F.when(whole, F.col("base")).otherwise(k * F.log10(F.col("n") + 1))).alias("base"),
+        F.sum(F.when(whole, F.col("base")).otherwise(k * F.rint(F.log10(F.col("n") + 1) * UNIT).cast("long"))).alias("base"),
         F.sum(F.when(whole, F.col("log_sum")).otherwise(k * F.col("log"))).alias("score"),
     )
     return sums.select(
@@ -275,8 +278,8 @@ def score_documents(
         "n_tokens",
         "n_known",
         F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(price_of_all)).alias("base_score"),
-        "score",
+        (F.col("base") / UNIT - F.col("n_tokens") * F.lit(price_of_all)).alias("base_score"),
+        (F.col("score") / UNIT).alias("score"),
     )
 
 

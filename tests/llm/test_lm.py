@@ -89,3 +89,15 @@ def test_shuffled_and_joined_inputs_keep_all_rows(spark):
     for own in (docs.repartition("doc_id"), docs.join(labels, "doc_id", "left")):
         got = lm.score_documents(own, path, held).collect()
         assert len(got) == len(want) and {r.doc_id: r.n_tokens for r in got} == want
+
+
+def test_equal_texts_have_equal_scores(spark):
+    """To the last bit, wherever they stand: frequent words are added up in a task, the others after a shuffle."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    copies = docs.selectExpr("doc_id + 10000000 AS doc_id", "text").repartition(5, "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = lm.score_documents(docs.union(copies), path, "doc_id % 7 = 2", most_frequent=500).collect()
+    scores = {r.doc_id: (r.base_score, r.score, r.n_known) for r in rows}
+    own = [k for k in scores if k < 10000000]
+    assert own and all(scores[k] == scores[k + 10000000] for k in own)
