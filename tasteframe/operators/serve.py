@@ -8,12 +8,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasteframe.functions.scalars import KEY
+from tasteframe.functions.scalars import KEY, genre_ids
 from tasteframe.operators.engagement import canonical_user
 
 #: Why a title is dropped; the first that holds counts.
 REASONS = ("other_media", "not_in_these_libraries", "not_in_season", "in_library", "excluded", "excluded_genre", "over_limit")
 
+#: The lists there are, and how many titles of a type a request gets that names no number.
+SURFACES, DEFAULT_LIMIT = ("missing", "library"), 200
+
+
+def requested(requests: DataFrame) -> DataFrame:
+    """Requests as they arrive, with what they leave open filled in: both types, 200 titles a type, no genres.
+    Genres are named, in any case; unknown names go. A season without any type is none, one with an empty type is kept.
+    A surface that is not known, or null, is an `error`; no list answers it."""
+    known = F.coalesce(F.col("surface").isin(*SURFACES), F.lit(False))
+    return requests.withColumns({
+        "media": F.when(F.size("media") > 0, F.col("media")).otherwise(F.array(F.lit("movie"), F.lit("show"))),
+        "limit_per_media": F.coalesce(F.nullif("limit_per_media", F.lit(0)), F.lit(DEFAULT_LIMIT)),
+        "season": F.when(F.size(F.map_keys("season")) > 0, F.col("season")),
+        "excluded_genres": genre_ids(F.coalesce("excluded_genres", F.array().cast("array<string>"))),
+        "error": F.when(~known, F.concat(F.lit("unknown surface "), F.coalesce("surface", F.lit("null")))),
+    })
+
 
 def answer(requests: DataFrame, ranked: DataFrame, alias: DataFrame) -> DataFrame:
     """A row per request and listed title, with the first reason against it (null: returned). Only titles that

@@ -683,6 +683,52 @@ for _name in ("k1_answer", "k2_trace", "b10_first_titles"):
     ORACLE_SQL[_name] = ORACLE_SQL[_name].replace(f"{SHARED}\n", f"{SHARED},{SERVED}\n")
 
 
+def _both_surfaces(t: Tables) -> DataFrame:
+    """Lists of production length of what is missing, and of the library whatever each user has played, most played first."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("completed_plays"), F.desc("last_at"), "media_type", "tmdb_id")
+    played = t.engaged.join(t.library.select(*KEY), KEY).join(t.items.select(*KEY, "genres", S.is_kids().alias("kids")), KEY)
+    library = played.select(F.lit("library").alias("surface"), "user_id", (F.row_number().over(order) - 1).alias("place"), *KEY, "genres", "kids")
+    return _served(t).where("place < 300").unionByName(library)
+
+
+def _raw_requests(t: Tables) -> DataFrame:
+    """Three requests a user, one of them for a surface there is not; what is left open changes from user to user."""
+    rows = t.users.select("user_id", F.posexplode(F.array(*(F.lit(x) for x in ("missing", "library", "elsewhere")))).alias("i", "surface"))
+    library = "map('movie', sequence(1L, 400L), 'show', sequence(1000000L, 1000020L))"
+    return rows.selectExpr(
+        "user_id * 3 + i AS request_id", "user_id AS account_id", "surface", "CASE user_id % 3 WHEN 0 THEN array('movie') WHEN 1 THEN cast(array() AS array<string>) END AS media",
+        "CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 5 END AS limit_per_media", f"CASE WHEN user_id % 5 != 0 THEN {library} END AS library",
+        "CASE user_id % 7 WHEN 1 THEN cast(map() AS map<string, array<bigint>>) WHEN 2 THEN map('movie', sequence(1L, 999L, 2L)) END AS season",
+        "cast(NULL AS array<struct<tmdb_id: bigint, media_type: string>>) AS exclude", "CASE WHEN user_id % 3 = 0 THEN array('ANIMATION', 'no such genre') END AS excluded_genres",
+    )
+
+
+@query("SELECT request_id, surface, place, tmdb_id, media_type, fate FROM answers")
+def k1_requests(t: Tables) -> DataFrame:
+    asked = serve.requested(_raw_requests(t))
+    return serve.answer(asked.where("error IS NULL").drop("error"), _both_surfaces(t), t.alias).select("request_id", "surface", "place", *KEY, "fate")
+
+
+@query("""SELECT user_id * 3 + i AS request_id, len(CASE WHEN user_id % 3 = 0 THEN ['movie'] ELSE ['movie', 'show'] END)::INTEGER AS n_media, (CASE WHEN user_id % 4 < 2 THEN 200 ELSE 5 END)::INTEGER AS limit_per_media,
+  user_id % 7 = 2 AS seasonal, CASE WHEN user_id % 3 = 0 THEN '16' ELSE '' END AS genres, CASE WHEN i = 2 THEN 'unknown surface elsewhere' END AS error FROM users CROSS JOIN (SELECT unnest(range(3)) AS i)""")
+def k1_defaults(t: Tables) -> DataFrame:
+    asked = serve.requested(_raw_requests(t))
+    return asked.select("request_id", F.size("media").alias("n_media"), "limit_per_media", F.col("season").isNotNull().alias("seasonal"), F.array_join("excluded_genres", ",").alias("genres"), "error")
+
+
+_REQUESTS = """
+lists AS (SELECT 'missing' AS surface, user_id, place, tmdb_id, media_type, genres FROM served WHERE place < 300
+  UNION ALL SELECT 'library', user_id, row_number() OVER (PARTITION BY user_id ORDER BY completed_plays DESC, last_at DESC, media_type, tmdb_id) - 1, tmdb_id, media_type, genres FROM eng0 JOIN library USING (tmdb_id, media_type) JOIN items USING (tmdb_id, media_type)),
+judged AS (SELECT u.user_id * 3 + CASE WHEN surface = 'missing' THEN 0 ELSE 1 END AS request_id, u.user_id AS who, l.*, genres IS NOT NULL AND list_contains(genres, 16) AS animated,
+    u.user_id % 5 != 0 AS has_library, (media_type = 'movie' AND l.tmdb_id BETWEEN 1 AND 400) OR (media_type = 'show' AND l.tmdb_id BETWEEN 1000000 AND 1000020) AS inside
+  FROM users u LEFT JOIN alias a ON a.member = u.user_id JOIN lists l ON l.user_id = coalesce(a.canonical, u.user_id)),
+fates AS (SELECT *, CASE WHEN who % 3 = 0 AND media_type != 'movie' THEN 'other_media' WHEN surface = 'library' AND has_library AND NOT inside THEN 'not_in_these_libraries'
+    WHEN who % 7 = 2 AND NOT (media_type = 'movie' AND tmdb_id % 2 = 1 AND tmdb_id < 1000) THEN 'not_in_season' WHEN surface = 'missing' AND has_library AND inside THEN 'in_library' WHEN who % 3 = 0 AND animated THEN 'excluded_genre' END AS fate FROM judged),
+answers AS (SELECT request_id, surface, place, tmdb_id, media_type, CASE WHEN fate IS NULL AND count(*) FILTER (WHERE fate IS NULL) OVER (PARTITION BY request_id, media_type ORDER BY place) > CASE WHEN who % 4 < 2 THEN 200 ELSE 5 END
+  THEN 'over_limit' ELSE fate END AS fate FROM fates)"""
+ORACLE_SQL["k1_requests"] = ORACLE_SQL["k1_requests"].replace(f"{SHARED}\n", f"{SHARED},{SERVED.split('fates AS')[0].rstrip().rstrip(',')},{_REQUESTS}\n")
+
+
 @query("SELECT canonical, concat(canonical, ':', member) AS text FROM alias")
 def k4_normal_form(t: Tables) -> DataFrame:
     return serve.normal_form(t.alias)
