@@ -40,7 +40,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
 
 def counts_of_all(texts: DataFrame, n: int) -> np.ndarray:
     """The sketch: how many documents hold a shingle of each bucket. Summed in two steps, so that no task gathers one
-    row from every other."""
+    row from every other; the sums come to the driver in one job, however many partitions they are dealt over."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -60,8 +60,9 @@ def counts_of_all(texts: DataFrame, n: int) -> np.ndarray:
     schema = "part long, some long, counts binary"
     sums = texts.mapInArrow(tidy(count), schema).groupBy("part", "some").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     out = np.zeros(COUNTERS, dtype=np.uint32)
-    for r in sums.toLocalIterator():
-        out[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, dtype=np.uint32)
+    parts = sums.toArrow()
+    for k, counts in zip(parts["part"].to_pylist(), parts["counts"], strict=True):
+        out[k * PART : (k + 1) * PART] = np.frombuffer(counts.as_buffer(), dtype=np.uint32)
     return out
 
 

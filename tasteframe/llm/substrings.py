@@ -25,7 +25,8 @@ BITMAP_BITS, PART_BITS = 27, 20
 
 
 def repeated_bitmap(hashes: DataFrame) -> np.ndarray:
-    """The top bits of those hashes (column h, n occurrences) that occur twice or more, as one bitmap."""
+    """The top bits of those hashes (column h, n occurrences) that occur twice or more, as one bitmap. Its parts come to
+    the driver in one job: toLocalIterator() would run one for each partition, and the driver remembers every job."""
     repeated = hashes.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     bits = repeated.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("bit")).distinct()
 
@@ -37,8 +38,9 @@ def repeated_bitmap(hashes: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
     size = 1 << (PART_BITS - 3)
-    for r in bits.groupBy(F.shiftright("bit", PART_BITS).alias("part")).applyInArrow(part, "part long, flags binary").toLocalIterator():
-        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.flags, dtype=np.uint8)
+    parts = bits.groupBy(F.shiftright("bit", PART_BITS).alias("part")).applyInArrow(part, "part long, flags binary").toArrow()
+    for k, flags in zip(parts["part"].to_pylist(), parts["flags"], strict=True):
+        out[k * size : (k + 1) * size] = np.frombuffer(flags.as_buffer(), dtype=np.uint8)
     return out
 
 

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from tasteframe.llm import substrings, windows
+from tasteframe.llm import jaccard, substrings, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,3 +59,27 @@ def test_random_repeats_and_odd_rows(spark):
     twice = df.where("doc_id = 102").union(df.where("doc_id = 102")).union(df.where("doc_id = 102").selectExpr("null as doc_id", "text", "kept", "version"))
     assert sorted((r.doc_id or -1, r.n_removed) for r in substrings.cut_repeats(twice).collect()) == [(-1, 500), (102, 499), (102, 499)]
     assert substrings.cut_repeats(df.limit(0)).count() == 0
+
+
+def test_bitmap_and_sketch_come_in_few_jobs(spark):
+    # one job a partition fills the driver's memory where there are many
+    counted, context = {}, spark.sparkContext
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    h = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 500).tolist()
+    hashes = spark.createDataFrame([(x, 1 + i % 2) for i, x in enumerate(h)], "h long, n int")
+    texts = spark.createDataFrame([(b"one two three four five six %d" % (i % 3),) for i in range(9)], "text binary")
+    try:
+        for n in (2, 40):
+            for name, value in zip(names, (n, "false"), strict=True):
+                spark.conf.set(name, value)
+            context.setJobGroup(f"bitmap-{n}", "")
+            bitmap = substrings.repeated_bitmap(hashes)
+            assert int(np.unpackbits(bitmap).sum()) == 250 and substrings.in_bitmap(bitmap, np.array(h[1::2]).view(np.uint64)).all()
+            assert jaccard.counts_of_all(texts, 5).sum() == 27
+            counted[n] = len(context.statusTracker().getJobIdsForGroup(f"bitmap-{n}"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert 0 < counted[40] == counted[2]
