@@ -9,10 +9,10 @@ posteriors are the soft labels of a linear classifier over hashed features of th
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasteframe.llm.common import discard, slices, table, text_bytes, written
+from tasteframe.llm.common import LOWER, UPPER, discard, slices, table, text_bytes, written
 from tasteframe.llm.substrings import in_bitmap, repeated_bitmap
 
 MARKS = ".,!?;:%*&$#|\"'()[]{}<>-_/\\«»„“”¡¿"
@@ -31,17 +31,21 @@ BEGINNINGS = range(3, 13)
 SILENT = 0.01
 #: Parts with which abstentions may count; the labelled training texts decide.
 SILENCE = (1.0, 0.5, 0.25, 0.0)
-#: Words that a worker remembers; it starts anew when full.
-CACHE = 400_000
+CAPITALS, SMALL = UPPER.encode(), LOWER.encode()
+#: Words that a worker remembers; it starts anew when full. With all their features, a worker remembers fewer, those used last.
+CACHE, SPELLED = 400_000, 1 << 16
 
 
-def word_features(word: bytes) -> tuple[str, ...]:
-    """A word's stem, its beginnings, and the stem with digits and signs read as letters."""
+def word_features(word: bytes, starts: set[str] | None = None) -> tuple[str, ...]:
+    """A word's stem, its beginnings, and the stem with digits and signs read as letters. With starts, beginnings only if
+    the shortest is among them."""
     whole = word.decode("utf-8", "replace").lower()
     stem = whole.strip(MARKS)
     if not stem:
         return ()
-    out = ["w:" + stem, *(f"p:{stem[:k]}" for k in BEGINNINGS if len(stem) > k)]
+    out = ["w:" + stem]
+    if starts is None or stem[: BEGINNINGS[0]] in starts:
+        out += ["p:" + stem[:k] for k in range(BEGINNINGS[0], min(BEGINNINGS.stop, len(stem)))]
     plain = stem.translate(LEET)
     if plain != stem and plain.isalpha() and any(c.isalpha() for c in stem):
         out.append("w:" + plain)
@@ -50,7 +54,8 @@ def word_features(word: bytes) -> tuple[str, ...]:
 
 def text_features(text: bytes) -> list[str]:
     """Patterns of the whole text: shouting, and marks in a row."""
-    capitals, letters = len(re.findall(rb"[A-Z]", text)), len(re.findall(rb"[A-Za-z]", text))
+    capitals, small = (len(text) - len(text.translate(None, x)) for x in (CAPITALS, SMALL))
+    letters = capitals + small
     return [name for name, holds in (("x:capitals", capitals * 2 > letters), ("x:bangs", b"!!" in text), ("x:signs", b"***" in text)) if holds]
 
 
@@ -58,19 +63,25 @@ class Finder:
     """The numbers of the known features in a text, each once."""
 
     def __init__(self, number: dict[str, int]):
-        self.number, self.known = number, {}
+        self.number, self.empty, self.known = number, set(), {}
+        self.starts = {f[2 : 2 + BEGINNINGS[0]] for f in number if f.startswith("p:")}
 
     def find(self, text: bytes) -> set[int]:
-        if len(self.known) > CACHE:
+        if len(self.empty) + len(self.known) > CACHE:
+            self.empty.clear()
             self.known.clear()
         known, number = self.known, self.number
         out = {number[f] for f in text_features(text) if f in number}
-        for word in set(text.lower().split()):
+        # most words have no known feature: those met before go at once
+        for word in set(text.lower().split()) - self.empty:
             own = known.get(word)
             if own is None:
-                own = known[word] = tuple(number[f] for f in word_features(word) if f in number)
-            if own:
-                out.update(own)
+                own = tuple(number[f] for f in word_features(word, self.starts) if f in number)
+                if not own:
+                    self.empty.add(word)
+                    continue
+                known[word] = own
+            out.update(own)
         return out
 
 
@@ -266,6 +277,7 @@ def learn(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every: Counter[str] = Counter()
         toxic: Counter[str] = Counter()
+        spelled = lru_cache(SPELLED)(word_features)
 
         def counted() -> pa.RecordBatch:
             names = list(every)
@@ -276,9 +288,7 @@ def learn(
 
         for batch in batches:
             for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(text_features(text))
-                for word in set(text.lower().split()):
-                    own.update(word_features(word))
+                own = set(text_features(text)).union(*map(spelled, set(text.lower().split())))
                 every.update(own)
                 if mark:
                     toxic.update(own)
@@ -363,7 +373,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, weights = learned.value
-        finder = Finder(number)
+        finder, weights = Finder(number), weights.tolist()
         for batch in batches:
             for part in slices(batch, "text"):
                 z = [weights[-1] + sum(weights[i] for i in sorted(finder.find(t))) for t in part.column(2).to_pylist()]

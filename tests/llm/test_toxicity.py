@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -65,3 +67,25 @@ def test_rounds_in_spark_equal_those_in_memory(spark):
     # no voters, and no texts
     assert len(toxicity.fit_patterns(patterns.where("size(votes) = 0"), 0)[0].votes) == 0
     assert np.all(toxicity.fit_patterns(patterns.limit(0), 2)[0].votes == 0)
+
+
+def test_finder_finds_what_features_say():
+    # known words are skipped, kept or spelled anew as the cache fills: what is found stays the same, and cheap
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abM0rn!@ é") for _ in range(rng.randrange(1, 16))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 60))).encode() for _ in range(200)] + [b"", b"A!!", b"ABc ***", b"\xff\xfe bad"]
+    every = sorted({f for t in texts for w in t.lower().split() for f in toxicity.word_features(w)})
+    number = {f: i for i, f in enumerate([*rng.sample(every, 150), "x:capitals", "x:bangs", "x:signs"])}
+    finder = toxicity.Finder(number)
+    for t in texts * 2:
+        letters = [c for c in t.decode("latin-1") if c.isascii() and c.isalpha()]
+        assert ("x:capitals" in toxicity.text_features(t)) == (2 * sum(c.isupper() for c in letters) > len(letters))
+        own = {*toxicity.text_features(t), *(f for w in t.lower().split() for f in toxicity.word_features(w))}
+        assert finder.find(t) == {number[f] for f in own if f in number}
+    long = b"plain words of one text " * 200_000
+    began = time.process_time()
+    toxicity.text_features(long)
+    one = time.process_time() - began
+    began = time.process_time()
+    long.lower().split()
+    assert one < 2 * (time.process_time() - began)
