@@ -31,6 +31,11 @@ from tasteframe.llm.common import table, text_bytes, tidy, written
 END = b" "
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LN10 = math.log(10)
+#: Codes of beginnings are found by their top bits (a table of 4 MB).
+SLOT_BITS = 20
+SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
+#: Words that a task scores at once.
+AT_ONCE = 50_000
 #: Log10 probabilities are summed as whole multiples of 1 / UNIT: so the order in which a shuffle brings words is no matter.
 UNIT = 1 << 32
 #: Words longer than this many characters are scored one by one.
@@ -55,10 +60,13 @@ class Lattice:
         self.number = {p: i for i, p in enumerate(pieces) if i not in set(self.byte.values())}
         self.longest = max(map(len, self.number))
         prefixes = {p[:k] for p in self.number for k in range(1, len(p) + 1)}
-        codes = np.array([self._hash(p) for p in prefixes], dtype=np.uint64)
+        codes = np.array([self._hash(p) for p in prefixes], dtype=np.uint64) * BASE
         order = np.argsort(codes)
-        self.codes = codes[order]
-        self.piece = np.array([self.number.get(p, -1) for p in prefixes], dtype=np.int64)[order]
+        # one entry that nothing leads to stands behind the last, for every probe that goes too far
+        self.codes = np.append(codes[order], np.zeros(1, dtype=np.uint64))
+        self.piece = np.append(np.array([self.number.get(p, -1) for p in prefixes], dtype=np.int64)[order], -1)
+        self.first = np.searchsorted(codes[order], np.arange(1 << SLOT_BITS, dtype=np.uint64) << SLOT_SHIFT).astype(np.int32)
+        self.most = int(np.bincount((codes >> SLOT_SHIFT).astype(np.int64)).max())
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -67,6 +75,17 @@ class Lattice:
             h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    def _look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is that of a beginning of a piece, and where: within the few codes that share its top bits."""
+        code = h * BASE
+        at = self.first[(code >> SLOT_SHIFT).astype(np.int64)]
+        found = (self.codes[at] == code) & (at < len(self.codes) - 1)
+        for _ in range(self.most - 1):
+            left = np.nonzero(~found)[0]
+            at[left] = np.minimum(at[left] + 1, len(self.codes) - 1)
+            found[left] = (self.codes[at[left]] == code[left]) & (at[left] < len(self.codes) - 1)
+        return found, at
+
     def by_bytes(self, char: str) -> list[int]:
         """A character that is no piece, as its bytes."""
         return [self.byte[b] for b in char.encode("utf-8", "replace")]
@@ -79,8 +98,7 @@ class Lattice:
             rows, h = np.arange(len(words)), np.zeros(len(words), dtype=np.uint64)
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 h = h * BASE + chars[rows, j - 1].astype(np.uint64) + np.uint64(1)
-                at = np.minimum(np.searchsorted(self.codes, h), len(self.codes) - 1)
-                found = self.codes[at] == h
+                found, at = self._look_up(h)
                 number = np.where(found, self.piece[at], -1)
                 is_piece = number >= 0
                 if is_piece.any():
@@ -163,6 +181,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long, n_all long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of the batches, some AT_ONCE at a time: words are scored by length, and few of a length cost as much as many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= AT_ONCE:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def estimate(counts: DataFrame, pieces: list[str], rounds: int = 3) -> np.ndarray:
     """Log probabilities of the pieces and the end, from the distinct training words. The driver gets one expected count a
     piece, however large the corpus."""
@@ -174,8 +204,8 @@ def estimate(counts: DataFrame, pieces: list[str], rounds: int = 3) -> np.ndarra
 
         def run(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(*current.value), np.zeros(len(current.value[1]))
-            for batch in batches:
-                words = batch.column(0).to_pylist()
+            for part in merged(batches):
+                words = part.column(0).to_pylist()
                 own = [k for k, w in enumerate(words) if w != END]
                 total[-1] += len(words) - len(own)
                 total += lattice.score([words[k].decode() for k in own], np.ones(len(own)))[1]
@@ -213,13 +243,13 @@ def score_documents(
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for part in merged(batches):
+            words, n = part.column(0).to_pylist(), part.column(1).to_numpy()
             logs = lattice.score([w.decode() for w in words])[0]
             logs[[w == END for w in words]] = lattice.end
             whole = np.log(np.maximum(n - discount, 1e-300) / max(train, 1), where=n > 0, out=np.full(len(n), -np.inf))
             logs = np.rint(np.logaddexp(logs + unseen, whole) / LN10 * UNIT).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs)], names=["word", "n", "n_all", "log"])
+            yield from pa.table([*part.columns, pa.array(logs)], names=["word", "n", "n_all", "log"]).to_batches()
 
     priced = written(counts.mapInArrow(tidy(price), "word binary, n long, n_all long, log long"), "priced")
     # more than 1/most_frequent of all occurrences each: so there are fewer than most_frequent of them
@@ -231,34 +261,37 @@ def score_documents(
         """A row for each document, with its key and what its frequent words sum up to, and one for each other word of it.
         Row numbers are made and used in this one pass: a second scan might number the rows otherwise."""
         figures = {w: (n > 0, round(math.log10(n + 1) * UNIT), log) for w, (n, log) in figures_of.value.items()}
+        common = figures.keys()
         for batch in batches:
-            out = tuple([] for _ in range(7))
-            keys, held = batch.column(1), batch.column(2)
+            rare: tuple[list, ...] = ([], [], [])
+            whole = tuple([] for _ in range(6))
             for n, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3), strict=True)):
                 words = Counter(text.as_py().lower().split())
                 words[END] += 1
-                tokens = seen = 0
-                base = score = 0
-                for word, k in words.items():
-                    tokens += k
-                    if (f := figures.get(word)) is None:
-                        for column, x in zip(out, (row, word, k, None, None, None, None), strict=True):
-                            column.append(x)
-                    else:
-                        seen += k * f[0]
-                        base += k * f[1]
-                        score += k * f[2]
-                for column, x in zip(out, (row, b" %d" % row, tokens, seen, base, score, n), strict=True):
+                seen = base = score = 0
+                for word in words.keys() & common:
+                    k, f = words[word], figures[word]
+                    seen += k * f[0]
+                    base += k * f[1]
+                    score += k * f[2]
+                for column, x in zip(whole, (row, b" %d" % row, words.total(), seen, base, score), strict=True):
                     column.append(x)
-                if len(out[0]) > 50_000:
-                    yield record(out, keys, held)
-                    out = tuple([] for _ in range(7))
-            yield record(out, keys, held)
-
-    def record(columns: tuple[list, ...], keys: pa.Array, held: pa.Array) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        *own, at = (pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))
-        return pa.RecordBatch.from_arrays([*own, keys.take(at), held.take(at)], names=["row", "word", "k", "seen", "base", "log_sum", "key", "held_out"])
+                own = words.keys() - common
+                rare[0].extend([row] * len(own))
+                rare[1].extend(own)
+                rare[2].extend(map(words.__getitem__, own))
+                if len(rare[0]) > 50_000:
+                    yield record(rare, batch.column(1).type)
+                    rare = ([], [], [])
+            yield record(rare, batch.column(1).type)
+            yield record(whole, batch.column(1).type, batch.column(1), batch.column(2))
+
+    def record(columns: tuple[list, ...], key_kind: pa.DataType, *of_document: pa.Array) -> pa.RecordBatch:
+        """Words have row, word and k alone."""
+        names = ["row", "word", "k", "seen", "base", "log_sum", "key", "held_out"]
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), key_kind, pa.bool_())
+        own = [*(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=False)), *of_document]
+        return pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(columns[0]), k) for k in kinds[len(own) :])], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     words = rows.mapInArrow(tidy(look_up), f"row long, word binary, k long, seen long, base long, log_sum long, key {kind}, held_out boolean")

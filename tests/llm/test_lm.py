@@ -1,10 +1,12 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tasteframe.llm import lm
@@ -101,3 +103,19 @@ def test_equal_texts_have_equal_scores(spark):
     scores = {r.doc_id: (r.base_score, r.score, r.n_known) for r in rows}
     own = [k for k in scores if k < 10000000]
     assert own and all(scores[k] == scores[k + 10000000] for k in own)
+
+
+def test_beginnings_are_found_by_their_top_bits():
+    rng = random.Random(11)
+    pieces = sorted({"".join(rng.choices("abcdé▁", k=rng.randrange(1, 9))) for _ in range(3000)}) + [f"<0x{b:02X}>" for b in range(256)]
+    lattice = lm.Lattice(pieces, np.log(np.full(len(pieces) + 1, 1 / (len(pieces) + 1))))
+    beginnings = {p[:k] for p in pieces[:-256] for k in range(1, len(p) + 1)}
+    others = {"".join(rng.choices("abcdéxyz▁", k=rng.randrange(1, 12))) for _ in range(3000)} - beginnings
+    asked = [*sorted(beginnings), *sorted(others), ""]
+    found, at = lattice._look_up(np.array([lattice._hash(p) for p in asked], dtype=np.uint64))
+    assert found.tolist() == [p in beginnings for p in asked]
+    assert lattice.piece[at[found]].tolist() == [lattice.number.get(p, -1) for p in asked if p in beginnings]
+    # small batches are scored together, and every word once
+    batch = pa.RecordBatch.from_arrays([pa.array(range(lm.AT_ONCE // 5))], names=["word"])
+    assert [t.num_rows for t in lm.merged(iter([batch] * 7))] == [lm.AT_ONCE, 2 * (lm.AT_ONCE // 5)]
+    assert list(lm.merged(iter([]))) == []
