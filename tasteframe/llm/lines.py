@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tasteframe.llm.common import discard, slices, table, tidy, written
 from tasteframe.llm.substrings import cut_windows, in_bitmap, keyed, repeated_minimizers
-from tasteframe.llm.windows import minimizers, rolling, signed, word_hashes
+from tasteframe.llm.windows import joined_hashes, minimizers, rolling, signed, word_hashes
 
 #: Tasks among which the positions of one fingerprint are dealt.
 SALTS = 8
@@ -33,6 +33,10 @@ class Lines:
     def split(text: bytes) -> list[bytes]:
         return [line for line in map(bytes.strip, text.split(b"\n")) if line]
 
+    @staticmethod
+    def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return joined_hashes([Lines.split(text) for text in texts.to_pylist()])
+
     @staticmethod
     def keep(text: bytes, units: list[bytes], kept: np.ndarray) -> bytes:
         if kept.all():

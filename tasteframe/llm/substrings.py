@@ -10,6 +10,7 @@ maximal intervals.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tasteframe.llm.common import discard, fresh, mixed, slices, table, text_bytes, tidy, written
-from tasteframe.llm.windows import BASES, minimizers, rolling, signed, word_hashes
+from tasteframe.llm.windows import BASES, least_parts, rolling, signed, text_hashes
 
 #: Bits of the bitmap: 16 MB, whatever the corpus; and bits of each part of it.
 BITMAP_BITS, PART_BITS = 27, 20
+#: Bytes of texts that are hashed at once; their arrays take some twenty times as much.
+HASHED = 1 << 20
 
 
 def repeated_bitmap(hashes: DataFrame) -> np.ndarray:
@@ -53,10 +56,11 @@ class Words:
     """A text as words; what is kept is joined by one space."""
 
     split = staticmethod(bytes.split)
+    hashes = staticmethod(text_hashes)
 
     @staticmethod
     def keep(text: bytes, units: list[bytes], kept: np.ndarray) -> bytes:
-        return b" ".join([units[i] for i in np.nonzero(kept)[0].tolist()])
+        return b" ".join(units if kept.all() else compress(units, kept.tolist()))
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,21 +70,28 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def repeated_minimizers(rows: DataFrame, length: int, short: int, units: type) -> np.ndarray:
     """The bitmap of those minimizers of windows of `length` units that stand at several places."""
-    split = units.split
 
     def first_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found = [np.zeros(0, dtype=np.uint64)]
-                for words in map(split, part.column(0).to_pylist()):
-                    h, at = minimizers(word_hashes(words), length, short)
-                    found.append(h[np.diff(at, prepend=-1) != 0])
-                h, n = np.unique(np.concatenate(found), return_counts=True)
+            for part in slices(batch, "text", HASHED):
+                h, _, new = least_parts(*units.hashes(part.column(0)), length, short)
+                h, n = np.unique(h[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
 
     return repeated_bitmap(rows.select("text").mapInArrow(tidy(first_count), "h long, n long"))
 
 
+def started_before(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which hashes stand earlier between the same two of the bounds."""
+    again = np.zeros(len(h), dtype=bool)
+    for low, high in pairwise(bounds.tolist()):
+        own = h[low:high]
+        order = own.argsort(kind="stable")
+        ordered = own[order]
+        again[low + order[1:]] = ordered[1:] == ordered[:-1]
+    return again
+
+
 def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key: str, text: str) -> DataFrame:
     """A written table of key, version (a hash of the text), starts: the starts of windows of `length` units that also
     start earlier, in a document with a smaller key or in the same one. Minimizers are windows of `short` units.
@@ -89,27 +100,22 @@ def repeated_windows(docs: DataFrame, length: int, short: int, units: type, key:
     carry its key only, and the first count of windows a number and the least key. The count is written: what it has
     shuffled goes before the join, in which the rows of a window that many documents hold can be split among tasks.
     """
-    rows, split = keyed(docs, key, text), units.split
+    rows = keyed(docs, key, text)
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_minimizers(rows, length, short, units))
 
     def second_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                doc, hashes, starts = [], ([], []), []
-                for i, words in enumerate(map(split, part.column(2).to_pylist())):
-                    x = word_hashes(words)
-                    own = np.nonzero(in_bitmap(bitmap.value, minimizers(x, length, short)[0]))[0]
-                    if len(own):
-                        h1, h2 = (rolling(x, length, base)[own] for base in BASES)
-                        again = np.ones(len(own), dtype=bool)
-                        again[np.unique(h1 ^ mixed(h2), return_index=True)[1]] = False
-                        doc.append(np.full(len(own), i))
-                        starts.append(np.where(again, -own - 1, own))
-                        hashes[0].append(h1)
-                        hashes[1].append((h2 >> np.uint64(32)).astype(np.uint32))
-                if doc:
-                    of = pa.array(np.concatenate(doc))
-                    columns = [part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(signed(np.concatenate(hashes[0]))), pa.array(np.concatenate(hashes[1]).view(np.int32))]
+            for part in slices(batch, "text", HASHED):
+                x, bounds = units.hashes(part.column(2))
+                h, inside, _ = least_parts(x, bounds, length, short)
+                own = np.flatnonzero(inside)
+                own = own[in_bitmap(bitmap.value, h[own])]
+                if len(own):
+                    h1, h2 = (rolling(x, length, base)[own] for base in BASES)
+                    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[own]
+                    starts, again = own - bounds[of], started_before(h1 ^ mixed(h2), np.searchsorted(own, bounds))
+                    starts = np.where(again, -starts - 1, starts)
+                    columns = [part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(starts.astype(np.int32)), pa.array(signed(h1)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "version", "start", "h1", "h2"])
 
     kind = docs.schema[key].dataType.simpleString()

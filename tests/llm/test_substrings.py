@@ -1,8 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from tasteframe.llm import jaccard, substrings, windows
 
@@ -83,3 +86,50 @@ def test_bitmap_and_sketch_come_in_few_jobs(spark):
         for name, value in before.items():
             spark.conf.set(name, value)
     assert 0 < counted[40] == counted[2]
+
+
+ODD = ["", " \n\t ", "one", " two  words\x0b", "a\x00 a a\x00\x00", "nul\x00", "\x1cx\x1fy \x85z\xa0", "", "é ü\r\nß", "x" * 8 + " " + "x" * 9, "ends", "starts", "a " * 45]
+ODD += [" ".join("ab"[(n + k) % 2] * n for k in range(2)) for n in range(1, 140)] + ["q" * 64 + "r " + "q" * 64 + "s " + "q" * 63 + "r"]
+
+
+def test_words_of_many_texts_at_once():
+    texts = pa.array([t.encode() for t in ODD], type=pa.binary())
+    for array in (texts, texts.slice(3, 20), texts.slice(1, 1), texts.slice(0, 0), texts.cast(pa.large_binary()).slice(2)):
+        lists = [t.split() for t in array.to_pylist()]
+        x, bounds = windows.text_hashes(array)
+        assert bounds.tolist() == np.cumsum([0, *map(len, lists)]).tolist()
+        pairs = set(zip((w for words in lists for w in words), x.tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_minimizers_of_many_texts_at_once():
+    rng = np.random.default_rng(4)
+    lists = [rng.integers(0, 3 if k % 2 else 1 << 60, n).astype(np.uint64) for k, n in enumerate([0, 1, 19, 20, 21, 300, 0, 20, 55, 7, 40])]
+    x, bounds = np.concatenate(lists), np.cumsum([0, *map(len, lists)])
+    for n, k in ((20, 10), (3, 1), (1, 1), (7, 3), (400, 200), (1000, 500)):
+        h, inside, new = windows.least_parts(x, bounds, n, k)
+        want = [windows.minimizers(own, n, k) for own in lists]
+        places = [np.diff(at, prepend=-1) != 0 for _, at in want]
+        assert np.array_equal(h[inside], np.concatenate([own for own, _ in want])) and np.array_equal(new[inside], np.concatenate(places))
+        assert not new[~inside].any()
+    again = substrings.started_before(x, bounds)
+    assert again.tolist() == [v in own[:i] for own in map(np.ndarray.tolist, lists) for i, v in enumerate(own)]
+
+
+def test_many_texts_at_once_take_less_time():
+    # hashing word by word, and minimizers text by text, took op8 over its CPU seconds
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks().fill_null("").cast(pa.binary())
+
+    def each():
+        return sum(len(windows.minimizers(windows.word_hashes(t.split()), 20, 10)[0]) for t in texts.to_pylist())
+
+    def at_once():
+        return int(windows.least_parts(*substrings.Words.hashes(texts), 20, 10)[1].sum())
+
+    def seconds(run):
+        begin = time.process_time()
+        run()
+        return time.process_time() - begin
+
+    assert each() == at_once()
+    assert min(seconds(at_once) for _ in range(3)) < min(seconds(each) for _ in range(3)) / 2
