@@ -211,18 +211,22 @@ class Join:
         tested = written(pairs.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b")).distinct(), "pairs")
         links = self.verified(tested)
         comps = components(links)
-        left = self.still_open(index.join(leaders.where("more"), "token", "left_semi"), members, comps)
-        left = left.join(heads.select("g", "sig"), "g").select("token", "g", "n", "pos", "sig", "low", "high")
-        other = left.toDF("token", "g2", "n2", "pos2", "sig2", "low2", "high2")
+        # each step is written: as one query, the driver would plan and describe all of it anew at each of its stages
+        spans = written(self.of_groups(members, comps), "spans")
+        left = written(self.still_open(index.join(leaders.where("more"), "token", "left_semi"), spans), "open")
+        wide = left.join(heads.select("g", "sig"), "g").select("token", "g", "n", "pos", "sig", "low", "high")
+        other = wide.toDF("token", "g2", "n2", "pos2", "sig2", "low2", "high2")
         settled = (F.col("low") == F.col("high2")) & (F.col("high") == F.col("low2"))
-        pairs = left.join(other, "token").where((F.col("g") < F.col("g2")) & self.fit("", "2") & ~self.apart("", "2") & ~settled)
-        pairs = pairs.select("g", "g2").distinct().join(members, "g").withColumnRenamed("id", "x").join(members.toDF("g2", "y"), "g2")
-        mixed_groups = members.join(self.of_groups(members, comps).where("low != high").select("g"), "g", "left_semi")
+        met = wide.join(other, "token").where((F.col("g") < F.col("g2")) & self.fit("", "2") & ~self.apart("", "2") & ~settled)
+        met = written(met.select("g", "g2").distinct(), "met")
+        pairs = met.join(members, "g").withColumnRenamed("id", "x").join(members.toDF("g2", "y"), "g2")
+        mixed_groups = members.join(spans.where("low != high").select("g"), "g", "left_semi")
         within = mixed_groups.join(mixed_groups.toDF("g", "y"), "g").where("id < y").select(F.col("id").alias("x"), "y")
         pairs = pairs.select("x", "y").union(within).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
         pairs = written(self.between(pairs, comps).join(tested, ["a", "b"], "left_anti"), "pairs")
+        discard(index, leaders, tested, heads, comps, spans, left, met)
         more = self.verified(pairs)
-        discard(index, leaders, tested, pairs, heads, comps)
+        discard(pairs)
         comps = components(links.union(more))
         discard(links, more)
         return docs, comps
@@ -241,9 +245,9 @@ class Join:
         return of.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
 
     @staticmethod
-    def still_open(index: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows of the index under shingles that stand in several components."""
-        rows = index.join(Join.of_groups(members, comps), "g")
+    def still_open(index: DataFrame, spans: DataFrame) -> DataFrame:
+        """Rows of the index under shingles that stand in several components; spans are the least and the greatest of each group."""
+        rows = index.join(spans, "g")
         spread = rows.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("token")
         return rows.join(spread, "token", "left_semi")
 

@@ -88,3 +88,19 @@ def test_signatures_bound_the_difference(spark):
     df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
     got = [r.d for r in df.select("i", jaccard.differing_bits(F.col("x"), F.col("y")).alias("d")).orderBy("i").collect()]
     assert all(g <= w and (g > 0.25 * w or w < 9) for g, w in zip(got, want, strict=True))
+
+
+def test_no_query_of_the_join_is_large(spark, monkeypatch):
+    # a query of many joins fills the driver's memory: it is planned and described anew at each of its stages
+    joins, write = {}, jaccard.written
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins[name] = max(joins.get(name, 0), len(re.findall(r"\bJoin ", plan)))
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    texts = [(i, f"{'same words in every text ' * 3}{' '.join(f'w{i // 3 * 50 + j}' for j in range(30 + i % 3))}") for i in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute(dict(texts))
+    assert joins["pairs"] > 1 and max(joins.values()) <= 8, joins
