@@ -1,10 +1,12 @@
 """Users meet titles without a table of users times titles."""
 
+import glob
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from tasteframe.operators import blend
+from tasteframe.operators import baselines, blend
 
 KEYS = "tmdb_id long, media_type string"
 
@@ -30,3 +32,46 @@ def test_continuations_equal_a_loop_over_candidates(spark):
     got = blend.continuations(seeds, spark.createDataFrame([(u,) for u in users], "user_id long"), frame.where("tmdb_id % 3 != 0"), frame)
     assert want and {(r.user_id, r.collection_id, r.tmdb_id, r.seed_id) for r in got.collect()} == want
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+
+
+def test_pool_equals_a_loop_over_candidates(spark):
+    rng = random.Random(5)
+    kinds = lambda k: "movie" if k % 4 else "show"
+    items = [(k, kinds(k), rng.sample(range(5), rng.randint(0, 3)), [rng.randint(0, 45) for _ in range(rng.randint(0, 6))], [rng.randint(0, 45) for _ in range(rng.randint(0, 4))]) for k in range(40)]
+    users, universe, genres = range(6), {k for k in range(40) if k % 3}, {k: g for k, _, g, _, _ in items}
+    recent = [(u, k, kinds(k), p, rng.choice([0.25, 0.5, 1.0])) for u in (*users, 99) for p, k in enumerate(rng.sample(range(42), 7), 1)]
+    own = {(u, k) for u, k, *_ in recent} | {(u, rng.randint(0, 39)) for u in users}
+    want = {}
+    for u, seed, kind, _, weight in recent:
+        for source, lists in ((0, 3), (1, 4)):
+            entries = items[seed][lists] if seed < 40 else []
+            for pos, target in enumerate(entries):
+                if u in users and target in universe and kinds(target) == kind and (u, target) not in own:
+                    g = genres[target]
+                    share = max(0.5, 1 - len([x for x in g if x not in genres[seed]]) / len(g)) if g else 1.0
+                    affinity = (1.0, 0.6)[source] * (1 - 0.5 * pos / max(1, len(entries) - 1)) * share
+                    row = want.setdefault((u, target), [set(), 0.0, 0.0, None])
+                    row[3] = seed if affinity * weight > row[2] * row[1] else row[3]
+                    row[0].add(seed)
+                    row[1:3] = max(row[1], weight), max(row[2], affinity)
+    frame = spark.createDataFrame(items, f"{KEYS}, genres array<long>, recommendations array<long>, similar array<long>")
+    seeds = spark.createDataFrame([(u, k, kinds(k)) for u, k in own], f"user_id long, {KEYS}")
+    people, titles = spark.createDataFrame([(u,) for u in users], "user_id long"), frame.where("tmdb_id % 3 != 0").select("tmdb_id", "media_type")
+    got = baselines.pool(spark.createDataFrame(recent, f"user_id long, {KEYS}, place int, weight double"), frame, people, titles, seeds)
+    rows = {(r.user_id, r.tmdb_id): (r.seeds, r.max_seed_weight, round(r.affinity, 9), r.best_seed) for r in got.collect()}
+    assert want and rows == {k: (len(s), w, round(a, 9), b) for k, (s, w, a, b) in want.items()}
+    assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
+
+
+def test_a_written_table_leaves_no_shuffles(spark):
+    from tasteframe.plans.tables import CLEANUP, Tables
+
+    stores = lambda: {d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()}
+    files = lambda: {f for d in stores() for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, rows = files(), spark.range(5000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    table = Tables.cut(rows)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEANUP) == "false" and table.count() == 7
