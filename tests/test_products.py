@@ -6,7 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from tasteframe.operators import baselines, blend
+from tasteframe.operators import baselines, blend, complement, contexts
+from tasteframe.plans.tables import Tables
 
 KEYS = "tmdb_id long, media_type string"
 
@@ -64,7 +65,7 @@ def test_pool_equals_a_loop_over_candidates(spark):
 
 
 def test_a_written_table_leaves_no_shuffles(spark):
-    from tasteframe.plans.tables import CLEANUP, Tables
+    from tasteframe.plans.tables import CLEANUP
 
     stores = lambda: {d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()}
     files = lambda: {f for d in stores() for f in glob.glob(f"{d}/*/shuffle_*.data")}
@@ -75,3 +76,30 @@ def test_a_written_table_leaves_no_shuffles(spark):
             break
         time.sleep(0.1)
     assert not files() - before and spark.conf.get(CLEANUP) == "false" and table.count() == 7
+
+
+def test_remaining_titles_of_every_user(spark):
+    rng = random.Random(4)
+    titles = [(k, rng.choice(["movie", "show"]), rng.randint(0, 5)) for k in range(70)]
+    users, own = range(9), {(u, *rng.choice(titles)[:2]) for u in range(9) for _ in range(u * u)} | {(3, 999, "movie")}
+    marks = {(u, *t[:2]): u * 1.5 for u in users for t in rng.sample(titles, 5)}
+    frame = spark.createDataFrame(titles, f"{KEYS}, votes int")
+    mine, marked = spark.createDataFrame(list(own), f"user_id long, {KEYS}"), spark.createDataFrame([(*k, m) for k, m in marks.items()], f"user_id long, {KEYS}, mark double")
+    people = spark.createDataFrame([(u, f"u{u}") for u in users], "user_id long, name string")
+    order = [F.desc("votes"), F.col("media_type"), F.col("tmdb_id")]
+    for by, first, after in ((None, None, 0), (None, 12, 0), (None, None, 12), ("media_type", None, 0), ("media_type", 9, 3)):
+        want = set()
+        for u in users:
+            for kind in ("movie", "show") if by else (None,):
+                rows = sorted(((k, m, v) for k, m, v in titles if (u, k, m) not in own and kind in (None, m)), key=lambda x: (-x[2], x[1], x[0]))
+                want |= {(u, f"u{u}", k, m, v, p, len(rows), marks.get((u, k, m))) for p, (k, m, v) in enumerate(rows, 1) if after < p <= (first or 999)}
+        got = complement.remaining(people, frame, mine, Tables.cut, ("votes",), order, by, first, after, marked, size=8)
+        assert {(r.user_id, r.name, r.tmdb_id, r.media_type, r.votes, r.place, r.n, r.mark) for r in got.collect()} == want
+
+
+def test_candidates_are_not_shuffled(spark):
+    users, titles = spark.range(60).withColumnRenamed("id", "user_id"), spark.range(900).select(F.col("id").alias("tmdb_id"), F.lit("movie").alias("media_type"))
+    own = titles.where("tmdb_id % 40 = 1").select((F.col("tmdb_id") % 60).alias("user_id"), "*")
+    got = contexts.candidates(users, titles, own, Tables.cut)
+    assert got.count() == 60 * 900 - own.count()
+    assert plan(got).find("Generate") < plan(got).find("Exchange")  # the product is made above every exchange
