@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tasteframe.operators import baselines, blend, complement, contexts
+from tasteframe.operators import baselines, blend, complement, contexts, engagement
 from tasteframe.plans.tables import Tables
 
 KEYS = "tmdb_id long, media_type string"
@@ -103,3 +103,22 @@ def test_candidates_are_not_shuffled(spark):
     got = contexts.candidates(users, titles, own, Tables.cut)
     assert got.count() == 60 * 900 - own.count()
     assert plan(got).find("Generate") < plan(got).find("Exchange")  # the product is made above every exchange
+
+
+def test_titles_of_one_name_meet_once(spark):
+    rng = random.Random(2)
+    rows = lambda n: [(k, rng.choice(["movie", "show"]), rng.choice(["One", "oNE", "Two", None]), rng.choice([None, 1990, 1991, 1992, 1994])) for k in range(n)]
+    titles, found = rows(60), [(*x, rng.choice([None, 10, 20, 30])) for x in rows(50)]
+    schema = "media_type string, title string, year int"
+    want = {}
+    for k, kind, name, year in titles:
+        fits = [(1 if v is None else 2, -(v or 0), i) for i, m, n, y, v in found if m == kind and name and n and n.lower() == name.lower() and (year is None or y is None or abs(year - y) <= 1)]
+        if fits:
+            want[k, kind] = min(fits)[2]
+    resolved = engagement.resolve_titles(spark.createDataFrame(titles, f"rating_key long, {schema}"), spark.createDataFrame(found, f"tmdb_id long, {schema}, vote_count long"))
+    assert want and {(r.rating_key, r.media_type): r.tmdb_id for r in resolved.collect()} == want
+    many = spark.range(3000).select(F.col("id").alias("tmdb_id"), F.lit("movie").alias("media_type"), F.lit("same").alias("title"), F.lit(1990).alias("year"), F.col("id").alias("vote_count"))
+    met = engagement.resolve_titles(many.withColumnRenamed("tmdb_id", "rating_key"), many)
+    assert {r.tmdb_id for r in met.collect()} == {2999}
+    joins = met._jdf.queryExecution().executedPlan().toString()
+    assert "kind" in joins and "year_" not in joins  # no pair of titles is judged by its years
