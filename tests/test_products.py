@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tasteframe.operators import baselines, blend, complement, contexts, engagement
+from tasteframe.operators import baselines, blend, complement, contexts, engagement, features
 from tasteframe.plans.tables import Tables
 
 KEYS = "tmdb_id long, media_type string"
@@ -122,3 +122,34 @@ def test_titles_of_one_name_meet_once(spark):
     assert {r.tmdb_id for r in met.collect()} == {2999}
     joins = met._jdf.queryExecution().executedPlan().toString()
     assert "kind" in joins and "year_" not in joins  # no pair of titles is judged by its years
+
+
+def test_fused_candidates_equal_the_plain_blend(spark):
+    rng = random.Random(7)
+    titles = [(k, rng.choice(["movie", "show"]), float(rng.randint(0, 6))) for k in range(50)]
+    users, own = range(6), {(u, *rng.choice(titles)[:2]) for u in range(6) for _ in range(3 * u)}
+    pool = [("pool", u, k, m, float(rng.randint(0, 9))) for u in users for k, m, _ in rng.sample(titles, 12) if (u, k, m) not in own]
+    nexts = [(u, k, m) for u in users for k, m, _ in rng.sample(titles, 4) if (u, k, m) not in own]
+    scores = [("votes", u, *t) for u in users for t in titles if (u, *t[:2]) not in own] + pool
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    kind = f"component string, user_id long, {KEYS}, score double"
+    for ws in (((1.0, 1.0), (2.0, 0.5)), ((1.0, 0.0), (0.0, 3.0))):
+        weights = frame([(c, m, w) for c, w2 in zip(("votes", "pool"), ws, strict=True) for m, w in zip(("movie", "show"), w2, strict=True)], "component string, media_type string, weight double")
+        want = blend.with_bonus(blend.fuse(frame(scores, kind), weights), frame(nexts, f"user_id long, {KEYS}"))
+        got = blend.fuse_candidates(frame([(u,) for u in users], "user_id long"), frame(titles, f"{KEYS}, score double"), frame(list(own), f"user_id long, {KEYS}"), frame(pool, kind), weights, Tables.cut, "votes", frame(nexts, f"user_id long, {KEYS}"))
+        rows = lambda df: {(r.user_id, r.tmdb_id, r.media_type, r.continuation, round(r.score, 9)) for r in df.collect()}
+        assert rows(got) == rows(want)
+
+
+def test_nearest_own_titles(spark):
+    rng = random.Random(8)
+    space = {k: {f"t{j}": rng.choice([0.25, 0.5, 0.75]) for j in rng.sample(range(12), rng.randint(1, 4))} for k in range(40)}
+    kind = lambda k: "movie" if k % 3 else "show"
+    listed, own = [(u, k, kind(k)) for u in range(5) for k in rng.sample(range(45), 20)], [(u, k, kind(k)) for u in range(1, 6) for k in rng.sample(range(45), 9)]
+    want = set()
+    for u, k, m in listed:
+        sims = [(-round(sum(w * space[s].get(t, 0) for t, w in space[k].items()), 9), n, s) for v, s, n in own if v == u and k in space and s in space]
+        want |= {(u, k, m, i, s, n) for i, (sim, n, s) in enumerate(sorted(sims)[:3], 1) if sim < 0}
+    rows = spark.createDataFrame([(k, kind(k), t, w) for k, v in space.items() for t, w in v.items()], f"{KEYS}, term string, w double")
+    got = features.nearest_own(spark.createDataFrame(listed, f"user_id long, {KEYS}"), spark.createDataFrame(own, f"user_id long, {KEYS}"), rows, 3)
+    assert want and {tuple(r) for r in got.collect()} == want
