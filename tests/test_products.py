@@ -1,6 +1,7 @@
 """Users meet titles without a table of users times titles."""
 
 import glob
+import math
 import random
 import time
 
@@ -153,3 +154,35 @@ def test_nearest_own_titles(spark):
     rows = spark.createDataFrame([(k, kind(k), t, w) for k, v in space.items() for t, w in v.items()], f"{KEYS}, term string, w double")
     got = features.nearest_own(spark.createDataFrame(listed, f"user_id long, {KEYS}"), spark.createDataFrame(own, f"user_id long, {KEYS}"), rows, 3)
     assert want and {tuple(r) for r in got.collect()} == want
+
+
+def test_content_profiles_equal_a_loop_and_shuffle_no_candidates(spark):
+    rng = random.Random(9)
+    items = [(k, "movie", rng.sample(range(4), rng.randint(0, 2)), rng.sample(range(9), rng.randint(0, 3))) for k in range(60)]
+    users, own = range(5), {(u, k): rng.choice([0.5, 1.0]) for u in range(4) for k in rng.sample(range(60), 4)}
+    terms = {k: [f"g{x}" for x in g] + [f"k{x}" for x in w] for k, _, g, w in items}
+    value = {t: math.log(len(items) / sum(t in x for x in terms.values())) for x in terms.values() for t in x}
+    unit = {k: {t: value[t] / math.sqrt(sum(value[s] ** 2 for s in x)) for t in x} for k, x in terms.items()}
+    want = {}
+    for u in users:
+        profile = {}
+        for (v, k), w in own.items():
+            for t, x in unit[k].items() if v == u else ():
+                profile[t] = profile.get(t, 0) + w * x
+        norm = math.sqrt(sum(p * p for p in profile.values())) or 1.0
+        want |= {(u, k): round(sum(profile.get(t, 0) * x for t, x in unit[k].items()) / norm, 9) for k in unit if k % 2 and unit[k] and (u, k) not in own}
+    frame = spark.createDataFrame(items, f"{KEYS}, genres array<long>, keywords array<long>")
+    seeds = spark.createDataFrame([(u, k, "movie", w) for (u, k), w in own.items()], f"user_id long, {KEYS}, weight double")
+    got = baselines.content_profile(seeds, frame, spark.createDataFrame([(u,) for u in users], "user_id long"), frame.where("tmdb_id % 2 = 1"), seeds, Tables.cut)
+    assert {(r.user_id, r.tmdb_id): round(r.score, 9) for r in got.collect()} == want
+    assert plan(got).find("Generate") < plan(got).find("Exchange")
+
+
+def test_vectors_travel_as_they_are_stored(spark):
+    rows = [(k, "movie", [float(k % 7 - 3), float(k % 5), 1.0]) for k in range(90)]
+    vectors = spark.createDataFrame(rows, f"{KEYS}, embedding array<float>")
+    got = features.dense_similarity(vectors, vectors, vectors, size=40)
+    unit = {k: [x / max(math.sqrt(sum(y * y for y in v)), 1e-9) for x in v] for k, _, v in rows}
+    assert {(r.tmdb_id, r.n_tmdb_id): round(r.sim, 9) + 0.0 for r in got.collect()} == {(a, b): round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 9) + 0.0 for a in unit for b in unit}
+    dealt = got._jdf.queryExecution().optimizedPlan().children().head().children().head()
+    assert "array<float>" in dealt.schema().simpleString() and "CoGroup" not in plan(got)
